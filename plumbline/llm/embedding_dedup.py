@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     def compare(t: pa.Table) -> pa.RecordBatch | None:
         k, left, same, node, n = (t.column(c).to_numpy() for c in ("k", "left", "same", "node", "n"))
         column = t.column("v").combine_chunks()
-        flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))])
+        flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
         found, count, forests = [], [], []
         for s, e in zip(*runs(k)):
             d = at[s + 1] - at[s]

@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def _resolve(t: pa.Table) -> pa.RecordBatch:
     k, old = t.column("k").to_numpy(), t.column("old").to_numpy()
     words = np.frombuffer(b"".join(t.column("digest").to_pylist()), "<u8").reshape(-1, 4)
     # the locator of a winner; null ids come last
-    ids = pa.compute.fill_null(t.column("keep_id"), _NONE).to_numpy().copy()
+    ids = pc.fill_null(t.column("keep_id"), _NONE).to_numpy().copy()
     size = t.column("group_size").to_numpy().copy()
     stays = np.ones(len(k), bool)
     for s, e in zip(*runs(k)):

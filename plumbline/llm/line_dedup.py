@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def _ids(lines: list[str]) -> np.ndarray:
 
 
 def _parts(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // most
     for s, e in zip(*runs(group)):
         yield batch.slice(s, e - s), batch.column(column).slice(s, e - s).to_pylist()

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,7 +149,7 @@ def parse_block(t: pa.Table, window: int) -> pa.RecordBatch | None:
     """Factors of a block's stretches (whole groups of one anchor) against each other, as spans of their rows' words."""
     k, lead = t.column("k").to_numpy().view(np.uint64), t.column("lead").to_numpy().astype(np.int64)
     packed = t.column("words").combine_chunks()
-    size = pa.compute.binary_length(packed).to_numpy().astype(np.int64) // 4
+    size = pc.binary_length(packed).to_numpy().astype(np.int64) // 4
     w = np.frombuffer(b"".join(packed.to_pylist()), np.uint32).astype(np.uint64)
     begin = np.cumsum(size) - size
     n = size - window + 1  # windows of each stretch
