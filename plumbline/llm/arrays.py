@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,26 +97,52 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-class WordHashes(dict):
-    """word (bytes): its XXH64; emptied by callers when it has grown large."""
+_M, _M_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, m in enumerate((_M, _M_INVERSE)):
+            x = np.full(max(n, 1 << 16), m, np.uint64)
+            x[0] = 1
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers[0][:n], _powers[1][:n]
 
 
-def blocks_of(batch: pa.RecordBatch, text: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def stretch_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of numbers (bytes, or other hashes): a polynomial modulo 2^64, mixed with the length."""
+    power, inverse = _power(len(x) + 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[1 : len(x) + 1], out=total[1:])
+    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words (between ASCII white space), joined, and each text's number of words."""
+    raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
+    space = _SPACES[raw]
+    edge = np.flatnonzero(np.concatenate([[True], space[:-1]]) != space)
+    starts, ends = edge[::2], edge[1::2]
+    first = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    return stretch_hashes(raw, starts, ends), np.diff(np.searchsorted(starts, first))
+
+
+def text_parts(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch of about most bytes of text, and their texts."""
+    for part, _ in blocks_of(batch, column, most, with_bytes=False):
+        yield part, part.column(column).to_pylist()
+
+
+def blocks_of(batch: pa.RecordBatch, text: int, most: int = 4_000_000, with_bytes: bool = True) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Parts of a batch of about most bytes of text, and their texts as bytes."""
     column = batch.column(text).cast(pa.binary())
-    start = size = 0
-    for k in range(batch.num_rows):
-        x = column[k]
-        size += len(x.as_buffer()) if x.is_valid else 0
-        if size >= most or k + 1 == batch.num_rows:
-            yield batch.slice(start, k + 1 - start), column.slice(start, k + 1 - start).to_pylist()
-            start, size = k + 1, 0
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for s, e in zip(*runs(np.cumsum(sizes) // most)):
+        yield batch.slice(s, e - s), column.slice(s, e - s).to_pylist() if with_bytes else []
 
 
 def row_key(text: Column) -> Column:

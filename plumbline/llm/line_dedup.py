@@ -1,6 +1,6 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower case; letters, marks and digits kept, digits as 0; everything else one space) and get a SimHash of their
+Lines are normalised (lower case, digits as 0, other ASCII but letters as spaces, one space between words) and get a SimHash of their
 words. Two lines whose fingerprints differ in at most three bits agree in one of four blocks of 16 bits: lines are joined on these
 blocks, compared, and then verified: an edit similarity, 1 - distance / length of the longer, of at least 0.8. Of each connected
 group the first occurrence, by id and place, is kept, and the others are removed from their texts.
@@ -12,7 +12,6 @@ block, pairs already connected are not verified again, so a large group costs a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,23 +20,51 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import WordHashes, bitmap, by_key, in_bitmap, row_key, runs, votes
+from .arrays import bitmap, by_key, in_bitmap, row_key, runs, stretch_hashes, text_parts, votes
 from .common import Stash, table
 from .components import components
 
 NEAR, SIMILAR = 3, 0.8
-_NOT_WORD = re.compile(r"[\W_]+")
-_DIGITS = re.compile(r"\d")
+_FOLD = bytes(10 if c == 10 else 48 if 48 <= c < 58 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def normal_line(line: str) -> str:
-    """"" for a line without letters and digits: such lines are never removed."""
-    if line.isascii():
-        return " ".join(line.lower().translate(_ASCII).split())
-    return _DIGITS.sub("0", _NOT_WORD.sub(" ", line.lower())).strip()
+def folded(text: str) -> bytes:
+    """Lower case, digits as 0, other ASCII but letters and line feeds as spaces."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
-_ASCII = {c: " " for c in range(128) if not chr(c).isalnum()} | {c: "0" for c in range(48, 58)}
+def normal_line(line: str) -> str:
+    """"" for a line without words: such lines are never removed."""
+    return b" ".join(folded(line.replace("\n", " ")).split()).decode("utf-8", "surrogatepass")
+
+
+class Lines:
+    """The lines with words of some texts: text, place, hash, words' hashes and numbers."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = [folded(t or "") for t in texts]
+        self.raw = b"\n".join(parts) + b"\n"
+        raw = np.frombuffer(self.raw, np.uint8)
+        space = (raw == 32) | (raw == 10)
+        edge = np.flatnonzero(np.concatenate([[True], space[:-1]]) != space)
+        starts, ends = edge[::2], edge[1::2]
+        self.words = stretch_hashes(raw, starts, ends)
+        feed = np.flatnonzero(raw == 10)
+        line = np.searchsorted(feed, starts)  # of each word
+        first, last = runs(line)
+        self.line = line[first] if len(line) else line
+        self.sizes = last - first
+        self.hash = stretch_hashes(self.words, first, last).view(np.int64)
+        self.begin, self.end = np.concatenate([[0], feed[:-1] + 1])[self.line], feed[self.line]
+        counts = np.cumsum([0, *(p.count(b"\n") + 1 for p in parts)])
+        self.text = np.searchsorted(counts, self.line, side="right") - 1
+        self.place = self.line - counts[self.text]
+
+    def fingerprints(self) -> np.ndarray:
+        return votes(self.words, self.sizes).view(np.int64)
+
+    def shown(self, k: int) -> str:
+        return b" ".join(self.raw[self.begin[k] : self.end[k]].split()).decode("utf-8", "surrogatepass")
 
 
 def distance_at_most(a: str, b: str, most: int) -> bool:
@@ -82,48 +109,12 @@ def similar(a: str, b: str, least: float = SIMILAR) -> bool:
     return distance_at_most(a, b, int((1 - least) * longer + 1e-9))
 
 
-def _lines(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Normalised lines that are not empty, their texts and places."""
-    out: list[str] = []
-    of, place = [], []
-    for k, text in enumerate(texts):
-        for i, line in enumerate(text.split("\n") if text else ()):
-            if line := normal_line(line):
-                out.append(line)
-                of.append(k)
-                place.append(i)
-    return out, np.array(of, np.int64), np.array(place, np.int64)
-
-
-def _ids(lines: list[str]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in lines), np.uint64, len(lines)).view(np.int64)
-
-
-def _parts(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // most
-    for s, e in zip(*runs(group)):
-        yield batch.slice(s, e - s), batch.column(column).slice(s, e - s).to_pylist()
-
-
-def _fingerprints(lines: list[str], hashes: WordHashes) -> np.ndarray:
-    words = [x.encode("utf-8", "surrogatepass").split(b" ") for x in lines]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((h for x in words for h in map(hashes.__getitem__, x)), np.uint64, int(n.sum()))
-    if len(hashes) > 400_000:
-        hashes.clear()
-    return votes(h, n)
-
-
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
-        for part, texts in _parts(batch, 2):
-            lines, of, place = _lines(texts)
-            row = pa.array(of)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(place.astype(np.int32)), pa.array(_ids(lines)), pa.array(_fingerprints(lines, hashes).view(np.int64))], names=["id", "rk", "place", "line", "fp"])
+        for part, texts in text_parts(batch, 2):
+            x = Lines(texts)
+            row = pa.array(x.text)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(x.place.astype(np.int32)), pa.array(x.hash), pa.array(x.fingerprints())], names=["id", "rk", "place", "line", "fp"])
 
 
 def _by_block(fps: np.ndarray) -> list[np.ndarray]:
@@ -183,7 +174,7 @@ def _verified(t: pa.Table) -> pa.RecordBatch | None:
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, its text without the removed lines, and n_lines, n_removed (longs).
 
-    Lines are split at line feeds. Lines without letters and digits stay, as do null and empty texts (n_lines: 0 and 1; an
+    Lines are split at line feeds. Lines without words (nothing but ASCII punctuation and white space) stay, as do null and empty texts (n_lines: 0 and 1; an
     empty text is an empty line). A text all of whose lines are removed becomes empty. Rows repeated, with equal id
     and text, have the same lines kept and removed. Null ids come after all others in the order of occurrences.
     """
@@ -197,15 +188,13 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(near, "line", near.count()))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for _, texts in _parts(batch, 0):
-                lines = list(set(_lines(texts)[0]))
-                line = _ids(lines)
-                at = np.flatnonzero(in_bitmap(bits.value, line.view(np.uint64)))
+            for _, texts in text_parts(batch, 0):
+                x = Lines(texts)
+                line, at = np.unique(x.hash, return_index=True)
+                at = at[in_bitmap(bits.value, line.view(np.uint64))]
                 if len(at):
-                    lines = [lines[k] for k in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(line[at]), pa.array(_fingerprints(lines, hashes).view(np.int64)), pa.array(lines, pa.string())], names=["line", "fp", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.hash[at]), pa.array(x.fingerprints()[at]), pa.array([x.shown(k) for k in at.tolist()], pa.string())], names=["line", "fp", "text"])
 
     texts = rows.select("text").mapInArrow(wanted, "line long, fp long, text string").dropDuplicates(["line"])
     block = F.expr("transform(sequence(0, 3), b -> shiftleft(cast(b as bigint), 16) + (shiftrightunsigned(fp, 16 * b) & 65535))")

@@ -25,19 +25,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import WordHashes, bitmap, blocks_of, by_key, in_bitmap, mixed, row_key
+from .arrays import bitmap, blocks_of, by_key, in_bitmap, mixed, row_key, words_of
 from .common import Stash, table
 
 GRAM = 8
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))  # odd multipliers of the rolling hashes
 _POSITION = 28  # bits of a position in the sliding minimum
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _rolling(w: np.ndarray, size: int, multiplier: np.uint64) -> np.ndarray:
     """Hash of each stretch of size successive numbers."""
     n = len(w) - size + 1
-    out, of, at = np.zeros(n, np.uint64), {}, 0
+    out, at = np.zeros(n, np.uint64), 0
     part, width = w.copy(), 1  # part[i]: of width numbers from i
     left = size
     while left:  # by doubling
@@ -48,7 +47,6 @@ def _rolling(w: np.ndarray, size: int, multiplier: np.uint64) -> np.ndarray:
         if left:
             part = part[:-width] * multiplier**np.uint64(width) + part[width:]
             width *= 2
-    del of
     return out
 
 
@@ -64,11 +62,9 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
 class Parsed:
     """Words of some texts: their hashes (joined), the texts' first words, and every window's start and anchor."""
 
-    def __init__(self, texts: list[bytes | None], hashes: WordHashes, window: int):
-        words = [t.split() if t else [] for t in texts]
-        self.n = np.fromiter(map(len, words), np.int64, len(words))
+    def __init__(self, texts: list[bytes | None], window: int):
+        self.hash, self.n = words_of(texts)
         self.first = np.cumsum(self.n) - self.n
-        self.hash = np.fromiter((h for x in words for h in map(hashes.__getitem__, x)), np.uint64, int(self.n.sum()))
         self.start = np.zeros(0, np.int64)
         if len(self.hash) < window:
             return
@@ -84,16 +80,13 @@ class Parsed:
         return np.searchsorted(self.first, positions, side="right") - 1
 
 
-def _scan(docs: DataFrame, window: int, give, schema: str, max_words: int) -> DataFrame:
+def _scan(docs: DataFrame, window: int, give, schema: str) -> DataFrame:
     """give(part of a batch, its texts parsed) for all of docs (id, rk, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part, texts in blocks_of(batch, 2):
-                parsed = Parsed(texts, hashes, window)
-                if len(hashes) > max_words:
-                    hashes.clear()
+                parsed = Parsed(texts, window)
                 if len(parsed.start) and (out := give(part, parsed)) is not None:
                     yield out
 
@@ -105,8 +98,14 @@ def _count_anchors(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
 
 
+def _packed(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Successive stretches of numbers as binaries."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
+
+
 def _stretches(bits: np.ndarray, hot: np.ndarray, window: int):
-    """Of each anchor in the bitmap and not hot: row, first word in its text, where the anchor is, the words' hashes (32 bits)."""
+    """Of each anchor in the bitmap and not hot: row, first word in its text, where the anchor is, the words' hashes (32 bits), the windows' (64)."""
 
     def give(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch | None:
         a = p.gram[p.at].view(np.int64)
@@ -120,11 +119,10 @@ def _stretches(bits: np.ndarray, hot: np.ndarray, window: int):
         size = end - begin
         flat = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
         words = (p.hash[flat] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * 4, pa.int32())
         text = p.text_of(begin)
-        packed = pa.Array.from_buffers(pa.binary(), len(size), [None, offsets.buffers()[1], pa.py_buffer(words.tobytes())])
+        whole = mixed(_rolling(p.hash, window, _M[1])[start])
         row = pa.array(text)
-        return pa.RecordBatch.from_arrays([pa.array(a[i]), part.column(0).take(row), part.column(1).take(row), pa.array((begin - p.first[text]).astype(np.int64)), pa.array((at[i] - begin).astype(np.int32)), packed], names=["k", "id", "rk", "first", "lead", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(a[i]), part.column(0).take(row), part.column(1).take(row), pa.array((begin - p.first[text]).astype(np.int64)), pa.array((at[i] - begin).astype(np.int32)), _packed(words, size), _packed(whole, size - window + 1)], names=["k", "id", "rk", "first", "lead", "words", "windows"])
 
     return give
 
@@ -156,11 +154,14 @@ def parse_block(t: pa.Table, window: int) -> pa.RecordBatch | None:
     of = np.repeat(np.arange(len(size)), n)
     shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = begin[of] + shift
-    h = mixed(_rolling(w, window, _M[0])[at] ^ mixed(k[of] + (lead[of] - shift).astype(np.uint64)))
+    h = np.frombuffer(b"".join(t.column("windows").to_pylist()), np.uint64) ^ mixed(k[of] + (lead[of] - shift).astype(np.uint64))
     order = np.argsort(h, kind="stable")
     near = np.flatnonzero(h[order[1:]] == h[order[:-1]])
     one, two = order[near], order[near + 1]
-    same = (k[of[one]] == k[of[two]]) & (w[at[one][:, None] + np.arange(window)] == w[at[two][:, None] + np.arange(window)]).all(axis=1)
+    same = k[of[one]] == k[of[two]]
+    for s in range(0, len(near), 20_000):  # word by word
+        p = slice(s, s + 20_000)
+        same[p] &= (w[at[one[p]][:, None] + np.arange(window)] == w[at[two[p]][:, None] + np.arange(window)]).all(axis=1)
     again = np.zeros(len(h), bool)
     again[one[same]] = True
     again[two[same]] = True
@@ -176,24 +177,24 @@ def parse_block(t: pa.Table, window: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(rows), t.column("rk").combine_chunks().take(rows), pa.array(first + shift[hit[i]]), pa.array(first + shift[last] + window)], names=["id", "rk", "begin", "end"])
 
 
-def spans(docs: DataFrame, *, window: int = 35, most_in_block: int = 4096, max_words: int = 400_000) -> DataFrame:
+def spans(docs: DataFrame, *, window: int = 35, most_in_block: int = 32_768) -> DataFrame:
     """id, rk, begin, end (words) of factors of at least window words, of docs (id long, rk long, text); they may overlap.
 
     most_in_block bounds a group of stretches; it grows only when over 2^16 anchors would be above it, so that the list of
     those stays short enough to send.
     """
     stash = Stash(docs.sparkSession, "factors")
-    anchors = _scan(docs, window, _count_anchors, "anchor long, n long", max_words).groupBy("anchor").agg(F.sum("n").alias("n"))
+    anchors = _scan(docs, window, _count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     anchors = stash.put(anchors.where("n > 1"))
     r = anchors.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     limit = max(most_in_block, r["n"] >> 16)
     hot = np.sort(anchors.where(F.col("n") > limit).select("anchor").toArrow().column(0).to_numpy().astype(np.int64))
     sc = docs.sparkSession.sparkContext
     bits, hots = sc.broadcast(bitmap(anchors, "anchor", r["k"])), sc.broadcast(hot)
-    sent = _scan(docs, window, lambda part, p: _stretches(bits.value, hots.value, window)(part, p), "k long, id long, rk long, first long, lead int, words binary", max_words)
+    sent = _scan(docs, window, lambda part, p: _stretches(bits.value, hots.value, window)(part, p), "k long, id long, rk long, first long, lead int, words binary, windows binary")
     found = by_key(sent, lambda t: parse_block(t, window), "id long, rk long, begin long, end long", least_rows=5_000)
     if len(hot):
-        rows = stash.put(_scan(docs, window, lambda part, p: _windows(hots.value, window)(part, p), "id long, rk long, first long, h1 long, h2 long", max_words))
+        rows = stash.put(_scan(docs, window, lambda part, p: _windows(hots.value, window)(part, p), "id long, rk long, first long, h1 long, h2 long"))
         again = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
         more = rows.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
         found = found.unionByName(more.select("id", "rk", F.col("first").alias("begin"), (F.col("first") + window).alias("end")))

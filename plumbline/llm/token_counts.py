@@ -1,16 +1,16 @@
 """Token counts by trie-shared dynamic programming.
 
-Every document's text is split into pre-tokens. A task inserts its distinct pre-tokens into a trie of bytes.
-A trie node stands for a prefix, and holds the unigram forward score of that prefix: the least cost of any
-segmentation into vocabulary pieces, found from the scores of the nodes above it. Prefixes that pre-tokens
-share are therefore scored once. The node where a pre-token ends (its terminal) gives the number of pieces.
+Every document's text is split into pre-tokens. The distinct ones of a part of a task's rows are inserted into a trie of bytes,
+level by level. A trie node stands for a prefix, and holds the unigram forward score of that prefix: the least cost of any
+segmentation into vocabulary pieces, found from the scores of the nodes above it where a piece begins. Prefixes that pre-tokens
+share are therefore scored once. The node where a pre-token ends (its terminal) gives the number of pieces, which is kept.
 
 The scores are frozen and nothing is trained: a piece costs ln(rank + 1) in fixed point, where rank is its place
 in a public vocabulary (a Zipf law). Single bytes, which the vocabulary lists first whatever their frequency, cost
 as much as its last piece, so that each byte string has a segmentation. Equal costs go to fewer pieces.
 
-Nothing is shuffled or broadcast but the vocabulary file (a parameter, about 1 MB): tries are local to a task and
-bounded by max_nodes. A full trie is emptied; that repeats work and changes no result.
+Nothing is shuffled or broadcast but the vocabulary file (a parameter, about 1 MB). A task holds one part's trie and the counts of
+at most max_units stretches between white space; when they are more, they are forgotten, which repeats work and changes no result.
 """
 
 from __future__ import annotations
@@ -18,98 +18,156 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .arrays import text_parts
 from .common import table, tokenizer_path
-from .units import PRE_TOKEN, find_units
+from .units import PRE_TOKEN, find_units, starts_with_space
 
-SCALE = 1 << 16  # fixed point of a cost
-_COUNT_BITS = 40  # a path is cost << _COUNT_BITS | pieces
+SCALE = 1 << 12  # fixed point of a cost
+COUNT_BITS = 24  # a score is cost << COUNT_BITS | pieces
+LEVELS = 64  # longer pre-tokens are walked one by one
 
 
 def piece_costs(vocabulary: bytes) -> dict[bytes, int]:
     """Cost and piece count (1) in one integer, by piece; vocabulary: lines of a base64 piece and its rank."""
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
     last = len(ranks) + 1
-    return {p: (round(SCALE * math.log(last if len(p) == 1 else r + 1)) << _COUNT_BITS) + 1 for p, r in ranks.items()}
-
-
-class PrefixTrie:
-    """Trie of pre-tokens with the forward score of every prefix."""
-
-    def __init__(self, costs: dict[bytes, int], max_nodes: int):
-        self.costs, self.max_nodes = costs, max_nodes
-        self.longest = max(map(len, costs), default=1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}  # node << 8 | byte: node
-        self.score = [0]  # by node; the root's prefix is empty
-
-    def pieces(self, word: bytes) -> int:
-        """Pieces in the cheapest segmentation of word."""
-        if len(self.score) > self.max_nodes:
-            self.clear()
-        child, score, costs = self.child, self.score, self.costs
-        path = [0]
-        node = 0
-        for end, byte in enumerate(word, 1):
-            nxt = child.get(key := node << 8 | byte)
-            if nxt is None:
-                best = None
-                for start in range(max(0, end - self.longest), end):
-                    cost = costs.get(word[start:end])
-                    if cost is not None:
-                        cost += score[path[start]]
-                        if best is None or cost < best:
-                            best = cost
-                if best is None:  # a vocabulary without this byte: one unknown piece, dearer than any known one
-                    best = score[node] + (round(SCALE * 2 * math.log(len(costs) + 2)) << _COUNT_BITS) + 1
-                nxt = child[key] = len(score)
-                score.append(best)
-            node = nxt
-            path.append(node)
-        return score[node] & ((1 << _COUNT_BITS) - 1)
-
-
-class _Counts(dict):
-    """unit: pre-tokens << 32 | tokens, computed when first asked for."""
-
-    def __init__(self, trie: PrefixTrie):
+    costs = {p: (round(SCALE * math.log(last if len(p) == 1 else r + 1)) << COUNT_BITS) + 1 for p, r in ranks.items()}
+    for b in range(256):  # a byte the vocabulary lacks is an unknown piece, dearer than any known one
+        costs.setdefault(bytes([b]), (round(SCALE * 2 * math.log(last + 1)) << COUNT_BITS) + 1)
+    return costs
+
+
+class Pieces:
+    """The vocabulary's own trie: next[node, byte] (-1: none) and each node's cost (where a piece ends)."""
+
+    NONE = np.int64(1) << np.int64(61)
+
+    def __init__(self, costs: dict[bytes, int]):
+        child: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        n = 1
+        for piece, cost in costs.items():
+            node = 0
+            for byte in piece:
+                nxt = child.get((node, byte))
+                if nxt is None:
+                    nxt = child[node, byte] = n
+                    n += 1
+                node = nxt
+            ends[node] = cost
+        self.next = np.full((n, 256), -1, np.int32)
+        for (node, byte), nxt in child.items():
+            self.next[node, byte] = nxt
+        self.cost = np.full(n, self.NONE, np.int64)
+        self.cost[list(ends)] = list(ends.values())
+
+    def count(self, words: list[bytes]) -> np.ndarray:
+        """Pieces in the cheapest segmentation of each of some distinct words, not empty."""
+        words, asked = sorted(words), words
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.zeros(len(words), np.int64)
+        short = np.flatnonzero(sizes <= LEVELS)
+        if len(short):
+            out[short] = self._levels([words[k] for k in short], sizes[short])
+        for k in np.flatnonzero(sizes > LEVELS):
+            out[k] = self._walk(words[k])
+        of = dict(zip(words, out.tolist()))
+        return np.fromiter(map(of.__getitem__, asked), np.int64, len(asked))
+
+    def _levels(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        longest = int(sizes.max())
+        letters = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(-1, longest)
+        out = np.zeros(len(words), np.int64)
+        alive, node = np.arange(len(words)), np.zeros(len(words), np.int64)  # words in order, and their nodes of the level above
+        score = np.zeros(1, np.int64)  # of the nodes of the level above
+        # what may still become a piece: its node above, the score where it began, its place in the vocabulary's trie
+        at, began, place = (np.zeros(0, np.int64) for _ in range(3))
+        for level in range(longest):
+            on = sizes[alive] > level
+            alive, node = alive[on], node[on]
+            byte = letters[alive, level]
+            new = np.concatenate([[True], (node[1:] != node[:-1]) | (byte[1:] != byte[:-1])])
+            above, letter = node[new], byte[new]
+            node = np.cumsum(new) - 1
+            n = np.bincount(at, minlength=len(score))
+            first = np.cumsum(n) - n
+            n = n[above]
+            of = np.repeat(np.arange(len(above)), n)
+            k = np.repeat(first[above] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            began = np.concatenate([began[k], score[above]])  # those of the node above, and pieces that begin here
+            place = np.concatenate([self.next[place[k], letter[of]], self.next[0, letter]]).astype(np.int64)
+            at = np.concatenate([of, np.arange(len(above))])
+            stays = place >= 0
+            order = np.argsort(at[stays], kind="stable")
+            at, began, place = (x[stays][order] for x in (at, began, place))
+            score = np.minimum.reduceat(began + self.cost[place], np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])))
+            ended = sizes[alive] == level + 1
+            out[alive[ended]] = score[node[ended]]
+        return out & ((1 << COUNT_BITS) - 1)
+
+    def _walk(self, word: bytes) -> int:
+        scores = [0]
+        active: list[tuple[int, int]] = []
+        for byte in word:
+            active.append((scores[-1], 0))
+            active = [(s, v) for s, v in ((s, int(self.next[v, byte])) for s, v in active) if v >= 0]
+            scores.append(min(s + int(self.cost[v]) for s, v in active))
+        return scores[-1] & ((1 << COUNT_BITS) - 1)
+
+
+class UnitCounts(dict):
+    """unit: pre-tokens << 32 | tokens."""
+
+    def __init__(self, pieces: Pieces, most: int):
         import regex
 
-        self.split, self.trie = regex.compile(PRE_TOKEN).findall, trie
-
-    def __missing__(self, unit: str) -> int:
-        words = self.split(unit)
-        self[unit] = n = (len(words) << 32) + sum(self.trie.pieces(w.encode("utf-8", "surrogatepass")) for w in words)
-        return n
+        self.split, self.pieces, self.most = regex.compile(PRE_TOKEN).findall, pieces, most
 
-
-def token_counts(docs: DataFrame, vocabulary: bytes, *, id_col: str = "doc_id", text_col: str = "text", max_nodes: int = 400_000, max_units: int = 300_000) -> DataFrame:
+    def learn(self, units: set[str]) -> None:
+        if len(self) > self.most:
+            self.clear()
+        new = [u for u in units if u not in self]
+        joinable = [u for u in new if starts_with_space(u) and not u.isspace()]
+        alone = [u for u in new if not starts_with_space(u) or u.isspace()]
+        words = self.split("".join(joinable))
+        ends = np.cumsum(np.fromiter(map(len, joinable), np.int64, len(joinable)))
+        per = np.diff(np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), ends, side="right"), prepend=0)
+        for u in alone:
+            words += (more := self.split(u))
+            per = np.append(per, len(more))
+        distinct = list(set(words))
+        of = dict(zip(distinct, self.pieces.count([w.encode("utf-8", "surrogatepass") for w in distinct]).tolist())) if distinct else {}
+        total = np.concatenate([[0], np.cumsum(np.fromiter(map(of.__getitem__, words), np.int64, len(words)))])
+        end = np.cumsum(per)
+        tokens = total[end] - total[end - per]
+        self.update(zip(chain(joinable, alone), ((per << 32) + tokens).tolist()))
+
+
+def token_counts(docs: DataFrame, vocabulary: bytes, *, id_col: str = "doc_id", text_col: str = "text", max_units: int = 400_000) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_pretokens, n_tokens (longs).
 
     A null or empty text has 0 of each. Repeated rows and null ids are counted as they stand; other columns are not
-    read. vocabulary: the bytes of a rank file. max_nodes and max_units bound a task's memory, not its results.
+    read. vocabulary: the bytes of a rank file. max_units bounds a task's memory, not its results.
     """
     id_type = docs.schema[id_col].dataType
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(PrefixTrie(piece_costs(shared.value), max_nodes))
+        counts = UnitCounts(Pieces(piece_costs(shared.value)), max_units)
         for batch in batches:
-            sizes, words, tokens = [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                n = sum(map(counts.__getitem__, find_units(text)))
-                sizes.append(len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
-                words.append(n >> 32)
-                tokens.append(n & 0xFFFFFFFF)
-                if len(counts) > max_units:
-                    counts.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, words, tokens))], names=[id_col, "n_bytes", "n_pretokens", "n_tokens"])
+            for part, texts in text_parts(batch, 1):
+                units = [find_units(t) if t else [] for t in texts]
+                counts.learn(set(chain.from_iterable(units)))
+                n = [sum(map(counts.__getitem__, u)) for u in units]
+                sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in (t or "" for t in texts)]
+                columns = sizes, [x >> 32 for x in n], [x & 0xFFFFFFFF for x in n]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=[id_col, "n_bytes", "n_pretokens", "n_tokens"])
 
     return docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {id_type.simpleString()}, n_bytes long, n_pretokens long, n_tokens long")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+starts_with_space = re.compile(f"[{_WS}]").match
 find_units = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
 
 #: Fixed value: the public pattern that splits text before the merges of byte-level BPE.
