@@ -131,13 +131,13 @@ def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return stretch_hashes(raw, starts, ends), np.diff(np.searchsorted(starts, first))
 
 
-def text_parts(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def text_parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Parts of a batch of about most bytes of text, and their texts."""
     for part, _ in blocks_of(batch, column, most, with_bytes=False):
         yield part, part.column(column).to_pylist()
 
 
-def blocks_of(batch: pa.RecordBatch, text: int, most: int = 4_000_000, with_bytes: bool = True) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def blocks_of(batch: pa.RecordBatch, text: int, most: int = 1_000_000, with_bytes: bool = True) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Parts of a batch of about most bytes of text, and their texts as bytes."""
     column = batch.column(text).cast(pa.binary())
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

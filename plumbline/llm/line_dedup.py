@@ -147,7 +147,7 @@ def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
 def _verified(t: pa.Table) -> pa.RecordBatch | None:
     """Links of a forest of the similar pairs in each block."""
     k, line, fp = t.column("k").to_numpy(), t.column("line").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-    text = t.column("text")
+    text, number = t.column("text"), k >> 16
     links: list[tuple[int, int]] = []
     for s, e in zip(*runs(k)):
         if e - s < 2:
@@ -163,7 +163,11 @@ def _verified(t: pa.Table) -> pa.RecordBatch | None:
 
         block = fp[s:e]
         for i in range(e - s - 1):
-            for j in (np.flatnonzero(np.bitwise_count(block[i] ^ block[i + 1 :]) <= NEAR) + i + 1).tolist():
+            differ = block[i] ^ block[i + 1 :]
+            near = np.bitwise_count(differ) <= NEAR
+            if number[s]:  # a pair that agrees in an earlier block is verified there
+                near &= np.all([(differ >> np.uint64(16 * b)) & np.uint64(0xFFFF) != 0 for b in range(int(number[s]))], axis=0)
+            for j in (np.flatnonzero(near) + i + 1).tolist():
                 a, b = find(i), find(j)
                 if a != b and similar(own[i], own[j]):
                     root[b] = a
