@@ -19,16 +19,21 @@ MOST_BITS = 6.0
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null, hold no letter, or fit no learned language; if no row has a language, all with letters stay."""
     model = language_id.fit(docs)
-    scored = language_id.predict(docs, model)
-    stays = F.col("lang_pred") != language_id.UNDETERMINED if model.langs else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return scored.where(stays & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
+    scored = language_id.predict(_packed(docs), model, keep=["row"])
+    stays = F.col("lang_pred") != language_id.UNDETERMINED if model.langs else F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))
+    return scored.where(stays & (F.col("bits_per_byte") <= MOST_BITS)).select("row.*")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id, text and the whole row, so that no other column can clash with what a stage adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that repeat, exactly or nearly, within or across documents; documents stay, if need be with an empty text."""
-    out = line_dedup.line_dedup(docs)
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    out = line_dedup.line_dedup(_packed(docs))
+    now = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*[now[c].alias(c) if c in now else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

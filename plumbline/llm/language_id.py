@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table
 
 SYMBOLS = 64
 ORDER = 3
 UNDETERMINED = "und"
+ADDED = ("lang_pred", "score", "bits_per_byte")
 _LETTER = re.compile(r"[^\W\d_]").search
 
 
@@ -171,16 +173,16 @@ def score_texts(texts: list[str | None], model: Model, bits: np.ndarray) -> tupl
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (default: all) with lang_pred, score (0 to 1) and bits_per_byte of each row's whole text.
+    """The columns keep (default: all but those named so) with lang_pred, score (0 to 1) and bits_per_byte of each row's whole text.
 
     A null text, one without letters, and any text under a model that knows no language get "und", score 0. Equal
     code lengths go to the language first by code point. Repeated rows get equal results.
     """
-    keep = keep or [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
+    keep = keep or [c for c in docs.columns if c not in ADDED]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = f"{id(model)}-{len(model.langs)}-{sum(int(n.sum()) for _, n in model.counts)}"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _table(key, shared.value)
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
                 lang, score, rate = score_texts(part.column(part.num_columns - 1).to_pylist(), shared.value, bits)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return source.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

@@ -176,14 +176,14 @@ def _verified(t: pa.Table) -> pa.RecordBatch | None:
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, its text without the removed lines, and n_lines, n_removed (longs).
+    """All columns of docs (but those named so), its text without the removed lines, and n_lines, n_removed (longs).
 
     Lines are split at line feeds. Lines without words (nothing but ASCII punctuation and white space) stay, as do null and empty texts (n_lines: 0 and 1; an
     empty text is an empty line). A text all of whose lines are removed becomes empty. Rows repeated, with equal id
     and text, have the same lines kept and removed. Null ids come after all others in the order of occurrences.
     """
     stash = Stash(docs.sparkSession, "lines")
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     seen = stash.put(rows.mapInArrow(_hashed, "id long, rk long, place int, line long, fp long"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "place")

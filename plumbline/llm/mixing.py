@@ -56,52 +56,50 @@ def targets(sizes: DataFrame, stash: Stash, weights: tuple[int, ...] = (1, 2, 3)
     return by.select("source", "source_size", F.least(F.col("w") * F.lit(level), (F.col("source_size") * most).cast("double")).alias("target"), "slope")
 
 
-def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 7, keep: tuple[str, ...] = (), cut: str = "words") -> DataFrame:
-    """One row per row of docs: keep, id_col, and the columns PLAN.
+def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 7, with_row: bool = False, cut: str = "words") -> DataFrame:
+    """One row per row of docs: id_col, the columns PLAN, and with with_row the whole row as a struct ``row``.
 
     taken: words that the mix takes of it, repeats counted; copies: array of (words taken, whole). cut="words": the last copy of
     a source ends at the word that its target ends at; cut="whole": copies are whole, and one is left out if its middle is
     beyond the target. positions: where in training (0 to 1) each copy comes. Null or blank texts have size 0 and are never
-    taken; null ids and sources are values like others; repeated rows are documents each.
+    taken; null ids and sources are values like others; repeated rows are documents each. Other columns, whatever their names,
+    have no influence.
     """
     stash = Stash(docs.sparkSession, "mix")
-    kept = [F.col(f"`{c}`") for c in keep if c != id_col]
-    rows = docs.select(F.col(id_col), *kept, F.col(source_col).alias("__source"), words(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    base = rows if keep else stash.put(rows)
-    small = stash.put(base.select(F.col("__source").alias("source"), "__h", "size")) if keep else base.select(F.col("__source").alias("source"), "__h", "size")
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *row)
+    rows = rows.withColumn("h", F.xxhash64("id", F.lit(seed)))
+    small = stash.put(rows.select("source", "h", "size", *(["id"] * (not with_row))))
+    base = rows if with_row else small
     shared = targets(small, stash, weights, most)
     buckets = max(256, 1 << math.ceil(math.log2(max(1, small.count()) / 65_536 + 1)))
-    bucket = F.pmod(F.shiftright("__h", 16), F.lit(buckets))
+    bucket = F.pmod(F.shiftright("h", 16), F.lit(buckets))
     sums = small.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = stash.put(sums.select("source", "bucket", before.alias("before")).join(shared.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("__source", "__bucket").orderBy("__h", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = base.withColumn("__bucket", bucket).withColumn("__inside", inside)
-    out = out.join(offsets, F.col("__source").eqNullSafe(F.col("source")) & (F.col("__bucket") == F.col("bucket")))
-    goal = F.round("target").cast("long")
-    out = out.withColumns({"__start": F.col("before") + F.col("__inside"), "__goal": goal, "__most": F.lit(most)})
+    offsets = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
+    offsets = stash.put(offsets.join(shared, F.col("s").eqNullSafe(F.col("source"))).drop("source"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = base.withColumn("bucket", bucket).withColumn("inside", inside)
+    out = out.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    out = out.withColumns({"start": F.col("before") + F.col("inside"), "goal": F.round("target").cast("long")})
     # the copy k takes the words of its interval [k * source_size + start, + size) that lie before the goal
-    begin = "(k * source_size + __start)"
-    part = f"least(size, greatest(0, __goal - {begin}))" if cut == "words" else f"if(2 * {begin} + size <= 2 * __goal, size, 0)"
-    copies = F.expr(f"filter(transform(sequence(0, __most - 1), k -> struct(k as k, {part} as n)), c -> c.n > 0)")
-    out = out.withColumn("__copies", F.when(F.col("size") > 0, copies).otherwise(F.expr(f"filter(transform(sequence(0, 0), k -> struct(k as k, {part} as n)), c -> false)")))
-    u = "least(1D, (c.k * source_size + __start + c.n / 2D) / __goal)"
+    begin = "(k * source_size + start)"
+    part = f"least(size, greatest(0, goal - {begin}))" if cut == "words" else f"if(2 * {begin} + size <= 2 * goal, size, 0)"
+    copies = F.expr(f"filter(transform(sequence(0, {most - 1}), k -> struct(k as k, if(size > 0, {part}, 0) as n)), c -> c.n > 0)")
+    u = "least(1D, (c.k * source_size + start + c.n / 2D) / goal)"
     when = f"if(slope = 0, {u}, (sqrt(pow(1 - slope, 2) + 4 * slope * {u}) - (1 - slope)) / (2 * slope))"
-    return out.select(
-        F.col(id_col), *kept, "size", "source_size", "target",
-        F.expr("aggregate(__copies, 0L, (a, c) -> a + c.n)").alias("taken"),
-        F.expr("transform(__copies, c -> struct(c.n as words, c.n = size as whole))").alias("copies"),
-        F.expr(f"transform(__copies, c -> {when})").alias("positions"),
+    return out.withColumn("each", copies).select(
+        F.col("id").alias(id_col), "size", "source_size", "target",
+        F.expr("aggregate(each, 0L, (a, c) -> a + c.n)").alias("taken"),
+        F.expr("transform(each, c -> struct(c.n as words, c.n = size as whole))").alias("copies"),
+        F.expr(f"transform(each, c -> {when})").alias("positions"), *(["row"] * with_row),
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """docs in training order: a row for each copy taken, with all its columns; whole copies only."""
-    names = docs.columns
-    out = plan(docs, id_col=id_col, keep=tuple(names), cut="whole", **options)
-    out = out.select(*[F.col(f"`{c}`") for c in names], F.explode("positions").alias("__position"))
-    return out.orderBy("__position", F.xxhash64(id_col)).drop("__position")
+    out = plan(docs, with_row=True, cut="whole", **options).select(F.explode("positions").alias("position"), "row")
+    return out.orderBy("position", F.xxhash64("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
