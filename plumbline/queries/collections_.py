@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import collections_ as C
 from ..registry import query, table
 
-q = F.col("q")
 
 
 def _tuples(spark, d):
@@ -30,11 +29,13 @@ def _s(x: str) -> str:
 
 @query("tup_ends_size", f"SELECT k, q[1] AS first, q[-1] AS last, CAST(len(q) AS BIGINT) AS n, len(q) = 0 AS empty, len(q) > 0 AS any, {_s('q')} AS items FROM {_T}")
 def tup_ends_size(spark, d):
+    q = F.col("q")
     return _tuples(spark, d).select("k", C.first(q).alias("first"), C.last(q).alias("last"), F.size(q).cast("long").alias("n"), (F.size(q) == 0).alias("empty"), (F.size(q) > 0).alias("any"), _text(q).alias("items"))
 
 
 @query("tup_folds", f"SELECT k, CAST(coalesce(list_sum(q), 0) AS BIGINT) AS sum, list_min(q) AS least, list_max(q) AS most, {_s('list_sort(q)')} AS sorted, {_s('list_reverse(q)')} AS reversed, list_contains(q, 7) AS seven, len(list_filter(q, lambda x: x > 0)) = len(q) AS all_truthy, len(list_filter(q, lambda x: x > 0)) = 0 AS none_truthy FROM {_T}")
 def tup_folds(spark, d):
+    q = F.col("q")
     positive = lambda x: x > 0
     return _tuples(spark, d).select("k", C.total(q).alias("sum"), F.array_min(q).alias("least"), F.array_max(q).alias("most"), _text(F.array_sort(q)).alias("sorted"), _text(F.reverse(q)).alias("reversed"), C.include(q, F.lit(7).cast("long")).alias("seven"), C.all_(q, positive).alias("all_truthy"), C.none_(q, positive).alias("none_truthy"))
 
@@ -42,12 +43,14 @@ def tup_folds(spark, d):
 @query("tup_access", f"SELECT k, q[3] AS third, CASE WHEN len(q) >= 2 THEN q[-2] END AS second_last, CASE WHEN len(q) >= 1 THEN {_s('q[2:3]')} END AS pair, CASE WHEN len(q) >= 4 THEN {_s('q[5:6]')} END AS far, {_s('q[2:]')} AS tail, CAST(CASE WHEN len(q) >= 2 THEN len(q) - 2 END AS BIGINT) AS idx FROM {_T}")
 def tup_access(spark, d):
     """[2], [-2], [1, 2], [4, 2] (nil beyond the size), [1..], and what -2 is as an index."""
+    q = F.col("q")
     rest = F.slice(q, F.lit(2), F.greatest(F.size(q), F.lit(1)))
     return _tuples(spark, d).select("k", C.at(q, 2).alias("third"), C.at(q, -2).alias("second_last"), _text(C.slice_(q, 1, 2)).alias("pair"), _text(C.slice_(q, 4, 2)).alias("far"), _text(rest).alias("tail"), C.normal_index(q, F.lit(-2)).cast("long").alias("idx"))
 
 
 @query("tup_fetch_dig", f"SELECT k, CASE WHEN len(q) > 1 THEN q[2] END AS fetched, CASE WHEN len(q) > 1 THEN q[2] * 10 END AS dug FROM {_T}")
 def tup_fetch_dig(spark, d):
+    q = F.col("q")
     nested = F.transform(q, lambda x: F.array(x, x * 10))
     return _tuples(spark, d).select("k", F.get(q, F.lit(1)).alias("fetched"), F.get(F.get(nested, F.lit(1)), F.lit(1)).alias("dug"))
 
@@ -55,6 +58,7 @@ def tup_fetch_dig(spark, d):
 @query("tup_zip_to_h", f"SELECT k, array_to_string(list_transform(q, lambda x, i: x || ':' || coalesce(CAST(q[i + 1] AS VARCHAR), 'nil')), '|') AS zipped, len(list_distinct(q)) = len(q) AS to_h FROM {_T}")
 def tup_zip_to_h(spark, d):
     """Zipped with its own tail: the receiver's length, nil where the tail is shorter. to_h declines repeated keys."""
+    q = F.col("q")
     tail = F.slice(q, F.lit(2), F.greatest(F.size(q), F.lit(1)))
     pairs = C.zip_to(q, tail)
     shown = F.transform(pairs, lambda p: F.concat(p["left"].cast("string"), F.lit(":"), F.coalesce(p["right"].cast("string"), F.lit("nil"))))
@@ -64,28 +68,33 @@ def tup_zip_to_h(spark, d):
 
 @query("tup_uniq_compact_flatten", f"SELECT k, {_s('list_sort(list_distinct(q))')} AS uniq, {_s('list_filter(list_transform(q, lambda x: CASE WHEN x > 25 THEN x END), lambda y: y IS NOT NULL)')} AS compacted, {_s('flatten(list_transform(q, lambda x: [x, -x]))')} AS flat FROM {_T}")
 def tup_uniq_compact_flatten(spark, d):
+    q = F.col("q")
     return _tuples(spark, d).select("k", _text(F.array_sort(C.unique(q))).alias("uniq"), _text(C.compact(F.transform(q, lambda x: F.when(x > 25, x)))).alias("compacted"), _text(F.flatten(F.transform(q, lambda x: F.array(x, -x)))).alias("flat"))
 
 
 @query("blk_select_reject", f"SELECT k, {_s('list_filter(q, lambda x: x % 2 = 0)')} AS selected, {_s('list_filter(q, lambda x: x % 2 <> 0)')} AS rejected, {_s('list_filter(q, lambda x: x < 20)')} AS taken, {_s('list_filter(q, lambda x: x >= 20)')} AS dropped FROM {_T}")
 def blk_select_reject(spark, d):
     """The tuples ascend, so what take_while takes is what lies below the bound."""
+    q = F.col("q")
     even, low = (lambda x: x % 2 == 0), (lambda x: x < 20)
     return _tuples(spark, d).select("k", _text(F.filter(q, even)).alias("selected"), _text(F.filter(q, lambda x: ~even(x))).alias("rejected"), _text(C.take_while(q, low)).alias("taken"), _text(C.drop_while(q, low)).alias("dropped"))
 
 
 @query("blk_quantifiers", f"SELECT k, len(list_filter(q, lambda x: x > 10)) = len(q) AS all, len(list_filter(q, lambda x: x > 45)) > 0 AS any, len(list_filter(q, lambda x: x > 45)) = 0 AS none, CAST(len(list_filter(q, lambda x: x > 25)) AS BIGINT) AS n, list_filter(q, lambda x: x > 25)[1] AS found, CAST(CASE WHEN len(list_filter(q, lambda x: x > 25)) > 0 THEN len(list_filter(q, lambda x: x <= 25)) END AS BIGINT) AS at FROM {_T}")
 def blk_quantifiers(spark, d):
+    q = F.col("q")
     return _tuples(spark, d).select("k", C.all_(q, lambda x: x > 10).alias("all"), C.any_(q, lambda x: x > 45).alias("any"), C.none_(q, lambda x: x > 45).alias("none"), C.count_(q, lambda x: x > 25).alias("n"), C.detect(q, lambda x: x > 25).alias("found"), C.detect_index(q, lambda x: x > 25).alias("at"))
 
 
 @query("blk_emptiness", f"SELECT k, CASE WHEN len(list_filter(q, lambda x: x > 48)) = 0 THEN 'empty' ELSE 'non_empty' END AS emptiness FROM {_T}")
 def blk_emptiness(spark, d):
+    q = F.col("q")
     return _tuples(spark, d).select("k", F.when(F.size(F.filter(q, lambda x: x > 48)) == 0, "empty").otherwise("non_empty").alias("emptiness"))
 
 
 @query("blk_maps", f"SELECT k, {_s('list_transform(q, lambda x: x * x)')} AS mapped, {_s('list_filter(list_transform(q, lambda x: CASE WHEN x % 3 = 0 THEN x // 3 END), lambda y: y IS NOT NULL)')} AS filter_mapped, {_s('flatten(list_transform(q, lambda x: CASE WHEN x > 40 THEN [x, x] ELSE [x] END))')} AS flat_mapped, {_s('list_transform(q, lambda x: CAST(x AS VARCHAR))')} AS by_symbol FROM {_T}")
 def blk_maps(spark, d):
+    q = F.col("q")
     return _tuples(spark, d).select("k", _text(F.transform(q, lambda x: x * x)).alias("mapped"), _text(C.filter_map(q, lambda x: F.when(x % 3 == 0, (x / 3).cast("long")))).alias("filter_mapped"), _text(C.flat_map(q, lambda x: F.when(x > 40, F.array(x, x)).otherwise(F.array(x)))).alias("flat_mapped"), _text(F.transform(q, lambda x: x.cast("string"))).alias("by_symbol"))
 
 
@@ -110,6 +119,7 @@ def itr_each_with_index(spark, d):
 
 @query("itr_inject", f"SELECT k, list_reduce(q, lambda a, x: (a * 31 + x) % 100003) AS reduced, list_reduce(list_prepend(7, q), lambda a, x: (a * 31 + x) % 100003) AS seeded, {_s('list_transform(q, lambda x: x + len(q))')} AS with_memo FROM {_T}")
 def itr_inject(spark, d):
+    q = F.col("q")
     step = lambda a, x: (a * 31 + x) % 100003
     tail = F.slice(q, F.lit(2), F.greatest(F.size(q), F.lit(1)))
     return _tuples(spark, d).select("k", F.aggregate(tail, C.first(q), step).alias("reduced"), F.aggregate(q, F.lit(7).cast("long"), step).alias("seeded"), _text(F.transform(q, lambda x: x + F.size(q))).alias("with_memo"))
@@ -117,18 +127,21 @@ def itr_inject(spark, d):
 
 @query("itr_group_partition", f"SELECT k, {_s('list_filter(q, lambda x: x > 25)')} AS yes, {_s('list_filter(q, lambda x: x <= 25)')} AS no, CAST(len(list_distinct(list_transform(q, lambda x: x % 4))) AS BIGINT) AS groups FROM {_T}")
 def itr_group_partition(spark, d):
+    q = F.col("q")
     p = C.partition_(q, lambda x: x > 25)
     return _tuples(spark, d).select("k", _text(p["yes"]).alias("yes"), _text(p["no"]).alias("no"), F.size(F.array_distinct(F.transform(q, lambda x: x % 4))).cast("long").alias("groups"))
 
 
 @query("itr_each_cons_slice", f"SELECT k, array_to_string(list_transform(range(1, greatest(len(q) - 1, 0)), lambda s: array_to_string(q[s:s + 2], '-')), '|') AS cons, array_to_string(list_transform(range(0, CAST(ceil(len(q) / 2) AS BIGINT)), lambda s: array_to_string(q[s * 2 + 1:s * 2 + 2], '-')), '|') AS slices FROM {_T}")
 def itr_each_cons_slice(spark, d):
+    q = F.col("q")
     shown = lambda c: _text(F.transform(c, lambda x: F.array_join(x, "-")))
     return _tuples(spark, d).select("k", shown(C.each_cons(q, 3)).alias("cons"), shown(C.each_slice(q, 2)).alias("slices"))
 
 
 @query("itr_element_types", f"SELECT k, CASE WHEN min(x) = max(x) THEN CAST(min(x) AS VARCHAR) ELSE 'int<' || min(x) || ', ' || max(x) || '>' END AS element FROM (SELECT k, unnest(q) AS x FROM {_T}) GROUP BY k")
 def itr_element_types(spark, d):
+    q = F.col("q")
     from ..operators.intervals import Interval, describe
 
     return _tuples(spark, d).select("k", describe(Interval(F.array_min(q), F.array_max(q))).alias("element"))
@@ -141,11 +154,11 @@ def _records(spark, d):
 
 
 _R = "(SELECT user_id, list(event_type ORDER BY event_type) AS ks, list(n ORDER BY event_type) AS vs FROM (SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2) GROUP BY 1)"
-m = F.col("m")
 
 
 @query("hsh_keys_values", f"SELECT user_id, CAST(len(ks) AS BIGINT) AS n, len(ks) = 0 AS empty, len(ks) > 0 AS any, {_s('ks')} AS keys, {_s('vs')} AS vals, {_s('list_transform(ks, lambda x, i: x || chr(61) || vs[i])')} AS pairs, ks[1] || '=' || vs[1] AS first FROM {_R}")
 def hsh_keys_values(spark, d):
+    m = F.col("m")
     pair = lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
     pairs = F.transform(F.map_entries(m), pair)
     return _records(spark, d).select("user_id", F.size(m).cast("long").alias("n"), (F.size(m) == 0).alias("empty"), (F.size(m) > 0).alias("any"), _text(F.map_keys(m)).alias("keys"), _text(F.map_values(m)).alias("vals"), _text(pairs).alias("pairs"), C.first(pairs).alias("first"))
@@ -153,6 +166,7 @@ def hsh_keys_values(spark, d):
 
 @query("hsh_invert_flatten", f"SELECT user_id, CASE WHEN len(list_distinct(vs)) = len(vs) THEN {_s('list_sort(vs)')} END AS inverted, {_s('flatten(list_transform(ks, lambda x, i: [x, CAST(vs[i] AS VARCHAR)]))')} AS flat, {_s('list_filter(ks, lambda x, i: vs[i] > 12)')} AS compacted FROM {_R}")
 def hsh_invert_flatten(spark, d):
+    m = F.col("m")
     flat = F.flatten(F.transform(F.map_entries(m), lambda e: F.array(e["key"], e["value"].cast("string"))))
     thin = C.record_compact(F.transform_values(m, lambda _, v: F.when(v > 12, v)))
     return _records(spark, d).select("user_id", _text(F.array_sort(F.map_keys(C.record_invert(m)))).alias("inverted"), _text(flat).alias("flat"), _text(F.map_keys(thin)).alias("compacted"))
@@ -160,6 +174,7 @@ def hsh_invert_flatten(spark, d):
 
 @query("hsh_merge_lookup", f"SELECT user_id, {_s('list_transform(ks, lambda x, i: x || chr(61) || CASE x WHEN chr(118) || chr(105) || chr(101) || chr(119) THEN 0 ELSE vs[i] END)')} || CASE WHEN list_contains(ks, 'view') THEN '' ELSE '|view=0' END || '|zoo=1' AS merged, vs[list_position(ks, 'click')] AS clicks, CAST(NULL AS BIGINT) AS missing, coalesce(CAST(vs[list_position(ks, 'error')] AS VARCHAR), 'nil') || ',' || 'nil' AS at FROM {_R}")
 def hsh_merge_lookup(spark, d):
+    m = F.col("m")
     right = F.create_map(F.lit("view"), F.lit(0).cast("long"), F.lit("zoo"), F.lit(1).cast("long"))
     merged = F.transform(F.map_entries(C.record_merge(m, right)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     at = F.transform(C.values_at(m, "error", "nothing"), lambda v: F.coalesce(v.cast("string"), F.lit("nil")))
@@ -179,6 +194,7 @@ def hsh_dig(spark, d):
 @query("prj_keys_values", f"SELECT k, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(ks) AS k FROM {_R}) GROUP BY k")
 def prj_keys_values(spark, d):
     """key_of over all records: the union of their keys."""
+    m = F.col("m")
     return _records(spark, d).select(F.explode(F.map_keys(m)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
@@ -224,6 +240,7 @@ def prj_destructure(spark, d):
 @query("prj_patterns", "SELECT k, CASE WHEN len(q) = 1 THEN 'one' WHEN len(q) >= 2 AND list_contains(q, 50) THEN 'find' WHEN len(q) >= 2 THEN 'many' ELSE 'none' END AS arm, CASE WHEN len(q) = 1 THEN q[1] WHEN len(q) >= 2 AND list_contains(q, 50) THEN 50 WHEN len(q) >= 2 THEN q[-1] END AS bound FROM " + _T)
 def prj_patterns(spark, d):
     """case/in with [x], [*, 50, *] and [*, x] patterns; the name bound is the union over the arms."""
+    q = F.col("q")
     one, find, many = F.size(q) == 1, (F.size(q) >= 2) & F.array_contains(q, 50), F.size(q) >= 2
     arm = F.when(one, "one").when(find, "find").when(many, "many").otherwise("none")
     return _tuples(spark, d).select("k", arm.alias("arm"), F.coalesce(F.when(one, C.first(q)), F.when(find, F.lit(50)), F.when(many, C.last(q))).alias("bound"))
@@ -231,6 +248,7 @@ def prj_patterns(spark, d):
 
 @query("size_projections", f"SELECT k, len(q) >= 0 AS non_negative, len(q) > 0 AS positive, false AS empty, len(q) BETWEEN 1 AND 7 AS declared FROM {_T} WHERE len(q) > 0")
 def size_projections(spark, d):
+    q = F.col("q")
     n = F.size(q)
     return _tuples(spark, d).where(n > 0).select("k", (n >= 0).alias("non_negative"), (n > 0).alias("positive"), F.lit(False).alias("empty"), n.between(1, 7).alias("declared"))
 

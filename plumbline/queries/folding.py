@@ -17,31 +17,35 @@ def _customers(spark, d):
 
 _INT = "SELECT c_custkey, c_custkey - 75 AS a, CAST(c_custkey % 7 - 3 AS BIGINT) AS b FROM customer"
 _MOD = "(((a % nullif(b, 0)) + b) % nullif(b, 0))"
-a, b = F.col("a"), F.col("b")
 
 
 @query("int_floor_div_mod", f"SELECT c_custkey, CASE WHEN b <> 0 THEN (a - {_MOD}) // b END AS quotient, {_MOD} AS modulo, a % nullif(b, 0) AS remainder, b = 0 AS always_raises FROM ({_INT})")
 def int_floor_div_mod(spark, d):
+    a, b = F.col("a"), F.col("b")
     return _customers(spark, d).select("c_custkey", M.floor_div(a, b).alias("quotient"), M.floor_mod(a, b).alias("modulo"), M.truncated_remainder(a, b).alias("remainder"), (b == 0).alias("always_raises"))
 
 
 @query("int_divmod_slots", f"SELECT CASE WHEN b <> 0 THEN (a - {_MOD}) // b END AS quotient, {_MOD} AS modulo, CAST(count(*) AS BIGINT) AS n FROM ({_INT}) GROUP BY 1, 2")
 def int_divmod_slots(spark, d):
+    a, b = F.col("a"), F.col("b")
     return _customers(spark, d).select(M.divmod_(a, b).alias("s")).groupBy("s.quotient", "s.modulo").agg(F.count("*").alias("n"))
 
 
 @query("int_binary", f"SELECT c_custkey, a + b AS sum, a - b AS difference, a * b AS product, a < b AS lt, a <= b AS le, a > b AS gt, a >= b AS ge, a = b AS eq, a <> b AS ne, CAST(CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS BIGINT) AS cmp, a & b AS conj, a | b AS disj, xor(a, b) AS excl FROM ({_INT})")
 def int_binary(spark, d):
+    a, b = F.col("a"), F.col("b")
     return _customers(spark, d).select("c_custkey", (a + b).alias("sum"), (a - b).alias("difference"), (a * b).alias("product"), (a < b).alias("lt"), (a <= b).alias("le"), (a > b).alias("gt"), (a >= b).alias("ge"), (a == b).alias("eq"), (a != b).alias("ne"), M.spaceship(a, b).alias("cmp"), a.bitwiseAND(b).alias("conj"), a.bitwiseOR(b).alias("disj"), a.bitwiseXOR(b).alias("excl"))
 
 
 @query("int_unary", f"SELECT c_custkey, a % 2 <> 0 AS odd, a % 2 = 0 AS even, a = 0 AS zero, a > 0 AS positive, a < 0 AS negative, a + 1 AS succ, a - 1 AS pred, abs(a) AS magnitude, CASE WHEN a IN (0, -1) THEN CAST(0 AS BIGINT) ELSE CAST(length(ltrim(format('{{:b}}', CASE WHEN a < 0 THEN -a - 1 ELSE a END), '0')) AS BIGINT) END AS bits, CAST(a AS VARCHAR) AS text, -a AS negated, -a - 1 AS inverted, CAST(a AS DOUBLE) AS floated FROM ({_INT})")
 def int_unary(spark, d):
+    a = F.col("a")
     return _customers(spark, d).select("c_custkey", (a % 2 != 0).alias("odd"), (a % 2 == 0).alias("even"), (a == 0).alias("zero"), (a > 0).alias("positive"), (a < 0).alias("negative"), (a + 1).alias("succ"), (a - 1).alias("pred"), F.abs(a).alias("magnitude"), M.bit_length(a).alias("bits"), a.cast("string").alias("text"), (-a).alias("negated"), F.bitwise_not(a).alias("inverted"), a.cast("double").alias("floated"))
 
 
 @query("int_gcd_lcm", f"SELECT c_custkey, gcd(a, b) AS gcd, CAST(CASE WHEN a = 0 OR b = 0 THEN 0 ELSE abs(a * b) // gcd(a, b) END AS BIGINT) AS lcm FROM ({_INT})")
 def int_gcd_lcm(spark, d):
+    a, b = F.col("a"), F.col("b")
     g = M.gcd(a, b)
     return _customers(spark, d).select("c_custkey", g.alias("gcd"), F.when((a == 0) | (b == 0), 0).otherwise(M.floor_div(F.abs(a * b), g)).cast("long").alias("lcm"))
 
@@ -206,6 +210,7 @@ def fold_cartesian(spark, d):
 @query("fold_guards", "SELECT c_custkey, CASE WHEN b <> 0 THEN a // b END IS NULL AS declined, CASE WHEN length(repeat('ab', c_custkey % 5000)) <= 4096 THEN CAST(length(repeat('ab', c_custkey % 5000)) AS BIGINT) END AS folded FROM (" + _INT + ")")
 def fold_guards(spark, d):
     """Division by zero and texts over 4096 bytes are not folded."""
+    a, b = F.col("a"), F.col("b")
     n = F.col("c_custkey") % 5000
     size = n * 2
     return _customers(spark, d).select("c_custkey", F.try_divide(a, b).isNull().alias("declined"), F.when(size <= 4096, F.length(F.repeat(F.lit("ab"), F.when(size <= 4096, n).otherwise(0).cast("int")))).cast("long").alias("folded"))

@@ -120,16 +120,17 @@ def _groups(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg((F.min(q).cast("long") - 25).alias("a_lo"), (F.max(q).cast("long") - 25).alias("a_hi"), F.min(n).cast("long").alias("b_lo"), F.max(n).cast("long").alias("b_hi"))
 
 
-_A, _B = I.Interval.of("a"), I.Interval.of("b")
 
 
 @query("ivl_add_sub_mul", f"SELECT k, a_lo + b_lo AS add_lo, a_hi + b_hi AS add_hi, a_lo - b_hi AS sub_lo, a_hi - b_lo AS sub_hi, least(a_lo * b_lo, a_lo * b_hi, a_hi * b_lo, a_hi * b_hi) AS mul_lo, greatest(a_lo * b_lo, a_lo * b_hi, a_hi * b_lo, a_hi * b_hi) AS mul_hi FROM ({_GROUPS})")
 def ivl_add_sub_mul(spark, d):
+    _A, _B = I.Interval.of("a"), I.Interval.of("b")
     return _groups(spark, d).select("k", *I.add(_A, _B).columns("add"), *I.subtract(_A, _B).columns("sub"), *I.multiply(_A, _B).columns("mul"))
 
 
 @query("ivl_div_mod", f"SELECT k, NOT (b_lo <= 0 AND b_hi >= 0) AS ok, CAST(least(floor(a_lo / b_lo), floor(a_lo / b_hi), floor(a_hi / b_lo), floor(a_hi / b_hi)) AS BIGINT) AS div_lo, CAST(greatest(floor(a_lo / b_lo), floor(a_lo / b_hi), floor(a_hi / b_lo), floor(a_hi / b_hi)) AS BIGINT) AS div_hi, b_lo = b_hi AS mod_known, CASE WHEN b_lo = b_hi THEN CAST(0 AS BIGINT) END AS mod_lo, CASE WHEN b_lo = b_hi THEN b_lo - 1 END AS mod_hi FROM ({_GROUPS})")
 def ivl_div_mod(spark, d):
+    _A, _B = I.Interval.of("a"), I.Interval.of("b")
     ok, q = I.divide(_A, _B)
     known, m = I.modulo(_B)
     return _groups(spark, d).select("k", ok.alias("ok"), *q.columns("div"), known.alias("mod_known"), *m.columns("mod"))
@@ -137,26 +138,31 @@ def ivl_div_mod(spark, d):
 
 @query("ivl_compare", f"SELECT k, CASE WHEN a_hi < b_lo THEN 'true' WHEN a_lo >= b_hi THEN 'false' ELSE 'both' END AS lt, CASE WHEN a_hi <= b_lo THEN 'true' WHEN a_lo > b_hi THEN 'false' ELSE 'both' END AS le, CASE WHEN a_lo > b_hi THEN 'true' WHEN a_hi <= b_lo THEN 'false' ELSE 'both' END AS gt, CASE WHEN a_lo >= b_hi THEN 'true' WHEN a_hi < b_lo THEN 'false' ELSE 'both' END AS ge, CASE WHEN a_hi < b_lo OR a_lo > b_hi THEN 'false' ELSE CASE WHEN a_lo = a_hi AND b_lo = b_hi THEN 'true' ELSE 'both' END END AS eq FROM ({_GROUPS})")
 def ivl_compare(spark, d):
+    _A, _B = I.Interval.of("a"), I.Interval.of("b")
     return _groups(spark, d).select("k", *[I.compare(_A, op, _B).alias(n) for op, n in (("<", "lt"), ("<=", "le"), (">", "gt"), (">=", "ge"), ("==", "eq"))])
 
 
 @query("ivl_unary", f"SELECT k, -a_hi AS neg_lo, -a_lo AS neg_hi, CASE WHEN a_lo >= 0 THEN a_lo WHEN a_hi <= 0 THEN -a_hi ELSE 0 END AS abs_lo, CASE WHEN a_lo >= 0 THEN a_hi WHEN a_hi <= 0 THEN -a_lo ELSE greatest(abs(a_lo), abs(a_hi)) END AS abs_hi, a_lo + 1 AS succ_lo, a_hi + 1 AS succ_hi, a_lo - 1 AS pred_lo, a_hi - 1 AS pred_hi FROM ({_GROUPS})")
 def ivl_unary(spark, d):
+    _A = I.Interval.of("a")
     return _groups(spark, d).select("k", *I.negate(_A).columns("neg"), *I.absolute(_A).columns("abs"), *I.shift(_A, 1).columns("succ"), *I.shift(_A, -1).columns("pred"))
 
 
 @query("ivl_tests", f"SELECT k, CASE WHEN a_lo = a_hi THEN CASE WHEN a_lo % 2 = 0 THEN 'true' ELSE 'false' END ELSE 'both' END AS even, CASE WHEN b_lo = b_hi THEN CASE WHEN b_lo % 2 <> 0 THEN 'true' ELSE 'false' END ELSE 'both' END AS odd, CASE WHEN a_lo = 0 AND a_hi = 0 THEN 'true' WHEN a_lo > 0 OR a_hi < 0 THEN 'false' ELSE 'both' END AS zero, CASE WHEN a_lo > 0 THEN 'true' WHEN a_hi <= 0 THEN 'false' ELSE 'both' END AS positive, CASE WHEN a_hi < 0 THEN 'true' WHEN a_lo >= 0 THEN 'false' ELSE 'both' END AS negative, CASE WHEN a_lo >= -30 AND a_hi <= 24 THEN 'true' WHEN a_hi < -30 OR a_lo > 24 THEN 'false' ELSE 'both' END AS inside FROM ({_GROUPS})")
 def ivl_tests(spark, d):
+    _A, _B = I.Interval.of("a"), I.Interval.of("b")
     return _groups(spark, d).select("k", I.parity(_A, False).alias("even"), I.parity(_B, True).alias("odd"), *[I.sign_test(_A, w).alias(w) for w in ("zero", "positive", "negative")], I.between(_A, -30, 24).alias("inside"))
 
 
 @query("ivl_width_clamp", f"SELECT k, CAST(0 AS BIGINT) AS bits_lo, CAST(greatest(length(ltrim(format('{{:b}}', CASE WHEN a_lo < 0 THEN -a_lo - 1 ELSE a_lo END), '0')), length(ltrim(format('{{:b}}', CASE WHEN a_hi < 0 THEN -a_hi - 1 ELSE a_hi END), '0'))) AS BIGINT) AS bits_hi, least(greatest(a_lo, -10), 10) AS clamp_lo, least(greatest(a_hi, -10), 10) AS clamp_hi FROM ({_GROUPS})")
 def ivl_width_clamp(spark, d):
+    _A = I.Interval.of("a")
     return _groups(spark, d).select("k", *I.width(_A).columns("bits"), *I.clamp(_A, -10, 10).columns("clamp"))
 
 
 @query("ivl_collapse_describe", f"SELECT k, CASE WHEN b_lo = b_hi THEN CAST(b_lo AS VARCHAR) ELSE 'int<' || b_lo || ', ' || b_hi || '>' END AS text, CASE WHEN b_lo = b_hi THEN b_lo END AS constant FROM ({_GROUPS})")
 def ivl_collapse_describe(spark, d):
+    _B = I.Interval.of("b")
     return _groups(spark, d).select("k", I.describe(_B).alias("text"), F.when(_B.lo == _B.hi, _B.lo).alias("constant"))
 
 
@@ -170,12 +176,14 @@ def ivl_to_s_bases(spark, d):
 
 @query("ivl_meet_contains", f"SELECT k, greatest(a_lo, b_lo) <= least(a_hi, b_hi) AS meets, CASE WHEN greatest(a_lo, b_lo) <= least(a_hi, b_hi) THEN greatest(a_lo, b_lo) END AS meet_lo, CASE WHEN greatest(a_lo, b_lo) <= least(a_hi, b_hi) THEN least(a_hi, b_hi) END AS meet_hi, b_lo >= a_lo AND b_hi <= a_hi AS contains FROM ({_GROUPS})")
 def ivl_meet_contains(spark, d):
+    _A, _B = I.Interval.of("a"), I.Interval.of("b")
     ok, m = I.meet(_A, _B)
     return _groups(spark, d).select("k", ok.alias("meets"), *m.columns("meet"), I.contains(_A, _B).alias("contains"))
 
 
 @query("accept_intervals", f"SELECT k, CASE WHEN b_lo >= 1 AND b_hi <= 6 THEN 'yes' ELSE 'no' END AS declared, CASE WHEN b_lo >= a_lo AND b_hi <= a_hi THEN 'yes' WHEN greatest(a_lo, b_lo) <= least(a_hi, b_hi) THEN 'maybe' ELSE 'no' END AS overlap FROM ({_GROUPS})")
 def accept_intervals(spark, d):
+    _A, _B = I.Interval.of("a"), I.Interval.of("b")
     declared = I.Interval(F.lit(1), F.lit(6))
     return _groups(spark, d).select("k", A.verdict(A.interval_accepts(declared, _B)).alias("declared"), A.verdict(A.intervals_overlap(_A, _B)).alias("overlap"))
 
