@@ -1,5 +1,6 @@
 """The driver's contract."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -22,4 +23,4 @@ def test_entry(spark):
 def test_nothing_else_imports_the_corpus_package():
     for p in (ROOT / "plumbline").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT / "plumbline").parts[:1]:
-            assert "llm" not in p.read_text(encoding="utf-8")
+            assert not re.search(r"import.*\bllm\b|from .*\bllm\b", p.read_text(encoding="utf-8"))
