@@ -65,23 +65,39 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def code_lengths(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits of each symbol after each context of ORDER symbols, as a flat table; PPM with exclusion."""
-    full = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
-    full[codes] = counts
-    prob = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)  # order -1
-    for order in range(ORDER + 1):
-        c = full.reshape(SYMBOLS ** (ORDER - order), -1).sum(axis=0, dtype=np.float32) if order < ORDER else full
-        c = c.reshape(-1, SYMBOLS)
-        shorter = np.tile(prob.reshape(-1, SYMBOLS), (max(1, c.shape[0] // max(1, prob.size // SYMBOLS)), 1)) if order else prob.reshape(1, -1)
-        total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True).astype(np.float32)
-        seen = c > 0
-        free = np.where(seen, np.float32(0), shorter)  # not excluded
-        room = free.sum(axis=1, keepdims=True)
-        escape = np.where(room > 0, kinds, 0) / np.maximum(total + np.where(room > 0, kinds, 0), 1)
-        escape = np.where(total > 0, escape, 1.0).astype(np.float32)
-        prob = np.where(seen, c / np.maximum(total + np.where(room > 0, kinds, 0), 1), escape * free / np.maximum(room, 1e-30)).astype(np.float32)
-    return -np.log2(np.maximum(prob, 1e-30)).reshape(-1).astype(np.float32)
+def _step(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of symbols after contexts (rows) with counts c, given those after the contexts shorter by one."""
+    seen = c > 0
+    total, kinds = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True).astype(np.float32)
+    free = np.where(seen, np.float32(0), shorter)  # what is not excluded
+    room = free.sum(axis=1, keepdims=True)
+    kinds[room <= 0] = 0  # nowhere to escape to
+    all_ = np.maximum(total + kinds, 1)
+    escape = np.where(total > 0, kinds / all_, 1).astype(np.float32)
+    return np.where(seen, c / all_, escape * free / np.maximum(room, 1e-30)).astype(np.float32)
+
+
+def code_lengths(codes: np.ndarray, counts: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Bits of each symbol after each context of ORDER symbols, as a flat table; PPM with exclusion. Codes ascend.
+
+    The table is made in slabs, one for each symbol that a context begins with.
+    """
+    if out is None:
+        out = np.empty(SYMBOLS ** (ORDER + 1), np.float32)
+    uniform = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)  # order -1
+    prob = _step(np.bincount(codes % SYMBOLS, counts, SYMBOLS).astype(np.float32).reshape(1, SYMBOLS), uniform)
+    for order in range(1, ORDER + 1):
+        size = SYMBOLS**order
+        if order < ORDER:
+            c = np.bincount(codes % (size * SYMBOLS), counts, size * SYMBOLS).astype(np.float32).reshape(SYMBOLS, -1, SYMBOLS)
+            prob = np.concatenate([_step(slab, prob) for slab in c])
+            continue
+        edge = np.searchsorted(codes, np.arange(SYMBOLS + 1) * size)
+        for k in range(SYMBOLS):
+            slab = np.zeros(size, np.float32)
+            slab[codes[edge[k] : edge[k + 1]] - k * size] = counts[edge[k] : edge[k + 1]]
+            out[k * size : (k + 1) * size] = -np.log2(np.maximum(_step(slab.reshape(-1, SYMBOLS), prob), 1e-30)).reshape(-1)
+    return out
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", learnable: Column | None = None, max_docs_per_lang: int = 4000) -> Model:
@@ -134,7 +150,8 @@ def _table(key: str, model: Model) -> np.ndarray:
         _tables.clear()
         out = np.empty((SYMBOLS ** (ORDER + 1), len(model.langs)), np.float16)
         for k, (codes, counts) in enumerate(model.counts):
-            out[:, k] = code_lengths(codes, counts)
+            order = np.argsort(codes)
+            code_lengths(codes[order], counts[order], out[:, k])
         _tables[key] = out
     return _tables[key]
 
@@ -164,7 +181,7 @@ def score_texts(texts: list[str | None], model: Model, bits: np.ndarray) -> tupl
         if t and _LETTER(t):
             block.append(i)
             size += len(t)
-            if size > 1_000_000:
+            if size > 500_000:
                 flush()
                 size = 0
     if block:
