@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +43,8 @@ def by_key(df: DataFrame, call: Callable[[pa.Table], pa.RecordBatch | None], sch
             n += batch.num_rows
         if held and (out := call(pa.Table.from_batches(held))) is not None:
             yield out
+        del held
+        release()
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
@@ -145,6 +149,15 @@ def blocks_of(batch: pa.RecordBatch, text: int, most: int = 1_000_000, with_byte
         yield batch.slice(s, e - s), column.slice(s, e - s).to_pylist() if with_bytes else []
 
 
+def release() -> None:
+    """Gives back what a finished task's arrays and caches have left in this worker's allocators, for the tasks that follow."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def row_key(text: Column) -> Column:
     """With a row's id, what tells rows apart that have the same id: rows equal in both are treated alike."""
     return F.coalesce(F.xxhash64(text), F.lit(0))

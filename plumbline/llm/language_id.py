@@ -7,8 +7,8 @@ the bytes not excluded, down to a uniform code. The statistics are frozen: scori
 is the one whose tree gives the shortest code for all its bytes.
 
 The rarest bytes of the training text share one symbol, so that at most 64 symbols remain; within that symbol bytes
-are coded uniformly, which costs every language the same. With 64 symbols a tree is a dense table of code lengths,
-indexed by context and symbol, so that a batch of whole texts is scored by array lookups.
+are coded uniformly, which costs every language the same. The trees are unfolded into a table of code lengths, a row for each
+context seen, so that a batch of whole texts is scored by array lookups.
 
 Training counts symbols where the text lies: executors count, the counts are summed by key, and only they (not texts)
 reach the driver. The classifier is fitted on a bounded sample: about max_docs_per_lang labelled documents of each
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .arrays import release
 from .common import table
 
 SYMBOLS = 64
@@ -77,27 +78,33 @@ def _step(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(seen, c / all_, escape * free / np.maximum(room, 1e-30)).astype(np.float32)
 
 
-def code_lengths(codes: np.ndarray, counts: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    """Bits of each symbol after each context of ORDER symbols, as a flat table; PPM with exclusion. Codes ascend.
+def code_lengths(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a table by context, and the table: bits of each symbol (64 to a row) in each language; PPM with exclusion.
 
-    The table is made in slabs, one for each symbol that a context begins with.
+    counts: a language's ascending codes and their counts. Contexts that no language has seen have the row of what they
+    end with, so the table grows with the contexts seen, not with those possible.
     """
-    if out is None:
-        out = np.empty(SYMBOLS ** (ORDER + 1), np.float32)
+    seen = np.unique(np.concatenate([codes // SYMBOLS for codes, _ in counts] or [np.zeros(0, np.int64)]))
+    base = SYMBOLS ** (ORDER - 1)
+    row = np.arange(SYMBOLS**ORDER) % base
+    row[seen] = base + np.arange(len(seen))
+    bits = np.empty(((base + len(seen)) * SYMBOLS, len(counts)), np.float16)
     uniform = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)  # order -1
-    prob = _step(np.bincount(codes % SYMBOLS, counts, SYMBOLS).astype(np.float32).reshape(1, SYMBOLS), uniform)
-    for order in range(1, ORDER + 1):
-        size = SYMBOLS**order
-        if order < ORDER:
-            c = np.bincount(codes % (size * SYMBOLS), counts, size * SYMBOLS).astype(np.float32).reshape(SYMBOLS, -1, SYMBOLS)
+    for k, (codes, n) in enumerate(counts):
+        prob = _step(np.bincount(codes % SYMBOLS, n, SYMBOLS).astype(np.float32).reshape(1, SYMBOLS), uniform)
+        for order in range(1, ORDER):
+            size = SYMBOLS ** (order + 1)
+            c = np.bincount(codes % size, n, size).astype(np.float32).reshape(SYMBOLS, -1, SYMBOLS)
             prob = np.concatenate([_step(slab, prob) for slab in c])
-            continue
-        edge = np.searchsorted(codes, np.arange(SYMBOLS + 1) * size)
-        for k in range(SYMBOLS):
-            slab = np.zeros(size, np.float32)
-            slab[codes[edge[k] : edge[k + 1]] - k * size] = counts[edge[k] : edge[k + 1]]
-            out[k * size : (k + 1) * size] = -np.log2(np.maximum(_step(slab.reshape(-1, SYMBOLS), prob), 1e-30)).reshape(-1)
-    return out
+        own = np.zeros(len(seen) * SYMBOLS, np.float32)
+        own[np.searchsorted(seen, codes // SYMBOLS) * SYMBOLS + codes % SYMBOLS] = n
+        own = own.reshape(-1, SYMBOLS)
+        bits[: base * SYMBOLS, k] = -np.log2(np.maximum(prob, 1e-30)).reshape(-1)
+        for at in range(0, len(seen), 16_384):
+            part = slice(at, at + 16_384)
+            p = _step(own[part], prob[seen[part] % base])
+            bits[(base + at) * SYMBOLS : (base + at) * SYMBOLS + p.size, k] = -np.log2(np.maximum(p, 1e-30)).reshape(-1)
+    return row.astype(np.int32), bits
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", learnable: Column | None = None, max_docs_per_lang: int = 4000) -> Model:
@@ -145,18 +152,15 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lear
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # of this Python worker: a model is unfolded once
 
 
-def _table(key: str, model: Model) -> np.ndarray:
+def unfolded(key: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
     if key not in _tables:
         _tables.clear()
-        out = np.empty((SYMBOLS ** (ORDER + 1), len(model.langs)), np.float16)
-        for k, (codes, counts) in enumerate(model.counts):
-            order = np.argsort(codes)
-            code_lengths(codes[order], counts[order], out[:, k])
-        _tables[key] = out
+        ordered = [(codes[o], n[o]) for codes, n in model.counts for o in [np.argsort(codes)]]
+        _tables[key] = code_lengths(ordered)
     return _tables[key]
 
 
-def score_texts(texts: list[str | None], model: Model, bits: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+def score_texts(texts: list[str | None], model: Model, row: np.ndarray, bits: np.ndarray) -> tuple[list[str], list[float], list[float]]:
     """Language, score and bits a byte of each text."""
     n = len(texts)
     lang, score, rate = [UNDETERMINED] * n, [0.0] * n, [0.0] * n
@@ -169,7 +173,8 @@ def score_texts(texts: list[str | None], model: Model, bits: np.ndarray) -> tupl
         raw, lengths = _joined([texts[i] for i in block])
         code = _spread(raw, lengths, model.symbol)
         starts = np.cumsum(lengths) - lengths
-        per = np.add.reduceat(bits[code], starts, axis=0, dtype=np.float64)
+        at = row[code >> np.uint32(6)].astype(np.int64) * SYMBOLS + (code & np.uint32(63))
+        per = np.add.reduceat(bits[at], starts, axis=0, dtype=np.float64)
         best = per.argmin(axis=1)
         for i, b, each, length in zip(block, best, per, lengths):
             gap = (each - each[b]) / length  # bits a byte that other languages' trees need beyond the best
@@ -202,12 +207,13 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
     schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _table(key, shared.value)
+        row, bits = unfolded(key, shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                lang, score, rate = score_texts(part.column(part.num_columns - 1).to_pylist(), shared.value, bits)
+                lang, score, rate = score_texts(part.column(part.num_columns - 1).to_pylist(), shared.value, row, bits)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*keep, "lang_pred", "score", "bits_per_byte"])
+        release()
 
     return source.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import bitmap, by_key, in_bitmap, row_key, runs, stretch_hashes, text_parts, votes
+from .arrays import bitmap, by_key, in_bitmap, release, row_key, runs, stretch_hashes, text_parts, votes
 from .common import Stash, table
 from .components import components
 
@@ -115,6 +115,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = Lines(texts)
             row = pa.array(x.text)
             yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(x.place.astype(np.int32)), pa.array(x.hash), pa.array(x.fingerprints())], names=["id", "rk", "place", "line", "fp"])
+    release()
 
 
 def _by_block(fps: np.ndarray) -> list[np.ndarray]:
@@ -199,6 +200,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 at = at[in_bitmap(bits.value, line.view(np.uint64))]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(x.hash[at]), pa.array(x.fingerprints()[at]), pa.array([x.shown(k) for k in at.tolist()], pa.string())], names=["line", "fp", "text"])
+        release()
 
     texts = rows.select("text").mapInArrow(wanted, "line long, fp long, text string").dropDuplicates(["line"])
     block = F.expr("transform(sequence(0, 3), b -> shiftleft(cast(b as bigint), 16) + (shiftrightunsigned(fp, 16 * b) & 65535))")

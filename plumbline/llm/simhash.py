@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import blocks_of, by_key, runs, votes
+from .arrays import blocks_of, by_key, release, runs, votes
 from .common import Stash, table
 from .components import components, forest
 
@@ -104,6 +104,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part, texts in blocks_of(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprint_texts(texts, words).view(np.int64))], names=[id_col, "fp"])
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 

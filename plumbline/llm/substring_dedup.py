@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import bitmap, blocks_of, by_key, in_bitmap, mixed, row_key, words_of
+from .arrays import bitmap, blocks_of, by_key, in_bitmap, mixed, release, row_key, words_of
 from .common import Stash, table
 
 GRAM = 8
@@ -89,6 +89,7 @@ def _scan(docs: DataFrame, window: int, give, schema: str) -> DataFrame:
                 parsed = Parsed(texts, window)
                 if len(parsed.start) and (out := give(part, parsed)) is not None:
                     yield out
+        release()
 
     return docs.mapInArrow(run, schema)
 

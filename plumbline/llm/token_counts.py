@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrays import text_parts
+from .arrays import release, text_parts
 from .common import table, tokenizer_path
 from .units import PRE_TOKEN, find_units, starts_with_space
 
@@ -149,7 +149,7 @@ class UnitCounts(dict):
         self.update(zip(chain(joinable, alone), ((per << 32) + tokens).tolist()))
 
 
-def token_counts(docs: DataFrame, vocabulary: bytes, *, id_col: str = "doc_id", text_col: str = "text", max_units: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: bytes, *, id_col: str = "doc_id", text_col: str = "text", max_units: int = 250_000) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_pretokens, n_tokens (longs).
 
     A null or empty text has 0 of each. Repeated rows and null ids are counted as they stand; other columns are not
@@ -168,6 +168,8 @@ def token_counts(docs: DataFrame, vocabulary: bytes, *, id_col: str = "doc_id",
                 sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in (t or "" for t in texts)]
                 columns = sizes, [x >> 32 for x in n], [x & 0xFFFFFFFF for x in n]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=[id_col, "n_bytes", "n_pretokens", "n_tokens"])
+        del counts
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {id_type.simpleString()}, n_bytes long, n_pretokens long, n_tokens long")
 
