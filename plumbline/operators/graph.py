@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 def closure(edges: DataFrame, most: int = 32) -> DataFrame:
     """child, ancestor, depth of all ancestors (depth 0: itself), by a recursive query of bounded depth; edges: child, parent."""
-    edges.createOrReplaceTempView("__edges")
     return edges.sparkSession.sql(f"""
         WITH RECURSIVE up(child, ancestor, depth) AS (
-            SELECT n, n, 0 FROM (SELECT child AS n FROM __edges UNION SELECT parent FROM __edges WHERE parent IS NOT NULL)
+            SELECT n, n, 0 FROM (SELECT child AS n FROM {{edges}} UNION SELECT parent FROM {{edges}} WHERE parent IS NOT NULL)
             UNION ALL
-            SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN __edges e ON e.child = u.ancestor WHERE e.parent IS NOT NULL AND u.depth < {most}
-        ) SELECT child, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM up GROUP BY child, ancestor""")
+            SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN {{edges}} e ON e.child = u.ancestor WHERE e.parent IS NOT NULL AND u.depth < {most}
+        ) SELECT child, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM up GROUP BY child, ancestor""", edges=edges)
 
 
 def nearest(pairs: DataFrame, owned: DataFrame) -> DataFrame:

@@ -94,6 +94,14 @@ class App:
     bound: object = Top()
 
 
+@dataclass(frozen=True)
+class Bound:
+    """A method with its receiver."""
+
+    receiver: object
+    name: str
+
+
 def constant_class(v: object) -> str:
     return "true" if v is True else "false" if v is False else "NilClass" if v is None else {int: "Integer", float: "Float", str: "String"}.get(type(v), type(v).__name__)
 
@@ -141,6 +149,8 @@ def describe(t: object) -> str:
         case Shape(fields, open_):
             shown = [f"{'readonly ' * f.read_only}{'?' * f.optional}{f.key}: {describe(f.type)}" for f in fields] + ["..."] * open_
             return "{ " + ", ".join(shown) + " }" if shown else "{}"
+        case Bound(_, _):
+            return "Method"
         case App(uri, args, _):
             return f"App[{', '.join([uri, *map(describe, args)])}]"
     raise TypeError(t)

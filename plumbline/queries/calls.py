@@ -78,6 +78,48 @@ def plan_type_functions(spark, d):
     return _rows(spark, [("reduced", X.reduce_app(L.App("twice", (i,)), bodies)), ("knot", X.reduce_app(L.App("loop", (i,), s), bodies)), ("unknown", X.reduce_app(L.App("other", (i,)), bodies))])
 
 
+@query("plan_statements", _values({"case": "1 | 2 | 3", "case else": "int<21, 50>", "unless": "2", "op write": "6", "or write": "7", "and write": "nil", "rescue": "1 | 2", "ensured": "3", "loop": "1 | 2", "for": "10 | 20", "early exit": "int<1, 4>", "defined": "String | nil", "def": '"name"', "lambda": "Proc", "jump": "bot"}))
+def plan_statements(spark, d):
+    env = {"n": L.IntegerRange(1, 50)}
+    run = lambda node, e=env: X.evaluate(node, e)
+    case = ("case", "n", ((Test("<", 10), lit(1)), (Test("between", (10, 20)), lit(2))), lit(3))
+    # what the arms leave to the else: below 10 is gone; between leaves its falsey edge whole, so a second test is needed
+    rest = ("case", "n", ((Test("<", 10), lit(1)), (Test("<=", 20), lit(2))), ("read", "n"))
+    begin = ("begin", ("write", "x", lit(1)), (("write", "x", lit(2)),), ("write", "done", lit(3)))
+    exit_ = ("if", "n", Test(">=", 5), ("jump",), ("read", "n"))
+    types = {
+        "case": run(case)[0], "case else": run(("case", "n", ((Test("<", 10), ("jump",)), (Test("<=", 20), ("jump",))), ("read", "n")))[0], "unless": run(("unless", "n", Test(">", 0), lit(1), lit(2)))[0], "op write": run(("op_write", "k", "+", lit(1)), {"k": L.Constant(5)})[1]["k"], "or write": run(("or_write", "z", lit(7)))[1]["z"], "and write": run(("and_write", "z", lit(7)))[1]["z"],
+        "rescue": run(begin)[1]["x"], "ensured": run(begin)[1]["done"], "loop": run(("loop", ("write", "i", lit(2))), {"i": L.Constant(1)})[1]["i"], "for": run(("for", "e", ("array", lit(10), lit(20)), ("write", "last", ("read", "e"))), {"last": L.Constant(10)})[1]["last"], "early exit": run(exit_)[0], "defined": run(("defined", "x"))[0], "def": run(("def", "name"))[0], "lambda": run(("lambda",))[0], "jump": run(("jump",))[0],
+    }
+    assert L.describe(run(rest)[0]) == "1 | 2 | int<21, 50>"
+    return _rows(spark, list(types.items()))
+
+
+@query("plan_closures", _values({"Array#each": "non_escaping", "Integer#times": "non_escaping", "Object#tap": "non_escaping", "Thread#new": "escaping", "Foo#bar": "unknown", "kept": "1", "dropped": "Integer"}))
+def plan_closures(spark, d):
+    env, declared = {"x": L.Constant(1)}, {"x": L.Nominal("Integer")}
+    rows = [(f"{c}#{m}", X.escape(c, m)) for c, m in (("Array", "each"), ("Integer", "times"), ("Object", "tap"), ("Thread", "new"), ("Foo", "bar"))]
+    return _rows(spark, [*rows, ("kept", X.after_block(env, declared, ("x",), "Array", "each")["x"]), ("dropped", X.after_block(env, declared, ("x",), "Thread", "new")["x"])])
+
+
+@query("plan_bound_methods", _values({"bound": "Method", "call": "7", "index": "7", "curry": "7", "unknown": "Dynamic[top]"}))
+def plan_bound_methods(spark, d):
+    call = lambda r, op, *a: ("call", r, op, *a)
+    plus = call(lit(3), "method", lit("+"))
+    nodes = {"bound": plus, "call": call(plus, "call", lit(4)), "index": call(plus, "[]", lit(4)), "curry": call(call(plus, "curry"), "call", lit(4)), "unknown": call(call(lit(3), "method", lit("other")), "call")}
+    return _rows(spark, [(k, X.type_of(n, {})) for k, n in nodes.items()])
+
+
+_JSON = "Array[App[json::value, {0}]] | Float | Hash[{0}, App[json::value, {0}]] | Integer | String | false | nil | true"
+
+
+@query("plan_structured_text", _values({"json": _JSON.format("String"), "symbols": _JSON.format("Symbol"), "yaml": "Array[App[json::value, String]] | Date | Float | Hash[String, App[json::value, String]] | Integer | String | false | nil | true", "csv": "Array[Array[String | nil]]", "csv headers": "nothing", "yaml load": "nothing"}))
+def plan_structured_text(spark, d):
+    option = lambda k, v: L.Shape((L.Field(k, v),))
+    types = {"json": X.structured("JSON", "parse"), "symbols": X.structured("JSON", "load_file", option("symbolize_names", L.Constant(True))), "yaml": X.structured("YAML", "safe_load", option("permitted_classes", L.Tuple((L.Singleton("Date"),)))), "csv": X.structured("CSV", "read"), "csv headers": X.structured("CSV", "parse", option("headers", L.Constant(True))), "yaml load": X.structured("YAML", "load")}
+    return _rows(spark, [(k, "nothing" if t is None else t) for k, t in types.items()])
+
+
 @query("plugin_order", "SELECT * FROM (VALUES (0, 'schema'), (1, 'routes'), (2, 'models'), (3, 'views')) t(pos, name)")
 def plugin_order(spark, d):
     order = G.topological(["views", "models", "schema", "routes"], {"views": ["models", "routes"], "models": ["schema"]})

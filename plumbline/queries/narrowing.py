@@ -233,3 +233,21 @@ def accept_record_shapes(spark, d):
     keys = F.json_object_keys("props")
     has, only = F.array_contains(keys, "k"), F.size(keys) == 1
     return table(spark, d, "events").agg(F.count_if(has).alias("required"), F.count_if(only).alias("closed"), A.verdict(F.when(F.bool_and(has & only), A.YES).otherwise(A.NO)).alias("verdict"))
+
+
+@query("narrow_contract_facts", "SELECT p_type, CAST(count(*) AS BIGINT) AS n, CAST(min(p_size) AS BIGINT) AS lo, CAST(max(p_size) AS BIGINT) AS hi FROM part WHERE p_size BETWEEN 10 AND 40 AND p_brand <> '' GROUP BY 1")
+def narrow_contract_facts(spark, d):
+    """Contracts declared in the fields' metadata narrow like conditions do."""
+    from ..api import contract_filter, declared
+
+    part = declared(table(spark, d, "part"), p_size="int<10, 40>", p_brand="non-empty-string")
+    return part.where(contract_filter(part)).groupBy("p_type").agg(F.count("*").alias("n"), F.min("p_size").cast("long").alias("lo"), F.max("p_size").cast("long").alias("hi"))
+
+
+@query("narrow_assignment_early_exit", "SELECT l_orderkey, CAST(sum(q) AS BIGINT) AS total FROM (SELECT l_orderkey, CAST(floor(l_quantity / 2) AS BIGINT) AS q FROM lineitem) WHERE q >= 10 AND NOT q > 20 GROUP BY 1")
+def narrow_assignment_early_exit(spark, d):
+    """`return unless (q = n / 2) >= 10`, then `return if q > 20`: only the live edges go on."""
+    q = F.col("q")
+    rows = table(spark, d, "lineitem").withColumn("q", F.floor(F.col("l_quantity") / 2))
+    live = rows.where(N.keep(q, Test(">=", 10))).where(N.drop(q, Test(">", 20)))
+    return live.groupBy("l_orderkey").agg(F.sum("q").alias("total"))

@@ -238,3 +238,17 @@ def plugin_isolation(spark, d):
         raise KeyError("no such option")
 
     return U.isolated("bad pack", broken, table(spark, d, "region"))
+
+
+@query("rule_explain", "SELECT * FROM (VALUES ('flow.always-raises', 'error'), ('flow.unreachable-branch', 'warning'), ('flow.always-truthy-condition', 'warning'), ('flow.dead-assignment', 'warning')) t(rule, severity)")
+def rule_explain(spark, d):
+    from ..api import explain
+
+    return spark.createDataFrame([(r, s) for r, s, _ in explain("flow")], "rule string, severity string")
+
+
+@query("api_type_of", "SELECT 'Integer' AS cls, CAST(count(*) AS BIGINT) AS n, CAST(min(p_size * 2) AS BIGINT) AS lo, CAST(max(p_size * 2) AS BIGINT) AS hi FROM part")
+def api_type_of(spark, d):
+    from ..api import type_of
+
+    return type_of(table(spark, d, "part"), "p_size * 2").select("cls", "n", "lo", "hi")
