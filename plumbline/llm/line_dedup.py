@@ -7,7 +7,8 @@ group the first occurrence, by id and place, is kept, and the others are removed
 
 The scan sends hashes, not lines. Equal normalised lines are one row from then on. Lines with a near fingerprint go into a bitmap of
 fixed size, which is broadcast; only those lines' texts are sent, in a second scan, to the blocks where they are verified. Within a
-block, pairs already connected are not verified again, so a large group costs a forest, not all its pairs.
+block, pairs already connected are not verified again, so a large group costs a forest, not all its pairs. Crowded blocks are
+split into tiles, whose pairs are compared in tasks of their own.
 """
 
 from __future__ import annotations
@@ -118,42 +119,69 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _by_block(fps: np.ndarray) -> list[np.ndarray]:
-    """For each of four blocks its number and bits, as keys."""
-    return [(np.int64(b) << np.int64(16)) | ((fps >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64) for b in range(4)]
+#: The keys of a fingerprint: the number and the bits of each of its four blocks.
+_KEYS = "transform(sequence(0, 3), b -> shiftleft(cast(b as bigint), 16) + (shiftrightunsigned(fp, 16 * b) & 65535))"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        line, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_by_block(fp.view(np.uint64)))), pa.array(np.tile(line, 4)), pa.array(np.tile(fp, 4))], names=["k", "line", "fp"])
+def _dealt(rows: DataFrame, tile: int) -> DataFrame:
+    """rows (line, fp, ...) by block key, as k, own (the row's place in a pair of tiles) and same (the pair is one tile twice).
+
+    There are 4 x 65,536 keys, so the table of their sizes is broadcast. A key that one row has goes; one with more than tile rows is
+    split into tiles, and each pair of its tiles is a group of its own: so no task holds more than two tiles.
+    """
+    keyed = rows.withColumn("b", F.explode(F.expr(_KEYS)))
+    sizes = rows.select(F.explode(F.expr(_KEYS)).alias("b")).groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    out = keyed.join(F.broadcast(sizes), "b").withColumn("t", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
+    out = out.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    k = F.col("b") + F.shiftleft(F.least("t", "o").cast("long"), 18) + F.shiftleft(F.greatest("t", "o").cast("long"), 40)
+    return out.select(k.alias("k"), (F.col("t") <= F.col("o")).alias("own"), (F.col("t") == F.col("o")).alias("same"), *rows.columns)
+
+
+def _near_pairs(fp: np.ndarray, own: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one group within NEAR bits: any two of a tile, or one of either tile."""
+    left, right = (np.arange(len(fp)),) * 2 if same else (np.flatnonzero(own), np.flatnonzero(~own))
+    step = max(1, 1_000_000 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        i, j = np.nonzero(np.bitwise_count(fp[left[at : at + step], None] ^ fp[None, right]) <= NEAR)
+        i, j = left[at + i], right[j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        yield i, j
 
 
 def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
     """Lines that have another within NEAR bits in their block."""
-    k, line, fp = t.column("k").to_numpy(), t.column("line").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+    k, own, same, line = (t.column(c).to_numpy() for c in ("k", "own", "same", "line"))
+    fp = t.column("fp").to_numpy().view(np.uint64)
     near = np.zeros(len(k), bool)
-    end = np.repeat(runs(k)[1], np.diff(np.append(runs(k)[0], len(k))))
-    at = np.arange(len(k))
-    for back in range(1, len(k)):
+    starts, ends = runs(k)
+    few = np.repeat(same[starts] & (ends - starts <= 512), ends - starts)
+    end = np.repeat(ends, ends - starts)
+    at = np.flatnonzero(few)
+    for back in range(1, 512):  # small groups, all at once
         at = at[at + back < end[at]]
         if not len(at):
             break
         hit = at[np.bitwise_count(fp[at] ^ fp[at + back]) <= NEAR]
         near[hit] = True
         near[hit + back] = True
+    for s, e in zip(starts, ends):
+        if not few[s]:
+            for i, j in _near_pairs(fp[s:e], own[s:e], bool(same[s])):
+                near[s + i] = True
+                near[s + j] = True
     return pa.RecordBatch.from_arrays([pa.array(np.unique(line[near]))], names=["line"]) if near.any() else None
 
 
 def _verified(t: pa.Table) -> pa.RecordBatch | None:
-    """Links of a forest of the similar pairs in each block."""
-    k, line, fp = t.column("k").to_numpy(), t.column("line").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-    text, number = t.column("text"), k >> 16
+    """Links of a forest of the similar pairs in each group."""
+    k, own, same, line = (t.column(c).to_numpy() for c in ("k", "own", "same", "line"))
+    fp, text = t.column("fp").to_numpy().view(np.uint64), t.column("text")
     links: list[tuple[int, int]] = []
     for s, e in zip(*runs(k)):
         if e - s < 2:
             continue
-        own = text.slice(s, e - s).to_pylist()
+        texts: list[str] = []
         root = list(range(e - s))
 
         def find(x: int) -> int:
@@ -163,20 +191,23 @@ def _verified(t: pa.Table) -> pa.RecordBatch | None:
             return x
 
         block = fp[s:e]
-        for i in range(e - s - 1):
-            differ = block[i] ^ block[i + 1 :]
-            near = np.bitwise_count(differ) <= NEAR
-            if number[s]:  # a pair that agrees in an earlier block is verified there
-                near &= np.all([(differ >> np.uint64(16 * b)) & np.uint64(0xFFFF) != 0 for b in range(int(number[s]))], axis=0)
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                a, b = find(i), find(j)
-                if a != b and similar(own[i], own[j]):
-                    root[b] = a
-                    links.append((int(line[s + i]), int(line[s + j])))
+        number = int(k[s] >> 16) & 3
+        for i, j in _near_pairs(block, own[s:e], bool(same[s])):
+            differ = block[i] ^ block[j]
+            for b in range(number):  # a pair that agrees in an earlier block is verified there
+                stays = (differ >> np.uint64(16 * b)) & np.uint64(0xFFFF) != 0
+                i, j, differ = i[stays], j[stays], differ[stays]
+            for x, y in zip(i.tolist(), j.tolist()):
+                a, b = find(x), find(y)
+                if a != b:
+                    texts = texts or text.slice(s, e - s).to_pylist()
+                    if similar(texts[x], texts[y]):
+                        root[b] = a
+                        links.append((int(line[s + x]), int(line[s + y])))
     return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"]) if links else None
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096) -> DataFrame:
     """All columns of docs (but those named so), its text without the removed lines, and n_lines, n_removed (longs).
 
     Lines are split at line feeds. Lines without words (nothing but ASCII punctuation and white space) stay, as do null and empty texts (n_lines: 0 and 1; an
@@ -189,7 +220,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     seen = stash.put(rows.mapInArrow(_hashed, "id long, rk long, place int, line long, fp long"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "place")
     one = stash.put(seen.groupBy("line").agg(F.first("fp").alias("fp"), F.min(order).alias("first"), F.count("*").alias("n")))
-    near = stash.put(by_key(one.select("line", "fp").mapInArrow(_blocks, "k long, line long, fp long"), _near_lines, "line long"))
+    near = stash.put(by_key(_dealt(one.select("line", "fp"), tile), _near_lines, "line long"))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(near, "line", near.count()))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +233,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     yield pa.RecordBatch.from_arrays([pa.array(x.hash[at]), pa.array(x.fingerprints()[at]), pa.array([x.shown(k) for k in at.tolist()], pa.string())], names=["line", "fp", "text"])
         release()
 
-    texts = rows.select("text").mapInArrow(wanted, "line long, fp long, text string").dropDuplicates(["line"])
-    block = F.expr("transform(sequence(0, 3), b -> shiftleft(cast(b as bigint), 16) + (shiftrightunsigned(fp, 16 * b) & 65535))")
-    links = by_key(texts.select(F.explode(block).alias("k"), "line", "fp", "text"), _verified, "a long, b long", least_rows=2_000)
+    texts = stash.put(rows.select("text").mapInArrow(wanted, "line long, fp long, text string").dropDuplicates(["line"]))
+    links = by_key(_dealt(texts, tile), _verified, "a long, b long", least_rows=2_000)
     parts = components(links, stash)
     group = one.join(parts, one["line"] == parts["node"], "left").where("n > 1 or component is not null")
     group = stash.put(group.select("line", "first", F.coalesce("component", "line").alias("component")))

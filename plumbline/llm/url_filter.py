@@ -100,8 +100,8 @@ SQL = r"""
 WITH known AS (
   SELECT doc_id, max(CASE WHEN greatest(toxic, 1 - quality) > 0 THEN 1 ELSE 0 END) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND coalesce(toxic, quality) IS NOT NULL GROUP BY doc_id),
-rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-cut AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+rest AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, r, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 seen AS (SELECT c.host, k.bad FROM cut c LEFT JOIN known k ON k.doc_id = try_cast(nullif(regexp_extract(c.path, '/([0-9]{1,18})', 1), '') AS BIGINT)),
 hosts AS (SELECT host, regexp_extract(host, '([^.]*)$', 1) AS suffix, regexp_extract(host, '([^.]*\.?[^.]*)$', 1) AS domain,
@@ -118,9 +118,9 @@ hk AS (SELECT coalesce(round(1 / least(0.99, greatest(0.001, (sum(n * pow(bad::D
 h1 AS (SELECT host, bad + k * prior AS a, n - bad + k * (1 - prior) AS b FROM h0, hk),
 h2 AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bad_low FROM h1),
 rules(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-best AS (SELECT c.page_id, c.host, c.path, r.rule_host || r.rule_path AS rule, r.rule_verdict,
-                row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.rule_host || r.rule_path) DESC) AS k
-         FROM cut c LEFT JOIN rules r ON (c.host = r.rule_host OR ends_with(c.host, '.' || r.rule_host)) AND starts_with(c.path, r.rule_path))
+best AS (SELECT c.page_id, c.host, c.path, u.rule_host || u.rule_path AS rule, u.rule_verdict,
+                row_number() OVER (PARTITION BY c.r ORDER BY length(u.rule_host || u.rule_path) DESC) AS k
+         FROM cut c LEFT JOIN rules u ON (c.host = u.rule_host OR ends_with(c.host, '.' || u.rule_host)) AND starts_with(c.path, u.rule_path))
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN bad_low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM best LEFT JOIN h2 USING (host) WHERE k = 1
 """

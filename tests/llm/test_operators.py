@@ -194,9 +194,10 @@ def test_line_dedup(docs, rows):
         lines = r[1].split("\n") if r[1] is not None else []
         out = gone.get((r[0] is None, r[0] or 0, line_key(r[1])), set())
         wanted[r[0], None if r[1] is None else "\n".join(x for p, x in enumerate(lines) if p not in out), len(lines), len(out)] += 1
-    got = line_dedup.line_dedup(docs)
-    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == wanted
+    for tile in (4096, 1):
+        got = line_dedup.line_dedup(docs, tile=tile)
+        assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == wanted
 
 
 def line_key(t):
