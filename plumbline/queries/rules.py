@@ -180,9 +180,9 @@ def contract_render(spark, d):
     return rows.where("type <> 'untyped'").select("col", F.concat(F.lit("def "), "col", F.lit(": () -> "), "type").alias("line"))
 
 
-@query("signature_paths", "SELECT p_brand, 'sig/' || lower(replace(p_brand, '#', '/')) || '.rbs' AS path FROM (SELECT DISTINCT p_brand FROM part)")
+@query("signature_paths", "SELECT p_brand, 'sig/' || lower(replace(p_brand, '#', '/')) || '.sig' AS path FROM (SELECT DISTINCT p_brand FROM part)")
 def signature_paths(spark, d):
-    return table(spark, d, "part").select("p_brand").distinct().select("p_brand", F.concat(F.lit("sig/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("/"))), F.lit(".rbs")).alias("path"))
+    return table(spark, d, "part").select("p_brand").distinct().select("p_brand", F.concat(F.lit("sig/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("/"))), F.lit(".sig")).alias("path"))
 
 
 @query("pack_state_machine", "WITH t AS (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS a, role AS b FROM conversations) SELECT coalesce(a, 'start') AS from_state, b AS to_state, CAST(count(*) AS BIGINT) AS n, coalesce(a, 'start') || '>' || b IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS allowed FROM t GROUP BY ALL")
