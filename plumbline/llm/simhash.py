@@ -6,8 +6,12 @@ lies within three bits (its covering radius) of exactly one codeword, its home a
 within radius plus threshold, four bits; there are six at most. Then a pair that is near in a block meets at the home anchor
 of either. At each anchor those at home are compared with all replicas, and a forest of the links goes on, not all pairs.
 
-Equal fingerprints are one row before that, so copies cost nothing. The anchors are 3 x 4,096, so the table of their
-sizes is small and is broadcast; crowded anchors are split into tiles of members at home by tiles of replicas.
+Above some ten million fingerprints the blocks are two halves of 32 bits, of which 23 bits are coded and nine stand as they are: a pair
+differs in at most two bits of a half, so replicas go to anchors within five bits whose nine bits differ in at most two (about
+105 a half), and a forty-eighth as many pairs are compared.
+
+Equal fingerprints are one row before that, so copies cost nothing. The coarse cover has 3 x 4,096 anchors, the fine one 2 x 2^21;
+the table of crowded anchors' sizes is broadcast; they are split into tiles of members at home by tiles of replicas.
 """
 
 from __future__ import annotations
@@ -24,8 +28,12 @@ from .arrays import blocks_of, by_key, release, runs, votes
 from .common import Stash, table
 from .components import components, forest
 
-BLOCKS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 NEAR = 4
+#: Covers: first bit and bits of each block, and how many of them the Golay code takes (the rest stands as it is). One of the
+#: blocks of a pair within NEAR bits differs in at most NEAR // number of blocks.
+COARSE = ((0, 22, 22), (22, 21, 21), (43, 21, 21))
+FINE = ((0, 32, 23), (32, 32, 23))
+MANY = 1 << 25  # distinct fingerprints from which the fine cover's replicas cost less than the coarse one's comparisons
 GOLAY = 0xAE3  # fixed value: the generator polynomial of the binary Golay code of length 23
 
 
@@ -47,8 +55,11 @@ class Anchors:
             part[np.arange(len(part)) >> bit & 1 == 1] ^= rem[k]
         self.low, self.high = low, high
         self.leader = np.zeros(2048, np.int64)
-        far: list[list[int]] = [[] for _ in range(2048)]
-        for weight in range(5):
+        far: list[list[int]] = []
+        self.coset = [np.zeros((2048, 0), np.int64)] * 6
+        for weight in range(6):
+            if weight > 3:
+                far = [[] for _ in range(2048)]
             for bits in combinations(range(23), weight):
                 s = 0
                 for k in bits:
@@ -58,7 +69,9 @@ class Anchors:
                     self.leader[s] = e
                 else:
                     far[s].append(e)
-        self.far = np.array([x + [-1] * (5 - len(x)) for x in far], np.int64)
+            if weight > 3:
+                most = max(map(len, far))
+                self.coset[weight] = np.array([x + [-1] * (most - len(x)) for x in far], np.int64)
 
     def syndrome(self, words: np.ndarray) -> np.ndarray:
         return self.low[words & 4095] ^ self.high[words >> 12]
@@ -66,9 +79,9 @@ class Anchors:
     def home(self, words: np.ndarray) -> np.ndarray:
         return words ^ self.leader[self.syndrome(words)]
 
-    def others(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and codeword of those exactly four bits away."""
-        e = self.far[self.syndrome(words)]
+    def others(self, words: np.ndarray, away: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Row and codeword of those exactly away (four or five) bits from a word."""
+        e = self.coset[away][self.syndrome(words)]
         row, at = np.nonzero(e >= 0)
         return row, words[row] ^ e[row, at]
 
@@ -109,18 +122,30 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    anchors = Anchors()
-    for batch in batches:
-        fp = batch.column(0).to_numpy()
-        keys, home, of = [], [], []
-        for b, (first, bits) in enumerate(BLOCKS):
-            word = (fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << bits) - 1)
-            row, other = anchors.others(word)
-            keys += [b << 23 | anchors.home(word), b << 23 | other]
-            home += [np.ones(len(fp), bool), np.zeros(len(row), bool)]
-            of += [fp, fp[row]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, home, of)], names=["anchor", "home", "fp"])
+def _replicas(cover: tuple[tuple[int, int, int], ...]):
+    """Each fingerprint under its home anchors and, within the threshold of a block, under others."""
+    threshold = NEAR // len(cover)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                fp = batch.column(0).slice(at, 2000).to_numpy()
+                keys, home, of = [], [], []
+                for b, (first, bits, coded) in enumerate(cover):
+                    word = (fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << bits) - 1)
+                    code, plain = word & ((1 << coded) - 1), word >> coded
+                    flips = [sum(1 << x for x in c) for n in range(threshold + 1) for c in combinations(range(bits - coded), n)]
+                    for flip in flips:
+                        reach = threshold - flip.bit_count()
+                        near = [(np.arange(len(fp)), anchors.home(code)), *(anchors.others(code, 3 + n) for n in range(1, reach + 1))]
+                        for n, (row, anchor) in enumerate(near):
+                            keys.append(b << 32 | (plain[row] ^ flip) << 23 | anchor)
+                            home.append(np.full(len(row), n == 0 and flip == 0))
+                            of.append(fp[row])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, home, of)], names=["anchor", "home", "fp"])
+
+    return run
 
 
 def near_forest(home: np.ndarray, all_: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,18 +162,23 @@ def near_forest(home: np.ndarray, all_: np.ndarray, near: int) -> tuple[np.ndarr
     return v, u
 
 
-def links(fps: DataFrame, stash: Stash, *, near: int = NEAR, home_tile: int = 4096, tile: int = 65_536) -> DataFrame:
+def links(fps: DataFrame, stash: Stash, *, near: int = NEAR, home_tile: int = 4096, tile: int = 65_536, fine: bool | None = None) -> DataFrame:
     """a, b: links between the distinct fingerprints fps (column fp) that connect all pairs within near bits (4 at most)."""
     if near > NEAR:
-        raise ValueError("three blocks and radius plus one cover four differing bits at most")
-    there = stash.put(fps.select("fp").mapInArrow(_replicas, "anchor long, home boolean, fp long"))
-    sizes = there.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("r")).where("h > 0 and r > 1")
-    sizes = sizes.select("anchor", F.ceil(F.col("h") / home_tile).cast("int").alias("hs"), F.ceil(F.col("r") / tile).cast("int").alias("rs"))
-    dealt = there.join(F.broadcast(sizes), "anchor")  # at most 3 x 4,096 rows
+        raise ValueError("the covers' radius and thresholds are for four differing bits at most")
+    cover = FINE if (fps.count() >= MANY if fine is None else fine) else COARSE
+    there = stash.put(fps.select("fp").mapInArrow(_replicas(cover), "anchor long, home boolean, fp long"))
+    sizes = there.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("r"))
+    split = F.ceil(F.col("h") / home_tile).cast("int").alias("hs"), F.ceil(F.col("r") / tile).cast("int").alias("rs")
+    if cover is COARSE:  # at most 3 x 4,096 rows; anchors without a pair go
+        dealt = there.join(F.broadcast(sizes.where("h > 0 and r > 1").select("anchor", *split)), "anchor")
+    else:  # crowded anchors alone
+        crowded = sizes.where((F.col("h") > home_tile) | (F.col("r") > tile)).select("anchor", *split)
+        dealt = there.join(crowded, "anchor", "left").fillna(1, ["hs", "rs"])
     h = F.xxhash64("fp")
     as_home = dealt.where("home").select("anchor", "fp", F.lit(True).alias("home"), F.pmod(h, F.col("hs")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rs").cast("long") - 1)).alias("j"))
-    as_all = dealt.select("anchor", "fp", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("hs").cast("long") - 1)).alias("i"), F.pmod(h, F.col("rs")).alias("j"))
-    rows = as_home.unionByName(as_all).select((F.col("anchor") + F.shiftleft("i", 25) + F.shiftleft("j", 44)).alias("k"), "home", "fp")
+    as_all = dealt.select("anchor", "fp", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("hs", F.lit(1)).cast("long") - 1)).alias("i"), F.pmod(h, F.col("rs")).alias("j"))
+    rows = as_home.unionByName(as_all).select((F.col("anchor") + F.shiftleft("i", 34) + F.shiftleft("j", 49)).alias("k"), "home", "fp")
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
         k, home, fp = (t.column(c).to_numpy() for c in ("k", "home", "fp"))

@@ -154,18 +154,20 @@ def test_simhash_finds_all_near_pairs(spark):
     from plumbline.llm.components import components
 
     stash = Stash(spark, "test")
-    tiled = components(simhash.links(df.select("fp"), stash, home_tile=1, tile=2), stash).collect()
     of = {f: i for i, f in signed}
-    assert len(tiled) == sum(len(g) > 1 for g in wanted.values())
-    assert all(of[r.component] in wanted[of[r.node]] for r in tiled)
+    for options in ({"home_tile": 1, "tile": 2}, {"fine": True}, {"fine": True, "home_tile": 1, "tile": 2}):
+        found = components(simhash.links(df.select("fp"), stash, **options), stash).collect()
+        assert len(found) == sum(len(g) > 1 for g in wanted.values())
+        assert all(of[r.component] in wanted[of[r.node]] for r in found)
 
 
 def test_every_anchor_is_near():
     a = simhash.Anchors()
     w = np.random.default_rng(1).integers(0, 1 << 23, 500)
     assert (a.syndrome(a.home(w)) == 0).all() and (np.bitwise_count(a.home(w) ^ w) <= 3).all()
-    row, other = a.others(w)
-    assert (a.syndrome(other) == 0).all() and (np.bitwise_count(other ^ w[row]) == 4).all()
+    for away, n in ((4, 8855), (5, 33649)):  # all words of that weight, dealt to 2,048 syndromes
+        row, other = a.others(w, away)
+        assert (a.syndrome(other) == 0).all() and (np.bitwise_count(other ^ w[row]) == away).all() and (a.coset[away] >= 0).sum() == n
 
 
 def test_near_dedup_keeps_columns(docs, rows):
