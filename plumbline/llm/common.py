@@ -27,13 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
 class Stash:
     """Results written as Parquet to the shared folder, so that neither lost executors nor long lineages matter.
 
-    put() writes a DataFrame and returns the written one; drop() removes what is no longer needed.
+    put() writes a DataFrame and returns the written one; drop() removes what is no longer needed. What is left goes when the
+    driver ends.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
+        path, files = self._at(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -43,11 +51,9 @@ class Stash:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *numbers: int) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for n in numbers:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._at(f"{self.root}/{n}")
+            files.delete(path, True)
 
 
 def tokenizer_path(name: str) -> str:
