@@ -16,7 +16,7 @@ the table of crowded anchors' sizes is broadcast; they are split into tiles of m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import blocks_of, by_key, release, runs, votes
+from .arrays import blocks_of, by_key, release, row_key, runs, votes
 from .common import Stash, table
 from .components import components, forest
 
@@ -223,6 +223,25 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in names])
 
 
+def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, one row of each group: the one with the smallest id, nulls last, and then the smallest row key.
+
+    groups_of gets __i (id and row key) and __t (text), and returns every __i with component_id, the smallest __i of its group. So rows
+    with equal or null ids and other texts stay; rows repeated, equal in id and text, stay once.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("rk"))
+    keyed = docs.withColumn("__key", key)
+    groups = groups_of(keyed.select(F.col("__key").alias("__i"), F.col(text_col).alias("__t")))
+    stay = groups.where(F.col("__i").eqNullSafe(F.col("component_id"))).select("__i").distinct()
+    out = keyed.join(stay, F.col("__key").eqNullSafe(F.col("__i")), "left_semi")
+    return out.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, near: int = NEAR) -> DataFrame:
+    """As near_dedup, but rows of other groups with the same id, or without one, all stay."""
+    return one_of_each(docs, lambda rows: near_groups(fingerprints(rows, id_col="__i", text_col="__t", words=words), id_col="__i", near=near), id_col=id_col, text_col=text_col)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(fingerprints(table(spark, sf_dir, "documents")))
     return groups.select("doc_id", hex_fp(F.col("fp")).alias("fingerprint"), "component_id")
