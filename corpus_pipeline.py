@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing to target weights, packing.
+"""A corpus pipeline: language ID, line dedup, near-dedup by shingles, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns of
 documents. Stages are written as Parquet to the shared folder and read again, so a lost executor costs one stage's work.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id, line_dedup, mixing, packing, simhash
+from plumbline.llm import language_id, line_dedup, mixing, packing, shingle_dedup
 from plumbline.llm.common import Stash, table
 
 #: A text that even its best language's tree needs more bits a byte for than a uniform code over the symbols is no language.
@@ -37,8 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
-    return simhash.near_dedup_rows(docs)
+    """Of each group of near copies (similarity of five-word shingles of 0.8 or more) one document stays."""
+    return shingle_dedup.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

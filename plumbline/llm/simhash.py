@@ -237,11 +237,6 @@ def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame], *,
     return out.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def near_dedup_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, near: int = NEAR) -> DataFrame:
-    """As near_dedup, but rows of other groups with the same id, or without one, all stay."""
-    return one_of_each(docs, lambda rows: near_groups(fingerprints(rows, id_col="__i", text_col="__t", words=words), id_col="__i", near=near), id_col=id_col, text_col=text_col)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(fingerprints(table(spark, sf_dir, "documents")))
     return groups.select("doc_id", hex_fp(F.col("fp")).alias("fingerprint"), "component_id")

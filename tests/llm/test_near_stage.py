@@ -18,3 +18,34 @@ def test_equal_and_null_ids_keep_other_texts(spark):
     out = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
     assert out.columns == ["doc_id", "text", "source"]
     assert sorted(map(str, ((x.doc_id, x.text) for x in out.collect()))) == sorted(map(str, [(None, t) for t in texts[:3]] + [(4, texts[3]), (4, texts[4]), (2, texts[5])]))
+
+
+def shingles(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_of_shingle_similarity(spark):
+    r = random.Random(3)
+    texts = []
+    for n in (100, 60, 44, 45, 46, 100, 20, 6, 3) * 4:
+        base = text(r, n).split()
+        texts.append(" ".join(base))
+        for changes in (1, 1, 2, 3):  # about 0.9, 0.8 and less
+            copy = list(base)
+            for _ in range(changes):
+                copy[r.randrange(n)] = "CHANGED"
+            texts.append(" ".join(copy))
+        texts += [" ".join(base + ["end"]), " ".join([base[0].upper(), *base[1:]])]
+    texts += ["", " \n"]
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: not a and not b or 5 * len(a & b) >= 4 * len(a | b)
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and near(sets[i], sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    out = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert sorted(x.doc_id for x in out.collect()) == sorted(set(group))
