@@ -13,7 +13,7 @@ from plumbline.llm import language_id, line_dedup, mixing, packing, shingle_dedu
 from plumbline.llm.common import Stash, table
 
 #: A text that even its best language's tree needs more bits a byte for than a uniform code over the symbols is no language.
-MOST_BITS = 6.0
+MOST_BITS = language_id.UNIFORM_BITS
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ probability: distinct followers / (followers + distinct followers)) and is coded
 the bytes not excluded, down to a uniform code. The statistics are frozen: scoring changes nothing. A text's language
 is the one whose tree gives the shortest code for all its bytes.
 
-The rarest bytes of the training text share one symbol, so that at most 64 symbols remain; within that symbol bytes
-are coded uniformly, which costs every language the same. The trees are unfolded into a table of code lengths, a row for each
-context seen, so that a batch of whole texts is scored by array lookups.
+All 256 bytes keep their identity. The trees are kept as sorted tables: code lengths of what was seen after a context, in each
+language, and each context's cost of going on to the next shorter one. What no language has seen there costs the sum of both, so
+the tables grow with what was seen, not with the contexts or languages possible; a batch of whole texts is scored by lookups.
 
 Training counts symbols where the text lies: executors count, the counts are summed by key, and only they (not texts)
 reach the driver. The classifier is fitted on a bounded sample: about max_docs_per_lang labelled documents of each
@@ -30,8 +30,11 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .arrays import release
 from .common import table
 
-SYMBOLS = 64
+SYMBOLS = 64  # of code_lengths() alone, the dense form for small alphabets
 ORDER = 3
+BITS = 9  # a symbol in a code: 0 before a text, or a byte + 1
+UNIFORM_BITS = 8.0  # a byte in a uniform code
+_BYTES = np.arange(1, 257, dtype=np.uint16)
 UNDETERMINED = "und"
 ADDED = ("lang_pred", "score", "bits_per_byte")
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -39,16 +42,15 @@ _LETTER = re.compile(r"[^\W\d_]").search
 
 @dataclass
 class Model:
-    """langs, the symbol of each byte, and per language the (code, count) arrays of ORDER + 1 successive symbols."""
+    """langs, and per language the (code, count) arrays of ORDER + 1 successive symbols."""
 
     langs: list[str]
-    symbol: np.ndarray
     counts: list[tuple[np.ndarray, np.ndarray]]
 
 
-def _spread(raw: np.ndarray, lengths: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+def _spread(raw: np.ndarray, lengths: np.ndarray, symbol: np.ndarray, bits: int = 6) -> np.ndarray:
     """For each byte of the joined texts, the code of its ORDER predecessors and itself; symbol 0 before a text."""
-    s = symbol[raw].astype(np.uint32)
+    s = symbol[raw].astype(np.uint32 if bits * (ORDER + 1) <= 32 else np.int64)
     starts = np.cumsum(lengths) - lengths
     code = s.copy()
     for back in range(1, ORDER + 1):
@@ -57,7 +59,7 @@ def _spread(raw: np.ndarray, lengths: np.ndarray, symbol: np.ndarray) -> np.ndar
         for k in range(back):  # positions nearer than back to their text's start have nothing there
             at = starts[lengths > k] + k
             prev[at] = 0
-        code |= prev << np.uint32(6 * back)
+        code |= prev << s.dtype.type(bits * back)
     return code
 
 
@@ -107,6 +109,62 @@ def code_lengths(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return row.astype(np.int32), bits
 
 
+def _found(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of some numbers is in ascending keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, of), max(len(keys) - 1, 0))
+    return at, keys[at] == of if len(keys) else np.zeros(len(of), bool)
+
+
+class Trees:
+    """Code lengths of all bytes after all contexts, in each language: PPM with exclusion. counts: as those of a Model."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs = len(counts)
+        self.codes: list[np.ndarray] = []  # by order: context and byte, ascending
+        self.bits: list[np.ndarray] = []  # of these, in each language
+        self.contexts: list[np.ndarray] = []
+        self.escape: list[np.ndarray] = []  # bits from a context to the next shorter one; 0 where a language has not seen it
+        for order in range(ORDER + 1):
+            cut = [c & ((1 << BITS * (order + 1)) - 1) for c, _ in counts]
+            codes = np.unique(np.concatenate([*cut, np.zeros(0, np.int64)]))
+            contexts, of = np.unique(codes >> BITS, return_inverse=True)
+            lower = self._look(codes, order - 1)
+            bits, escape = np.empty(lower.shape), np.zeros((len(contexts), self.langs))
+            for k, (_, n) in enumerate(counts):
+                c = np.bincount(np.searchsorted(codes, cut[k]), n, len(codes))
+                seen = c > 0
+                total, kinds = np.bincount(of, c, len(contexts)), np.bincount(of, seen, len(contexts))
+                room = 1 - np.bincount(of, np.where(seen, np.exp2(-lower[:, k].astype(np.float64)), 0), len(contexts))
+                kinds[kinds == 256] = 0  # nowhere to escape to
+                out = np.divide(kinds, total + kinds, out=np.ones(len(contexts)), where=total > 0)
+                some = (total > 0) & (kinds > 0)
+                escape[some, k] = np.log2(np.maximum(room[some], 1e-12)) - np.log2(out[some])
+                bits[:, k] = escape[of, k] + lower[:, k]
+                bits[seen, k] = np.log2((total + kinds)[of[seen]]) - np.log2(c[seen])
+            self.codes.append(codes)
+            self.bits.append(bits.astype(np.float32))
+            self.contexts.append(contexts)
+            self.escape.append(escape.astype(np.float32))
+
+    def _look(self, codes: np.ndarray, order: int) -> np.ndarray:
+        if order < 0:
+            return np.full((len(codes), self.langs), UNIFORM_BITS, np.float32)
+        codes = codes & ((1 << BITS * (order + 1)) - 1)
+        at, there = _found(self.codes[order], codes)
+        out = self.bits[order][at] if len(self.codes[order]) else np.zeros((len(codes), self.langs), np.float32)
+        if not there.all():
+            rest = codes[~there]
+            less = self._look(rest, order - 1)
+            at, known = _found(self.contexts[order], rest >> BITS)
+            less[known] += self.escape[order][at[known]]
+            out[~there] = less
+        return out
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each code, a column for each language."""
+        return self._look(codes, ORDER)
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", learnable: Column | None = None, max_docs_per_lang: int = 4000) -> Model:
     """Learns from rows with a text and a language for which learnable holds.
 
@@ -119,48 +177,35 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lear
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(text_col), F.lit(17)), F.lit(1 << 30)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
-    symbol = np.zeros(256, np.uint8)
     if not langs:
-        return Model([], symbol, [])
+        return Model([], [])
     limit = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, max_docs_per_lang / sizes[k]) * (1 << 30)))])
     sample = rows.where(F.col("h") < limit[F.col("lang")]).select("lang", "text")
 
-    def bytes_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            total += np.bincount(_joined(batch.column(1).to_pylist())[0], minlength=256)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["byte", "n"])
-
-    seen = sample.mapInArrow(bytes_in, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    for k, r in enumerate(sorted(seen, key=lambda r: (-r["n"], r["byte"]))[: SYMBOLS - 1], 1):
-        symbol[r["byte"]] = k
-
     def contexts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = np.array(batch.column(0).to_pylist(), object)
             for k in sorted(set(lang)):
                 raw, lengths = _joined(batch.column(1).take(pa.array(np.flatnonzero(lang == k))).to_pylist())
-                codes, n = np.unique(_spread(raw, lengths, symbol), return_counts=True)
+                codes, n = np.unique(_spread(raw, lengths, _BYTES, BITS), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     counted = sample.mapInArrow(contexts_in, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n"))
     by = {r["lang"]: (np.array(r["code"], np.int64), np.array(r["n"], np.float32)) for r in counted.toLocalIterator()}
-    return Model(langs, symbol, [by.get(k, (np.zeros(0, np.int64), np.zeros(0, np.float32))) for k in langs])
+    return Model(langs, [by.get(k, (np.zeros(0, np.int64), np.zeros(0, np.float32))) for k in langs])
 
 
-_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # of this Python worker: a model is unfolded once
+_trees: dict[str, Trees] = {}  # of this Python worker: a model is unfolded once
 
 
-def unfolded(key: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    if key not in _tables:
-        _tables.clear()
-        ordered = [(codes[o], n[o]) for codes, n in model.counts for o in [np.argsort(codes)]]
-        _tables[key] = code_lengths(ordered)
-    return _tables[key]
+def unfolded(key: str, model: Model) -> Trees:
+    if key not in _trees:
+        _trees.clear()
+        _trees[key] = Trees(model.counts)
+    return _trees[key]
 
 
-def score_texts(texts: list[str | None], model: Model, row: np.ndarray, bits: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+def score_texts(texts: list[str | None], model: Model, trees: Trees) -> tuple[list[str], list[float], list[float]]:
     """Language, score and bits a byte of each text."""
     n = len(texts)
     lang, score, rate = [UNDETERMINED] * n, [0.0] * n, [0.0] * n
@@ -171,10 +216,9 @@ def score_texts(texts: list[str | None], model: Model, row: np.ndarray, bits: np
 
     def flush() -> None:
         raw, lengths = _joined([texts[i] for i in block])
-        code = _spread(raw, lengths, model.symbol)
+        code = _spread(raw, lengths, _BYTES, BITS)
         starts = np.cumsum(lengths) - lengths
-        at = row[code >> np.uint32(6)].astype(np.int64) * SYMBOLS + (code & np.uint32(63))
-        per = np.add.reduceat(bits[at], starts, axis=0, dtype=np.float64)
+        per = np.add.reduceat(trees.lengths(code), starts, axis=0, dtype=np.float64)
         best = per.argmin(axis=1)
         for i, b, each, length in zip(block, best, per, lengths):
             gap = (each - each[b]) / length  # bits a byte that other languages' trees need beyond the best
@@ -207,11 +251,11 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
     schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, bits = unfolded(key, shared.value)
+        trees = unfolded(key, shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                lang, score, rate = score_texts(part.column(part.num_columns - 1).to_pylist(), shared.value, row, bits)
+                lang, score, rate = score_texts(part.column(part.num_columns - 1).to_pylist(), shared.value, trees)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*keep, "lang_pred", "score", "bits_per_byte"])
         release()
 
