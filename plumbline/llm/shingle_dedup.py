@@ -64,7 +64,7 @@ def bands(shingle: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in blocks_of(batch, 1):
+        for part, texts in blocks_of(batch, 1, 250_000):
             shingle, size, node = shingle_sets(texts)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(bands(shingle, size).view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), keys], names=["__i", "node", "keys"])
@@ -98,7 +98,7 @@ def shingle_groups(rows: DataFrame) -> DataFrame:
 
     def sets_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in blocks_of(batch, 0):
+            for _, texts in blocks_of(batch, 0, 250_000):
                 shingle, size, node = shingle_sets(texts)
                 ends = np.cumsum(size)
                 _, at = np.unique(node, return_index=True)
