@@ -17,9 +17,10 @@ language, chosen by a hash of the text.
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,20 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .arrays import release
 from .common import table
 
-SYMBOLS = 64  # of code_lengths() alone, the dense form for small alphabets
 ORDER = 3
 BITS = 9  # a symbol in a code: 0 before a text, or a byte + 1
 UNIFORM_BITS = 8.0  # a byte in a uniform code
 _BYTES = np.arange(1, 257, dtype=np.uint16)
 UNDETERMINED = "und"
 ADDED = ("lang_pred", "score", "bits_per_byte")
-_LETTER = re.compile(r"[^\W\d_]").search
+
+
+@cache
+def letter_in():
+    """Finds a letter (Unicode's L categories; number characters are none)."""
+    import regex
+
+    return regex.compile(r"\p{L}").search
 
 
 @dataclass
@@ -46,11 +53,12 @@ class Model:
 
     langs: list[str]
     counts: list[tuple[np.ndarray, np.ndarray]]
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells models apart in workers that outlive one
 
 
-def _spread(raw: np.ndarray, lengths: np.ndarray, symbol: np.ndarray, bits: int = 6) -> np.ndarray:
+def _spread(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each byte of the joined texts, the code of its ORDER predecessors and itself; symbol 0 before a text."""
-    s = symbol[raw].astype(np.uint32 if bits * (ORDER + 1) <= 32 else np.int64)
+    s = _BYTES[raw].astype(np.int64)
     starts = np.cumsum(lengths) - lengths
     code = s.copy()
     for back in range(1, ORDER + 1):
@@ -59,7 +67,7 @@ def _spread(raw: np.ndarray, lengths: np.ndarray, symbol: np.ndarray, bits: int
         for k in range(back):  # positions nearer than back to their text's start have nothing there
             at = starts[lengths > k] + k
             prev[at] = 0
-        code |= prev << s.dtype.type(bits * back)
+        code |= prev << np.int64(BITS * back)
     return code
 
 
@@ -68,47 +76,6 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def _step(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities of symbols after contexts (rows) with counts c, given those after the contexts shorter by one."""
-    seen = c > 0
-    total, kinds = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True).astype(np.float32)
-    free = np.where(seen, np.float32(0), shorter)  # what is not excluded
-    room = free.sum(axis=1, keepdims=True)
-    kinds[room <= 0] = 0  # nowhere to escape to
-    all_ = np.maximum(total + kinds, 1)
-    escape = np.where(total > 0, kinds / all_, 1).astype(np.float32)
-    return np.where(seen, c / all_, escape * free / np.maximum(room, 1e-30)).astype(np.float32)
-
-
-def code_lengths(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a table by context, and the table: bits of each symbol (64 to a row) in each language; PPM with exclusion.
-
-    counts: a language's ascending codes and their counts. Contexts that no language has seen have the row of what they
-    end with, so the table grows with the contexts seen, not with those possible.
-    """
-    seen = np.unique(np.concatenate([codes // SYMBOLS for codes, _ in counts] or [np.zeros(0, np.int64)]))
-    base = SYMBOLS ** (ORDER - 1)
-    row = np.arange(SYMBOLS**ORDER) % base
-    row[seen] = base + np.arange(len(seen))
-    bits = np.empty(((base + len(seen)) * SYMBOLS, len(counts)), np.float16)
-    uniform = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)  # order -1
-    for k, (codes, n) in enumerate(counts):
-        prob = _step(np.bincount(codes % SYMBOLS, n, SYMBOLS).astype(np.float32).reshape(1, SYMBOLS), uniform)
-        for order in range(1, ORDER):
-            size = SYMBOLS ** (order + 1)
-            c = np.bincount(codes % size, n, size).astype(np.float32).reshape(SYMBOLS, -1, SYMBOLS)
-            prob = np.concatenate([_step(slab, prob) for slab in c])
-        own = np.zeros(len(seen) * SYMBOLS, np.float32)
-        own[np.searchsorted(seen, codes // SYMBOLS) * SYMBOLS + codes % SYMBOLS] = n
-        own = own.reshape(-1, SYMBOLS)
-        bits[: base * SYMBOLS, k] = -np.log2(np.maximum(prob, 1e-30)).reshape(-1)
-        for at in range(0, len(seen), 16_384):
-            part = slice(at, at + 16_384)
-            p = _step(own[part], prob[seen[part] % base])
-            bits[(base + at) * SYMBOLS : (base + at) * SYMBOLS + p.size, k] = -np.log2(np.maximum(p, 1e-30)).reshape(-1)
-    return row.astype(np.int32), bits
-
-
 def _found(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each of some numbers is in ascending keys, and whether it is there."""
     at = np.minimum(np.searchsorted(keys, of), max(len(keys) - 1, 0))
@@ -187,7 +154,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lear
             lang = np.array(batch.column(0).to_pylist(), object)
             for k in sorted(set(lang)):
                 raw, lengths = _joined(batch.column(1).take(pa.array(np.flatnonzero(lang == k))).to_pylist())
-                codes, n = np.unique(_spread(raw, lengths, _BYTES, BITS), return_counts=True)
+                codes, n = np.unique(_spread(raw, lengths), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     counted = sample.mapInArrow(contexts_in, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n"))
@@ -198,11 +165,11 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lear
 _trees: dict[str, Trees] = {}  # of this Python worker: a model is unfolded once
 
 
-def unfolded(key: str, model: Model) -> Trees:
-    if key not in _trees:
+def unfolded(model: Model) -> Trees:
+    if model.key not in _trees:
         _trees.clear()
-        _trees[key] = Trees(model.counts)
-    return _trees[key]
+        _trees[model.key] = Trees(model.counts)
+    return _trees[model.key]
 
 
 def score_texts(texts: list[str | None], model: Model, trees: Trees) -> tuple[list[str], list[float], list[float]]:
@@ -216,7 +183,7 @@ def score_texts(texts: list[str | None], model: Model, trees: Trees) -> tuple[li
 
     def flush() -> None:
         raw, lengths = _joined([texts[i] for i in block])
-        code = _spread(raw, lengths, _BYTES, BITS)
+        code = _spread(raw, lengths)
         starts = np.cumsum(lengths) - lengths
         per = np.add.reduceat(trees.lengths(code), starts, axis=0, dtype=np.float64)
         best = per.argmin(axis=1)
@@ -226,8 +193,9 @@ def score_texts(texts: list[str | None], model: Model, trees: Trees) -> tuple[li
             score[i] = float(1 / np.exp2(-gap * 16).sum())  # posterior for a text of 16 such bytes
         block.clear()
 
+    letter = letter_in()
     for i, t in enumerate(texts):
-        if t and _LETTER(t):
+        if t and letter(t):
             block.append(i)
             size += len(t)
             if size > 500_000:
@@ -247,11 +215,10 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
     keep = keep or [c for c in docs.columns if c not in ADDED]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = f"{id(model)}-{len(model.langs)}-{sum(int(n.sum()) for _, n in model.counts)}"
     schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = unfolded(key, shared.value)
+        trees = unfolded(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)

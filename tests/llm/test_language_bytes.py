@@ -12,7 +12,7 @@ from plumbline.llm import language_id
 
 def counted(text):
     raw = np.frombuffer(text, np.uint8)
-    codes, n = np.unique(language_id._spread(raw, np.array([len(raw)]), language_id._BYTES, language_id.BITS), return_counts=True)
+    codes, n = np.unique(language_id._spread(raw, np.array([len(raw)])), return_counts=True)
     return codes, n.astype(np.float32)
 
 
@@ -59,3 +59,19 @@ def test_rare_scripts_beside_common_ones(spark):
     unseen = [(t, k) for k, texts in new.items() for t in texts[3:]]
     out = language_id.predict(spark.createDataFrame(unseen, "text string, wanted string"), model).collect()
     assert all(x.lang_pred == x.wanted for x in out)
+
+
+def test_probabilities_sum_to_one():
+    texts = ("abracadabra abracadabra".encode(), "สวัสดี ภาษาไทย".encode(), bytes(range(256)) * 3)
+    trees = language_id.Trees([counted(t) for t in texts])
+    b = language_id.BITS
+    for context in ((-1, -1, -1), tuple(b"bra"), tuple(texts[1][3:6]), (0, 255, 7), (4, 5, 6)):
+        codes = np.array([(context[0] + 1) << 3 * b | (context[1] + 1) << 2 * b | (context[2] + 1) << b | s + 1 for s in range(256)])
+        assert np.allclose(np.exp2(-trees.lengths(codes).astype(np.float64)).sum(axis=0), 1, atol=1e-4)
+
+
+def test_number_characters_are_no_letters(spark):
+    model = language_id.fit(spark.createDataFrame([("some words", "en"), ("quelques mots", "fr")], "text string, lang string"))
+    texts = ["½ ²", "Ⅷ", "١٢٣", "_", "12 + 3", "", None, "中", "ª", "a1"]
+    out = [x.lang_pred for x in language_id.predict(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), model).collect()]
+    assert [x == "und" for x in out] == [True] * 7 + [False] * 3

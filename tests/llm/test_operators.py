@@ -237,46 +237,6 @@ def test_language_id_held_out(spark):
     assert all(zlib.crc32(str(i).encode()) % 4 != 2 or df.where(language_id.held_out()).where(f"doc_id = {i}").count() for i in (0, 5))
 
 
-def test_ppm_probabilities_sum_to_one():
-    r = np.random.default_rng(0)
-    codes, n = np.unique(r.integers(0, 9, 4000) * 262144 % 64**4 + r.integers(0, 5, 4000), return_counts=True)
-    row, bits = language_id.code_lengths([(codes, n.astype(np.float32)), (codes[:1], n[:1].astype(np.float32))])
-    assert np.allclose(np.exp2(-bits.astype(np.float64)).reshape(-1, 64, 2).sum(axis=1), 1, atol=0.02)
-    assert row.max() == len(bits) // 64 - 1
-
-
-def test_ppm_matches_a_plain_coder():
-    text = b"abracadabra abracadabra"
-    symbol = np.zeros(256, np.uint8)
-    for k, b in enumerate(sorted(set(text)), 1):
-        symbol[b] = k
-    raw, lengths = np.frombuffer(text, np.uint8), np.array([len(text)])
-    codes, n = np.unique(language_id._spread(raw, lengths, symbol), return_counts=True)
-    row, bits = language_id.code_lengths([(codes, n.astype(np.float32))])
-    padded = [0, 0, 0, *symbol[raw].tolist()]
-    counts = [defaultdict(Counter) for _ in range(4)]
-    for i in range(3, len(padded)):
-        for order in range(4):
-            counts[order][tuple(padded[i - order : i])][padded[i]] += 1
-
-    def p(context, s, excluded=()):
-        if context is None:
-            return 1 / 64
-        c = counts[len(context)].get(context)
-        shorter = context[1:] if context else None
-        if not c:
-            return p(shorter, s)
-        total, kinds = sum(c.values()), len(c)
-        if s in c:
-            return c[s] / (total + kinds)
-        return kinds / (total + kinds) * p(shorter, s) / sum(p(shorter, x) for x in range(64) if x not in c)
-
-    for context in ((0, 0, 0), tuple(padded[5:8]), (3, 9, 60)):
-        for s in (1, 2, 5, 63):
-            at = (context[0] << 12) | (context[1] << 6) | context[2]
-            assert bits[row[at] * 64 + s, 0] == pytest.approx(-np.log2(p(context, s)), rel=1e-3)
-
-
 def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
