@@ -1,7 +1,7 @@
 """Token counts by trie-shared dynamic programming.
 
-Every document's text is split into pre-tokens. The distinct ones of a part of a task's rows are inserted into a trie of bytes,
-level by level. A trie node stands for a prefix, and holds the unigram forward score of that prefix: the least cost of any
+Every document's text is split into pre-tokens. The distinct ones of a part of a task's rows, whatever their length, are inserted
+into a trie of bytes, level by level, while several still go on; where few are left, each goes on alone from the state of its node. A trie node stands for a prefix, and holds the unigram forward score of that prefix: the least cost of any
 segmentation into vocabulary pieces, found from the scores of the nodes above it where a piece begins. Prefixes that pre-tokens
 share are therefore scored once. The node where a pre-token ends (its terminal) gives the number of pieces, which is kept.
 
@@ -9,13 +9,14 @@ The scores are frozen and nothing is trained: a piece costs ln(rank + 1) in fixe
 in a public vocabulary (a Zipf law). Single bytes, which the vocabulary lists first whatever their frequency, cost
 as much as its last piece, so that each byte string has a segmentation. Equal costs go to fewer pieces.
 
-Nothing is shuffled or broadcast but the vocabulary file (a parameter, about 1 MB). A task holds one part's trie and the counts of
+Nothing is shuffled or broadcast but the vocabulary file (a parameter, about 1 MB), whose own trie a worker builds once. A task holds one part's trie and the counts of
 at most max_units stretches between white space; when they are more, they are forgotten, which repeats work and changes no result.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import chain
@@ -29,8 +30,9 @@ from .common import table, tokenizer_path
 from .units import PRE_TOKEN, find_units, starts_with_space
 
 SCALE = 1 << 12  # fixed point of a cost
-COUNT_BITS = 24  # a score is cost << COUNT_BITS | pieces
-LEVELS = 64  # longer pre-tokens are walked one by one
+COUNT_BITS = 24  # in the vocabulary, and on levels above LEVELS, a score is cost << COUNT_BITS | pieces
+LEVELS = 1 << 20  # from there on a score may not fit into 64 bits
+FEW = 8  # pre-tokens that go on one by one
 
 
 def piece_costs(vocabulary: bytes) -> dict[bytes, int]:
@@ -69,56 +71,65 @@ class Pieces:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces in the cheapest segmentation of each of some distinct words, not empty."""
-        words, asked = sorted(words), words
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        out = np.zeros(len(words), np.int64)
-        short = np.flatnonzero(sizes <= LEVELS)
-        if len(short):
-            out[short] = self._levels([words[k] for k in short], sizes[short])
-        for k in np.flatnonzero(sizes > LEVELS):
-            out[k] = self._walk(words[k])
-        of = dict(zip(words, out.tolist()))
-        return np.fromiter(map(of.__getitem__, asked), np.int64, len(asked))
-
-    def _levels(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        longest = int(sizes.max())
-        letters = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(-1, longest)
-        out = np.zeros(len(words), np.int64)
+        order = sorted(range(len(words)), key=words.__getitem__)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))[order]
+        letters = np.frombuffer(b"".join(words[k] for k in order), np.uint8)
+        first = np.cumsum(sizes) - sizes
+        found = np.zeros(len(words), np.int64)
         alive, node = np.arange(len(words)), np.zeros(len(words), np.int64)  # words in order, and their nodes of the level above
         score = np.zeros(1, np.int64)  # of the nodes of the level above
         # what may still become a piece: its node above, the score where it began, its place in the vocabulary's trie
         at, began, place = (np.zeros(0, np.int64) for _ in range(3))
-        for level in range(longest):
-            on = sizes[alive] > level
-            alive, node = alive[on], node[on]
-            byte = letters[alive, level]
+        level = 0
+        while len(alive) > (FEW if level else 0) and level < LEVELS:
+            byte = letters[first[alive] + level]
             new = np.concatenate([[True], (node[1:] != node[:-1]) | (byte[1:] != byte[:-1])])
             above, letter = node[new], byte[new]
             node = np.cumsum(new) - 1
             n = np.bincount(at, minlength=len(score))
-            first = np.cumsum(n) - n
+            start = np.cumsum(n) - n
             n = n[above]
             of = np.repeat(np.arange(len(above)), n)
-            k = np.repeat(first[above] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            k = np.repeat(start[above] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             began = np.concatenate([began[k], score[above]])  # those of the node above, and pieces that begin here
             place = np.concatenate([self.next[place[k], letter[of]], self.next[0, letter]]).astype(np.int64)
             at = np.concatenate([of, np.arange(len(above))])
             stays = place >= 0
-            order = np.argsort(at[stays], kind="stable")
-            at, began, place = (x[stays][order] for x in (at, began, place))
+            by_node = np.argsort(at[stays], kind="stable")
+            at, began, place = (x[stays][by_node] for x in (at, began, place))
             score = np.minimum.reduceat(began + self.cost[place], np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])))
-            ended = sizes[alive] == level + 1
-            out[alive[ended]] = score[node[ended]]
-        return out & ((1 << COUNT_BITS) - 1)
-
-    def _walk(self, word: bytes) -> int:
-        scores = [0]
-        active: list[tuple[int, int]] = []
-        for byte in word:
-            active.append((scores[-1], 0))
-            active = [(s, v) for s, v in ((s, int(self.next[v, byte])) for s, v in active) if v >= 0]
-            scores.append(min(s + int(self.cost[v]) for s, v in active))
-        return scores[-1] & ((1 << COUNT_BITS) - 1)
+            level += 1
+            ended = sizes[alive] == level
+            found[alive[ended]] = score[node[ended]] & ((1 << COUNT_BITS) - 1)
+            alive, node = alive[~ended], node[~ended]
+        for w, v in zip(alive.tolist(), node.tolist()):
+            own = slice(*np.searchsorted(at, [v, v + 1]))
+            found[w] = self._on(letters[first[w] + level : first[w] + sizes[w]].tobytes(), int(score[v]), began[own].tolist(), place[own].tolist())
+        out = np.empty(len(words), np.int64)
+        out[order] = found
+        return out
+
+    def _on(self, rest: bytes, score: int, began: list[int], place: list[int]) -> int:
+        """Pieces up to the end of rest, from the state of the node before it. Scores are wider here: cost << 64 | pieces."""
+        wide = lambda x: x >> COUNT_BITS << 64 | x & ((1 << COUNT_BITS) - 1)
+        go, cost, score = self.next.item, self.cost.item, wide(score)
+        active = list(zip(map(wide, began), place))
+        for byte in rest:
+            active.append((score, 0))
+            active = [(s, nxt) for s, nxt in ((s, go(v, byte)) for s, v in active) if nxt >= 0]
+            score = min(s + wide(cost(v)) for s, v in active)
+        return score & ((1 << 64) - 1)
+
+
+_pieces: dict[bytes, Pieces] = {}  # of this Python worker: a vocabulary's trie is built once
+
+
+def pieces_of(vocabulary: bytes) -> Pieces:
+    key = hashlib.sha256(vocabulary).digest()
+    if key not in _pieces:
+        _pieces.clear()
+        _pieces[key] = Pieces(piece_costs(vocabulary))
+    return _pieces[key]
 
 
 class UnitCounts(dict):
@@ -159,7 +170,7 @@ def token_counts(docs: DataFrame, vocabulary: bytes, *, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = UnitCounts(Pieces(piece_costs(shared.value)), max_units)
+        counts = UnitCounts(pieces_of(shared.value), max_units)
         for batch in batches:
             for part, texts in text_parts(batch, 1):
                 units = [find_units(t) if t else [] for t in texts]

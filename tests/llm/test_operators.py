@@ -70,6 +70,34 @@ def test_token_counts(docs, rows):
     assert Counter((r.doc_id, r.n_bytes, r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(docs, vocabulary, max_units=1).collect()) == wanted
 
 
+def test_token_counts_of_long_pre_tokens():
+    """Many of over 64 bytes at once, shared prefixes, and scores that need more than 64 bits."""
+    with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+        vocabulary = f.read()
+    costs, pieces = token_counts.piece_costs(vocabulary), token_counts.pieces_of(vocabulary)
+    longest = max(map(len, costs))
+
+    def least(w):
+        best = [0]
+        for end in range(1, len(w) + 1):
+            best.append(min(best[s] + costs[w[s:end]] for s in range(max(0, end - longest), end) if w[s:end] in costs))
+        return best[-1] & ((1 << token_counts.COUNT_BITS) - 1)
+
+    r = random.Random(1)
+    cjk = "".join(chr(r.randrange(0x4E00, 0x4F00)) for _ in range(500))
+    tried = [cjk.encode(), cjk[:300].encode(), *(("".join(chr(r.randrange(0x4E00, 0x4E20)) for _ in range(r.randrange(20, 60)))).encode() for _ in range(60))]
+    tried += [("the" * k).encode() for k in range(1, 60)] + [b"internationalization" * 9]
+    tried = list(dict.fromkeys(tried))
+    assert pieces.count(tried).tolist() == [least(w) for w in tried]
+    a = pieces.count([b"ab" * 4000])[0]
+    levels, token_counts.LEVELS = token_counts.LEVELS, 16
+    try:
+        assert pieces.count(tried).tolist() == [least(w) for w in tried] and pieces.count([b"ab" * 4000])[0] == a
+    finally:
+        token_counts.LEVELS = levels
+    assert pieces.count([]).tolist() == []
+
+
 def test_mixing(docs, rows):
     size = {}
     for r in rows:
@@ -237,41 +265,6 @@ def test_language_id_held_out(spark):
     assert all(zlib.crc32(str(i).encode()) % 4 != 2 or df.where(language_id.held_out()).where(f"doc_id = {i}").count() for i in (0, 5))
 
 
-def test_packing_round_trip(docs, rows):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    ids = [np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in rows]
-    out = packing.pack(docs, packing.load_tokenizer(), with_ids=True).collect()
-    for r in out:
-        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
-    unique = {r[0] for r in rows} - {3, 7}
-    for k, r in enumerate(rows):
-        if r[0] in unique:
-            own = sorted((x["start"], x["ids"]) for x in out if x["doc_id"] == r[0])
-            assert b"".join(x for _, x in own) == ids[k].tobytes() and all(x["doc_tokens"] == len(ids[k]) for x in out if x["doc_id"] == r[0])
-    assert sum(r["length"] for r in out) == sum(map(len, ids))
-    sequences = defaultdict(list)
-    for r in out:
-        sequences[r["sequence_id"]].append(r)
-    padding = 0
-    for pieces in sequences.values():
-        pieces.sort(key=lambda r: r["offset"])
-        assert [r["offset"] for r in pieces] == np.cumsum([0, *(r["length"] for r in pieces[:-1])]).tolist()
-        n = sum(r["length"] for r in pieces)
-        assert n <= 1024
-        padding += 0 if n & (n - 1) == 0 else 1024 - n
-    assert padding <= 1024 * docs.rdd.getNumPartitions()
-
-
-def test_packing_without_joined_units(docs):
-    """Another tokenizer's file (words in lower case) is read by its own library."""
-    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
-        text = f.read()
-    assert packing.byte_ranks(text) is None
-    assert packing.pack(docs, text).count() > 0
-
-
 def test_exact_dedup(docs, rows):
     import re
 
