@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, with_least
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,20 +48,18 @@ def components(links: DataFrame, stash: Stash, rounds: int = 60) -> DataFrame:
 
     Each round does a large star (every node's larger neighbours go to its smallest) and a small star (its smaller
     neighbours do), each an aggregate and a join by node, and is written to the shared folder; the links then form
-    stars when a round changes nothing. A hub's links are one row each and its minimum is aggregated partially; the join
-    is one that adaptive execution splits. rounds: a bound far above the logarithm needed; beyond it an error is raised.
+    stars when a round changes nothing. A hub's minimum is aggregated partially and comes back to its links by a broadcast, so its
+    links never meet in one task. rounds: a bound far above the logarithm needed; beyond it an error is raised.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     links = links.mapInArrow(_local, "v long, u long").distinct()
     at = stash.n
     links = stash.put(links)
-    seen = None
+    seen, n = None, links.count()
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("n"), F.least("v", "m").alias("m"))
-        large = both.join(least, both["v"] == least["n"]).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "n")
-        joined = large.join(low, large["v"] == low["n"])
+        large = with_least(both, "v", "u", "m", 2 * n).where("u > v").select(F.col("u").alias("v"), F.least("v", "m").alias("u")).distinct()
+        joined = with_least(large, "v", "u", "m", 2 * n)
         small = joined.select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("v <> u").distinct()
         links = stash.put(small)
         if stash.n > at + 2:
@@ -70,7 +68,7 @@ def components(links: DataFrame, stash: Stash, rounds: int = 60) -> DataFrame:
         now = (r["n"], r["h"], r["s"])
         if now == seen and r["n"] == r["k"]:
             break
-        seen = now
+        seen, n = now, r["n"]
     else:
         raise RuntimeError("the links' components were not found within the rounds")
     roots = links.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()

@@ -8,8 +8,8 @@ A new digest is looked up in its slot and compared byte by byte: a perfect hash
 are repeats of the slot's winner; nonmembers form groups of their own.
 
 Shards hold about shard_digests distinct digests each. Copies are counted before any shuffle, so a digest that a
-third of all rows share is one row per task; only the last join, rows to groups, meets hot digests: it is an
-ordinary sort-merge join, which adaptive execution splits where a digest is skewed.
+third of all rows share is one row per task. In the last join, rows to groups, hot digests' groups are broadcast
+(fewer than 65,536, as they hold more than 1 / 65,536 of the rows each).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import by_key, runs
-from .common import SPACE, Stash, table
+from .common import SPACE, Stash, join_hot, table
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values: splitmix64
 
@@ -126,10 +126,10 @@ def exact_dedup(docs: DataFrame, historical: Column, *, id_col: str = "doc_id",
     row with the smallest id stays (a null id only in a group of nulls); rows repeated with that same id stay
     together. historical marks the rows the hash is built over (null: not). Other columns are not read.
     """
-    ids = Stash(docs.sparkSession, "digests").put(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(normal_text(F.col(text_col)), 256)).alias("digest"), F.coalesce(historical, F.lit(False)).alias("old")))
+    stash = Stash(docs.sparkSession, "digests")
+    ids = stash.put(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(normal_text(F.col(text_col)), 256)).alias("digest"), F.coalesce(historical, F.lit(False)).alias("old")))
     groups = digest_groups(ids.where(~F.col("old")).select("id", "digest"), ids.where("old").select("id", "digest"), shard_digests=shard_digests)
-    groups = groups.withColumnRenamed("digest", "of")
-    out = ids.join(groups, ids["digest"] == groups["of"], "inner")
+    out = join_hot(ids, stash.put(groups), "digest", "group_size", ids.count())
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("historical").alias("known"))
 
 

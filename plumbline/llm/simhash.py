@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import blocks_of, by_key, release, row_key, runs, votes
-from .common import Stash, table
+from .common import Stash, join_hot, table, with_least
 from .components import components, forest
 
 NEAR = 4
@@ -201,13 +201,12 @@ def near_groups(fps: DataFrame, *, id_col: str = "doc_id", near: int = NEAR) ->
     """
     stash = Stash(fps.sparkSession, "simhash")
     fps = stash.put(fps)
-    one = stash.put(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
-    parts = components(links(one, stash, near=near), stash)
-    node = one.join(parts, one["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    one = stash.put(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("rows_of_fp")))
+    parts = components(links(one, stash, near=near), stash).withColumnsRenamed({"node": "of", "component": "c"})
+    node = one.join(parts, one["fp"] == parts["of"], "left").select("fp", "least", "rows_of_fp", F.coalesce("c", "fp").alias("c"))
     node = stash.put(node)
-    least = node.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = node.join(least, "component").select(F.col("fp").alias("of"), "component_id")
-    return fps.join(whole, fps["fp"] == whole["of"]).drop("of")
+    whole = stash.put(with_least(node, "c", "least", "component_id", node.count()).select("fp", "rows_of_fp", "component_id"))
+    return join_hot(fps, whole, "fp", "rows_of_fp", fps.count()).drop("rows_of_fp").select(*fps.columns, "component_id")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, near: int = NEAR) -> DataFrame:

@@ -7,7 +7,7 @@ the method of moments (the excess of the units' scatter over binomial scatter).
 distribution; it is blocked when the lower bound of its bad rate, mean less z standard deviations, is above max_bad.
 
 Everything is DataFrame operations. Pages are aggregated by host before they meet anything else; only sums for the three
-strengths reach the driver. Hosts are joined back to pages by an ordinary join, whose hot hosts adaptive execution splits.
+strengths reach the driver. In the join back to pages, hot hosts (of more than 1 / 65,536 of the pages each) are broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, table
+from .common import Stash, join_hot, table
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -51,7 +51,7 @@ def _strength(units: DataFrame) -> float:
 
 
 def reputation(hosts: DataFrame, stash: Stash, *, z: float = 1.645) -> DataFrame:
-    """host, bad_mean, bad_low from hosts (host, n labelled pages, bad ones of them), one row per host."""
+    """host, pages, bad_mean, bad_low from hosts (host, its pages, n labelled ones, bad ones of them), one row per host."""
     hosts = stash.put(hosts.withColumns({"suffix": F.regexp_extract("host", r"([^.]*)$", 1), "domain": F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)}))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     rate = ((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)
@@ -65,7 +65,7 @@ def reputation(hosts: DataFrame, stash: Stash, *, z: float = 1.645) -> DataFrame
     k = _strength(units)
     a, b = F.col("bad") + k * F.col("prior"), F.col("n") - F.col("bad") + k * (1 - F.col("prior"))
     mean = a / (a + b)
-    return units.select("host", mean.alias("bad_mean"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("bad_low"))
+    return units.select("host", "pages", mean.alias("bad_mean"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("bad_low"))
 
 
 def url_filter(pages: DataFrame, outcomes: DataFrame, *, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -81,8 +81,8 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, *, rules: tuple[tuple[str,
     known = outcomes.where(F.col("bad").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("bad").cast("long").alias("bad"))
     pages = with_host_path(pages.select(F.col(id_col), F.col("url")))
     labelled = pages.select("host", F.expr(r"try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '') as bigint)").alias("doc_id")).join(known, "doc_id", "left")
-    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    out = pages.join(reputation(hosts, stash, z=z), "host", "left")
+    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("pages"))
+    out = join_hot(pages, stash.put(reputation(hosts, stash, z=z)), "host", "pages", pages.count())
     verdict = F.coalesce(matched(rules, lambda r: r[2]), F.when(F.col("bad_low") > max_bad, "block").otherwise("allow"))
     return out.select(id_col, "host", "path", matched(rules, lambda r: r[0] + r[1]).alias("rule"), verdict.alias("verdict"), "bad_mean", "bad_low")
 
