@@ -1,7 +1,8 @@
 """URL filters: rules first, then empirical-Bayes host reputation.
 
-A page's outcome is bad or not where it is labelled. The rate of bad pages is a beta-binomial at three levels: suffix
-(a host's last label), registered domain (its last two) and host. Each level's units are shrunk towards their
+A page's outcome is bad or not where it is labelled. The rate of bad pages is a beta-binomial at three levels: suffix, registered
+domain (the suffix and one label more) and host. A suffix is a host's last label, or its last two where registries of countries
+sell names below a second level (``co.uk``); a user part, a port and trailing dots are no part of either. Each level's units are shrunk towards their
 parent's posterior mean, the suffixes towards the overall rate; how strongly is estimated from the labelled pages by
 the method of moments (the excess of the units' scatter over binomial scatter). A host's posterior is a beta
 distribution; it is blocked when the lower bound of its bad rate, mean less z standard deviations, is above max_bad.
@@ -19,6 +20,11 @@ from .common import Stash, join_hot, table
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+#: Labels that stand before a country's two letters in a suffix.
+SECOND_LEVEL = "ac|co|com|edu|go|gob|gov|gouv|net|ne|nom|or|org"
+SUFFIX = rf"(?:^|\.)((?:{SECOND_LEVEL})\.[a-z]{{2}}|[^.]*)$"
+DOMAIN = rf"(?:^|\.)([^.]+\.(?:{SECOND_LEVEL})\.[a-z]{{2}}|[^.]*\.[^.]*|[^.]*)$"
+BESIDE_NAME = r"^.*@|:[0-9]*$|\.+(:[0-9]*)?$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,16 +58,18 @@ def _strength(units: DataFrame) -> float:
 
 def reputation(hosts: DataFrame, stash: Stash, *, z: float = 1.645) -> DataFrame:
     """host, pages, bad_mean, bad_low from hosts (host, its pages, n labelled ones, bad ones of them), one row per host."""
-    hosts = stash.put(hosts.withColumns({"suffix": F.regexp_extract("host", r"([^.]*)$", 1), "domain": F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)}))
+    name = F.regexp_replace("host", BESIDE_NAME, "")
+    hosts = stash.put(hosts.withColumns({"suffix": F.regexp_extract(name, SUFFIX, 1), "domain": F.regexp_extract(name, DOMAIN, 1)}))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     rate = ((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)
     shrunk = lambda k: (F.col("bad") + k * F.col("prior")) / (F.col("n") + k)
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(rate))
-    suffixes = stash.put(suffixes.select("suffix", shrunk(_strength(suffixes)).alias("prior")))
-    domains = stash.put(hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes, "suffix"))
-    domains = domains.select("domain", shrunk(_strength(domains)).alias("prior"))
-    units = stash.put(hosts.join(domains, "domain"))
+    domains = stash.put(hosts.groupBy("domain", "suffix").agg(*sums, F.count("*").alias("hosts")))
+    suffixes = domains.groupBy("suffix").agg(*sums, F.count("*").alias("domains")).withColumn("prior", F.lit(rate))
+    suffixes = stash.put(suffixes.select("suffix", "domains", shrunk(_strength(suffixes)).alias("prior")))
+    domains = stash.put(join_hot(domains, suffixes, "suffix", "domains", domains.count()))
+    domains = stash.put(domains.select("domain", "hosts", shrunk(_strength(domains)).alias("prior")))
+    units = stash.put(join_hot(hosts, domains, "domain", "hosts", hosts.count()))
     k = _strength(units)
     a, b = F.col("bad") + k * F.col("prior"), F.col("n") - F.col("bad") + k * (1 - F.col("prior"))
     mean = a / (a + b)
@@ -96,16 +104,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), outcomes_of(table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
 
 
-SQL = r"""
+SQL = rf"""
 WITH known AS (
   SELECT doc_id, max(CASE WHEN greatest(toxic, 1 - quality) > 0 THEN 1 ELSE 0 END) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND coalesce(toxic, quality) IS NOT NULL GROUP BY doc_id),
 rest AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 cut AS (SELECT page_id, r, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-seen AS (SELECT c.host, k.bad FROM cut c LEFT JOIN known k ON k.doc_id = try_cast(nullif(regexp_extract(c.path, '/([0-9]{1,18})', 1), '') AS BIGINT)),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*)$', 1) AS suffix, regexp_extract(host, '([^.]*\.?[^.]*)$', 1) AS domain,
-                 count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM seen GROUP BY host),
+seen AS (SELECT c.host, k.bad FROM cut c LEFT JOIN known k ON k.doc_id = try_cast(nullif(regexp_extract(c.path, '/([0-9]{{1,18}})', 1), '') AS BIGINT)),
+named AS (SELECT host, bad, regexp_replace(host, '{BESIDE_NAME}', '', 'g') AS name FROM seen),
+hosts AS (SELECT host, any_value(regexp_extract(name, '{SUFFIX}', 1)) AS suffix, any_value(regexp_extract(name, '{DOMAIN}', 1)) AS domain,
+                 count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM named GROUP BY host),
 total AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2) AS rate FROM hosts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS prior FROM hosts, total GROUP BY suffix),
 sk AS (SELECT coalesce(round(1 / least(0.99, greatest(0.001, (sum(n * pow(bad::DOUBLE / n - prior, 2) / (prior * (1 - prior))) - count(*)) / nullif(sum(n - 1), 0))) - 1, 6), 2.0) AS k FROM s0 WHERE n > 0),

@@ -309,6 +309,16 @@ def test_reputation_blocks_bad_hosts(spark):
     assert out[0].verdict == "block" and out[100].verdict == "allow" and out[100].bad_mean < out[200].bad_mean < out[0].bad_mean
 
 
+def test_host_names(spark):
+    hosts = ["a.b.co.uk", "b.co.uk:8080", "co.uk", "taco.uk", "u:p@x.b.com", "b.com.", "b.com.:80", "localhost", "", "x.y.z.org", ".", "a..b"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", F.regexp_replace("host", url_filter.BESIDE_NAME, "").alias("name"))
+    out = {r.host: (r.d, r.s) for r in rows.select("host", F.regexp_extract("name", url_filter.DOMAIN, 1).alias("d"), F.regexp_extract("name", url_filter.SUFFIX, 1).alias("s")).collect()}
+    assert out == {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "taco.uk": ("taco.uk", "uk"), "u:p@x.b.com": ("b.com", "com"), "b.com.": ("b.com", "com"),
+        "b.com.:80": ("b.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""), "x.y.z.org": ("z.org", "org"), ".": ("", ""), "a..b": (".b", "b"),
+    }
+
+
 def vectors():
     r = np.random.default_rng(9)
     base = r.standard_normal((40, 16))
