@@ -101,38 +101,57 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-_M, _M_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, m in enumerate((_M, _M_INVERSE)):
-            x = np.full(max(n, 1 << 16), m, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+LONG = 64  # bytes from which a stretch is hashed by itself
+
+
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes: eight bytes at a time, mixed with all before them; long stretches by XXH3."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eight = np.ndarray(len(raw), "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))
+    on = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[on], size[on]
+    while len(on):
+        x = eight[at]
+        part = left < 8
+        x[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        out[on] = mixed(out[on] ^ x)
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    if len(long := np.flatnonzero(size > LONG)):
+        import xxhash
+
+        data = raw.data
+        for k in long.tolist():
+            out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
 
 
-def stretch_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches of numbers (bytes, or other hashes): a polynomial modulo 2^64, mixed with the length."""
-    power, inverse = _power(len(x) + 1)
-    total = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[1 : len(x) + 1], out=total[1:])
-    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def row_hashes(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of short stretches of numbers, each mixed with all before it."""
+    out = mixed(sizes.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    for k in range(int(sizes.max(initial=0))):
+        on = sizes > k
+        out[on] = mixed(out[on] ^ x[starts[on] + k])
+    return out
 
 
-def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the texts' words (between ASCII white space), joined, and each text's number of words."""
+def word_bounds(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, the starts and ends of their words (between ASCII white space), and each text's number of words."""
     raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
     space = _SPACES[raw]
     edge = np.flatnonzero(np.concatenate([[True], space[:-1]]) != space)
     starts, ends = edge[::2], edge[1::2]
     first = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
-    return stretch_hashes(raw, starts, ends), np.diff(np.searchsorted(starts, first))
+    return raw, starts, ends, np.diff(np.searchsorted(starts, first))
+
+
+def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, joined, and each text's number of words."""
+    raw, starts, ends, n = word_bounds(texts)
+    return byte_hashes(raw, starts, ends), n
 
 
 def text_parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -151,7 +170,6 @@ def blocks_of(batch: pa.RecordBatch, text: int, most: int = 1_000_000, with_byte
 
 def release() -> None:
     """Gives back what a finished task's arrays and caches have left in this worker's allocators, for the tasks that follow."""
-    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

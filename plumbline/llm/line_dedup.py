@@ -1,28 +1,31 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, digits as 0, other ASCII but letters as spaces, one space between words) and get a SimHash of their
-words. Two lines whose fingerprints differ in at most three bits agree in one of four blocks of 16 bits: lines are joined on these
-blocks, compared, and then verified: an edit similarity, 1 - distance / length of the longer, of at least 0.8. Of each connected
-group the first occurrence, by id and place, is kept, and the others are removed from their texts.
-
-The scan sends hashes, not lines. Equal normalised lines are one row from then on. Lines with a near fingerprint go into a bitmap of
-fixed size, which is broadcast; only those lines' texts are sent, in a second scan, to the blocks where they are verified. Within a
-block, pairs already connected are not verified again, so a large group costs a forest, not all its pairs. Crowded blocks are
-split into tiles, whose pairs are compared in tasks of their own.
+words. Two lines whose fingerprints differ in at most three bits agree in one of four blocks of 16 bits, in two of five, in three of
+six: lines are joined on one, two or three blocks at a time, compared, and then verified: an edit similarity, 1 - distance / length of
+the longer, of at least 0.8. Of each connected group the first occurrence, by id and place, is kept, and the others are removed
+from their texts. The number of blocks follows the number of distinct lines, so that a key (16, 25 or 32 bits) has some hundred lines at
+most on average and comparisons grow in proportion; the pairs found are the same.
+
+The scan sends digests (128 bits, BLAKE2), not lines. Equal normalised lines are one row from then on. Lines with a near fingerprint go
+into a bitmap of fixed size, which is broadcast; only those lines' texts are sent, in a second scan, to the blocks where they are
+verified. Within a block, pairs already connected are not verified again, so a large group costs a forest, not all its pairs.
+Crowded blocks are split into tiles, whose pairs are compared in tasks of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import bitmap, by_key, in_bitmap, release, row_key, runs, stretch_hashes, text_parts, votes
-from .common import Stash, table
+from .arrays import bitmap, by_key, byte_hashes, in_bitmap, release, row_key, runs, text_parts, votes
+from .common import Stash, join_hot, table, with_least
 from .components import components
 
 NEAR, SIMILAR = 3, 0.8
@@ -40,7 +43,7 @@ def normal_line(line: str) -> str:
 
 
 class Lines:
-    """The lines with words of some texts: text, place, hash, words' hashes and numbers."""
+    """The lines with words of some texts: text, place, normal form, words' hashes and numbers."""
 
     def __init__(self, texts: list[str | None]):
         parts = [folded(t or "") for t in texts]
@@ -49,14 +52,14 @@ class Lines:
         space = (raw == 32) | (raw == 10)
         edge = np.flatnonzero(np.concatenate([[True], space[:-1]]) != space)
         starts, ends = edge[::2], edge[1::2]
-        self.words = stretch_hashes(raw, starts, ends)
+        self.words = byte_hashes(raw, starts, ends)
         feed = np.flatnonzero(raw == 10)
         line = np.searchsorted(feed, starts)  # of each word
         first, last = runs(line)
         self.line = line[first] if len(line) else line
         self.sizes = last - first
-        self.hash = stretch_hashes(self.words, first, last).view(np.int64)
-        self.begin, self.end = np.concatenate([[0], feed[:-1] + 1])[self.line], feed[self.line]
+        data = self.raw
+        self.normal = [b" ".join(data[b:e].split()) for b, e in zip(np.concatenate([[0], feed[:-1] + 1])[self.line].tolist(), feed[self.line].tolist())]
         counts = np.cumsum([0, *(p.count(b"\n") + 1 for p in parts)])
         self.text = np.searchsorted(counts, self.line, side="right") - 1
         self.place = self.line - counts[self.text]
@@ -64,8 +67,9 @@ class Lines:
     def fingerprints(self) -> np.ndarray:
         return votes(self.words, self.sizes).view(np.int64)
 
-    def shown(self, k: int) -> str:
-        return b" ".join(self.raw[self.begin[k] : self.end[k]].split()).decode("utf-8", "surrogatepass")
+    def digests(self) -> list[bytes]:
+        digest = hashlib.blake2b
+        return [digest(x, digest_size=16).digest() for x in self.normal]
 
 
 def distance_at_most(a: str, b: str, most: int) -> bool:
@@ -115,25 +119,53 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_parts(batch, 2):
             x = Lines(texts)
             row = pa.array(x.text)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(x.place.astype(np.int32)), pa.array(x.hash), pa.array(x.fingerprints())], names=["id", "rk", "place", "line", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(x.place.astype(np.int32)), pa.array(x.digests(), pa.binary()), pa.array(x.fingerprints())], names=["id", "rk", "place", "line", "fp"])
     release()
 
 
-#: The keys of a fingerprint: the number and the bits of each of its four blocks.
-_KEYS = "transform(sequence(0, 3), b -> shiftleft(cast(b as bigint), 16) + (shiftrightunsigned(fp, 16 * b) & 65535))"
+class Keys:
+    """The keys of a fingerprint: for each choice of all blocks but NEAR, its number and the bits of these blocks."""
 
+    def __init__(self, blocks: int):
+        cuts = [64 * k // blocks for k in range(blocks + 1)]
+        self.chosen = list(combinations([(a, b - a) for a, b in zip(cuts, cuts[1:])], blocks - NEAR))
+        self.masks = [sum(((1 << n) - 1) << at for at, n in blocks_) for blocks_ in self.chosen]
+        self.width = max(sum(n for _, n in blocks_) for blocks_ in self.chosen)
+        self.bits = self.width + (len(self.chosen) - 1).bit_length()  # of a key; what is left of 62 is for the numbers of two tiles
 
-def _dealt(rows: DataFrame, tile: int) -> DataFrame:
-    """rows (line, fp, ...) by block key, as k, own (the row's place in a pair of tiles) and same (the pair is one tile twice).
+    def column(self) -> str:
+        """SQL of the array of keys of column fp."""
+        keys = []
+        for number, blocks_ in enumerate(self.chosen):
+            at, parts = 0, [f"{number << self.width}L"]
+            for first, n in blocks_:
+                parts.append(f"shiftleft(shiftrightunsigned(fp, {first}) & {(1 << n) - 1}L, {at})")
+                at += n
+            keys.append(" + ".join(parts))
+        return f"array({', '.join(keys)})"
 
-    There are 4 x 65,536 keys, so the table of their sizes is broadcast. A key that one row has goes; one with more than tile rows is
-    split into tiles, and each pair of its tiles is a group of its own: so no task holds more than two tiles.
+    @staticmethod
+    def of(lines: int) -> "Keys":
+        return Keys(4 if lines < 1 << 23 else 5 if lines < 1 << 32 else 6)
+
+
+def _dealt(rows: DataFrame, keys: Keys, tile: int) -> DataFrame:
+    """rows (node, fp, ...) by block key, as k, own (the row's place in a pair of tiles) and same (the pair is one tile twice).
+
+    A key with more than tile rows is split into tiles, and each pair of its tiles is a group of its own: so no task holds more
+    than two tiles. Keys of 16 bits are few (4 x 65,536), so the table of their sizes is broadcast, and keys of one row go.
     """
-    keyed = rows.withColumn("b", F.explode(F.expr(_KEYS)))
-    sizes = rows.select(F.explode(F.expr(_KEYS)).alias("b")).groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    out = keyed.join(F.broadcast(sizes), "b").withColumn("t", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
+    keyed = rows.withColumn("b", F.explode(F.expr(keys.column())))
+    sizes = rows.select(F.explode(F.expr(keys.column())).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    tiles = F.ceil(F.col("n") / tile).cast("int").alias("tiles")
+    if keys.width == 16:
+        out = keyed.join(F.broadcast(sizes.where("n > 1").select("b", tiles)), "b")
+    else:
+        out = keyed.join(sizes.where(F.col("n") > tile).select("b", tiles), "b", "left").fillna(1, ["tiles"])
+    out = out.withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     out = out.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    k = F.col("b") + F.shiftleft(F.least("t", "o").cast("long"), 18) + F.shiftleft(F.greatest("t", "o").cast("long"), 40)
+    half = (62 - keys.bits) // 2
+    k = F.col("b") + F.shiftleft(F.least("t", "o").cast("long"), keys.bits) + F.shiftleft(F.greatest("t", "o").cast("long"), keys.bits + half)
     return out.select(k.alias("k"), (F.col("t") <= F.col("o")).alias("own"), (F.col("t") == F.col("o")).alias("same"), *rows.columns)
 
 
@@ -151,7 +183,7 @@ def _near_pairs(fp: np.ndarray, own: np.ndarray, same: bool) -> Iterator[tuple[n
 
 def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
     """Lines that have another within NEAR bits in their block."""
-    k, own, same, line = (t.column(c).to_numpy() for c in ("k", "own", "same", "line"))
+    k, own, same = (t.column(c).to_numpy() for c in ("k", "own", "same"))
     fp = t.column("fp").to_numpy().view(np.uint64)
     near = np.zeros(len(k), bool)
     starts, ends = runs(k)
@@ -170,12 +202,15 @@ def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
             for i, j in _near_pairs(fp[s:e], own[s:e], bool(same[s])):
                 near[s + i] = True
                 near[s + j] = True
-    return pa.RecordBatch.from_arrays([pa.array(np.unique(line[near]))], names=["line"]) if near.any() else None
+    if not near.any():
+        return None
+    _, at = np.unique(t.column("node").to_numpy()[near], return_index=True)
+    return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(np.flatnonzero(near)[at])) for c in ("node", "line")], names=["node", "line"])
 
 
-def _verified(t: pa.Table) -> pa.RecordBatch | None:
+def _verified(t: pa.Table, keys: Keys) -> pa.RecordBatch | None:
     """Links of a forest of the similar pairs in each group."""
-    k, own, same, line = (t.column(c).to_numpy() for c in ("k", "own", "same", "line"))
+    k, own, same, node = (t.column(c).to_numpy() for c in ("k", "own", "same", "node"))
     fp, text = t.column("fp").to_numpy().view(np.uint64), t.column("text")
     links: list[tuple[int, int]] = []
     for s, e in zip(*runs(k)):
@@ -191,11 +226,11 @@ def _verified(t: pa.Table) -> pa.RecordBatch | None:
             return x
 
         block = fp[s:e]
-        number = int(k[s] >> 16) & 3
+        number = (int(k[s]) & ((1 << keys.bits) - 1)) >> keys.width
         for i, j in _near_pairs(block, own[s:e], bool(same[s])):
             differ = block[i] ^ block[j]
-            for b in range(number):  # a pair that agrees in an earlier block is verified there
-                stays = (differ >> np.uint64(16 * b)) & np.uint64(0xFFFF) != 0
+            for mask in keys.masks[:number]:  # a pair that agrees in an earlier choice of blocks is verified there
+                stays = differ & np.uint64(mask) != 0
                 i, j, differ = i[stays], j[stays], differ[stays]
             for x, y in zip(i.tolist(), j.tolist()):
                 a, b = find(x), find(y)
@@ -203,11 +238,11 @@ def _verified(t: pa.Table) -> pa.RecordBatch | None:
                     texts = texts or text.slice(s, e - s).to_pylist()
                     if similar(texts[x], texts[y]):
                         root[b] = a
-                        links.append((int(line[s + x]), int(line[s + y])))
+                        links.append((int(node[s + x]), int(node[s + y])))
     return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"]) if links else None
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096, keys: Keys | None = None) -> DataFrame:
     """All columns of docs (but those named so), its text without the removed lines, and n_lines, n_removed (longs).
 
     Lines are split at line feeds. Lines without words (nothing but ASCII punctuation and white space) stay, as do null and empty texts (n_lines: 0 and 1; an
@@ -215,39 +250,49 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     and text, have the same lines kept and removed. Null ids come after all others in the order of occurrences.
     """
     stash = Stash(docs.sparkSession, "lines")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
-    seen = stash.put(rows.mapInArrow(_hashed, "id long, rk long, place int, line long, fp long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("rk"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    seen = stash.put(rows.select("id", "rk", "text").mapInArrow(_hashed, "id long, rk long, place int, line binary, fp long"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "place")
-    one = stash.put(seen.groupBy("line").agg(F.first("fp").alias("fp"), F.min(order).alias("first"), F.count("*").alias("n")))
-    near = stash.put(by_key(_dealt(one.select("line", "fp"), tile), _near_lines, "line long"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(near, "line", near.count()))
+    one = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.min(order).alias("first"), F.count("*").alias("n"))
+    one = stash.put(one.withColumn("node", F.monotonically_increasing_id()))  # numbers that stay, as they are stored
+    keys = keys or Keys.of(one.count())
+    near = stash.put(by_key(_dealt(one.select("node", "line", "fp"), keys, tile), _near_lines, "node long, line binary").dropDuplicates(["node"]))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(near.select(F.xxhash64("line").alias("h")), "h", near.count()))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             for _, texts in text_parts(batch, 0):
                 x = Lines(texts)
-                line, at = np.unique(x.hash, return_index=True)
-                at = at[in_bitmap(bits.value, line.view(np.uint64))]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.hash[at]), pa.array(x.fingerprints()[at]), pa.array([x.shown(k) for k in at.tolist()], pa.string())], names=["line", "fp", "text"])
+                at = {line: k for k, line in enumerate(x.digests())}
+                hashes = np.fromiter((xxhash.xxh64_intdigest(line, 42) for line in at), np.uint64, len(at))
+                there = in_bitmap(bits.value, hashes).tolist()
+                lines, at = zip(*((line, k) for (line, k), yes in zip(at.items(), there) if yes)) if any(there) else ((), ())
+                if lines:
+                    normal = [x.normal[k].decode("utf-8", "surrogatepass") for k in at]
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array(x.fingerprints()[list(at)]), pa.array(normal, pa.string())], names=["line", "fp", "text"])
         release()
 
-    texts = stash.put(rows.select("text").mapInArrow(wanted, "line long, fp long, text string").dropDuplicates(["line"]))
-    links = by_key(_dealt(texts, tile), _verified, "a long, b long", least_rows=2_000)
+    texts = rows.select("text").mapInArrow(wanted, "line binary, fp long, text string").dropDuplicates(["line"])
+    texts = stash.put(texts.join(near, "line").select("node", "fp", "text"))
+    links = by_key(_dealt(texts, keys, tile), lambda t: _verified(t, keys), "a long, b long", least_rows=2_000)
     parts = components(links, stash)
-    group = one.join(parts, one["line"] == parts["node"], "left").where("n > 1 or component is not null")
-    group = stash.put(group.select("line", "first", F.coalesce("component", "line").alias("component")))
-    keeper = group.groupBy("component").agg(F.min("first").alias("keeper"))
-    again = group.join(keeper, "component").select(F.col("line").alias("of"), "keeper")
-    gone = seen.join(again, F.col("line") == F.col("of")).where(~order.eqNullSafe(F.col("keeper"))).groupBy("id", "rk").agg(F.collect_set("place").alias("gone"))
-    gone = gone.select(F.col("id").alias("__i"), F.col("rk").alias("__r"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__rk": row_key(F.col(text_col))})
-    joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__rk") == F.col("__r")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.expr(f"array_join(transform(filter(transform(split(`{text_col}`, '\\n'), (x, i) -> struct(x, i as i)), y -> not array_contains(__gone, y.i)), y -> y.x), '\\n')")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), lines)), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.lit(0), F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias("n_removed"))
+    group = one.join(parts, "node", "left").where("n > 1 or component is not null")
+    group = stash.put(group.select("line", "n", "first", F.coalesce("component", "node").alias("component")))
+    again = stash.put(with_least(group, "component", "first", "keeper", group.count()).select("line", "n", "keeper"))
+    gone = join_hot(seen, again, "line", "n", seen.count()).where(~order.eqNullSafe(F.col("keeper"))).groupBy("id", "rk").agg(F.collect_set("place").alias("gone"))
+    gone = gone.select(F.col("id").alias("of_id"), F.col("rk").alias("of_rk"), "gone")
+    joined = rows.select("id", "rk", "row").join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("rk") == F.col("of_rk")), "left")
+    old = F.col("row").getField(text_col)
+    lines = F.coalesce(F.length(old) - F.length(F.replace(old, F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    # split once: the outer transform binds the lines and the places that stay
+    cut = F.array(F.struct(F.split(old, "\n").alias("l"), F.array_except(F.sequence(F.lit(0), lines.cast("int") - 1), F.col("gone")).alias("stay")))
+    kept = F.transform(cut, lambda x: F.array_join(F.transform(x["stay"], lambda i: F.get(x["l"], i)), "\n"))[0]
+    text = F.when(F.col("gone").isNull(), old).otherwise(kept)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    columns = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in names]
+    return joined.select(*columns, lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

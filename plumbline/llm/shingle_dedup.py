@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import bitmap, blocks_of, in_bitmap, mixed, release, stretch_hashes, words_of
-from .common import Stash
+from .arrays import bitmap, blocks_of, in_bitmap, mixed, release, row_hashes, words_of
+from .common import Stash, join_hot, with_least
 from .components import components
 from .simhash import one_of_each
 
@@ -36,14 +36,17 @@ def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndar
     count = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
     of = np.repeat(np.arange(len(n)), count)
     start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    shingle = stretch_hashes(word, start, start + np.minimum(words, n)[of])
+    shingle = row_hashes(word, start, np.minimum(words, n)[of])
     order = np.lexsort((shingle, of))
     shingle = shingle[order]
     new = np.ones(len(of), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (of[1:] != of[:-1])
     shingle, size = shingle[new], np.bincount(of[new], minlength=len(n))
-    ends = np.cumsum(size)
-    node = np.where(size > 0, stretch_hashes(shingle, ends - size, ends), np.uint64(0))
+    node = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        each = mixed(shingle + np.uint64(0xD6E8FEB86659FD93))
+        node[some] = mixed(np.add.reduceat(each, (np.cumsum(size) - size)[some]) ^ mixed(size[some].astype(np.uint64)))
     return shingle, size, node
 
 
@@ -88,8 +91,8 @@ def shingle_groups(rows: DataFrame) -> DataFrame:
     """Every __i of rows (__i, __t) with component_id, the smallest __i reachable by near pairs. Texts without words are one group."""
     stash = Stash(rows.sparkSession, "shingles")
     seen = stash.put(rows.select("__i", "__t").mapInArrow(_banded, f"__i {rows.schema['__i'].dataType.simpleString()}, node long, keys array<long>"))
-    one = seen.where("node <> 0").select("node", "keys").dropDuplicates(["node"])
-    keyed = stash.put(one.select("node", F.explode("keys").alias("key")))
+    one = stash.put(seen.groupBy("node").agg(F.first("keys").alias("keys"), F.count("*").alias("rows_of_node")))
+    keyed = stash.put(one.where("node <> 0").select("node", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "hub")
     keyed = stash.put(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "hub"))
     stars = stash.put(keyed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
@@ -122,10 +125,9 @@ def shingle_groups(rows: DataFrame) -> DataFrame:
     more = stash.put(_verified(rest, sets))
     if not more.isEmpty():
         parts = components(links.unionByName(more), stash).withColumnRenamed("node", "of")
-    placed = seen.join(parts, F.col("node") == F.col("of"), "left").select("__i", F.coalesce("component", "node").alias("c"))
-    placed = stash.put(placed)
-    least = placed.groupBy(F.col("c").alias("g")).agg(F.min("__i").alias("component_id"))
-    return placed.join(least, F.col("c") == F.col("g")).select("__i", "component_id")
+    whole = one.join(parts, F.col("node") == F.col("of"), "left").select("node", "rows_of_node", F.coalesce("component", "node").alias("c"))
+    placed = stash.put(join_hot(seen.select("__i", "node"), stash.put(whole), "node", "rows_of_node", seen.count()).select("__i", "c"))
+    return with_least(placed, "c", "__i", "component_id", placed.count()).select("__i", "component_id")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,16 +7,21 @@ it; it is indexed in blocks, by the anchor's hash, and each document's stretches
 
 1. A scan counts anchors (summed per part of a batch, then per task, before the shuffle). Those that recur go into a bitmap of
    fixed size, which is broadcast.
-2. A second scan sends, for each anchor in the bitmap, the stretch of words whose windows have this anchor to its block.
-   There each stretch is parsed against all others of the block: windows equal in all words to another extend a
-   factor, checked word by word, and the factors come back as spans of the document.
-3. Anchors that recur more often than the blocks can hold (a bounded list) take another way to the same result: their windows are
-   aggregated by hash (128 bits) and joined back.
+2. A second scan sends, for each anchor in the bitmap, the words whose windows have this anchor to its block. There all
+   stretches are the reference: the sorted order of their suffixes (by window) is the index, and a suffix's longest match elsewhere
+   is beside it. Each stretch is parsed greedily: the longest match is a factor; the next one starts at the first window
+   beyond it that has a match. A factor's words and those of its reference are then compared, byte by byte, once from boundary
+   to boundary. Where hashes have lied, the whole block is parsed again with windows told apart by their bytes.
+3. Anchors that recur more often than a block holds go into a second bitmap. Their windows are counted by SHA-256 digest, in
+   partial sums before the shuffle, and joined back; hot digests are broadcast. Groups and broadcasts are thus bounded at every size.
 4. Words in spans are removed.
+
+Words of over 64 bytes travel as digests (SHA-256, marked so that no word looks like one).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import bitmap, blocks_of, by_key, in_bitmap, mixed, release, row_key, words_of
-from .common import Stash, table
+from .arrays import LONG, bitmap, blocks_of, by_key, byte_hashes, in_bitmap, mixed, release, row_key, word_bounds
+from .common import Stash, join_hot, table
 
 GRAM = 8
-_M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))  # odd multipliers of the rolling hashes
+_M = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the rolling hashes
 _POSITION = 28  # bits of a position in the sliding minimum
 
 
-def _rolling(w: np.ndarray, size: int, multiplier: np.uint64) -> np.ndarray:
+def _rolling(w: np.ndarray, size: int, multiplier: np.uint64 = _M) -> np.ndarray:
     """Hash of each stretch of size successive numbers."""
     n = len(w) - size + 1
     out, at = np.zeros(n, np.uint64), 0
@@ -59,16 +64,22 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - width)], x[size - width :])
 
 
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Parsed:
     """Words of some texts: their hashes (joined), the texts' first words, and every window's start and anchor."""
 
     def __init__(self, texts: list[bytes | None], window: int):
-        self.hash, self.n = words_of(texts)
+        self.raw, self.begin, self.end, self.n = word_bounds(texts)
+        self.hash = byte_hashes(self.raw, self.begin, self.end)
         self.first = np.cumsum(self.n) - self.n
         self.start = np.zeros(0, np.int64)
         if len(self.hash) < window:
             return
-        gram = mixed(_rolling(self.hash, GRAM, _M[0]))
+        gram = mixed(_rolling(self.hash, GRAM))
         key = (gram >> np.uint64(_POSITION) << np.uint64(_POSITION)) | np.arange(len(gram), dtype=np.uint64)
         least = _least(key, window - GRAM + 1)
         last = np.repeat(self.first + self.n - window, self.n)[: len(least)]  # of each word: the last window of its text
@@ -76,6 +87,19 @@ class Parsed:
         self.at = (least[self.start] & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
         self.gram = gram
 
+    def shown(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with a space after each, words of over LONG bytes as digests, and where each word starts."""
+        size = self.end - self.begin
+        if (size > LONG).any():
+            words = [self.raw[b:e].tobytes() for b, e in zip(self.begin.tolist(), self.end.tolist())]
+            words = [w if len(w) <= LONG else b"\t" + hashlib.sha256(w).hexdigest().encode() for w in words]
+            out = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+            size = np.fromiter(map(len, words), np.int64, len(words))
+        else:
+            out = self.raw[_spans(self.begin, size + 1)]
+            out[np.cumsum(size + 1) - 1] = 32
+        return out, np.concatenate([[0], np.cumsum(size + 1)])
+
     def text_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, positions, side="right") - 1
 
@@ -99,105 +123,132 @@ def _count_anchors(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
 
 
-def _packed(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Successive stretches of numbers as binaries."""
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(x.itemsize)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
-
-
 def _stretches(bits: np.ndarray, hot: np.ndarray, window: int):
-    """Of each anchor in the bitmap and not hot: row, first word in its text, where the anchor is, the words' hashes (32 bits), the windows' (64)."""
+    """Of each anchor in the bitmap and not hot: row, first word in its text, the words."""
 
     def give(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch | None:
-        a = p.gram[p.at].view(np.int64)
-        hit = in_bitmap(bits, a.view(np.uint64)) & ~np.isin(a, hot)
+        a = p.gram[p.at]
+        hit = in_bitmap(bits, a) & ~in_bitmap(hot, a)
         if not hit.any():
             return None
         start, at, a = p.start[hit], p.at[hit], a[hit]
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
-        i = np.flatnonzero(new)
+        i = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
         begin, end = start[i], np.append(start[i[1:] - 1], start[-1]) + window
-        size = end - begin
-        flat = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        words = (p.hash[flat] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        shown, place = p.shown()
+        size = place[end] - place[begin] - 1
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(shown[_spans(place[begin], size)].tobytes())])
         text = p.text_of(begin)
-        whole = mixed(_rolling(p.hash, window, _M[1])[start])
         row = pa.array(text)
-        return pa.RecordBatch.from_arrays([pa.array(a[i]), part.column(0).take(row), part.column(1).take(row), pa.array((begin - p.first[text]).astype(np.int64)), pa.array((at[i] - begin).astype(np.int32)), _packed(words, size), _packed(whole, size - window + 1)], names=["k", "id", "rk", "first", "lead", "words", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(a[i].view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(begin - p.first[text]), words], names=["k", "id", "rk", "first", "words"])
 
     return give
 
 
 def _windows(hot: np.ndarray, window: int):
-    """The windows of hot anchors: row, first word in its text, hash."""
+    """The windows of hot anchors: row, first word in its text, digest."""
 
     def give(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch | None:
-        hit = np.isin(p.gram[p.at].view(np.int64), hot)
+        hit = in_bitmap(hot, p.gram[p.at])
         if not hit.any():
             return None
         start = p.start[hit]
-        both = [pa.array(mixed(_rolling(p.hash, window, m)[start]).view(np.int64)) for m in _M]
+        shown, place = p.shown()
+        data, digest = shown.tobytes(), hashlib.sha256
+        digests = [digest(data[b:e]).digest() for b, e in zip(place[start].tolist(), (place[start + window] - 1).tolist())]
         text = p.text_of(start)
         row = pa.array(text)
-        return pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(start - p.first[text]), *both], names=["id", "rk", "first", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(start - p.first[text]), pa.array(digests, pa.binary())], names=["id", "rk", "first", "digest"])
 
     return give
 
 
-def parse_block(t: pa.Table, window: int) -> pa.RecordBatch | None:
+def longest_matches(x: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and place of the longest match elsewhere of each suffix of some stretches; end: where each place's stretch ends."""
+    m = len(x)
+    place = np.arange(m)
+    ranks, width = [x], 1  # ranks[k]: equal where 2^k elements from there are
+    while m and width < int((end - place).max()):
+        after = np.zeros(m, np.int64)
+        on = place + width < end
+        after[on] = ranks[-1][place[on] + width] + 1
+        ranks.append(np.unique(ranks[-1] * (m + 2) + after, return_inverse=True)[1])
+        width *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        i, j = a + common, b + common
+        on = (i + (1 << k) <= end[a]) & (j + (1 << k) <= end[b])
+        on[on] = ranks[k][i[on]] == ranks[k][j[on]]
+        common[on] += 1 << k
+    length, where = np.zeros(m, np.int64), np.full(m, -1)
+    length[b], where[b] = common, a
+    longer = common > length[a]
+    length[a[longer]], where[a[longer]] = common[longer], b[longer]
+    return length, where
+
+
+def parse_block(t: pa.Table, window: int, by_bytes: bool = False) -> pa.RecordBatch | None:
     """Factors of a block's stretches (whole groups of one anchor) against each other, as spans of their rows' words."""
-    k, lead = t.column("k").to_numpy().view(np.uint64), t.column("lead").to_numpy().astype(np.int64)
     packed = t.column("words").combine_chunks()
-    size = pc.binary_length(packed).to_numpy().astype(np.int64) // 4
-    w = np.frombuffer(b"".join(packed.to_pylist()), np.uint32).astype(np.uint64)
-    begin = np.cumsum(size) - size
+    data = b" ".join(packed.to_pylist()) + b" "
+    raw = np.frombuffer(data, np.uint8)
+    close = np.flatnonzero(raw == 32)
+    place = np.concatenate([[0], close + 1])  # of each word
+    size = np.diff(np.searchsorted(close, np.cumsum(pc.binary_length(packed).to_numpy().astype(np.int64) + 1) - 1, side="right"), prepend=0)
     n = size - window + 1  # windows of each stretch
     of = np.repeat(np.arange(len(size)), n)
-    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = begin[of] + shift
-    h = np.frombuffer(b"".join(t.column("windows").to_pylist()), np.uint64) ^ mixed(k[of] + (lead[of] - shift).astype(np.uint64))
+    at = _spans(np.cumsum(size) - size, n)  # the first word of each window
+    if by_bytes:
+        ids: dict[bytes, int] = {}
+        h = np.array([ids.setdefault(data[b:e], len(ids)) for b, e in zip(place[at].tolist(), (place[at + window] - 1).tolist())], np.uint64)
+    else:
+        h = mixed(_rolling(byte_hashes(raw, place[:-1], close), window))[at]
     order = np.argsort(h, kind="stable")
-    near = np.flatnonzero(h[order[1:]] == h[order[:-1]])
-    one, two = order[near], order[near + 1]
-    same = k[of[one]] == k[of[two]]
-    for s in range(0, len(near), 20_000):  # word by word
-        p = slice(s, s + 20_000)
-        same[p] &= (w[at[one[p]][:, None] + np.arange(window)] == w[at[two[p]][:, None] + np.arange(window)]).all(axis=1)
-    again = np.zeros(len(h), bool)
-    again[one[same]] = True
-    again[two[same]] = True
-    hit = np.flatnonzero(again)
+    new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    kind = np.empty(len(h), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    hit = np.flatnonzero(np.bincount(kind)[kind] > 1)
     if not len(hit):
         return None
-    new = np.concatenate([[True], (of[hit[1:]] != of[hit[:-1]]) | (shift[hit[1:]] != shift[hit[:-1]] + 1)])
-    i = np.flatnonzero(new)
-    last = hit[np.append(i[1:] - 1, len(hit) - 1)]
-    row = of[hit[i]]
-    first = t.column("first").to_numpy()[row]
+    begins = np.concatenate([[True], (of[hit[1:]] != of[hit[:-1]]) | (at[hit[1:]] != at[hit[:-1]] + 1)])
+    end = np.append(np.flatnonzero(begins)[1:], len(hit))[np.cumsum(begins) - 1]  # of the run of such windows
+    length, where = longest_matches(np.unique(kind[hit], return_inverse=True)[1], end)
+    factors = []
+    length_of, end_of, p = length.tolist(), end.tolist(), 0
+    while p < len(hit):  # greedily; the next factor starts at the first window not inside this one
+        factors.append(p)
+        p += length_of[p]
+    f = np.array(factors)
+    begin, other, words = at[hit[f]], at[hit[where[f]]], length[f] + window - 1
+    for a, b, c, d in zip(place[begin].tolist(), place[begin + words].tolist(), place[other].tolist(), place[other + words].tolist()):
+        if data[a:b] != data[c:d]:
+            return parse_block(t, window, by_bytes=True)
+    row = of[hit[f]]
+    first = t.column("first").to_numpy()[row] + begin - (np.cumsum(size) - size)[row]
     rows = pa.array(row)
-    return pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(rows), t.column("rk").combine_chunks().take(rows), pa.array(first + shift[hit[i]]), pa.array(first + shift[last] + window)], names=["id", "rk", "begin", "end"])
+    return pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(rows), t.column("rk").combine_chunks().take(rows), pa.array(first), pa.array(first + words)], names=["id", "rk", "begin", "end"])
 
 
 def spans(docs: DataFrame, *, window: int = 35, most_in_block: int = 32_768) -> DataFrame:
     """id, rk, begin, end (words) of factors of at least window words, of docs (id long, rk long, text); they may overlap.
 
-    most_in_block bounds a group of stretches; it grows only when over 2^16 anchors would be above it, so that the list of
-    those stays short enough to send.
+    most_in_block bounds a group of stretches in one task.
     """
     stash = Stash(docs.sparkSession, "factors")
     anchors = _scan(docs, window, _count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     anchors = stash.put(anchors.where("n > 1"))
-    r = anchors.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    limit = max(most_in_block, r["n"] >> 16)
-    hot = np.sort(anchors.where(F.col("n") > limit).select("anchor").toArrow().column(0).to_numpy().astype(np.int64))
+    often = anchors.where(F.col("n") > most_in_block)
+    r = anchors.agg(F.count("*").alias("k"), F.count_if(F.col("n") > most_in_block).alias("often")).first()
     sc = docs.sparkSession.sparkContext
-    bits, hots = sc.broadcast(bitmap(anchors, "anchor", r["k"])), sc.broadcast(hot)
-    sent = _scan(docs, window, lambda part, p: _stretches(bits.value, hots.value, window)(part, p), "k long, id long, rk long, first long, lead int, words binary, windows binary")
+    bits, hot = sc.broadcast(bitmap(anchors, "anchor", r["k"])), sc.broadcast(bitmap(often, "anchor", r["often"]))
+    sent = _scan(docs, window, lambda part, p: _stretches(bits.value, hot.value, window)(part, p), "k long, id long, rk long, first long, words binary")
     found = by_key(sent, lambda t: parse_block(t, window), "id long, rk long, begin long, end long", least_rows=5_000)
-    if len(hot):
-        rows = stash.put(_scan(docs, window, lambda part, p: _windows(hots.value, window)(part, p), "id long, rk long, first long, h1 long, h2 long"))
-        again = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-        more = rows.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    if r["often"]:
+        rows = stash.put(_scan(docs, window, lambda part, p: _windows(hot.value, window)(part, p), "id long, rk long, first long, digest binary"))
+        again = stash.put(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
+        more = join_hot(rows, again, "digest", "n", rows.count())
         found = found.unionByName(more.select("id", "rk", F.col("first").alias("begin"), (F.col("first") + window).alias("end")))
     return found
 

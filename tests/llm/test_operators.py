@@ -224,12 +224,35 @@ def test_line_dedup(docs, rows):
         lines = r[1].split("\n") if r[1] is not None else []
         out = gone.get((r[0] is None, r[0] or 0, line_key(r[1])), set())
         wanted[r[0], None if r[1] is None else "\n".join(x for p, x in enumerate(lines) if p not in out), len(lines), len(out)] += 1
-    for tile in (4096, 1):
-        got = line_dedup.line_dedup(docs, tile=tile)
+    for tile, blocks in ((4096, 4), (1, 4), (4096, 5), (1, 6)):
+        got = line_dedup.line_dedup(docs, tile=tile, keys=line_dedup.Keys(blocks))
         assert got.columns == [*docs.columns, "n_lines", "n_removed"]
         assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == wanted
 
 
+def test_line_keys_hold_all_near_pairs():
+    r = random.Random(7)
+    for blocks in (4, 5, 6):
+        keys = line_dedup.Keys(blocks)
+        assert keys.width + 2 * 10 + keys.bits - keys.width <= 62 and sum(m.bit_count() for m in keys.masks) > 0
+        for _ in range(300):
+            a = r.getrandbits(64)
+            b = a
+            for x in r.sample(range(64), r.randint(0, 3)):
+                b ^= 1 << x
+            assert any((a ^ b) & m == 0 for m in keys.masks)
+
+
+def test_line_dedup_keeps_other_columns_and_ends(spark):
+    """Columns with the names of its own, and a document of many repeated lines."""
+    row = lambda i, t: (i, t, "keep me", 5, "x", 7, "y", 8, 9)
+    rows = [row(1, "same line here\n" * 200_000), row(2, "other line\nsame line here"), row(3, "")]
+    names = "doc_id long, text string, __id string, rk int, `row` string, gone int, N_Lines string, line int, `with.dot` int"
+    out = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, names)).collect()}
+    assert out[1].text == "same line here\n" and (out[1].n_lines, out[1].n_removed) == (200_001, 199_999)
+    assert out[2].text == "other line" and all((r["__id"], r.rk, r.row, r.gone, r.line, r["with.dot"]) == ("keep me", 5, "x", 7, 8, 9) for r in out.values())
+
+
 def line_key(t):
     return 0 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
 
@@ -365,25 +388,6 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(np.mean(error)) < 0.002
 
 
-def brute_spans(rows, window):
-    starts = Counter(tuple(words(r[1])[s : s + window]) for r in rows for s in range(len(words(r[1])) - window + 1))
-    for r in rows:
-        w = words(r[1])
-        gone = set()
-        for s in range(len(w) - window + 1):
-            if starts[tuple(w[s : s + window])] > 1:
-                gone.update(range(s, s + window))
-        yield r[0], len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()
-
-
-def test_substring_dedup(docs, rows):
-    wanted = Counter(brute_spans(rows, 35))
-    assert sum(n for _, _, n, _ in wanted) > 100
-    for most in (32_768, 2):  # 2: most anchors take the way of the hot ones
-        out = substring_dedup.substring_dedup(docs, most_in_block=most).collect()
-        assert Counter(map(tuple, out)) == wanted
-
-
 def test_operators_take_empty_tables(spark, empty):
     with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
         assert token_counts.token_counts(empty, f.read()).count() == 0
