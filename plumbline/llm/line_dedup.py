@@ -52,7 +52,7 @@ class Lines:
         space = (raw == 32) | (raw == 10)
         edge = np.flatnonzero(np.concatenate([[True], space[:-1]]) != space)
         starts, ends = edge[::2], edge[1::2]
-        self.words = byte_hashes(raw, starts, ends)
+        self.bounds = raw, starts, ends
         feed = np.flatnonzero(raw == 10)
         line = np.searchsorted(feed, starts)  # of each word
         first, last = runs(line)
@@ -65,7 +65,7 @@ class Lines:
         self.place = self.line - counts[self.text]
 
     def fingerprints(self) -> np.ndarray:
-        return votes(self.words, self.sizes).view(np.int64)
+        return votes(byte_hashes(*self.bounds), self.sizes).view(np.int64)
 
     def digests(self) -> list[bytes]:
         digest = hashlib.blake2b
@@ -109,9 +109,30 @@ def distance_at_most(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def distance_bound(a: list[str], b: list[str], ahead: int = 6) -> int:
+    """No less than the edit distance of two lines of words: words that differ are replaced up to where both go on alike soon after."""
+    m, n, i, j, bound = len(a), len(b), 0, 0, 0
+    length = lambda words: sum(map(len, words)) + len(words)
+    while i < m and j < n:
+        if a[i] == b[j]:
+            i += 1
+            j += 1
+            continue
+        skip = next(((p, s - p) for s in range(1, 2 * ahead) for p in range(max(0, s - ahead), min(s, ahead) + 1) if a[i + p : i + p + 2] == b[j + s - p : j + s - p + 2] != []), None)
+        if skip is None:
+            break
+        p, q = skip
+        bound += max(length(a[i : i + p]), length(b[j : j + q]))
+        i += p
+        j += q
+    return bound + max(length(a[i:]), length(b[j:]))
+
+
 def similar(a: str, b: str, least: float = SIMILAR) -> bool:
-    longer = max(len(a), len(b))
-    return distance_at_most(a, b, int((1 - least) * longer + 1e-9))
+    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    return distance_bound(a.split(" "), b.split(" ")) <= most or distance_at_most(a, b, most)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +226,8 @@ def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
     if not near.any():
         return None
     _, at = np.unique(t.column("node").to_numpy()[near], return_index=True)
-    return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(np.flatnonzero(near)[at])) for c in ("node", "line")], names=["node", "line"])
+    names = ["node", "line", "fp"]
+    return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(np.flatnonzero(near)[at])) for c in names], names=names)
 
 
 def _verified(t: pa.Table, keys: Keys) -> pa.RecordBatch | None:
@@ -256,7 +278,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     one = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.min(order).alias("first"), F.count("*").alias("n"))
     one = stash.put(one.withColumn("node", F.monotonically_increasing_id()))  # numbers that stay, as they are stored
     keys = keys or Keys.of(one.count())
-    near = stash.put(by_key(_dealt(one.select("node", "line", "fp"), keys, tile), _near_lines, "node long, line binary").dropDuplicates(["node"]))
+    near = stash.put(by_key(_dealt(one.select("node", "line", "fp"), keys, tile), _near_lines, "node long, line binary, fp long").dropDuplicates(["node"]))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(near.select(F.xxhash64("line").alias("h")), "h", near.count()))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +293,10 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 lines, at = zip(*((line, k) for (line, k), yes in zip(at.items(), there) if yes)) if any(there) else ((), ())
                 if lines:
                     normal = [x.normal[k].decode("utf-8", "surrogatepass") for k in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array(x.fingerprints()[list(at)]), pa.array(normal, pa.string())], names=["line", "fp", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array(normal, pa.string())], names=["line", "text"])
         release()
 
-    texts = rows.select("text").mapInArrow(wanted, "line binary, fp long, text string").dropDuplicates(["line"])
+    texts = rows.select("text").mapInArrow(wanted, "line binary, text string").dropDuplicates(["line"])
     texts = stash.put(texts.join(near, "line").select("node", "fp", "text"))
     links = by_key(_dealt(texts, keys, tile), lambda t: _verified(t, keys), "a long, b long", least_rows=2_000)
     parts = components(links, stash)

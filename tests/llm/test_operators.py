@@ -272,6 +272,8 @@ def test_edit_distance():
         a = "".join(r.choice("abc") for _ in range(r.randint(0, 20)))
         b = "".join(c if r.random() < 0.8 else r.choice("abc") for c in a) + r.choice(["", "a", "bb"])
         m = r.randint(0, 12)
+        x, y = (" ".join(s[k : k + 2] for k in range(0, len(s), 2)) for s in (a, b))
+        assert line_dedup.distance_bound(x.split(" "), y.split(" ")) >= distance(x, y)
         assert line_dedup.distance_at_most(a, b, m) == (distance(a, b) <= m)
 
 
