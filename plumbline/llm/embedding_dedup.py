@@ -1,16 +1,21 @@
 """Embedding near-deduplication with randomised-rotation binary codes.
 
-Unit vectors are turned by a seeded random rotation; a vector's code is the signs of its coordinates. Stored with the code is its
-correction factor, the inner product of the vector and its own code. For another vector q, (code . q) / factor estimates the
-cosine without bias, and the estimate's error is bounded with confidence by eps * sqrt((1 - factor^2) / factor^2 / (d - 1)).
-Pairs whose bound reaches the threshold from either side are recomputed exactly, in double precision; the rest, far below it, are not.
+Unit vectors are turned by a seeded random rotation. Stored of each are: its code, the signs of its coordinates; its correction factor,
+the inner product of the vector and its own code; and its coordinates in four bits each, rounded at random (seeded), for the
+other side of an estimate. (code of x . rounded y) / factor of x estimates the cosine of x and y without bias. The rotation makes
+the part of the code beside x point anywhere, so the estimate of a cosine c errs by sqrt(1 - c^2) sqrt(1 - factor^2) / factor / sqrt(d - 1)
+(one standard error), and by half a step of the rounding. Pairs whose confidence bounds (eps standard errors) reach the threshold
+are recomputed exactly, in double precision; the others, far below it, are not.
 
 Vectors are compared within a label and length only. Equal vectors are one row with a count; each label's rows are dealt to tiles, and
-each pair of tiles is a task that returns counts of links and a forest of them, never pairs.
+each pair of tiles is a task. Codes alone are dealt (5 / 8 byte a dimension). A pair of tiles answers which of its vectors have a
+candidate there; these vectors are fetched for it, and their exact cosines give counts of links and a forest of them, never pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import by_key, runs
-from .common import Stash, table
+from .common import Stash, join_hot, table, with_least
 from .components import components, forest
 
 THRESHOLD = 0.93
@@ -29,33 +34,113 @@ def rotation(d: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-class Codes:
-    """Codes and correction factors of unit vectors (rows)."""
-
-    def __init__(self, unit: np.ndarray, turn: np.ndarray):
-        self.turned = (unit @ turn).astype(np.float32)
-        d = unit.shape[1]
-        self.signs = np.where(self.turned >= 0, np.float32(1), np.float32(-1)) / np.float32(np.sqrt(d))
-        self.factor = np.einsum("ij,ij->i", self.signs, self.turned)
-        self.error = np.sqrt(np.maximum(0, 1 - self.factor**2) / np.maximum(self.factor**2, 1e-12) / max(1, d - 1))
+LEVELS = 15  # steps of the rounded coordinates
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float, eps: float, block: int = 1024):
-    """(i, j) of rows of x and y with a cosine of at least threshold; rows are finite and not zero."""
+class Codes:
+    """Codes, correction factors and rounded coordinates of unit vectors (rows)."""
+
+    def __init__(self, unit: np.ndarray, turn: np.ndarray, seed: int = 11):
+        self.d = unit.shape[1]
+        turned = unit @ turn
+        self.positive = turned >= 0
+        self.factor = np.abs(turned).sum(axis=1) / np.sqrt(self.d)
+        self.low = turned.min(axis=1)
+        self.step = np.maximum(turned.max(axis=1) - self.low, 1e-12) / LEVELS
+        noise = np.random.default_rng(seed + 1).random(self.d)
+        self.rounded = np.clip(np.floor((turned - self.low[:, None]) / self.step[:, None] + noise), 0, LEVELS).astype(np.uint8)
+
+    def packed(self) -> np.ndarray:
+        """A row of bytes for each: signs, then two coordinates a byte."""
+        pairs = np.pad(self.rounded, ((0, 0), (0, self.d % 2))).reshape(len(self.rounded), -1, 2)
+        return np.concatenate([np.packbits(self.positive, axis=1), pairs[:, :, 0] << 4 | pairs[:, :, 1]], axis=1)
+
+    @staticmethod
+    def read(packed: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signs (-1, 1) and rounded coordinates. Products of the two are sums of small integers, exact in single precision: the same
+        numbers that popcounts of the coordinates' bit planes give."""
+        cut = -(-d // 8)
+        signs = np.unpackbits(packed[:, :cut], axis=1, count=d).astype(np.float32) * 2 - 1
+        both = packed[:, cut:]
+        return signs, np.stack([both >> 4, both & 15], axis=2).reshape(len(packed), -1)[:, :d].astype(np.float32)
+
+
+def estimates(signs: np.ndarray, factor: np.ndarray, rounded: np.ndarray, low: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Estimated cosines of all coded (rows) with all rounded (columns) vectors."""
+    root = np.float32(np.sqrt(signs.shape[1]))
+    return ((signs @ rounded.T) * step + np.outer(signs.sum(axis=1), low)) / (root * factor[:, None])
+
+
+def errors(factor: np.ndarray, step: float, d: int, cosine: float, eps: float) -> np.ndarray:
+    """How far an estimate may be below a cosine of at least this much."""
+    beside = np.sqrt(np.maximum(0, 1 - cosine**2)) * np.sqrt(np.maximum(0, 1 - factor**2)) / factor
+    return np.hypot(beside * min(1.0, eps / np.sqrt(max(1, d - 1))), eps * step / (2 * factor)) + 1e-5
+
+
+def candidates(left: tuple, right: tuple, threshold: float, eps: float, same: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Which of left and right (codes, factor, low, step, d) have a pair both of whose bounds (code of either, coordinates of the
+    other) reach the threshold. The second bound is found where the first leaves few."""
+    d = left[4]
+    (signs, mine), (theirs, rounded) = Codes.read(left[0], d), Codes.read(right[0], d)
+    least, other = ((threshold - errors(x[1], float(y[3].max(initial=0)), d, threshold, eps)).astype(np.float32) for x, y in ((left, right), (right, left)))
+    root, total = np.float32(np.sqrt(d)), theirs.sum(axis=1)
+    a, b = np.zeros(len(signs), bool), np.zeros(len(rounded), bool)
+    for at in range(0, len(signs), block):
+        part = slice(at, at + block)
+        near = estimates(signs[part], left[1][part], rounded, right[2], right[3]) >= least[part, None]
+        if same:  # each pair once
+            near &= np.arange(len(rounded)) > np.arange(at, at + near.shape[0])[:, None]
+        i, j = np.nonzero(near) if np.count_nonzero(near) < 200_000 else (None, None)
+        if i is None:
+            a[part] |= near.any(axis=1)
+            b |= near.any(axis=0)
+            continue
+        i += at
+        back = (np.einsum("ij,ij->i", theirs[j], mine[i]) * left[3][i] + total[j] * left[2][i]) / (root * right[1][j])
+        stays = back >= other[j]
+        a[i[stays]] = True
+        b[j[stays]] = True
+    return a, b
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float, block: int = 1024):
+    """(i, j) of rows of x and y with a cosine of at least threshold, in double precision; rows are finite and not zero."""
     norm_x, norm_y = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (x, y))
-    a, b = Codes(x / norm_x[:, None], turn), Codes(y / norm_y[:, None], turn)
     for at in range(0, len(x), block):
-        s = slice(at, at + block)
-        first = (a.signs[s] @ b.turned.T) / a.factor[s, None] + eps * a.error[s, None]
-        second = (a.turned[s] @ b.signs.T) / b.factor[None, :] + eps * b.error[None, :]
-        i, j = np.nonzero(np.maximum(first, second) >= threshold - 1e-5)
+        i, j = np.nonzero(x[at : at + block] @ y.T >= (threshold - 1e-9) * norm_x[at : at + block, None] * norm_y)
         for k in range(0, len(i), 200_000):
             p, q = i[k : k + 200_000] + at, j[k : k + 200_000]
             near = np.einsum("ij,ij->i", x[p], y[q]) / (norm_x[p] * norm_y[q]) >= threshold
             yield p[near], q[near]
 
 
-def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, eps: float = 4.5, tile: int = 8192, seed: int = 11) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and where each list starts and the last ends."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+
+
+def _coded(seed: int):
+    """node, class, codes, factor, low, step, d of vectors (node, class, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
+        for batch in batches:
+            flat, at = _matrix(pa.chunked_array([batch.column(2)]))
+            size = np.diff(at)
+            for d in np.unique(size).tolist():
+                rows = np.flatnonzero(size == d)
+                turn = turns.setdefault(d, rotation(d, seed))
+                x = flat[at[rows][:, None] + np.arange(d)]
+                c = Codes(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], turn, seed)
+                codes = pa.array([r.tobytes() for r in c.packed()], pa.binary())
+                floats = [pa.array(v.astype(np.float32)) for v in (c.factor, c.low, c.step)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), codes, *floats, pa.array([d] * len(rows), pa.int32())], names=["node", "class", "codes", "factor", "low", "step", "d"])
+
+    return run
+
+
+def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, eps: float = 6, tile: int = 16_384, seed: int = 11) -> DataFrame:
     """One row per row of vectors: id_col, n_links (other rows linked directly), component_id, kept (it is the smallest id of its component).
 
     Links: equal labels, not null, and a cosine of at least threshold. Vectors that are null, zero, or hold null or non-finite
@@ -67,32 +152,46 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     vec = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("v"), F.col(label_col).cast("string").alias("label"))
     fine = F.col("label").isNotNull() & F.coalesce(F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"), F.lit(False))
-    rows = stash.put(rows.withColumn("node", F.when(fine, F.xxhash64("label", "v"))).withColumn("v", F.when(fine, F.col("v"))))
-    one = rows.where("node is not null").groupBy("label", "v", "node").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    one = stash.put(one.withColumn("class", F.xxhash64("label", F.size("v"))))
+    key = F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64("v", "label", F.lit(1)).alias("b"))
+    rows = stash.put(rows.withColumn("key", F.when(fine, key)).withColumn("v", F.when(fine, F.col("v"))))
+    one = rows.where("key is not null").groupBy("label", "v", "key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    one = stash.put(one.withColumns({"class": F.xxhash64("label", F.size("v")), "node": F.monotonically_increasing_id()}))  # numbers that stay, as they are stored
+    coded = stash.put(one.select("node", "class", "v").mapInArrow(_coded(seed), "node long, class long, codes binary, factor float, low float, step float, d int"))
     sizes = stash.put(one.groupBy("class").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
-    dealt = one.join(sizes, "class").withColumn("t", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int"))
+    dealt = coded.join(sizes, "class").withColumn("t", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select(F.xxhash64("class", F.least("t", "o"), F.greatest("t", "o")).alias("k"), "class", (F.col("t") <= F.col("o")).alias("left"), (F.col("t") == F.col("o")).alias("same"), "node", "n", "v")
+    dealt = dealt.select(F.xxhash64("class", F.least("t", "o"), F.greatest("t", "o")).alias("k"), (F.col("t") <= F.col("o")).alias("left"), (F.col("t") == F.col("o")).alias("same"), *coded.drop("class").columns)
+
+    def sides(left: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        alone = bool(same.all())
+        return l, l if alone else r, alone
 
-    def compare(t: pa.Table) -> pa.RecordBatch | None:
+    def choose(t: pa.Table) -> pa.RecordBatch:
+        """The vectors of each pair of tiles that have a candidate there."""
+        k, left, same, node, factor, low, step, d = (t.column(c).to_numpy() for c in ("k", "left", "same", "node", "factor", "low", "step", "d"))
+        codes, chosen = t.column("codes").combine_chunks(), np.zeros(len(k), bool)
+        for s, e in zip(*runs(k)):
+            if (d[s:e] != d[s]).any():
+                raise ValueError("two classes of vectors met under one hash; choose another seed")
+            packed = np.frombuffer(b"".join(codes.slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1)
+            l, r, alone = sides(left[s:e], same[s:e])
+            a, b = candidates(*((packed[x], factor[s + x], low[s + x], step[s + x], int(d[s])) for x in (l, r)), threshold, eps, alone)
+            chosen[s + l[a]] = True
+            chosen[s + r[b]] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (k, left, same, node)], names=["k", "left", "same", "node"])
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        """Counts of links of the vectors in each pair of tiles, and forests of the links."""
         k, left, same, node, n = (t.column(c).to_numpy() for c in ("k", "left", "same", "node", "n"))
-        column = t.column("v").combine_chunks()
-        flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
+        flat, at = _matrix(t.column("v"))
         found, count, forests = [], [], []
         for s, e in zip(*runs(k)):
-            d = at[s + 1] - at[s]
-            if (np.diff(at[s : e + 1]) != d).any():
-                raise ValueError("two classes of vectors met under one hash; choose another seed")
-            m = flat[at[s] : at[e]].reshape(-1, d)
-            turn = rotation(int(d), seed)
-            l, r = np.flatnonzero(left[s:e]), np.flatnonzero(~left[s:e])
-            alone = bool(same[s:e].all())
-            if alone:
-                r = l
+            m = flat[at[s] : at[e]].reshape(e - s, -1)
+            l, r, alone = sides(left[s:e], same[s:e])
             total = np.zeros(e - s, np.int64)
             v, u = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for i, j in near_pairs(m[l], m[r], turn, threshold, eps):
+            for i, j in near_pairs(m[l], m[r], threshold):
                 p, q = l[i], r[j]
                 other = p != q
                 p, q = p[other], q[other]
@@ -109,15 +208,17 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         zero = np.zeros(len(a), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((nodes, a), (np.zeros_like(nodes), b), (counts, zero), (np.zeros(len(nodes), bool), np.ones(len(a), bool)))], names=["a", "b", "n", "link"])
 
-    made = stash.put(by_key(dealt, compare, "a long, b long, n long, link boolean", least_rows=tile))
+    chosen = stash.put(by_key(dealt, choose, "k long, left boolean, same boolean, node long", least_rows=tile))
+    fetched = chosen.join(one.select("node", "n", "v"), "node")
+    made = stash.put(by_key(fetched, compare, "a long, b long, n long, link boolean", least_rows=tile // 4))
     parts = components(made.where("link").select("a", "b"), stash)
-    counts = made.where("not link").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "of")
-    node = one.join(parts, one["node"] == parts["node"], "left").select(one["node"], "n", "least", F.coalesce("component", one["node"]).alias("component"))
-    node = stash.put(node.join(counts, F.col("node") == F.col("of"), "left").select("node", "n", "least", "component", F.coalesce("others", F.lit(0)).alias("others")))
-    least = node.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = node.join(least, "component").select(F.col("node").alias("of"), (F.col("others") + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.join(whole, F.col("node") == F.col("of"), "left")
-    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    counts = made.where("not link").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "node")
+    node = one.select("key", "node", "n", "least").join(parts, "node", "left").join(counts, "node", "left")
+    node = stash.put(node.select("key", "n", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    whole = stash.put(with_least(node, "component", "least", "component_id", node.count()).select("key", "n", "n_links", "component_id"))
+    linked = join_hot(rows.where("key is not null").select("id", "key"), whole, "key", "n", rows.count()).select("id", "n_links", "component_id")
+    alone = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -376,20 +376,38 @@ def test_embeddings(spark):
         assert Counter(map(tuple, embedding_dedup.embedding_dedup(df, tile=tile).collect())) == wanted
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("d", [16, 63, 64, 300])
+def test_estimates_are_unbiased_and_bounded(d):
     r = np.random.default_rng(3)
-    x = r.standard_normal((300, 64))
+    x = r.standard_normal((150, d))
+    x = np.concatenate([x, x + 0.35 * r.standard_normal((150, d))])
     x /= np.linalg.norm(x, axis=1)[:, None]
     true = x @ x.T
     error = []
     for seed in range(20):
-        c = embedding_dedup.Codes(x, embedding_dedup.rotation(64, seed))
-        e = (c.signs @ c.turned.T) / c.factor[:, None] - true
-        assert (np.abs(e) <= 4.5 * c.error[:, None]).mean() > 0.9999
-        error.append(e)
+        c = embedding_dedup.Codes(x, embedding_dedup.rotation(d, seed), seed)
+        signs, rounded = embedding_dedup.Codes.read(c.packed(), d)
+        assert (signs == np.where(c.positive, 1, -1)).all() and (rounded == c.rounded).all()
+        assert c.packed().shape[1] == -(-d // 8) + (d + 1) // 2
+        e = embedding_dedup.estimates(signs, c.factor, rounded, c.low, c.step) - true
+        near = true >= 0.93
+        bound = np.broadcast_to(embedding_dedup.errors(c.factor, float(c.step.max()), d, 0.93, 4.0)[:, None], true.shape)
+        assert (true + e >= 0.93 - bound)[near].mean() > 0.999
+        error.append(e[~np.eye(len(x), dtype=bool)])
     assert abs(np.mean(error)) < 0.002
 
 
+def test_few_vectors_are_fetched():
+    """Of unlike vectors, the bound leaves few."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((4000, 64))
+    x[1] = x[0] + 0.1 * r.standard_normal(64)
+    c = embedding_dedup.Codes(x / np.linalg.norm(x, axis=1)[:, None], embedding_dedup.rotation(64))
+    side = (c.packed(), c.factor.astype(np.float32), c.low.astype(np.float32), c.step.astype(np.float32), 64)
+    a, b = embedding_dedup.candidates(side, side, 0.93, 6, True)
+    assert (a | b)[:2].all() and (a | b).sum() < 100
+
+
 def test_operators_take_empty_tables(spark, empty):
     with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
         assert token_counts.token_counts(empty, f.read()).count() == 0
