@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, line dedup, near-dedup by shingles, mixing to target weights, packing.
+"""A corpus pipeline: language ID, line dedup, near-dedup by SimHash and shingles, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns of
 documents. Stages are written as Parquet to the shared folder and read again, so a lost executor costs one stage's work.
@@ -60,7 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stash = Stash(spark, "pipeline")
     for _, stage in STAGES:
+        made = len(Stash.made)
         docs = stash.put(stage(spark, docs, sf_dir))
+        Stash.cleared(made)  # the stage's own intermediates
         if stash.n > 1:
             stash.drop(stash.n - 1)
     return docs

@@ -1,13 +1,16 @@
-"""Near deduplication by the similarity of word shingles, verified exactly.
+"""Near deduplication of documents by SimHash anchors and the similarity of word shingles, verified exactly.
 
 A text's set is that of its shingles' 64-bit hashes: five successive words (ASCII case folded, split at ASCII white space); fewer
-words are one shingle. Two sets are near if their Jaccard similarity is at least 0.8. Candidates share a band: the least values of five of
-160 hash functions over the set. A pair at a similarity s shares none of the 32 bands with a probability of (1 - s^5)^32: 3e-6 at
-0.8, 4e-13 at 0.9; so nearly all pairs are candidates, and every candidate counts only after its whole sets are compared.
+words are one shingle. Two sets are near if their Jaccard similarity is at least 0.8. Candidates come from two places:
 
-Equal sets are one node. In a band, all its nodes are first compared with one of them; then only pairs not yet connected are
-compared, so a group of near copies costs a star, not all its pairs. Sets are sent only for nodes with candidates; a node that many
-are compared with is replicated, so that no task holds all of its pairs.
+- fingerprints: SimHash of the set, linked within four bits by anchor-point covering (simhash.py);
+- bands: the least values of five of 160 hash functions over the set. Four bits alone are not enough at this similarity: a pair at 0.8
+  differs in 10 bits of 64 on average, and no cover reaches that far at a bearable cost. A pair at a similarity s shares
+  none of the 32 bands with a probability of (1 - s^5)^32: 3e-6 at 0.8, 4e-13 at 0.9.
+
+Every candidate counts only after its whole sets are compared. Equal sets are one node. In a band, all its nodes are first compared
+with one of them; then only pairs not yet connected are compared, so a group of near copies costs a star, not all its pairs. Sets are
+sent only for nodes with candidates; a node that many are compared with is replicated, so that no task holds all of its pairs.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import bitmap, blocks_of, in_bitmap, mixed, release, row_hashes, words_of
+from . import simhash
+from .arrays import bitmap, blocks_of, in_bitmap, mixed, release, row_hashes, votes, words_of
 from .common import Stash, join_hot, with_least
 from .components import components
-from .simhash import one_of_each
 
 WORDS, BANDS, ROWS = 5, 32, 5
 PARTS, OF = 4, 5  # a similarity of 4 / 5, in integers
@@ -70,7 +73,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks_of(batch, 1, 250_000):
             shingle, size, node = shingle_sets(texts)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(bands(shingle, size).view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), keys], names=["__i", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(votes(shingle, size).view(np.int64)), keys], names=["__i", "node", "fp", "keys"])
     release()
 
 
@@ -87,16 +90,26 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(OF * shared >= PARTS * (x + y - shared)).select("a", "b")
 
 
+def _by_fingerprint(nodes: DataFrame, stash: Stash) -> DataFrame:
+    """a, b: nodes whose fingerprints are equal or linked: all of a fingerprint's with its smallest, and the smallest of linked ones."""
+    least = stash.put(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
+    equal = join_hot(nodes, least.where("n > 1"), "fp", "n", nodes.count()).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = stash.put(simhash.links(least.select("fp"), stash)).select("a", "b")
+    links = links.join(least.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
+    return equal.unionByName(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+
+
 def shingle_groups(rows: DataFrame) -> DataFrame:
     """Every __i of rows (__i, __t) with component_id, the smallest __i reachable by near pairs. Texts without words are one group."""
     stash = Stash(rows.sparkSession, "shingles")
-    seen = stash.put(rows.select("__i", "__t").mapInArrow(_banded, f"__i {rows.schema['__i'].dataType.simpleString()}, node long, keys array<long>"))
-    one = stash.put(seen.groupBy("node").agg(F.first("keys").alias("keys"), F.count("*").alias("rows_of_node")))
+    seen = stash.put(rows.select("__i", "__t").mapInArrow(_banded, f"__i {rows.schema['__i'].dataType.simpleString()}, node long, fp long, keys array<long>"))
+    one = stash.put(seen.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("rows_of_node")))
     keyed = stash.put(one.where("node <> 0").select("node", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "hub")
     keyed = stash.put(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "hub"))
-    stars = stash.put(keyed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    wanted = stash.put(keyed.select("node").distinct())
+    stars = keyed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    stars = stash.put(stars.unionByName(_by_fingerprint(one.where("node <> 0").select("node", "fp"), stash)).distinct())
+    wanted = stash.put(stars.select(F.explode(F.array("a", "b")).alias("node")).unionByName(keyed.select("node")).distinct())
     bits = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "node", wanted.count()))
 
     def sets_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,4 +145,4 @@ def shingle_groups(rows: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, one row of each group of near copies: the one with the smallest id (nulls last), then the smallest row key."""
-    return one_of_each(docs, shingle_groups, id_col=id_col, text_col=text_col)
+    return simhash.one_of_each(docs, shingle_groups, id_col=id_col, text_col=text_col)

@@ -6,7 +6,7 @@ lies within three bits (its covering radius) of exactly one codeword, its home a
 within radius plus threshold, four bits; there are six at most. Then a pair that is near in a block meets at the home anchor
 of either. At each anchor those at home are compared with all replicas, and a forest of the links goes on, not all pairs.
 
-Above some ten million fingerprints the blocks are two halves of 32 bits, of which 23 bits are coded and nine stand as they are: a pair
+From 2^25 distinct fingerprints on the blocks are two halves of 32 bits, of which 23 bits are coded and nine stand as they are: a pair
 differs in at most two bits of a half, so replicas go to anchors within five bits whose nine bits differ in at most two (about
 105 a half), and a forty-eighth as many pairs are compared.
 
@@ -209,19 +209,6 @@ def near_groups(fps: DataFrame, *, id_col: str = "doc_id", near: int = NEAR) ->
     return join_hot(fps, whole, "fp", "rows_of_fp", fps.count()).drop("rows_of_fp").select(*fps.columns, "component_id")
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, near: int = NEAR) -> DataFrame:
-    """docs, one row of each group of near copies: the one with the smallest id; rows repeated with that id stay once.
-
-    Shingles of five words; at most near differing bits. Texts without words (null, empty) are one group like any other.
-    """
-    names = docs.columns
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
-    groups = near_groups(fingerprints(keyed.select(F.col("__id").alias("__i"), F.col(text_col).alias("__t")), id_col="__i", text_col="__t", words=words), id_col="__i", near=near)
-    stay = groups.where(F.col("__i").eqNullSafe(F.col("component_id"))).select("__i").distinct()
-    out = keyed.join(stay, F.col("__id").eqNullSafe(F.col("__i")), "left_semi")
-    return out.dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in names])
-
-
 def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, one row of each group: the one with the smallest id, nulls last, and then the smallest row key.
 
@@ -229,11 +216,10 @@ def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame], *,
     with equal or null ids and other texts stay; rows repeated, equal in id and text, stay once.
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("rk"))
-    keyed = docs.withColumn("__key", key)
-    groups = groups_of(keyed.select(F.col("__key").alias("__i"), F.col(text_col).alias("__t")))
+    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    groups = groups_of(keyed.select(F.col("key").alias("__i"), F.col("text").alias("__t")))
     stay = groups.where(F.col("__i").eqNullSafe(F.col("component_id"))).select("__i").distinct()
-    out = keyed.join(stay, F.col("__key").eqNullSafe(F.col("__i")), "left_semi")
-    return out.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(stay, F.col("key").eqNullSafe(F.col("__i")), "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,13 +198,6 @@ def test_every_anchor_is_near():
         assert (a.syndrome(other) == 0).all() and (np.bitwise_count(other ^ w[row]) == away).all() and (a.coset[away] >= 0).sum() == n
 
 
-def test_near_dedup_keeps_columns(docs, rows):
-    out = simhash.near_dedup(docs)
-    assert out.columns == docs.columns
-    ids = [r.doc_id for r in out.collect()]
-    assert len(ids) == len(set(ids)) < len(rows)
-
-
 def test_line_dedup(docs, rows):
     keyed = [(r[0] is None, r[0] or 0, line_key(r[1]), r[1]) for r in rows]
     seen = defaultdict(list)
