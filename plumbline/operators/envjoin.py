@@ -24,7 +24,7 @@ def common_facts(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 #: Tiers of contributions to a call; the lowest decides first.
-TIERS = {"builtin": 0, "rbs_extended": 1, "generated": 1, "plugin": 2}
+TIERS = {"builtin": 0, "contract_note": 1, "generated": 1, "plugin": 2}
 
 
 def tier(provider: Column) -> Column:

@@ -8,24 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
-    """child, ancestor, depth of all ancestors (depth 0: itself), by a recursive query of bounded depth; edges: child, parent."""
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(child, ancestor, depth) AS (
-            SELECT n, n, 0 FROM (SELECT child AS n FROM {{edges}} UNION SELECT parent FROM {{edges}} WHERE parent IS NOT NULL)
-            UNION ALL
-            SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN {{edges}} e ON e.child = u.ancestor WHERE e.parent IS NOT NULL AND u.depth < {most}
-        ) SELECT child, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM up GROUP BY child, ancestor""", edges=edges)
+class CycleError(ValueError):
+    pass
 
 
-def nearest(pairs: DataFrame, owned: DataFrame) -> DataFrame:
-    """child, member, owner: the nearest ancestor that owns member; owned: owner, member."""
-    found = pairs.join(owned, pairs["ancestor"] == owned["owner"])
-    return found.groupBy("child", "member").agg(F.min_by("owner", "depth").alias("owner"))
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder, where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-class CycleError(ValueError):
-    pass
+def closure(edges: DataFrame) -> DataFrame:
+    """child, ancestor, depth of all ancestors (depth 0: itself; several paths: the shortest); edges: child, parent (null: none).
+
+    Rounds, each one level up from what the round before found new, until nothing is new; runs a job for each level. A class that is
+    its own ancestor raises CycleError.
+    """
+    start = edges.select(F.explode(F.array("child", "parent")).alias("child")).where("child is not null").distinct()
+    edges = _kept(edges.where("child is not null and parent is not null").select("child", "parent").distinct())
+    found = start.select("child", F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
+    new, depth = _kept(edges.select("child", F.col("parent").alias("ancestor"))), 1
+    while not new.isEmpty():
+        if loop := new.where("child = ancestor").first():
+            raise CycleError(f"{loop['child']} is its own ancestor")
+        found = found.unionByName(new.select("child", "ancestor", F.lit(depth).cast("long").alias("depth")))
+        up = new.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
+        new, depth = _kept(up.join(found.where("depth > 0"), ["child", "ancestor"], "left_anti")), depth + 1
+    return found
+
+
+def nearest(pairs: DataFrame, owned: DataFrame) -> DataFrame:
+    """child, member, owner: the nearest ancestor that owns member, of equally near ones the first by name; owned: owner, member."""
+    found = pairs.join(owned, pairs["ancestor"] == owned["owner"])
+    return found.groupBy("child", "member").agg(F.min_by("owner", F.struct("depth", "owner")).alias("owner"))
 
 
 def topological(order: list[str], needs: dict[str, list[str]]) -> list[str]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,8 +44,24 @@ class Domain:
         return f"{text} | nil" if self.nil and not self.empty else "nil" if self.nil else text
 
 
+MOST_LITERALS = 8  # more distinct values are a wider domain
+
+
+def literal_domain(df: DataFrame, column: str) -> Domain:
+    """The domain of df's column: its literals while there are eight at most, else any value (integers: from the least to the
+    greatest). Runs a job; no more than nine values reach the driver."""
+    c = F.col(f"`{column}`")
+    few = [r[0] for r in df.select(c.alias("v")).where("v is not null").distinct().limit(MOST_LITERALS + 1).collect()]
+    r = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count_if(c.isNull()).alias("nil")).first()
+    if len(few) <= MOST_LITERALS:
+        return Domain(literals=frozenset(few), nil=r["nil"] > 0, empty=not few)
+    whole = df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return Domain(r["lo"] if whole else None, r["hi"] if whole else None, nil=r["nil"] > 0)
+
+
 @dataclass(frozen=True)
 class Test:
+    __test__ = False  # no test of pytest's
     """op: a comparison with value, "between" with value (lo, hi), "nil", "and", "or" or "not" over parts."""
 
     op: str

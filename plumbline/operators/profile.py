@@ -55,6 +55,6 @@ def profile(df: DataFrame, name: str) -> DataFrame:
 
 
 def coverage(df: DataFrame, by: str, unrecognised: Column) -> DataFrame:
-    """node_class, visited, unrecognised, ratio recognised (1 where nothing was visited)."""
+    """node_class, visited, unrecognised, ratio of the unrecognised (0 where nothing was visited)."""
     out = df.groupBy(F.col(by).alias("node_class")).agg(F.count("*").alias("visited"), F.count_if(F.coalesce(unrecognised, F.lit(True))).alias("unrecognised"))
-    return out.withColumn("ratio", F.when(F.col("visited") == 0, 1.0).otherwise(F.round(1 - F.col("unrecognised") / F.col("visited"), 6)))
+    return out.withColumn("ratio", F.when(F.col("visited") == 0, 0.0).otherwise(F.round(F.col("unrecognised") / F.col("visited"), 6)))

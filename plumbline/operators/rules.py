@@ -64,8 +64,14 @@ def qualified(rule: Column, source: Column) -> Column:
 
 
 def isolated(name: str, rule, df: DataFrame) -> DataFrame:
-    """A plugin's rule over df; if it can't be built, one diagnostic says so."""
+    """A plugin's rule over df, as it is stored in the checkpoint folder (else kept by persist); if it can't be built or fails when
+    it runs, one diagnostic says so. Runs the rule."""
     try:
-        return rule(df)
+        out = rule(df)
+        if df.sparkSession.sparkContext.getCheckpointDir():
+            return out.checkpoint()
+        out = out.persist()
+        out.write.format("noop").mode("overwrite").save()
+        return out
     except Exception as e:  # noqa: BLE001 - any failure of foreign code
         return df.sparkSession.createDataFrame([(name, "plugin-runtime-error", type(e).__name__)], "path string, rule string, message string")

@@ -100,13 +100,13 @@ def str_sizes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), (t == "").alias("empty"), F.length(F.reverse(t)).cast("long").alias("reversed"), T.ordinal(t).alias("ordinal"))
 
 
-_PADDED = "SELECT conv_id, turn, chr(9) || ' ' || left(text, 40) || ' ' || chr(13) || chr(10) AS x FROM conversations"
+_PADDED = "SELECT conv_id, turn, chr(9) || ' ' || text || ' ' || chr(13) || chr(10) AS x FROM conversations"
 
 
 @query("str_strip", rf"SELECT conv_id, turn, regexp_replace(regexp_replace(x, '\A[\x00\x09-\x0D\x20]+', ''), '[\x00\x09-\x0D\x20]+\z', '') AS stripped, regexp_replace(x, '\A[\x00\x09-\x0D\x20]+', '') AS left_, regexp_replace(x, '[\x00\x09-\x0D\x20]+\z', '') AS right_, CAST(length(regexp_replace(x, '(\r\n|\n|\r)\z', '')) AS BIGINT) AS chomped, CAST(length(x) - 2 AS BIGINT) AS chopped FROM ({_PADDED})")
 def str_strip(spark, d):
     c = table(spark, d, "conversations")
-    x = F.concat(F.lit("\t "), F.left("text", F.lit(40)), F.lit(" \r\n"))
+    x = F.concat(F.lit("\t "), F.col("text"), F.lit(" \r\n"))
     return c.select("conv_id", "turn", T.strip(x).alias("stripped"), T.lstrip(x).alias("left_"), T.rstrip(x).alias("right_"), F.length(T.chomp(x)).cast("long").alias("chomped"), F.length(T.chop(x)).cast("long").alias("chopped"))
 
 

@@ -100,10 +100,10 @@ def boundary_cross(spark, d):
     return n.join(s, "key", "left_semi").join(c, "key", "left_semi")
 
 
-@query("ivl_overlap_range_join", "WITH w AS (SELECT p_brand AS b, CAST(min(p_size) AS BIGINT) AS lo, CAST(max(p_size) AS BIGINT) AS hi FROM part WHERE p_partkey % 7 = 0 GROUP BY 1) SELECT a.b AS left_, c.b AS right_, greatest(a.lo, c.lo) AS lo, least(a.hi, c.hi) AS hi, c.lo >= a.lo AND c.hi <= a.hi AS contains FROM w a JOIN w c ON a.b < c.b AND a.lo <= c.hi AND c.lo <= a.hi")
+@query("ivl_overlap_range_join", "WITH w AS (SELECT p_brand AS b, CAST(min(p_size) AS BIGINT) AS lo, CAST(max(p_size) AS BIGINT) AS hi FROM part GROUP BY 1) SELECT a.b AS left_, c.b AS right_, greatest(a.lo, c.lo) AS lo, least(a.hi, c.hi) AS hi, c.lo >= a.lo AND c.hi <= a.hi AS contains FROM w a JOIN w c ON a.b < c.b AND a.lo <= c.hi AND c.lo <= a.hi")
 def ivl_overlap_range_join(spark, d):
     """Overlaps of intervals: each is dealt to the fixed-width cells it touches, pairs meet in cells, and count in the first shared one."""
-    w = table(spark, d, "part").where("p_partkey % 7 = 0").groupBy(F.col("p_brand").alias("b")).agg(F.min("p_size").cast("long").alias("lo"), F.max("p_size").cast("long").alias("hi"))
+    w = table(spark, d, "part").groupBy(F.col("p_brand").alias("b")).agg(F.min("p_size").cast("long").alias("lo"), F.max("p_size").cast("long").alias("hi"))
     width = 16
     cells = w.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     a, c = cells.alias("a"), cells.alias("c")
@@ -141,7 +141,7 @@ def type_drift_first_write(spark, d):
 def tier_merge(spark, d):
     b = table(spark, d, "part").groupBy(F.col("p_type").alias("call")).agg(F.min("p_size").cast("long").alias("lo"), F.max("p_size").cast("long").alias("hi"))
     one = lambda provider, plugin, idx, lo, hi: b.select("call", F.lit(provider).alias("provider"), F.lit(plugin).cast("string").alias("plugin"), F.lit(idx).alias("idx"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
-    c = one("builtin", None, 0, F.col("lo"), F.col("hi")).unionByName(one("plugin", "z", 0, F.lit(5), F.lit(900))).unionByName(one("rbs_extended", None, 1, F.lit(0), F.lit(30))).unionByName(one("other", "a", 2, F.lit(400), F.lit(500)))
+    c = one("builtin", None, 0, F.col("lo"), F.col("hi")).unionByName(one("plugin", "z", 0, F.lit(5), F.lit(900))).unionByName(one("contract_note", None, 1, F.lit(0), F.lit(30))).unionByName(one("other", "a", 2, F.lit(400), F.lit(500)))
     return E.merge_tiers(c)
 
 
@@ -200,10 +200,10 @@ def overload_select(spark, d):
     return part.join(hit, "p_partkey", "left").select("p_partkey", F.coalesce("best.pass", F.lit("first")).alias("pass"), F.coalesce("best.idx", F.lit(0)).cast("long").alias("idx"))
 
 
-@query("overload_affinity_order", "SELECT p_brand, array_to_string(list(p_partkey ORDER BY CASE WHEN p_type LIKE 'S%' THEN 0 ELSE 1 END, p_partkey), ',') AS ordered FROM part WHERE p_size = 1 GROUP BY 1")
+@query("overload_affinity_order", "SELECT p_brand, array_to_string(list(p_partkey ORDER BY CASE WHEN p_type LIKE 'S%' THEN 0 ELSE 1 END, p_partkey), ',') AS ordered FROM part GROUP BY 1")
 def overload_affinity_order(spark, d):
     key = F.struct(F.when(F.col("p_type").startswith("S"), 0).otherwise(1).alias("a"), F.col("p_partkey").alias("k"))
-    return table(spark, d, "part").where("p_size = 1").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["k"]), ",").alias("ordered"))
+    return table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["k"]), ",").alias("ordered"))
 
 
 @query("event_limit", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")

@@ -40,8 +40,7 @@ def narrow_int_edges(spark, d):
 @query("narrow_equality_sets", "SELECT o_orderstatus AS value, CAST(count(*) AS BIGINT) AS n, o_orderstatus = 'F' AS equal, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE (SELECT array_to_string(list_sort(list(DISTINCT o_orderstatus)), ' | ') FROM orders WHERE o_orderstatus <> 'F') END AS domain FROM orders GROUP BY 1")
 def narrow_equality_sets(spark, d):
     orders = table(spark, d, "orders")
-    found = frozenset(r[0] for r in orders.select("o_orderstatus").distinct().limit(9).collect())  # literals only while there are few
-    truthy, falsey = N.narrow(Domain(literals=found), Test("==", "F"))
+    truthy, falsey = N.narrow(N.literal_domain(orders, "o_orderstatus"), Test("==", "F"))
     equal = F.col("o_orderstatus") == "F"
     return orders.groupBy(F.col("o_orderstatus").alias("value")).agg(F.count("*").alias("n"), F.first(equal).alias("equal"), F.first(F.when(equal, truthy.describe()).otherwise(falsey.describe())).alias("domain"))
 

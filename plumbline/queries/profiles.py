@@ -113,7 +113,7 @@ def domain_union_widening(spark, d):
     return widen("o_orderpriority", 13).unionByName(widen("o_orderstatus", 5))
 
 
-@query("coverage_by_lang", "SELECT lang AS node_class, CAST(count(*) AS BIGINT) AS visited, CAST(count_if(q.doc_id IS NULL) AS BIGINT) AS unrecognised, round(1 - count_if(q.doc_id IS NULL) / count(*), 6) AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) q USING (doc_id) GROUP BY lang")
+@query("coverage_by_lang", "SELECT lang AS node_class, CAST(count(*) AS BIGINT) AS visited, CAST(count_if(q.doc_id IS NULL) AS BIGINT) AS unrecognised, round(count_if(q.doc_id IS NULL) / count(*), 6) AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) q USING (doc_id) GROUP BY lang")
 def coverage_by_lang(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("seen")).distinct(), "doc_id", "left")
     return P.coverage(docs, "lang", F.col("seen").isNull())
@@ -162,7 +162,10 @@ def cache_stats(spark, d):
 
 @query("duplicate_declarations", "SELECT text, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id) AS BIGINT) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_declarations(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    """Grouped by digest; only the first rows' texts are fetched."""
+    docs = table(spark, d, "documents")
+    again = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return docs.select(F.col("doc_id").alias("first_id"), "text").join(again, "first_id").select("text", "n", "first_id")
 
 
 @query("class_index_union", "SELECT l_returnflag AS class, 'l_linestatus' AS field, array_to_string(list_sort(list(DISTINCT l_linestatus)), '|') AS writes FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'l_linenumber', array_to_string(list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR))), '|') FROM lineitem GROUP BY 1")

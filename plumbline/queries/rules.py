@@ -22,12 +22,12 @@ def rule_wrong_arity(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("given"), F.lit("call.wrong-arity").alias("rule")).where(~F.col("given").between(2, 6))
 
 
-@query("rule_argument_mismatch", "SELECT c_custkey, 'call.argument-type-mismatch' AS rule, 'c_acctbal' AS arg FROM customer WHERE NOT c_acctbal >= 0 UNION ALL SELECT c_custkey, 'call.argument-type-mismatch', 'c_mktsegment' FROM customer WHERE NOT c_mktsegment = lower(c_mktsegment) AND c_custkey % 50 = 0")
+@query("rule_argument_mismatch", "SELECT c_custkey, 'call.argument-type-mismatch' AS rule, 'c_acctbal' AS arg FROM customer WHERE NOT c_acctbal >= 0 UNION ALL SELECT c_custkey, 'call.argument-type-mismatch', 'c_mktsegment' FROM customer WHERE NOT c_mktsegment = lower(c_mktsegment)")
 def rule_argument_mismatch(spark, d):
     from ..operators.refine import compile_payload
 
     c = table(spark, d, "customer")
-    bad = F.filter(F.array(F.when(~(F.col("c_acctbal") >= 0), "c_acctbal"), F.when(~compile_payload("lowercase-string")(F.col("c_mktsegment")) & (F.col("c_custkey") % 50 == 0), "c_mktsegment")), lambda x: x.isNotNull())
+    bad = F.filter(F.array(F.when(~(F.col("c_acctbal") >= 0), "c_acctbal"), F.when(~compile_payload("lowercase-string")(F.col("c_mktsegment")), "c_mktsegment")), lambda x: x.isNotNull())
     return c.select("c_custkey", F.lit("call.argument-type-mismatch").alias("rule"), F.explode(bad).alias("arg"))
 
 

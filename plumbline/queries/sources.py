@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..registry import query, table
 from ..sources import files as S
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
 
 @query("src_exclude_globs", r"SELECT page_id, p AS path, regexp_matches(p, '\A(?:.*/)?en/[^/]*\z') OR regexp_matches(p, '\A[^/]*/de/.*\z') AS excluded FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages)")
 def src_exclude_globs(spark, d):
@@ -29,15 +31,15 @@ def src_discover_classes(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("cls")).union(table(spark, d, "conversations").select("role")).distinct()
 
 
-@query("src_list_files")
+@query("src_list_files", "SELECT name || '.parquet' AS name, true AS has_bytes FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") t(name)")
 def src_list_files(spark, d):
     out = S.list_files(spark, d, "*.parquet")
-    return out.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
+    return out.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), (F.col("length") > 0).alias("has_bytes"))
 
 
-@query("src_baseline", "SELECT * FROM (VALUES ('a.rb', 1, 'call.wrong-arity'), ('b.rb', 2, NULL)) t(path, line, rule)")
+@query("src_baseline", "SELECT * FROM (VALUES ('a.txt', 1, 'call.wrong-arity'), ('b.txt', 2, NULL)) t(path, line, rule)")
 def src_baseline(spark, d):
-    text = '{"diagnostics": [{"path": "a.rb", "line": 1, "rule": "call.wrong-arity"}, {"path": "b.rb", "line": 2}]}'
+    text = '{"diagnostics": [{"path": "a.txt", "line": 1, "rule": "call.wrong-arity"}, {"path": "b.txt", "line": 2}]}'
     return spark.createDataFrame([(x["path"], x["line"], x.get("rule")) for x in S.load_baseline(text)], "path string, line int, rule string")
 
 

@@ -40,7 +40,7 @@ def _folder(spark) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-@query("stream_publish")
+@query("stream_publish", "SELECT event_id, 'call.argument-type-mismatch' AS rule FROM events WHERE value > 90")
 def stream_publish(spark, d):
     """Every micro-batch's diagnostics, written under the batch's number."""
     at = _folder(spark)
@@ -57,7 +57,7 @@ def _globbed(spark, d) -> str:
     return f"{d}/events.parquet" if fs.getFileStatus(path).isDirectory() else f"{d}/events*.parquet"
 
 
-@query("stream_latest")
+@query("stream_latest", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def stream_latest(spark, d):
     """Latest version by key, kept by the stream itself."""
     at = _folder(spark)
@@ -68,7 +68,7 @@ def stream_latest(spark, d):
     return spark.read.parquet(f"{at}/out")
 
 
-@query("stream_generation")
+@query("stream_generation", "SELECT event_id, event_type FROM events WHERE event_type = 'click' AND value > 50 OR event_type = 'view' AND value > 80")
 def stream_generation(spark, d):
     """Micro-batches see the contract as it is when they run."""
     at = _folder(spark)

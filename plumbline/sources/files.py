@@ -116,6 +116,15 @@ class Policy:
         path = posixpath.normpath(path)
         return any(path == r or path.startswith(r.rstrip("/") + "/") for r in self.roots)
 
+    def read(self, spark: SparkSession, path: str) -> bytes:
+        """A file's bytes, if it may be read and is not over most_bytes (checked before any byte is)."""
+        if not self.may_read(path):
+            raise PermissionError(f"{path} is outside the roots")
+        files = spark.read.format("binaryFile").load(path)
+        if files.select("length").first()["length"] > self.most_bytes:
+            raise PermissionError(f"{path} has more than {self.most_bytes} bytes")
+        return bytes(files.select("content").first()["content"])
+
     def may_open(self, url: str) -> bool:
         m = re.match(r"\Ahttps://([^/:?#]+)", url)
         return bool(m) and m[1].lower() in self.hosts

@@ -98,7 +98,9 @@ def test_plugins():
 
 def test_isolation(spark, df):
     assert isolated("p", lambda d: d.select("missing"), df).first().rule == "plugin-runtime-error"
-    assert isolated("p", lambda d: d, df) is df
+    assert isolated("p", lambda d: d, df).collect() == df.collect()
+    late = isolated("p", lambda d: d.selectExpr("raise_error('late') AS x"), df).first()
+    assert late.path == "p" and late.rule == "plugin-runtime-error"
 
 
 def test_files(spark, tmp_path):
