@@ -202,11 +202,10 @@ def _near_pairs(fp: np.ndarray, own: np.ndarray, same: bool) -> Iterator[tuple[n
         yield i, j
 
 
-def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
-    """Lines that have another within NEAR bits in their block."""
+def _pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the table's groups within NEAR bits."""
     k, own, same = (t.column(c).to_numpy() for c in ("k", "own", "same"))
     fp = t.column("fp").to_numpy().view(np.uint64)
-    near = np.zeros(len(k), bool)
     starts, ends = runs(k)
     few = np.repeat(same[starts] & (ends - starts <= 512), ends - starts)
     end = np.repeat(ends, ends - starts)
@@ -216,13 +215,19 @@ def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
         if not len(at):
             break
         hit = at[np.bitwise_count(fp[at] ^ fp[at + back]) <= NEAR]
-        near[hit] = True
-        near[hit + back] = True
+        yield hit, hit + back
     for s, e in zip(starts, ends):
         if not few[s]:
             for i, j in _near_pairs(fp[s:e], own[s:e], bool(same[s])):
-                near[s + i] = True
-                near[s + j] = True
+                yield s + i, s + j
+
+
+def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
+    """Lines that have another within NEAR bits in their block."""
+    near = np.zeros(t.num_rows, bool)
+    for i, j in _pairs(t):
+        near[i] = True
+        near[j] = True
     if not near.any():
         return None
     _, at = np.unique(t.column("node").to_numpy()[near], return_index=True)
@@ -231,36 +236,27 @@ def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
 
 
 def _verified(t: pa.Table, keys: Keys) -> pa.RecordBatch | None:
-    """Links of a forest of the similar pairs in each group."""
-    k, own, same, node = (t.column(c).to_numpy() for c in ("k", "own", "same", "node"))
-    fp, text = t.column("fp").to_numpy().view(np.uint64), t.column("text")
+    """Links of a forest of the similar pairs in the table's groups."""
+    number = (t.column("k").to_numpy() & ((1 << keys.bits) - 1)) >> keys.width
+    fp, node, texts = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_pylist(), t.column("text").to_pylist()
     links: list[tuple[int, int]] = []
-    for s, e in zip(*runs(k)):
-        if e - s < 2:
-            continue
-        texts: list[str] = []
-        root = list(range(e - s))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        block = fp[s:e]
-        number = (int(k[s]) & ((1 << keys.bits) - 1)) >> keys.width
-        for i, j in _near_pairs(block, own[s:e], bool(same[s])):
-            differ = block[i] ^ block[j]
-            for mask in keys.masks[:number]:  # a pair that agrees in an earlier choice of blocks is verified there
-                stays = differ & np.uint64(mask) != 0
-                i, j, differ = i[stays], j[stays], differ[stays]
-            for x, y in zip(i.tolist(), j.tolist()):
-                a, b = find(x), find(y)
-                if a != b:
-                    texts = texts or text.slice(s, e - s).to_pylist()
-                    if similar(texts[x], texts[y]):
-                        root[b] = a
-                        links.append((int(node[s + x]), int(node[s + y])))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for i, j in _pairs(t):
+        differ = fp[i] ^ fp[j]
+        stays = np.ones(len(i), bool)
+        for c, mask in enumerate(keys.masks[:-1]):  # a pair that agrees in an earlier choice of blocks is verified there
+            stays &= (number[i] <= c) | (differ & np.uint64(mask) != 0)
+        for x, y in zip(i[stays].tolist(), j[stays].tolist()):
+            a, b = find(node[x]), find(node[y])
+            if a != b and similar(texts[x], texts[y]):
+                root[b] = a
+                links.append((a, b))
     return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"]) if links else None
 
 
