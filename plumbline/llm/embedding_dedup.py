@@ -224,3 +224,17 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+fine AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE label IS NOT NULL AND len(x) > 0
+         AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+          WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= {THRESHOLD}),
+reach(r, other) AS (SELECT r, r FROM v UNION SELECT s.r, l.b FROM reach s JOIN links l ON l.a = s.other),
+component AS (SELECT s.r, min(v.vec_id) AS component_id FROM reach s JOIN v ON v.r = s.other GROUP BY s.r),
+n AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN component USING (r) LEFT JOIN n USING (r)
+"""

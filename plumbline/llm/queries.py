@@ -17,4 +17,4 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.query,
 }
 
-SQL = {"op7_exact_dedup": exact_dedup.SQL, "op8_url_filter": url_filter.SQL}
+SQL = {"op7_exact_dedup": exact_dedup.SQL, "op8_url_filter": url_filter.SQL, "op9_embedding_dedup": embedding_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL}

@@ -287,3 +287,16 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d),
+windows AS (SELECT s.r, s.i, array_to_string(d.w[s.i : s.i + 34], ' ') AS t FROM starts s JOIN d USING (r)),
+again AS (SELECT r, i FROM windows WHERE t IN (SELECT t FROM windows GROUP BY t HAVING count(*) > 1)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+marked AS (SELECT words.r, word, words.i, coalesce(max(CASE WHEN again.i IS NOT NULL THEN 1 END) OVER (PARTITION BY words.r ORDER BY words.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+           FROM words LEFT JOIN again ON again.r = words.r AND again.i = words.i),
+kept AS (SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS t FROM marked GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
