@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import contracts, rules
+from .operators.check import Config, Contract, Member, Use, check, failed, summary  # noqa: F401 - part of the API
 from .operators.narrow import Test, keep
 from .operators.profile import profile
 from .operators.refine import compile_payload

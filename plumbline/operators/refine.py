@@ -1,7 +1,8 @@
 """Refinements: named predicates that narrow a base type, as Columns; their names' parser; resolvers.
 
 A refinement's payload is a name (``lowercase-string``), a name with bounds (``int<0, max>``) or with element types
-(``non-empty-array[positive-int]``), or a union of payloads and literals (``positive-int | "none" | nil``).
+(``non-empty-array[positive-int]``), an element of a tuple (``Tuple[int<0, 9>, String][0]``), the sums of flags (``int_mask[1, 2, 4]``,
+``int_mask_of[1 | 2]``), or a union of payloads and literals (``positive-int | "none" | nil``).
 """
 
 from __future__ import annotations
@@ -34,6 +35,18 @@ def interval(lo: int | None, hi: int | None) -> Predicate:
     return holds
 
 
+def mask(flags: list[int]) -> Predicate:
+    """What some of the flags give, or'ed: the flags inside a value make it up."""
+
+    def holds(c: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for f in flags:
+            out = out.bitwiseOR(F.when(c.bitwiseAND(f) == f, f).otherwise(0).cast("long"))
+        return F.when(c.isNotNull(), out == c)
+
+    return holds
+
+
 STRINGS: dict[str, Predicate] = {
     "non-empty-string": lambda c: c != "",
     "lowercase-string": lambda c: c == F.lower(c),
@@ -91,7 +104,7 @@ def capture_refinement(body: str) -> str | None:
 
 @dataclass(frozen=True)
 class Node:
-    """A parsed payload: name with arguments, "literal" with a value, or "union" with members."""
+    """A parsed payload: name with arguments, "literal" with a value, "union" with members, or "at" with a payload and a key."""
 
     name: str
     args: tuple = ()
@@ -143,7 +156,12 @@ def parse(payload: str) -> Node | None:
                 args.append(union())
             if not take({"[": "]", "<": ">"}[opened]):
                 raise ValueError(payload)
-            return Node(text, tuple(args))
+            out = Node(text, tuple(args))
+            while take("["):
+                out = Node("at", (out, union()))
+                if not take("]"):
+                    raise ValueError(payload)
+            return out
         return Node(text)
 
     try:
@@ -187,9 +205,27 @@ def _built_in(node: Node) -> Predicate | None:
         return lambda c: c.isNull()
     if node.name == "int" and len(node.args) == 2:
         return interval(_bound(node.args[0]), _bound(node.args[1]))
-    if node.name == "non-empty-array" and len(node.args) == 1:
+    if node.name == "at":
+        of, key = node.args
+        place = key.args[0] if key.name == "literal" else None
+        return _built_in(of.args[place]) if of.name == "Tuple" and type(place) is int and 0 <= place < len(of.args) else None
+    if node.name in ("int_mask", "int_mask_of"):
+        flags = node.args[0].args if len(node.args) == 1 and node.args[0].name == "union" else node.args
+        if not flags or any(x.name != "literal" or type(x.args[0]) is not int or x.args[0] < 0 for x in flags):
+            return None
+        return mask([x.args[0] for x in flags])
+    if node.name in ("Array", "non-empty-array") and len(node.args) == 1:
         each = _built_in(node.args[0])
-        return None if each is None else lambda c: (F.size(c) > 0) & F.forall(c, lambda x: F.coalesce(each(x), F.lit(False)))
+        if each is None:
+            return None
+        least = int(node.name != "Array")
+        return lambda c: (F.size(c) >= least) & F.forall(c, lambda x: F.coalesce(each(x), F.lit(False)))
+    if node.name in ("Hash", "non-empty-hash") and len(node.args) == 2:
+        key, value = (_built_in(x) for x in node.args)
+        if key is None or value is None:
+            return None
+        least = int(node.name != "Hash")
+        return lambda c: (F.size(c) >= least) & F.forall(F.map_entries(c), lambda x: F.coalesce(key(x["key"]) & value(x["value"]), F.lit(False)))
     if not node.args:
         return NAMES.get(node.name)
     return None
