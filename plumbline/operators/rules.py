@@ -43,6 +43,24 @@ def comment_tokens(text: Column, marker: str = "plumbline:disable") -> Column:
     return F.filter(F.split(F.regexp_extract(text, marker + r"\s+([\w.*, -]+)", 1), r"[\s,]+"), lambda x: x != "")
 
 
+def suppress(diagnostics: DataFrame, comments: DataFrame, project: tuple[str, ...] = (), marker: str = "plumbline:disable") -> DataFrame:
+    """diagnostics without those that the project's list, a comment of their file or one of their line silences.
+
+    comments: path, line, text. ``# marker-file a, b`` holds for its whole path, ``# marker a, b`` for its line. Only lines with a
+    marker are joined, each path's and line's tokens once (a set of rule names); a diagnostic without a path or line is silenced by the
+    project's list alone, one without a rule by nothing.
+    """
+    none = F.array().cast("array<string>")
+
+    def by(mark: str, name: str, *key: str) -> DataFrame:
+        marked = comments.where(F.col("text").contains(mark)).select(*key, F.explode(comment_tokens(F.col("text"), mark)).alias("token"))
+        return marked.groupBy(*key).agg(F.collect_set("token").alias(name))
+
+    out = diagnostics.join(by(marker + "-file", "__file", "path"), "path", "left").join(by(marker, "__line", "path", "line"), ["path", "line"], "left")
+    tokens = F.concat(F.array(*[F.lit(x) for x in project]).cast("array<string>"), F.coalesce("__file", none), F.coalesce("__line", none))
+    return out.where(~suppressed(F.col("rule"), tokens)).select(*diagnostics.columns)
+
+
 def resolve_severity(diagnostics: DataFrame, overrides: DataFrame, profile: str = "balanced") -> DataFrame:
     """Exact override, else the family's, else the profile's, else as authored; rows that come to "off" go. A null rule is untouched.
 

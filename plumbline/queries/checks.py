@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import check as K
+from ..operators import rules as U
 from ..registry import query, table
 
 _CUSTOMER = K.Contract({"c_custkey": K.Member("Integer", "positive-int", nullable=False), "c_name": K.Member("String", "non-empty-string"), "c_nationkey": K.Member("Float"), "c_acctbal": K.Member("Float", "int<0, max>", private=True), "c_mktsegment": K.Member("String", "lowercase-string"), "c_fax": K.Member("String")})
@@ -31,3 +34,12 @@ def check_summary(spark, d):
     """Counts by rule over all documents; one member is declared that no table has."""
     contract = K.Contract({"text": K.Member(nullable=False), "lang": K.Member(nullable=False), "source": K.Member("String", "non-empty-lowercase-string"), "licence": K.Member()}, arity=(3, None), open=True)
     return K.summary(K.check(table(spark, d, "documents"), contract, K.Config(overrides={"call.argument-type-mismatch": "info"})))
+
+
+@query("suppression_levels", "WITH d AS (SELECT l_orderkey AS path, CAST(l_linenumber AS BIGINT) AS line, l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN 'call.wrong-arity' ELSE 'flow.dead-assignment' END AS rule FROM lineitem) SELECT d.* FROM d LEFT JOIN orders o ON o.o_orderkey = d.path WHERE NOT coalesce(o.o_orderstatus = 'F' AND d.rule = 'call.wrong-arity', false) AND NOT coalesce(o.o_orderstatus = 'O' AND d.line = 1, false)")
+def suppression_levels(spark, d):
+    """Orders as files: those of one status silence a family in all their lines, those of another everything in their first."""
+    odd = F.col("l_linenumber") % 2 == 0
+    found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("line"), "l_partkey", F.when(odd, "call.wrong-arity").otherwise("flow.dead-assignment").alias("rule"))
+    text = F.when(F.col("o_orderstatus") == "F", "# plumbline:disable-file call.*").when(F.col("o_orderstatus") == "O", "# plumbline:disable all")
+    return U.suppress(found, table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.lit(1).cast("long").alias("line"), text.alias("text")))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline import api
 from plumbline.api import Config, Contract, Member, Use
+from plumbline.operators import rules
 from plumbline.operators.refine import compile_payload
 
 CONTRACT = Contract({"id": Member("Integer", nullable=False), "name": Member("String", "lowercase-string"), "by": Member("Integer", "int<0, 9>", private=True)}, arity=(2, 3))
@@ -59,3 +60,11 @@ def test_payloads(spark):
     assert holds("non-empty-hash[lowercase-string, positive-int]", "h") == [True, False, False, None, False]
     assert holds("Tuple[String, int<5, 6>][1]", "n") == [False, True, True, None, False]
     assert compile_payload("Tuple[positive-int][3]") is None and compile_payload("int_mask[positive-int]") is None and compile_payload("Array[positive-int][") is None
+
+
+def test_suppression_by_project_file_and_line(spark):
+    found = spark.createDataFrame([("a", 1, "call.wrong-arity"), ("a", 2, "flow.dead-assignment"), ("b", 1, "call.wrong-arity"), ("b", 1, "call.wrong-arity"), ("b", 2, "dump.type"), (None, None, "dump.type"), ("a", 1, None), ("c", 1, "def.x")], "path string, line int, rule string")
+    comments = spark.createDataFrame([("a", 9, "# plumbline:disable-file call"), ("b", 2, "x # plumbline:disable all"), ("b", 2, "# plumbline:disable dump.type"), ("c", 7, "# plumbline:disable def"), ("c", 1, None)], "path string, line int, text string")
+    left = lambda *project: sorted((r.path or "", r.line or 0, r.rule or "") for r in rules.suppress(found, comments, project).collect())
+    assert left() == [("", 0, "dump.type"), ("a", 1, ""), ("a", 2, "flow.dead-assignment"), ("b", 1, "call.wrong-arity"), ("b", 1, "call.wrong-arity"), ("c", 1, "def.x")]
+    assert left("all") == [("a", 1, "")]
