@@ -14,6 +14,12 @@ SEVERITIES = {
     "flow.always-truthy-condition": ("info", "warning", "error"), "flow.dead-assignment": ("info", "warning", "warning"), "def.return-type-mismatch": ("warning", "warning", "error"), "def.method-visibility-mismatch": ("error", "error", "error"), "def.ivar-write-mismatch": ("warning", "warning", "error"),
 }
 PROFILES = ("lenient", "balanced", "strict")
+#: Older names of rules, which still silence them.
+ALIASES = {
+    "undefined-method": "call.undefined-method", "wrong-arity": "call.wrong-arity", "argument-type-mismatch": "call.argument-type-mismatch", "possible-nil-receiver": "call.possible-nil-receiver",
+    "dump-type": "dump.type", "assert-type": "assert.type-mismatch", "always-raises": "flow.always-raises", "unreachable-branch": "flow.unreachable-branch",
+    "method-visibility-mismatch": "def.method-visibility-mismatch", "ivar-write-mismatch": "def.ivar-write-mismatch", "dead-assignment": "flow.dead-assignment", "always-truthy-condition": "flow.always-truthy-condition",
+}
 
 
 def diff(current: DataFrame, baseline: DataFrame, key: list[str]) -> DataFrame:
@@ -33,8 +39,10 @@ def family(rule: Column) -> Column:
 
 
 def suppressed(rule: Column, tokens: Column) -> Column:
-    """Whether one of the tokens (array of rule names, families, ``all``) silences rule; a null rule is never silenced."""
+    """Whether one of the tokens (array of rule names, their older names, families, ``all``) silences rule; a null rule is never silenced."""
+    older = F.create_map(*[F.lit(x) for alias, name in ALIASES.items() for x in (name, alias)])
     hit = F.array_contains(tokens, rule) | F.array_contains(tokens, F.concat(family(rule), F.lit(".*"))) | F.array_contains(tokens, family(rule)) | F.array_contains(tokens, "all")
+    hit = hit | F.coalesce(F.array_contains(tokens, F.try_element_at(older, rule)), F.lit(False))
     return F.coalesce(rule.isNotNull() & hit, F.lit(False))
 
 

@@ -68,3 +68,4 @@ def test_suppression_by_project_file_and_line(spark):
     left = lambda *project: sorted((r.path or "", r.line or 0, r.rule or "") for r in rules.suppress(found, comments, project).collect())
     assert left() == [("", 0, "dump.type"), ("a", 1, ""), ("a", 2, "flow.dead-assignment"), ("b", 1, "call.wrong-arity"), ("b", 1, "call.wrong-arity"), ("c", 1, "def.x")]
     assert left("all") == [("a", 1, "")]
+    assert left("wrong-arity", "dump-type", "x") == [("a", 1, ""), ("a", 2, "flow.dead-assignment"), ("c", 1, "def.x")]  # "x" is no older name
