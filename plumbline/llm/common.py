@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a character class for the JVM's, DuckDB's and Python's expressions.
@@ -85,7 +85,7 @@ def join_hot(rows: DataFrame, by: DataFrame, key: str, size: str, total: int) ->
     return rows.join(hot, key).unionByName(rest)
 
 
-def with_least(rows: DataFrame, key: str, value: str, name: str, total: int) -> DataFrame:
+def with_least(rows: DataFrame, key: str, value: str | Column, name: str, total: int) -> DataFrame:
     """rows with the least value of all rows of their key as name; hot keys are neither shuffled whole nor joined in one task."""
     least = rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("rows_of_key"))
     return join_hot(rows, least, key, "rows_of_key", total).drop("rows_of_key")

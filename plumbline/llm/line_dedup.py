@@ -9,7 +9,8 @@ most on average and comparisons grow in proportion; the pairs found are the same
 
 The scan sends digests (128 bits, BLAKE2), not lines. Equal normalised lines are one row from then on. Lines with a near fingerprint go
 into a bitmap of fixed size, which is broadcast; only those lines' texts are sent, in a second scan, to the blocks where they are
-verified. Within a block, pairs already connected are not verified again, so a large group costs a forest, not all its pairs.
+verified: a bound from below, found for many pairs at once, refuses unlike lines, a bound from their words accepts most like ones, and
+the exact distance decides the rest. Within a block, pairs already connected are not verified again, so a large group costs a forest, not all its pairs.
 Crowded blocks are split into tiles, whose pairs are compared in tasks of their own.
 """
 
@@ -128,13 +129,62 @@ def distance_bound(a: list[str], b: list[str], ahead: int = 6) -> int:
     return bound + max(length(a[i:]), length(b[j:]))
 
 
+def most_edits(size: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """The most edits between two similar texts of which the longer has this size."""
+    return np.floor((1 - least) * size + 1e-9).astype(np.int64)
+
+
 def similar(a: str, b: str, least: float = SIMILAR) -> bool:
-    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    most = int(most_edits(np.int64(max(len(a), len(b))), least))
     if abs(len(a) - len(b)) > most:
         return False
     return distance_bound(a.split(" "), b.split(" ")) <= most or distance_at_most(a, b, most)
 
 
+SEGMENT = 64
+SEARCHED = 5 / 8  # of a line's segments; the others could only raise the bound, and unlike lines exceed it by these
+
+
+def distances_from_below(codes: np.ndarray, first: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A number for each pair of texts (i, j); above most only if the edit distance of the two is above most.
+
+    codes: the texts' characters, as numbers below 64 (characters that share one only make the distance look smaller); text x is
+    codes[first[x] : first[x] + size[x]]. Text i is cut into segments of 64 characters. If the distance is at most most, each segment
+    goes to a stretch of text j that is shifted by no more than (most + difference of the sizes) / 2, and the costs of the segments
+    add up to no more than the distance: so the first segments are searched for, each in its window, those of all pairs at once.
+    """
+    parts = np.ceil(size[i] / SEGMENT * SEARCHED).astype(np.int64)
+    pair = np.repeat(np.arange(len(i)), parts)
+    begin = SEGMENT * (np.arange(len(pair)) - np.repeat(np.cumsum(parts) - parts, parts))
+    length = np.minimum(SEGMENT, size[i][pair] - begin)
+    more, limit = (size[j] - size[i])[pair], most[pair]
+    start = np.maximum(0, begin + (more - limit) // 2)
+    width = np.maximum(0, np.minimum(size[j][pair], begin + length + (more + limit + 1) // 2) - start)
+    order = np.argsort(-width, kind="stable")  # segments with wide windows first: those still searched are always the first ones
+    pair, length, width = pair[order], length[order], width[order]
+    source, at = first[i][pair] + begin[order], first[j][pair] + start[order]
+    where = np.zeros((len(pair), 64), np.uint64)
+    for bit in range(SEGMENT):
+        on = np.flatnonzero(length > bit)
+        where[on, codes[source[on] + bit]] |= np.uint64(1 << bit)
+    where, row = where.reshape(-1), 64 * np.arange(len(pair))
+    one, top = np.uint64(1), (length - 1).astype(np.uint64)
+    up, down = np.full(len(pair), ~np.uint64(0)), np.zeros(len(pair), np.uint64)
+    score, best = length.copy(), length.copy()
+    for c, n in enumerate(np.searchsorted(-width, -np.arange(width.max(initial=0))).tolist()):
+        eq = where[row[:n] + codes[at[:n] + c]]
+        u, d = up[:n], down[:n]
+        diagonal = (((eq & u) + u) ^ u) | eq
+        eq |= d
+        plus, minus = d | ~(diagonal | u), u & diagonal
+        score[:n] += ((plus >> top[:n]) & one).view(np.int64) - ((minus >> top[:n]) & one).view(np.int64)
+        plus <<= one
+        minus <<= one
+        up[:n], down[:n] = minus | ~(eq | plus), plus & eq
+        np.minimum(best[:n], score[:n], out=best[:n])
+    return np.bincount(pair, weights=best, minlength=len(i)).astype(np.int64)
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in text_parts(batch, 2):
@@ -230,15 +280,17 @@ def _near_lines(t: pa.Table) -> pa.RecordBatch | None:
         near[j] = True
     if not near.any():
         return None
-    _, at = np.unique(t.column("node").to_numpy()[near], return_index=True)
-    names = ["node", "line", "fp"]
-    return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(np.flatnonzero(near)[at])) for c in names], names=names)
+    nodes, at = np.unique(t.column("node").to_numpy()[near], return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(t.column("fp").to_numpy()[near][at])], names=["node", "fp"])
 
 
 def _verified(t: pa.Table, keys: Keys) -> pa.RecordBatch | None:
     """Links of a forest of the similar pairs in the table's groups."""
     number = (t.column("k").to_numpy() & ((1 << keys.bits) - 1)) >> keys.width
     fp, node, texts = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_pylist(), t.column("text").to_pylist()
+    size = np.array([len(x) for x in texts], np.int64)
+    first = np.cumsum(size) - size
+    codes = (np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) & 63).astype(np.uint8)
     links: list[tuple[int, int]] = []
     root: dict[int, int] = {}
 
@@ -247,16 +299,34 @@ def _verified(t: pa.Table, keys: Keys) -> pa.RecordBatch | None:
             root[x] = x = root.get(up, up)
         return x
 
+    def verify(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = (x[np.argsort(size[i], kind="stable")] for x in (i, j))
+        for s, e in zip(*runs(np.cumsum(-(-size[i] // SEGMENT)) // 8192)):
+            x, y = i[s:e], j[s:e]
+            apart = [find(node[a]) != find(node[b]) for a, b in zip(x.tolist(), y.tolist())]
+            x, y = x[apart], y[apart]
+            limit = most_edits(np.maximum(size[x], size[y]))
+            left = distances_from_below(codes, first, size, x, y, limit) <= limit
+            for p, q in zip(x[left].tolist(), y[left].tolist()):
+                a, b = find(node[p]), find(node[q])
+                if a != b and similar(texts[p], texts[q]):
+                    root[b] = a
+                    links.append((a, b))
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
     for i, j in _pairs(t):
         differ = fp[i] ^ fp[j]
-        stays = np.ones(len(i), bool)
+        stays = np.abs(size[i] - size[j]) <= most_edits(np.maximum(size[i], size[j]))
         for c, mask in enumerate(keys.masks[:-1]):  # a pair that agrees in an earlier choice of blocks is verified there
             stays &= (number[i] <= c) | (differ & np.uint64(mask) != 0)
-        for x, y in zip(i[stays].tolist(), j[stays].tolist()):
-            a, b = find(node[x]), find(node[y])
-            if a != b and similar(texts[x], texts[y]):
-                root[b] = a
-                links.append((a, b))
+        held.append((i[stays], j[stays]))
+        n += int(stays.sum())
+        if n >= 4096:
+            verify(*(np.concatenate(x) for x in zip(*held)))
+            held, n = [], 0
+    if n:
+        verify(*(np.concatenate(x) for x in zip(*held)))
     return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"]) if links else None
 
 
@@ -271,10 +341,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("rk"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     seen = stash.put(rows.select("id", "rk", "text").mapInArrow(_hashed, "id long, rk long, place int, line binary, fp long"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "place")
-    one = seen.groupBy("line").agg(F.first("fp").alias("fp"), F.min(order).alias("first"), F.count("*").alias("n"))
+    one = seen.groupBy("line").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
     one = stash.put(one.withColumn("node", F.monotonically_increasing_id()))  # numbers that stay, as they are stored
     keys = keys or Keys.of(one.count())
-    near = stash.put(by_key(_dealt(one.select("node", "line", "fp"), keys, tile), _near_lines, "node long, line binary, fp long").dropDuplicates(["node"]))
+    near = by_key(_dealt(one.select("node", "fp"), keys, tile), _near_lines, "node long, fp long").dropDuplicates(["node"])
+    near = stash.put(near.join(one.select("node", "line"), "node"))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(near.select(F.xxhash64("line").alias("h")), "h", near.count()))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +368,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     links = by_key(_dealt(texts, keys, tile), lambda t: _verified(t, keys), "a long, b long", least_rows=2_000)
     parts = components(links, stash)
     group = one.join(parts, "node", "left").where("n > 1 or component is not null")
-    group = stash.put(group.select("line", "n", "first", F.coalesce("component", "node").alias("component")))
-    again = stash.put(with_least(group, "component", "first", "keeper", group.count()).select("line", "n", "keeper"))
-    gone = join_hot(seen, again, "line", "n", seen.count()).where(~order.eqNullSafe(F.col("keeper"))).groupBy("id", "rk").agg(F.collect_set("place").alias("gone"))
+    group = stash.put(group.select("line", "n", F.coalesce("component", "node").alias("component")))
+    again = stash.put(join_hot(seen.select("id", "rk", "place", "line"), group, "line", "n", seen.count()).select("id", "rk", "place", "component"))
+    gone = with_least(again, "component", order, "keeper", again.count()).where(~order.eqNullSafe(F.col("keeper"))).groupBy("id", "rk").agg(F.collect_set("place").alias("gone"))
     gone = gone.select(F.col("id").alias("of_id"), F.col("rk").alias("of_rk"), "gone")
     joined = rows.select("id", "rk", "row").join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("rk") == F.col("of_rk")), "left")
     old = F.col("row").getField(text_col)

@@ -269,6 +269,23 @@ def test_edit_distance():
         assert line_dedup.distance_bound(x.split(" "), y.split(" ")) >= distance(x, y)
         assert line_dedup.distance_at_most(a, b, m) == (distance(a, b) <= m)
 
+    texts = []  # pairs of several segments, from equal to unlike, some with characters that share a number
+    for _ in range(120):
+        a = "".join(r.choice("ab cd0pé日") for _ in range(r.randint(1, 300)))
+        kind = r.random()
+        b = "".join("" if (x := r.random()) < kind / 6 else c + r.choice("ab") if x < kind / 3 else r.choice("abcd") if x < kind / 2 else c for c in a) or "a"
+        b = b[r.randint(0, len(b) // 4) :] + b[: r.randint(0, 9)] if r.random() < 0.3 else b
+        texts += [a, b]
+    size = np.array([len(x) for x in texts])
+    codes = (np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) & 63).astype(np.uint8)
+    i, j = np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    exact = np.array([distance(texts[x], texts[y]) for x, y in zip(i, j)])
+    for part in (0.05, 0.2, 0.5):
+        most = (part * np.maximum(size[i], size[j])).astype(int)
+        bound = line_dedup.distances_from_below(codes, np.cumsum(size) - size, size, i, j, most)
+        assert all(exact[bound > most] > most[bound > most])
+        assert part == 0.5 or (bound > most).sum() > 10
+
 
 def test_language_id_held_out(spark):
     r = random.Random(4)
