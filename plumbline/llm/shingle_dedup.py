@@ -9,7 +9,12 @@ words are one shingle. Two sets are near if their Jaccard similarity is at least
   none of the 32 bands with a probability of (1 - s^5)^32: 3e-6 at 0.8, 4e-13 at 0.9.
 
 Every candidate counts only after its whole sets are compared. Equal sets are one node. In a band, all its nodes are first compared
-with one of them; then only pairs not yet connected are compared, so a group of near copies costs a star, not all its pairs. Sets are
+with one of them, so a group of near copies costs a star, not all its pairs. Where nodes of a band are still apart, they are compared
+in pairs if the band has at most CROWD of them. Nodes of larger bands (pages of one template, say) find each other another way, which
+loses no pair: shingles are ordered by how many of these nodes have them, rarest first. Of two near sets of sizes m <= n, one of the
+first m - ceil(8 m / 9) + 1 shingles of the smaller is one of the first n - ceil(4 n / 5) + 1 of the larger (prefix filtering: their
+overlap is at least 8 m / 9), and what may follow that shingle has to be enough for it. Pages that share less than 8 / 9 of their
+shingles with others, and have the rest for themselves, meet nobody there, so a template costs in proportion to its pages. Sets are
 sent only for nodes with candidates; a node that many are compared with is replicated, so that no task holds all of its pairs.
 """
 
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -29,6 +34,7 @@ from .components import components
 
 WORDS, BANDS, ROWS = 5, 32, 5
 PARTS, OF = 4, 5  # a similarity of 4 / 5, in integers
+CROWD = 32
 _SEEDS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 
 
@@ -99,14 +105,35 @@ def _by_fingerprint(nodes: DataFrame, stash: Stash) -> DataFrame:
     return equal.unionByName(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
 
 
+def _least_shared(x: Column, y: Column) -> Column:
+    """Shingles that near sets of sizes x and y have in common, at least."""
+    return F.ceil((x + y) * PARTS / (PARTS + OF) - 1e-9)
+
+
+def by_rare_shingles(crowd: DataFrame, stash: Stash) -> DataFrame:
+    """a, b: every near pair of crowd (node, set, c) of different c, and few others; see the module."""
+    each = stash.put(crowd.select("node", "c", F.size("set").alias("n"), F.explode("set").alias("shingle")))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1").withColumnRenamed("shingle", "s")
+    # a shingle that no other node has comes first, and leads to nobody
+    ranked = each.join(often, F.col("shingle") == F.col("s"), "left").withColumn("often", F.coalesce("often", F.lit(1).cast("long")))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1)
+    first = stash.put(ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PARTS / OF - 1e-9)) & (F.col("often") > 1)).drop("s", "often"))
+    small = first.where(F.col("rank") <= F.col("n") - _least_shared(F.col("n"), F.col("n")))
+    x, y = small.alias("x"), first.alias("y")
+    size = (F.col("y.n") > F.col("x.n")) | (F.col("y.n") == F.col("x.n")) & (F.col("y.node") > F.col("x.node"))
+    rest = F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank"))  # this shingle and what follows it
+    on = (F.col("x.shingle") == F.col("y.shingle")) & size & (F.col("x.c") != F.col("y.c")) & (OF * F.col("x.n") >= PARTS * F.col("y.n")) & (rest >= _least_shared(F.col("x.n"), F.col("y.n")))
+    return x.join(y, on).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def shingle_groups(rows: DataFrame) -> DataFrame:
     """Every __i of rows (__i, __t) with component_id, the smallest __i reachable by near pairs. Texts without words are one group."""
     stash = Stash(rows.sparkSession, "shingles")
     seen = stash.put(rows.select("__i", "__t").mapInArrow(_banded, f"__i {rows.schema['__i'].dataType.simpleString()}, node long, fp long, keys array<long>"))
     one = stash.put(seen.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("rows_of_node")))
     keyed = stash.put(one.where("node <> 0").select("node", F.explode("keys").alias("key")))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "hub")
-    keyed = stash.put(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "hub"))
+    shared = stash.put(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    keyed = stash.put(join_hot(keyed, shared, "key", "n", keyed.count()).select("key", "node", "hub"))
     stars = keyed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     stars = stash.put(stars.unionByName(_by_fingerprint(one.where("node <> 0").select("node", "fp"), stash)).distinct())
     wanted = stash.put(stars.select(F.explode(F.array("a", "b")).alias("node")).unionByName(keyed.select("node")).distinct())
@@ -128,13 +155,15 @@ def shingle_groups(rows: DataFrame) -> DataFrame:
     sets = stash.put(rows.select("__t").mapInArrow(sets_in, "node long, set array<long>").dropDuplicates(["node"]))
     links = stash.put(_verified(stars, sets))
     parts = components(links, stash).withColumnRenamed("node", "of")
-    # in bands where nodes are still apart: all their pairs that were not compared
-    now = keyed.join(parts, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    apart = now.groupBy("key").agg((F.min("c") < F.max("c")).alias("apart"), F.count("*").alias("n")).where("apart and n > 2").select(F.col("key").alias("k"))
-    now = stash.put(now.join(apart, F.col("key") == F.col("k"), "left_semi"))
-    x, y = now.alias("x"), now.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.c") != F.col("y.c")))
-    rest = stash.put(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    # in bands where nodes are still apart: pairs that were not compared, all of them or, in crowded bands, those by rare shingles
+    now = stash.put(keyed.join(parts, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("c")))
+    apart = stash.put(now.groupBy("key").agg((F.min("c") < F.max("c")).alias("apart"), F.count("*").alias("n")).where("apart and n > 2").select(F.col("key").alias("k"), "n"))
+    few = stash.put(now.join(apart.where(F.col("n") <= CROWD), F.col("key") == F.col("k"), "left_semi"))
+    x, y = few.alias("x"), few.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = now.join(apart.where(F.col("n") > CROWD), F.col("key") == F.col("k"), "left_semi").select(F.col("node").alias("m"), "c").distinct()
+    rest = rest.unionByName(by_rare_shingles(sets.join(many, F.col("node") == F.col("m")).select("node", "set", "c"), stash))
+    rest = stash.put(rest.distinct().join(stars, ["a", "b"], "left_anti"))
     more = stash.put(_verified(rest, sets))
     if not more.isEmpty():
         parts = components(links.unionByName(more), stash).withColumnRenamed("node", "of")

@@ -2,7 +2,7 @@
 
 A page's outcome is bad or not where it is labelled. The rate of bad pages is a beta-binomial at three levels: suffix, registered
 domain (the suffix and one label more) and host. A suffix is a host's last label, or its last two where registries of countries
-sell names below a second level (``co.uk``); a user part, a port and trailing dots are no part of either. Each level's units are shrunk towards their
+sell names below a second level (``co.uk``); a user part, a port and trailing dots are no part of either. An address (IPv4, or IPv6 in brackets) is its own domain and suffix. Each level's units are shrunk towards their
 parent's posterior mean, the suffixes towards the overall rate; how strongly is estimated from the labelled pages by
 the method of moments (the excess of the units' scatter over binomial scatter). A host's posterior is a beta
 distribution; it is blocked when the lower bound of its bad rate, mean less z standard deviations, is above max_bad.
@@ -22,8 +22,9 @@ from .common import Stash, join_hot, table
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Labels that stand before a country's two letters in a suffix.
 SECOND_LEVEL = "ac|co|com|edu|go|gob|gov|gouv|net|ne|nom|or|org"
-SUFFIX = rf"(?:^|\.)((?:{SECOND_LEVEL})\.[a-z]{{2}}|[^.]*)$"
-DOMAIN = rf"(?:^|\.)([^.]+\.(?:{SECOND_LEVEL})\.[a-z]{{2}}|[^.]*\.[^.]*|[^.]*)$"
+ADDRESS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}|\[[^\]]*\]"
+SUFFIX = rf"(?:^|\.)({ADDRESS}|(?:{SECOND_LEVEL})\.[a-z]{{2}}|[^.]*)$"
+DOMAIN = rf"(?:^|\.)({ADDRESS}|[^.]+\.(?:{SECOND_LEVEL})\.[a-z]{{2}}|[^.]*\.[^.]*|[^.]*)$"
 BESIDE_NAME = r"^.*@|:[0-9]*$|\.+(:[0-9]*)?$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -345,12 +345,14 @@ def test_reputation_blocks_bad_hosts(spark):
 
 
 def test_host_names(spark):
-    hosts = ["a.b.co.uk", "b.co.uk:8080", "co.uk", "taco.uk", "u:p@x.b.com", "b.com.", "b.com.:80", "localhost", "", "x.y.z.org", ".", "a..b"]
+    hosts = ["a.b.co.uk", "b.co.uk:8080", "co.uk", "taco.uk", "u:p@x.b.com", "b.com.", "b.com.:80", "localhost", "", "x.y.z.org", ".", "a..b", "10.0.0.1", "77.8.0.1:80", "[::1]:8080", "[::ffff:1.2.3.4]", "1.2.3", "v1.2.3.4.com"]
     rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", F.regexp_replace("host", url_filter.BESIDE_NAME, "").alias("name"))
     out = {r.host: (r.d, r.s) for r in rows.select("host", F.regexp_extract("name", url_filter.DOMAIN, 1).alias("d"), F.regexp_extract("name", url_filter.SUFFIX, 1).alias("s")).collect()}
     assert out == {
         "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "taco.uk": ("taco.uk", "uk"), "u:p@x.b.com": ("b.com", "com"), "b.com.": ("b.com", "com"),
         "b.com.:80": ("b.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""), "x.y.z.org": ("z.org", "org"), ".": ("", ""), "a..b": (".b", "b"),
+        "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "77.8.0.1:80": ("77.8.0.1", "77.8.0.1"), "[::1]:8080": ("[::1]", "[::1]"), "[::ffff:1.2.3.4]": ("[::ffff:1.2.3.4]", "[::ffff:1.2.3.4]"),
+        "1.2.3": ("2.3", "3"), "v1.2.3.4.com": ("4.com", "com"),
     }
 
 
