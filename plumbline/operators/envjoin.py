@@ -19,6 +19,18 @@ def join_with_nil(a: DataFrame, b: DataFrame, name: str = "name", domain: str =
     return a.join(other, name, "full_outer").select(name, F.array_sort(F.array_union(F.coalesce(domain, nil), F.coalesce("__b", nil))).alias(domain))
 
 
+def join_branches(rows: DataFrame, branches: int) -> DataFrame:
+    """kind, name, domain (sorted array) where any number of branches meet; rows: branch, kind, name, value, of all of them.
+
+    A local name that not all branches bind may be nil; others (instance variables, globals) have to be bound on all, else they are
+    left out. Presence is counted per name, so neither the order of branches nor branches without names matter. branches: how many there are.
+    """
+    met = rows.groupBy("kind", "name").agg(F.count_distinct("branch").alias("bound"), F.collect_set("value").alias("values"))
+    whole = F.col("bound") == branches
+    domain = F.array_sort(F.when(whole, F.col("values")).otherwise(F.array_union("values", F.array(F.lit("nil")))))
+    return met.where(whole | (F.col("kind") == "local")).select("kind", "name", domain.alias("domain"))
+
+
 def common_facts(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 

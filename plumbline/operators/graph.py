@@ -12,7 +12,7 @@ class CycleError(ValueError):
     pass
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df computed once: in the checkpoint folder, where there is one."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
@@ -24,15 +24,15 @@ def closure(edges: DataFrame) -> DataFrame:
     its own ancestor raises CycleError.
     """
     start = edges.select(F.explode(F.array("child", "parent")).alias("child")).where("child is not null").distinct()
-    edges = _kept(edges.where("child is not null and parent is not null").select("child", "parent").distinct())
+    edges = kept(edges.where("child is not null and parent is not null").select("child", "parent").distinct())
     found = start.select("child", F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
-    new, depth = _kept(edges.select("child", F.col("parent").alias("ancestor"))), 1
+    new, depth = kept(edges.select("child", F.col("parent").alias("ancestor"))), 1
     while not new.isEmpty():
         if loop := new.where("child = ancestor").first():
             raise CycleError(f"{loop['child']} is its own ancestor")
         found = found.unionByName(new.select("child", "ancestor", F.lit(depth).cast("long").alias("depth")))
         up = new.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-        new, depth = _kept(up.join(found.where("depth > 0"), ["child", "ancestor"], "left_anti")), depth + 1
+        new, depth = kept(up.join(found.where("depth > 0"), ["child", "ancestor"], "left_anti")), depth + 1
     return found
 
 

@@ -58,3 +58,14 @@ def coverage(df: DataFrame, by: str, unrecognised: Column) -> DataFrame:
     """node_class, visited, unrecognised, ratio of the unrecognised (0 where nothing was visited)."""
     out = df.groupBy(F.col(by).alias("node_class")).agg(F.count("*").alias("visited"), F.count_if(F.coalesce(unrecognised, F.lit(True))).alias("unrecognised"))
     return out.withColumn("ratio", F.when(F.col("visited") == 0, 0.0).otherwise(F.round(F.col("unrecognised") / F.col("visited"), 6)))
+
+
+def repeated(df: DataFrame, key: str, text: str) -> DataFrame:
+    """text, n, first_id of each text that more than one row has; key gives the first. Null texts and null keys are values like others.
+
+    Rows are grouped by digest; of the texts only those of first rows are read again.
+    """
+    rows = df.select(F.col(key).alias("first_id"), F.col(text).alias("text"), F.sha2(text, 256).alias("digest"))
+    again = rows.groupBy(F.col("digest").alias("__d")).agg(F.count("*").alias("n"), F.min("first_id").alias("__k")).where("n > 1")
+    found = rows.join(again, F.col("first_id").eqNullSafe(F.col("__k")) & F.col("digest").eqNullSafe(F.col("__d")))
+    return found.groupBy("digest").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("first_id").alias("first_id")).drop("digest")

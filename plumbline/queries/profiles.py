@@ -162,10 +162,7 @@ def cache_stats(spark, d):
 
 @query("duplicate_declarations", "SELECT text, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id) AS BIGINT) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_declarations(spark, d):
-    """Grouped by digest; only the first rows' texts are fetched."""
-    docs = table(spark, d, "documents")
-    again = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-    return docs.select(F.col("doc_id").alias("first_id"), "text").join(again, "first_id").select("text", "n", "first_id")
+    return P.repeated(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("class_index_union", "SELECT l_returnflag AS class, 'l_linestatus' AS field, array_to_string(list_sort(list(DISTINCT l_linestatus)), '|') AS writes FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'l_linenumber', array_to_string(list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR))), '|') FROM lineitem GROUP BY 1")

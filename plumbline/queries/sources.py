@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_folder
 from ..registry import query, table
 from ..sources import files as S
 
@@ -64,11 +63,6 @@ def src_lockfile(spark, d):
     return spark.createDataFrame(sorted(S.locked_versions(text).items()), "name string, version string")
 
 
-def _temporary(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.plumbline-checkpoints"
-    return f"{base}/files-{uuid.uuid4().hex}"
-
-
 @query("src_analyse_files")
 def src_analyse_files(spark, d):
     """Per-file analysis whose failures are rows: files under 3 kB 'fail'."""
@@ -84,7 +78,7 @@ def src_analyse_files(spark, d):
 @query("sink_diagnostics", "SELECT c_custkey AS line, 'customer.parquet' AS path, 'warning' AS severity, 'negative balance' AS message FROM customer WHERE c_acctbal < 0")
 def sink_diagnostics(spark, d):
     """Written as JSON lines and read again."""
-    at = _temporary(spark)
+    at = shared_folder(spark, "files")
     df = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("line"), F.lit("customer.parquet").alias("path"), F.lit("warning").alias("severity"), F.lit("negative balance").alias("message"))
     S.write_diagnostics(df, f"{at}/json")
     return spark.read.schema(df.schema).json(f"{at}/json")
@@ -92,7 +86,7 @@ def sink_diagnostics(spark, d):
 
 @query("sink_contracts", "SELECT p_type AS member, CASE WHEN p_type LIKE 'S%' THEN 'int<1, 50>' ELSE 'untyped' END AS type, CASE WHEN p_type LIKE 'S%' THEN 'inserted' ELSE 'kept' END AS action FROM (SELECT DISTINCT p_type FROM part)")
 def sink_contracts(spark, d):
-    at = _temporary(spark)
+    at = shared_folder(spark, "files")
     t = F.col("member")
     names = table(spark, d, "part").select(F.col("p_type").alias("member")).distinct()
     old = names.where(~t.startswith("S")).withColumn("type", F.lit("untyped"))
