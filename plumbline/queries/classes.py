@@ -87,10 +87,15 @@ def complete_members(spark, d):
     return D.divided(*_calls(spark, d))
 
 
-@query("nil_receivers", f"WITH {_CALLS}, n AS (SELECT receiver FROM m WHERE cls = 'error'), t AS (SELECT receiver, count(*) AS members FROM m WHERE cls <> 'error' GROUP BY 1), j AS (SELECT receiver, name FROM m JOIN g USING (cls) JOIN t USING (receiver) WHERE cls <> 'error' GROUP BY receiver, name HAVING count(*) = any_value(members)) SELECT receiver, name FROM j WHERE receiver IN (SELECT receiver FROM n) AND name NOT IN (SELECT name FROM g WHERE cls = 'error')")
+_HOURS = _CALLS.replace("hour(ts) AS name", "day(ts) * 24 + hour(ts) AS name").replace("value > 250", "value > 100")
+
+
+@query("nil_receivers", f"WITH {_HOURS}, n AS (SELECT receiver FROM m WHERE cls = 'error'), t AS (SELECT receiver, count(*) AS members FROM m WHERE cls <> 'error' GROUP BY 1), j AS (SELECT receiver, name FROM m JOIN g USING (cls) JOIN t USING (receiver) WHERE cls <> 'error' GROUP BY receiver, name HAVING count(*) = any_value(members)) SELECT receiver, name FROM j WHERE receiver IN (SELECT receiver FROM n) AND name NOT IN (SELECT name FROM g WHERE cls = 'error')")
 def nil_receivers(spark, d):
-    """Errors as nil: calls that all other classes of a user answer and nil does not."""
-    members, registry = _calls(spark, d)
+    """Errors as nil: calls (hours of the month) that all other classes of a user answer and nil does not."""
+    e = table(spark, d, "events")
+    members = e.select(F.col("user_id").alias("receiver"), F.col("event_type").alias("cls"))
+    registry = e.where("value > 100").select(F.col("event_type").alias("cls"), (F.dayofmonth("ts") * 24 + F.hour("ts")).cast("long").alias("name"))
     nil = lambda df: df.withColumn("cls", F.when(F.col("cls") != "error", F.col("cls")))
     return D.nil_receivers(nil(members), nil(registry))
 

@@ -34,7 +34,7 @@ def _standing(events: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
 
 
 class Debounce(StatefulProcessor):
-    """An event goes out when its timer, at its time plus gap (milliseconds), expires, unless another of its key has come that follows within gap.
+    """An event goes out once the watermark is past its time plus gap (milliseconds), unless another of its key has come that follows within gap.
 
     Rows have key, at (milliseconds), tie, and ts, the event time. A key's state is its events ahead of the watermark (an event that comes
     late, but not too late, may be followed by any of them) and those behind it that still wait for their timer.
@@ -52,24 +52,31 @@ class Debounce(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs()
         events = sorted({*before, *((r["at"], r["tie"]) for r in rows)})
         stand = _standing(events, self.gap)
-        timers, now = {e[0] for e in _standing(before, self.gap)}, {e[0] for e in stand}
-        for t in timers - now:
-            self.handle.deleteTimer(t + self.gap)
-        for t in now - timers:
-            self.handle.registerTimer(t + self.gap)
+        self._wake(_standing(before, self.gap), stand)
         self._put(sorted({*stand, *(e for e in events if e[0] > passed)}))
         return iter(())
 
+    def _wake(self, before: list[tuple[int, int]], now: list[tuple[int, int]]) -> None:
+        """A key has one timer, for the first of its events that may go out."""
+        was, due = (x[0][0] + self.gap if x else None for x in (before, now))
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if due is not None:
+                self.handle.registerTimer(due)
+
     def _put(self, events: list[tuple[int, int]]) -> None:
         self.pending.put(events) if events else self.pending.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        due = expiredTimerInfo.getExpiryTimeInMs() - self.gap
+        passed = timerValues.getCurrentWatermarkInMs()
         events = [tuple(x) for x in self.pending.get()]
-        for at, tie in _standing(events, self.gap):
-            if at == due:
-                yield Row(key=key[0], at=at, tie=tie)
-        self._put([e for e in events if e[0] > due])
+        stand = _standing(events, self.gap)
+        out = [e for e in stand if e[0] + self.gap <= passed]
+        self._wake([], stand[len(out) :])
+        self._put([e for e in events if e[0] > out[-1][0]] if out else events)
+        for at, tie in out:
+            yield Row(key=key[0], at=at, tie=tie)
 
     def close(self) -> None:
         pass
