@@ -12,7 +12,7 @@ the tables grow with what was seen, not with the contexts or languages possible;
 
 Training counts symbols where the text lies: executors count, the counts are summed by key, and only they (not texts)
 reach the driver. The classifier is fitted on a bounded sample: about max_docs_per_lang labelled documents of each
-language, chosen by a hash of the text.
+language, chosen by a hash of id and text (so copies of a text are drawn one by one), none longer than max_chars.
 """
 
 from __future__ import annotations
@@ -132,16 +132,18 @@ class Trees:
         return self._look(codes, ORDER)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", learnable: Column | None = None, max_docs_per_lang: int = 4000) -> Model:
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", learnable: Column | None = None, max_docs_per_lang: int = 4000, max_chars: int = 100_000, id_col: str = "doc_id") -> Model:
     """Learns from rows with a text and a language for which learnable holds.
 
-    max_docs_per_lang bounds the sample: where a language has more rows, those with the smallest text hashes are
-    taken, about so many. Without any such row the model knows no language.
+    max_docs_per_lang bounds the sample: where a language has more rows, those with the smallest hashes of id (if docs has id_col) and text
+    are taken, about so many; rows equal in both come together. Longer texts than max_chars are not learnt from. Without any such row the
+    model knows no language.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars))
+    key = [F.col(id_col)] if id_col in docs.columns else []
     if learnable is not None:
         rows = rows.where(F.coalesce(learnable, F.lit(False)))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(text_col), F.lit(17)), F.lit(1 << 30)).alias("h"))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(*key, F.col(text_col), F.lit(17)), F.lit(1 << 30)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
@@ -157,8 +159,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lear
                 codes, n = np.unique(_spread(raw, lengths), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
-    counted = sample.mapInArrow(contexts_in, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n"))
-    by = {r["lang"]: (np.array(r["code"], np.int64), np.array(r["n"], np.float32)) for r in counted.toLocalIterator()}
+    counted = sample.mapInArrow(contexts_in, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()  # a row for each context seen in the sample
+    lang, code, n = np.array(counted.column("lang").to_pylist(), object), counted.column("code").to_numpy(), counted.column("n").to_numpy().astype(np.float32)
+    by = {k: (code[lang == k], n[lang == k]) for k in langs}
     return Model(langs, [by.get(k, (np.zeros(0, np.int64), np.zeros(0, np.float32))) for k in langs])
 
 

@@ -6,7 +6,8 @@ target asks for. The position of a copy is the time when the integrated demand r
 a quadratic, is inverted exactly. Sorting all copies by position, by ranges, gives the training order.
 
 Sums run over buckets of a source's hashes: words are summed by source and bucket (a partial aggregate), bucket
-offsets over those sums, and running sums inside one bucket. A hot source is therefore as many groups as it has buckets.
+offsets over those sums, and running sums inside one bucket. A hot source is therefore as many groups as it has buckets. Hashes are of
+id and text, so many rows of one id, or of none, are spread too; only rows equal in both share a bucket, once for each copy.
 Sums are of integers, so reruns agree.
 """
 
@@ -67,8 +68,7 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """
     stash = Stash(docs.sparkSession, "mix")
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *row)
-    rows = rows.withColumn("h", F.xxhash64("id", F.lit(seed)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)), F.lit(seed)).alias("h"), *row)
     small = stash.put(rows.select("source", "h", "size", *(["id"] * (not with_row))))
     base = rows if with_row else small
     shared = targets(small, stash, weights, most)

@@ -444,3 +444,22 @@ def test_sources_of_no_size(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None), (3, "x y", "b")], "doc_id long, text string, source string")
     assert {r.doc_id: (r.size, r.taken) for r in mixing.plan(df).collect()} == {1: (0, 0), 2: (0, 0), 3: (2, 2)}
 
+
+
+def test_many_rows_of_one_id_or_none_are_spread_over_buckets(spark):
+    rows = [(None, f"a b {k}", "s") for k in range(300)] + [(7, f"c {k}", "s") for k in range(300)] + [(7, "same", "s")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    h = df.select(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(7)).alias("h")).distinct().count()
+    assert h == 601
+    out = mixing.plan(df).collect()
+    assert len(out) == len(rows) and sum(r["taken"] for r in out) == sum(r["size"] for r in out)
+
+
+def test_copies_of_a_text_are_drawn_one_by_one(spark):
+    rows = [(k, "der und die " * 3, "de") for k in range(2000)] + [(k + 5000, f"the of {k} and", "en") for k in range(50)] + [(9000, "x" * 500, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, max_docs_per_lang=100, max_chars=400)
+    seen = {k: float(n[(c & 511) == ord("e") + 1].sum()) for k, (c, n) in zip(model.langs, model.counts)}
+    assert model.langs == ["de", "en"] and 3 * 50 < seen["de"] / 2 < 3 * 200  # two e in each of three parts of a drawn copy: about 100 copies
+    assert all((c & 511 != ord("x") + 1).all() for c, _ in model.counts)
+    assert {r.lang_pred for r in language_id.predict(df.where("lang = 'de'"), model).collect()} == {"de"}
