@@ -12,8 +12,10 @@ it; it is indexed in blocks, by the anchor's hash, and each document's stretches
    is beside it. Each stretch is parsed greedily: the longest match is a factor; the next one starts at the first window
    beyond it that has a match. A factor's words and those of its reference are then compared, byte by byte, once from boundary
    to boundary. Where hashes have lied, the whole block is parsed again with windows told apart by their bytes.
-3. Anchors that recur more often than a block holds go into a second bitmap. Their windows are counted by SHA-256 digest, in
-   partial sums before the shuffle, and joined back; hot digests are broadcast. Groups and broadcasts are thus bounded at every size.
+3. Anchors that recur more often than a block holds split their windows by longer anchors: grams of 16 words, then the windows
+   themselves, each with bitmaps of its own. Stretches of longer anchors go to blocks like others. A window that by itself recurs
+   more often than a block holds is dealt to as many blocks as it fills; its first occurrence is the reference in all of them.
+   So every factor is found by parsing a bounded block, at every size.
 4. Words in spans are removed.
 
 Words of over 64 bytes travel as digests (SHA-256, marked so that no word looks like one).
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,16 +79,19 @@ class Parsed:
         self.raw, self.begin, self.end, self.n = word_bounds(texts)
         self.hash = byte_hashes(self.raw, self.begin, self.end)
         self.first = np.cumsum(self.n) - self.n
+        self.window = window
         self.start = np.zeros(0, np.int64)
         if len(self.hash) < window:
             return
-        gram = mixed(_rolling(self.hash, GRAM))
+        last = np.repeat(self.first + self.n - window, self.n)[: len(self.hash) - window + 1]  # of each word: the last window of its text
+        self.start = np.flatnonzero(np.arange(len(last)) <= last)
+
+    def anchors(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window: the hash of its anchor among grams of size words, and where that is."""
+        gram = mixed(_rolling(self.hash, size))
         key = (gram >> np.uint64(_POSITION) << np.uint64(_POSITION)) | np.arange(len(gram), dtype=np.uint64)
-        least = _least(key, window - GRAM + 1)
-        last = np.repeat(self.first + self.n - window, self.n)[: len(least)]  # of each word: the last window of its text
-        self.start = np.flatnonzero(np.arange(len(least)) <= last)
-        self.at = (least[self.start] & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
-        self.gram = gram
+        at = (_least(key, self.window - size + 1)[self.start] & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
+        return gram[at], at
 
     def shown(self) -> tuple[np.ndarray, np.ndarray]:
         """All words with a space after each, words of over LONG bytes as digests, and where each word starts."""
@@ -118,51 +124,100 @@ def _scan(docs: DataFrame, window: int, give, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _count_anchors(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch:
-    anchor, n = np.unique(p.gram[np.unique(p.at)].view(np.int64), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
+class Level:
+    """A length of anchors, the bitmap of those that recur, and of those too frequent for a block (None: there are none)."""
+
+    def __init__(self, size: int, bits: Broadcast, hot: Broadcast | None):
+        self.size, self.bits, self.hot = size, bits, hot
+
+
+def _beyond(p: Parsed, levels: list[Level]) -> np.ndarray:
+    """The windows whose anchors are too frequent at all levels."""
+    left = np.ones(len(p.start), bool)
+    for level in levels:
+        if not left.any():
+            break
+        left &= in_bitmap(level.hot.value, p.anchors(level.size)[0])
+    return left
+
+
+def _count_anchors(levels: list[Level], size: int):
+    """Anchors of so many words, and their places, of windows that are beyond levels."""
+
+    def give(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch | None:
+        left = _beyond(p, levels)
+        if not left.any():
+            return None
+        a, at = p.anchors(size)
+        anchor, n = np.unique(a[left][np.unique(at[left], return_index=True)[1]].view(np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
+
+    return give
 
 
-def _stretches(bits: np.ndarray, hot: np.ndarray, window: int):
-    """Of each anchor in the bitmap and not hot: row, first word in its text, the words."""
+def _stretches(levels: list[Level]):
+    """Of each anchor that recurs and isn't too frequent: row, first word in its text, the words."""
 
     def give(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch | None:
-        a = p.gram[p.at]
-        hit = in_bitmap(bits, a) & ~in_bitmap(hot, a)
+        left = np.ones(len(p.start), bool)
+        key, at = np.zeros(len(p.start), np.uint64), np.zeros(len(p.start), np.int64)
+        hit = np.zeros(len(p.start), bool)
+        for k, level in enumerate(levels):
+            if not left.any():
+                break
+            a, place = p.anchors(level.size)
+            often = in_bitmap(level.hot.value, a) if level.hot else np.zeros(len(a), bool)
+            here = left & ~often & in_bitmap(level.bits.value, a)
+            key[here], at[here] = a[here] + np.uint64(k), place[here]
+            hit |= here
+            left &= often
         if not hit.any():
             return None
-        start, at, a = p.start[hit], p.at[hit], a[hit]
-        i = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
-        begin, end = start[i], np.append(start[i[1:] - 1], start[-1]) + window
+        start, at, key = p.start[hit], at[hit], key[hit]
+        i = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)]))
+        begin, end = start[i], np.append(start[i[1:] - 1], start[-1]) + p.window
         shown, place = p.shown()
         size = place[end] - place[begin] - 1
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(shown[_spans(place[begin], size)].tobytes())])
         text = p.text_of(begin)
         row = pa.array(text)
-        return pa.RecordBatch.from_arrays([pa.array(a[i].view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(begin - p.first[text]), words], names=["k", "id", "rk", "first", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(key[i].view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(begin - p.first[text]), words], names=["k", "id", "rk", "first", "words"])
 
     return give
 
 
-def _windows(hot: np.ndarray, window: int):
-    """The windows of hot anchors: row, first word in its text, digest."""
+def _windows(levels: list[Level]):
+    """The windows beyond all levels: row, first word in its text, the words."""
 
     def give(part: pa.RecordBatch, p: Parsed) -> pa.RecordBatch | None:
-        hit = in_bitmap(hot, p.gram[p.at])
-        if not hit.any():
+        left = _beyond(p, levels)
+        if not left.any():
             return None
-        start = p.start[hit]
+        start = p.start[left]
         shown, place = p.shown()
-        data, digest = shown.tobytes(), hashlib.sha256
-        digests = [digest(data[b:e]).digest() for b, e in zip(place[start].tolist(), (place[start + window] - 1).tolist())]
+        data = shown.tobytes()
+        words = [data[b:e] for b, e in zip(place[start].tolist(), (place[start + p.window] - 1).tolist())]
         text = p.text_of(start)
         row = pa.array(text)
-        return pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(start - p.first[text]), pa.array(digests, pa.binary())], names=["id", "rk", "first", "digest"])
+        return pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(start - p.first[text]), pa.array(words, pa.binary())], names=["id", "rk", "first", "words"])
 
     return give
 
 
+def _dealt(windows: DataFrame, stash: Stash, most: int) -> DataFrame:
+    """Blocks (k, id, rk, first, words) of windows that recur: of each as many as its occurrences fill, and its first one in all of them."""
+    windows = stash.put(windows)
+    row = F.struct("id", "rk", "first")
+    again = windows.groupBy("words").agg(F.count("*").alias("n"), F.min(row).alias("least")).where("n > 1")
+    again = stash.put(again.withColumn("blocks", F.ceil(F.col("n") / most)))
+    block = F.pmod(F.xxhash64("id", "rk", "first"), F.col("blocks"))
+    key = F.xxhash64("words", "block").alias("k")
+    rows = join_hot(windows, again.select("words", "n", "blocks"), "words", "n", windows.count()).withColumn("block", block)
+    first = again.select("words", "blocks", "least.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).where(F.col("block") != block)
+    return rows.select(key, "id", "rk", "first", "words").unionByName(first.select(key, "id", "rk", "first", "words"))
+
+
 def longest_matches(x: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Length and place of the longest match elsewhere of each suffix of some stretches; end: where each place's stretch ends."""
     m = len(x)
@@ -237,20 +292,21 @@ def spans(docs: DataFrame, *, window: int = 35, most_in_block: int = 32_768) ->
     most_in_block bounds a group of stretches in one task.
     """
     stash = Stash(docs.sparkSession, "factors")
-    anchors = _scan(docs, window, _count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    anchors = stash.put(anchors.where("n > 1"))
-    often = anchors.where(F.col("n") > most_in_block)
-    r = anchors.agg(F.count("*").alias("k"), F.count_if(F.col("n") > most_in_block).alias("often")).first()
     sc = docs.sparkSession.sparkContext
-    bits, hot = sc.broadcast(bitmap(anchors, "anchor", r["k"])), sc.broadcast(bitmap(often, "anchor", r["often"]))
-    sent = _scan(docs, window, lambda part, p: _stretches(bits.value, hot.value, window)(part, p), "k long, id long, rk long, first long, words binary")
-    found = by_key(sent, lambda t: parse_block(t, window), "id long, rk long, begin long, end long", least_rows=5_000)
-    if r["often"]:
-        rows = stash.put(_scan(docs, window, lambda part, p: _windows(hot.value, window)(part, p), "id long, rk long, first long, digest binary"))
-        again = stash.put(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
-        more = join_hot(rows, again, "digest", "n", rows.count())
-        found = found.unionByName(more.select("id", "rk", F.col("first").alias("begin"), (F.col("first") + window).alias("end")))
-    return found
+    levels: list[Level] = []
+    for size in sorted({GRAM, min(2 * GRAM, window), window}):
+        anchors = _scan(docs, window, _count_anchors(list(levels), size), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+        anchors = stash.put(anchors.where("n > 1"))
+        often = anchors.where(F.col("n") > most_in_block)
+        r = anchors.agg(F.count("*").alias("k"), F.count_if(F.col("n") > most_in_block).alias("often")).first()
+        hot = sc.broadcast(bitmap(often, "anchor", r["often"])) if r["often"] else None
+        levels.append(Level(size, sc.broadcast(bitmap(anchors, "anchor", r["k"])), hot))
+        if not hot:
+            break
+    sent = _scan(docs, window, _stretches(levels), "k long, id long, rk long, first long, words binary")
+    if levels[-1].hot:
+        sent = sent.unionByName(_dealt(_scan(docs, window, _windows(levels), "id long, rk long, first long, words binary"), stash, most_in_block))
+    return by_key(sent, lambda t: parse_block(t, window), "id long, rk long, begin long, end long", least_rows=5_000)
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, **options) -> DataFrame:

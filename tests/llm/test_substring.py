@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_operators import SCHEMA, corpus, words
 
 from plumbline.llm import arrays, substring_dedup
@@ -43,7 +44,7 @@ def odd_rows():
     return [(1000 + i, t, *(None,) * 9) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("most", [32_768, 2])  # 2: most anchors take the way of the hot ones
+@pytest.mark.parametrize("most", [32_768, 40, 3, 2])  # few: anchors are split by longer ones, then windows are dealt to several blocks
 def test_substring_dedup(spark, most):
     rows = corpus() + odd_rows()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
@@ -93,3 +94,21 @@ def test_hashes_of_thue_morse_words_differ():
         a = thue_morse(n)
         h, _ = arrays.words_of([f"{a} {a.translate(str.maketrans('ab', 'ba'))} {a}".encode()])
         assert h[0] == h[2] != h[1]
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """Many copies of one window: each block holds what it may, and all of them are found."""
+    sizes = []
+
+    def seen(df, *args, **options):
+        sizes.append(df.groupBy("k").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0])
+        return arrays.by_key(df, *args, **options)
+
+    monkeypatch.setattr(substring_dedup, "by_key", seen)
+    r = random.Random(5)
+    notice = " ".join(f"w{k}" for k in range(40))
+    rows = [(i, f"{r.random()} {notice} {r.random()}") for i in range(600)] + [(600, f"{r.random()} " * 50), (None, notice), (None, notice)]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), most_in_block=50).collect()
+    assert all(x.n_removed == 40 for x in out if x.doc_id != 600) and len(out) == 603
+    assert {x.n_removed for x in out if x.doc_id == 600} == {50}  # one word, 50 times: its windows repeat within the text
+    assert sizes[0] <= 100
