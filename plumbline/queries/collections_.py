@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import collections_ as C
+from ..operators.ordering import positioned_within
 from ..registry import query, table
 
 
@@ -262,8 +263,8 @@ def refined_method_projections(spark, d):
 
 @query("iter_table_slices", "SELECT CAST((r - 1) // 100 AS BIGINT) AS slice, CAST(count(*) AS BIGINT) AS n, CAST(min(p_partkey) AS BIGINT) AS first FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS r FROM part) GROUP BY 1")
 def iter_table_slices(spark, d):
-    r = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", F.floor((r - 1) / 100).alias("slice")).groupBy("slice").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    rows = positioned_within(table(spark, d, "part").select("p_partkey", "p_type"), ["p_type"], "p_partkey")
+    return rows.select("p_partkey", F.floor(F.col("position") / 100).alias("slice")).groupBy("slice").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
 @query("iter_table_cons", "SELECT l_partkey, CAST(count(*) AS BIGINT) AS windows, CAST(max(a + b + c) AS BIGINT) AS heaviest FROM (SELECT l_partkey, CAST(l_quantity AS BIGINT) AS a, lead(CAST(l_quantity AS BIGINT), 1) OVER w AS b, lead(CAST(l_quantity AS BIGINT), 2) OVER w AS c FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity)) WHERE c IS NOT NULL GROUP BY 1")

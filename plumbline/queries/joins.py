@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import envjoin as E
 from ..operators import graph as G
+from ..operators import ordering as O
 from ..registry import query, table
 
 
@@ -187,8 +188,8 @@ def sort_members(spark, d):
 
 @query("contribution_order", "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_type, p_partkey) AS BIGINT) AS pos FROM part")
 def contribution_order(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_size", "p_type", "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("pos"))
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_type")
+    return O.positioned_within(rows, ["p_brand"], "p_size", "p_type", "p_partkey").select("p_partkey", (F.col("position") + 1).alias("pos"))
 
 
 @query("overload_select", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'strict' WHEN p_size < 20 THEN 'alias' WHEN p_size < 30 THEN 'gradual' WHEN p_size < 40 THEN 'block' ELSE 'first' END AS pass, CAST(CASE WHEN p_size < 10 THEN 3 WHEN p_size < 20 THEN 2 WHEN p_size < 30 THEN 1 WHEN p_size < 40 THEN 4 ELSE 0 END AS BIGINT) AS idx FROM part")
@@ -218,8 +219,7 @@ def class_table_sort(spark, d):
 
 @query("input_order", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS pos FROM documents")
 def input_order(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", F.row_number().over(w).cast("long").alias("pos"))
+    return O.positioned_within(table(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id").select("doc_id", (F.col("position") + 1).alias("pos"))
 
 
 @query("completion_members", "SELECT event_type AS name, count(DISTINCT user_id % 5) = 5 AS on_every, true AS on_any FROM events GROUP BY 1")

@@ -1,12 +1,15 @@
-"""Queries about layered signatures, arity and parameters, and how much of the tables is recognised."""
+"""Queries about layered signatures, arity and parameters, positions, and how much of the tables is recognised."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
+from ..operators import metrics as M
+from ..operators import ordering as O
 from ..operators import scan as N
 from ..operators import signatures as G
+from ..operators.shared import shared_folder
 from ..registry import query, table
 from .classes import _edges
 
@@ -66,8 +69,40 @@ _SCANNED = [("documents", "doc_id", "Integer"), ("documents", "text", "String"),
 _UNLIKE = {"Integer": "{0} <= 0", "Float": "false", "String": "NOT ({0} = lower({0}) AND {0} <> '')"}
 
 
+def _scanned(spark, d):
+    return N.type_scan({t: table(spark, d, t).select(*[c for s, c, _ in _SCANNED if s == t]) for t in ("documents", "customer")}, {"Integer": ["positive-int"], "String": ["non-empty-lowercase-string"]})
+
+
 @query("type_scan", "WITH s AS (" + " UNION ALL ".join(f"SELECT '{cls}' AS cls, count({c}) AS visited, count_if({_UNLIKE[cls].format(c)}) AS unrecognised FROM {t}" for t, c, cls in _SCANNED) + ") SELECT cls, CAST(sum(visited) AS BIGINT) AS visited, CAST(sum(unrecognised) AS BIGINT) AS unrecognised, round(sum(unrecognised) / sum(visited), 6) AS ratio FROM s GROUP BY cls")
 def type_scan(spark, d):
     """All columns of two tables: whole numbers have to be positive, texts lower-case and not empty."""
-    scanned = N.type_scan({t: table(spark, d, t).select(*[c for s, c, _ in _SCANNED if s == t]) for t in ("documents", "customer")}, {"Integer": ["positive-int"], "String": ["non-empty-lowercase-string"]})
-    return N.by_class(scanned, show_recognised=True)
+    return N.by_class(_scanned(spark, d), show_recognised=True)
+
+
+@query("explain_fallbacks", "WITH s AS (" + " UNION ALL ".join(f"SELECT '{t}' AS path, '{c}' AS \"column\", '{cls}' AS cls, count({c}) AS v, count_if({_UNLIKE[cls].format(c)}) AS u FROM {t}" for t, c, cls in _SCANNED) + ") SELECT path, CAST(NULL AS VARCHAR) AS line, \"column\", 'info' AS severity, 'fallback' AS rule, 'builtin' AS source_family, u || ' of ' || v || ' values of ' || \"column\" || ' (' || cls || ') are not recognised' AS message FROM s WHERE u > 0")
+def explain_fallbacks(spark, d):
+    return M.fallbacks(_scanned(spark, d))
+
+
+@query("run_metrics", "SELECT unnest(['rows', 'large', 'customers_from', 'customers_to']) AS figure, unnest([count(*), CAST(count_if(o_totalprice > 400000) AS BIGINT), min(o_custkey), max(o_custkey)]) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+def run_metrics(spark, d):
+    """Orders of customers in credit are stored; the figures come from the job that writes them."""
+    rows = table(spark, d, "orders").join(table(spark, d, "customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_totalprice")
+    key = F.col("o_custkey").cast("long")
+    _, seen = M.stored(rows, shared_folder(spark, "metrics"), large=F.count_if(F.col("o_totalprice") > 400000), customers_from=F.min(key), customers_to=F.max(key))
+    return spark.createDataFrame([(k, v) for k, v in seen.items() if k != "seconds"], "figure string, value long")
+
+
+@query("file_order", "SELECT doc_id, row_number() OVER () - 1 AS position FROM documents")
+def file_order(spark, d):
+    """Positions of documents in their files."""
+    return O.in_file_order(table(spark, d, "documents").select("doc_id")).select("doc_id", "position")
+
+
+@query("affinity_order", "SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY far, p_partkey) - 1 AS position FROM (SELECT *, CASE WHEN split_part(p_type, ' ', 1) = first_word THEN 0 ELSE 1 END AS far FROM (SELECT p.*, min(split_part(p_type, ' ', 1)) OVER (PARTITION BY p_brand) AS first_word FROM part p))")
+def affinity_order(spark, d):
+    """Parts of a brand as overloads: those of the receiver's class (the brand's least first word) first, then as declared."""
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("word"))
+    least = rows.groupBy("p_brand").agg(F.min("word").alias("receiver"))
+    far = rows.join(least, "p_brand").select("p_partkey", "p_brand", (F.col("word") != F.col("receiver")).cast("int").alias("far"))
+    return O.positioned_within(far, ["p_brand"], "far", "p_partkey").select("p_partkey", "p_brand", "position")
