@@ -9,7 +9,9 @@ from .operators import contracts, rules
 from .operators.check import Config, Contract, Member, Use, check, failed, summary  # noqa: F401 - part of the API
 from .operators.narrow import Test, keep
 from .operators.profile import profile
+from .operators.project import check_all, read_config, run  # noqa: F401 - part of the API
 from .operators.refine import compile_payload
+from .operators.scan import by_class, exit_status, type_scan  # noqa: F401 - part of the API
 
 REFINEMENT = "refinement"  # key of a field's metadata that holds its payload
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import check as K
+from ..operators import project as J
 from ..operators import rules as U
 from ..registry import query, table
 
@@ -36,6 +37,23 @@ def check_summary(spark, d):
     return K.summary(K.check(table(spark, d, "documents"), contract, K.Config(overrides={"call.argument-type-mismatch": "info"})))
 
 
+_PROJECT = {
+    "tables": {
+        "customer": {"key": ["c_custkey"], "open": True, "members": {"c_custkey": {"class": "Integer", "payload": "positive-int", "nullable": False}, "c_acctbal": "int<0, max>", "c_fax": None}},
+        "documents": {"key": ["doc_id"], "open": True, "members": {"text": {"nullable": False}, "lang": {"class": "String", "nullable": False}, "n_chars": {"class": "Integer", "payload": "int<0, 5000>"}}},
+        "lineitem": {"key": ["l_orderkey", "l_linenumber"], "open": True, "divisors": ["l_linenumber"], "returns": {"net": ["l_extendedprice * (1 - l_discount)", "int<min, 90000>"]}},
+        "absent": {"members": {"x": "positive-int"}},
+    },
+    "severity": {"call.argument-type-mismatch": "info"},
+}
+
+
+@query("check_project", "WITH f AS (SELECT 'customer' AS path, 'info' AS severity, 'call.argument-type-mismatch' AS rule FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'customer', 'info', 'call.argument-type-mismatch' FROM customer WHERE c_custkey < 1 UNION ALL SELECT 'customer', 'error', 'call.undefined-method' UNION ALL SELECT 'documents', 'warning', 'call.possible-nil-receiver' FROM documents WHERE text IS NULL UNION ALL SELECT 'documents', 'warning', 'call.possible-nil-receiver' FROM documents WHERE lang IS NULL UNION ALL SELECT 'documents', 'info', 'call.argument-type-mismatch' FROM documents WHERE n_chars < 0 OR n_chars > 5000 UNION ALL SELECT 'lineitem', 'warning', 'def.return-type-mismatch' FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 90000 UNION ALL SELECT 'lineitem', 'error', 'flow.always-raises' FROM lineitem WHERE l_linenumber = 0 UNION ALL SELECT 'absent', 'error', 'path.missing') SELECT path, severity, rule, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY 1, 2, 3")
+def check_project(spark, d):
+    """Four tables by one configuration, of which one isn't there."""
+    return J.check_all(spark, _PROJECT, d).groupBy("path", "severity", "rule").agg(F.count("*").alias("n"))
+
+
 @query("suppression_levels", "WITH d AS (SELECT l_orderkey AS path, CAST(l_linenumber AS BIGINT) AS line, l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN 'call.wrong-arity' ELSE 'flow.dead-assignment' END AS rule FROM lineitem) SELECT d.* FROM d LEFT JOIN orders o ON o.o_orderkey = d.path WHERE NOT coalesce(o.o_orderstatus = 'F' AND d.rule = 'call.wrong-arity', false) AND NOT coalesce(o.o_orderstatus = 'O' AND d.line = 1, false)")
 def suppression_levels(spark, d):
     """Orders as files: those of one status silence a family in all their lines, those of another everything in their first."""
