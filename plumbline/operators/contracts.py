@@ -37,3 +37,25 @@ def merge(existing: DataFrame, generated: DataFrame, key: str, overwrite: bool =
     replace = F.coalesce((F.col("kind") == "tighter_return") | ((F.col("kind") == "new_method") & (untyped(F.col("new")) < untyped(F.col("old")))), F.lit(False)) & F.lit(overwrite)
     action = F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "inserted").when(replace, "replaced").otherwise("kept")
     return e.join(g, key, "full_outer").select(key, F.when(action.isin("inserted", "replaced"), F.col("new")).otherwise(F.col("old")).alias("type"), action.alias("action"))
+
+
+def render(existing: DataFrame, generated: DataFrame, key: str, mode: str = "print", only: tuple[str, ...] = (), overwrite: bool = True) -> DataFrame:
+    """key, part, line of what merge makes of both: "print" shows members inserted or replaced, "diff" also what they replace (part 0 before part 1), "write" all lines of the new file.
+
+    only: members to show, all if none is named; untyped members that were not there are not shown.
+    """
+    if mode not in ("print", "diff", "write"):
+        raise ValueError(f"{mode} is none of print, diff, write")
+    rows = merge(existing, generated, key, overwrite).join(existing.select(key, F.col("type").alias("old")), key, "left")
+    rows = rows.where(F.col(key).isin(*only)) if only else rows
+    changed = F.col("action").isin("inserted", "replaced") & (F.col("type") != "untyped")
+    text = lambda c, sign="": F.concat(F.lit(sign + "def "), F.col(key), F.lit(": () -> "), F.col(c))
+    one = lambda part, line: F.struct(F.lit(part).alias("part"), line.alias("line"))
+    new = F.when(changed, one(1, text("type", "+ " if mode == "diff" else "")))
+    if mode == "write":
+        lines = F.array(one(1, text("type")))
+    elif mode == "diff":
+        lines = F.array(F.when(changed & F.col("old").isNotNull(), one(0, text("old", "- "))), new)
+    else:
+        lines = F.array(new)
+    return rows.select(key, F.inline(F.filter(lines, lambda x: x.isNotNull())))

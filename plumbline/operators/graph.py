@@ -7,14 +7,18 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
+
 
 class CycleError(ValueError):
     pass
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder, where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df computed once, in the folder that driver and executors share; a lost executor costs none of it."""
+    at = shared_folder(df.sparkSession, "round")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -42,6 +46,29 @@ def nearest(pairs: DataFrame, owned: DataFrame) -> DataFrame:
     return found.groupBy("child", "member").agg(F.min_by("owner", F.struct("depth", "owner")).alias("owner"))
 
 
+def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """name, level: 0 for those that need nothing, else one more than the highest of what they need; so producers come before consumers.
+
+    nodes: name; needs: consumer, producer. Nulls and repeated rows count for nothing, needs of names that aren't there neither. A
+    producer that isn't there is a ValueError, needs in a circle a CycleError. One round for each level; edges met are left behind.
+    """
+    names = kept(nodes.select("name").where("name is not null").distinct())
+    edges = needs.where("consumer is not null and producer is not null").select("consumer", "producer").distinct()
+    waiting = kept(edges.join(names.withColumnRenamed("name", "consumer"), "consumer", "left_semi"))
+    if lost := waiting.join(names.withColumnRenamed("name", "producer"), "producer", "left_anti").first():
+        raise ValueError(f"{lost['consumer']} needs {lost['producer']}, which is not there")
+    ready, level = kept(names.join(waiting.select(F.col("consumer").alias("name")).distinct(), "name", "left_anti")), 0
+    found = ready.withColumn("level", F.lit(level))
+    while not waiting.isEmpty():
+        rest = kept(waiting.join(ready.withColumnRenamed("name", "producer"), "producer", "left_anti"))
+        free = waiting.select("consumer").distinct().join(rest.select("consumer").distinct(), "consumer", "left_anti")
+        ready, level, waiting = kept(free.withColumnRenamed("consumer", "name")), level + 1, rest
+        if ready.isEmpty():
+            raise CycleError(f"{waiting.first()['consumer']} needs itself or one that does")
+        found = found.unionByName(ready.withColumn("level", F.lit(level)))
+    return found
+
+
 def topological(order: list[str], needs: dict[str, list[str]]) -> list[str]:
     """Plugins so that producers come before consumers; ties in configured order. A missing producer or a cycle is an error."""
     for k, v in needs.items():

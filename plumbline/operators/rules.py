@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import kept
+
 FIELDS = ("path", "line", "column", "severity", "rule", "source_family", "message")
 
 #: The rules and their severity in the three profiles.
@@ -72,32 +74,36 @@ def suppress(diagnostics: DataFrame, comments: DataFrame, project: tuple[str, ..
 def resolve_severity(diagnostics: DataFrame, overrides: DataFrame, profile: str = "balanced") -> DataFrame:
     """Exact override, else the family's, else the profile's, else as authored; rows that come to "off" go. A null rule is untouched.
 
-    overrides: name (rule or family), level; a configuration, so small that it is broadcast.
+    overrides: name (rule or family), level, a name once; of any size, so how it is joined is left to the planner.
     """
     spark = diagnostics.sparkSession
     k = PROFILES.index(profile)
     base = F.broadcast(spark.createDataFrame([(r, s[k]) for r, s in SEVERITIES.items()], "rule string, __profile string"))
-    exact = F.broadcast(overrides.select(F.col("name").alias("rule"), F.col("level").alias("__exact")))
-    wide = F.broadcast(overrides.select(F.col("name").alias("__family"), F.col("level").alias("__wide")))
+    exact = overrides.select(F.col("name").alias("rule"), F.col("level").alias("__exact"))
+    wide = overrides.select(F.col("name").alias("__family"), F.col("level").alias("__wide"))
     out = diagnostics.withColumn("__family", family(F.col("rule"))).join(exact, "rule", "left").join(wide, "__family", "left").join(base, "rule", "left")
     level = F.coalesce("__exact", "__wide", "__profile", "severity")
     return out.withColumn("severity", level).where(F.col("severity") != "off").select(*diagnostics.columns)
 
 
+def explained(asked: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """asked (name and others) with rule, family, balanced severity and text of each rule that the name stands for: the rule's own, an older name, or a family (a row for each of its rules). Unknown names have one row of nulls."""
+    spark = asked.sparkSession
+    rows = [(n, r, r.split(".")[0], SEVERITIES[r][1], texts[r]) for r in SEVERITIES for n in (r, r.split(".")[0], *(a for a, x in ALIASES.items() if x == r))]
+    known = F.broadcast(spark.createDataFrame(rows, "name string, rule string, family string, severity string, text string"))  # fixed: three rows a rule at most
+    return asked.join(known, "name", "left")
+
+
 def qualified(rule: Column, source: Column) -> Column:
     """family.rule, without the family for built-in rules."""
     return F.when(source.isNull() | (source == "builtin"), rule).otherwise(F.concat(source, F.lit("."), rule))
 
 
 def isolated(name: str, rule, df: DataFrame) -> DataFrame:
-    """A plugin's rule over df, as it is stored in the checkpoint folder (else kept by persist); if it can't be built or fails when
-    it runs, one diagnostic says so. Runs the rule."""
+    """A plugin's rule over df, as it is stored in the checkpoint or shared folder; if it can't be built or fails when it runs, one diagnostic
+    says so. Runs the rule."""
     try:
         out = rule(df)
-        if df.sparkSession.sparkContext.getCheckpointDir():
-            return out.checkpoint()
-        out = out.persist()
-        out.write.format("noop").mode("overwrite").save()
-        return out
+        return out.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else kept(out)
     except Exception as e:  # noqa: BLE001 - any failure of foreign code
         return df.sparkSession.createDataFrame([(name, "plugin-runtime-error", type(e).__name__)], "path string, rule string, message string")

@@ -1,13 +1,21 @@
-"""Queries of plan-level analysis: small programs, evaluated on the driver, against expected types."""
+"""Plan-level analysis of small programs, evaluated on the driver, against expected types. They read no table, so they are cases for tests and no queries."""
 
 from __future__ import annotations
 
-from ..operators import graph as G
 from ..operators.narrow import Test
 from ..plans import expressions as X
 from ..plans import lattice as L
-from ..plugins import Manifest, Registry
-from ..registry import query
+
+CASES = {}
+EXPECTED = {}
+
+
+def case(name, sql):
+    def add(f):
+        CASES[name], EXPECTED[name] = f, sql
+        return f
+
+    return add
 
 
 def _rows(spark, pairs):
@@ -23,13 +31,13 @@ def lit(v):
     return ("literal", v)
 
 
-@query("plan_literals", _values({"integer": "1", "float": "1.5", "string": '"a"', "true": "true", "false": "false", "nil": "nil", "array": '[1, "a"]', "hash": "{ a: 1, b: [2] }", "interpolated": '"x1"', "unknown": "Dynamic[top]", "range": "Range[int<1, 3>]"}))
+@case("plan_literals", _values({"integer": "1", "float": "1.5", "string": '"a"', "true": "true", "false": "false", "nil": "nil", "array": '[1, "a"]', "hash": "{ a: 1, b: [2] }", "interpolated": '"x1"', "unknown": "Dynamic[top]", "range": "Range[int<1, 3>]"}))
 def plan_literals(spark, d):
     nodes = {"integer": lit(1), "float": lit(1.5), "string": lit("a"), "true": lit(True), "false": lit(False), "nil": lit(None), "array": ("array", lit(1), lit("a")), "hash": ("hash", ("a", lit(1)), ("b", ("array", lit(2)))), "interpolated": ("interpolate", lit("x"), lit(1)), "unknown": ("read", "nowhere"), "range": ("range", lit(1), lit(3))}
     return _rows(spark, [(k, X.type_of(n, {})) for k, n in nodes.items()])
 
 
-@query("plan_calls", _values({"fold": "7", "floor": "-4", "union": "2 | 3", "widened": "int<2, 20>", "interval": "int<4, 8>", "size": "2", "first": "1", "last": "nil", "shape": '"x"', "missing": "nil", "class": "singleton(Integer)", "new": "Foo", "string size": "non-negative-int", "non-empty size": "positive-int", "zero": "Dynamic[top]"}))
+@case("plan_calls", _values({"fold": "7", "floor": "-4", "union": "2 | 3", "widened": "int<2, 20>", "interval": "int<4, 8>", "size": "2", "first": "1", "last": "nil", "shape": '"x"', "missing": "nil", "class": "singleton(Integer)", "new": "Foo", "string size": "non-negative-int", "non-empty size": "positive-int", "zero": "Dynamic[top]"}))
 def plan_calls(spark, d):
     env = {"r": L.IntegerRange(1, 5), "u": L.union(L.Constant(1), L.Constant(2)), "w": L.union(*map(L.Constant, range(1, 11))), "v": L.union(*map(L.Constant, (1, 10, 5))), "s": L.Nominal("String"), "e": L.Difference(L.Nominal("String"), L.Constant("")), "c": L.Singleton("Foo")}
     call = lambda r, op, *a: ("call", r, op, *a)
@@ -41,7 +49,7 @@ def plan_calls(spark, d):
     return _rows(spark, [(k, X.type_of(n, env)) for k, n in nodes.items()])
 
 
-@query("plan_flow", _values({"if type": "1 | 2", "x after if": "1 | nil", "narrowed": "int<1, 4>", "elided": "1", "a": "1", "rest": "[2, 3]", "z": "4", "short a": "1", "short z": "nil", "and": "2", "or": "1", "write": "5"}))
+@case("plan_flow", _values({"if type": "1 | 2", "x after if": "1 | nil", "narrowed": "int<1, 4>", "elided": "1", "a": "1", "rest": "[2, 3]", "z": "4", "short a": "1", "short z": "nil", "and": "2", "or": "1", "write": "5"}))
 def plan_flow(spark, d):
     env = {"n": L.IntegerRange(1, 9)}
     t, after = X.evaluate(("if", "n", Test("<", 5), ("write", "x", lit(1)), lit(2)), env)
@@ -53,7 +61,7 @@ def plan_flow(spark, d):
     return _rows(spark, [("if type", t), ("x after if", after["x"]), ("narrowed", narrowed), ("elided", elided), ("a", m["a"]), ("rest", m["rest"]), ("z", m["z"]), ("short a", short["a"]), ("short z", short["z"]), ("and", X.type_of(("and", lit(1), lit(2)), {})), ("or", X.type_of(("or", lit(1), lit(2)), {})), ("write", w["y"])])
 
 
-@query("plan_literal_strings", _values({"concat": "true", "concat unknown": "false", "repeat": "true", "repeat negative": "false", "join": "true", "format": "true", "strip": "true", "ljust": "true", "interpolate": "true", "interpolate unknown": "false", "upcase": "false"}))
+@case("plan_literal_strings", _values({"concat": "true", "concat unknown": "false", "repeat": "true", "repeat negative": "false", "join": "true", "format": "true", "strip": "true", "ljust": "true", "interpolate": "true", "interpolate unknown": "false", "upcase": "false"}))
 def plan_literal_strings(spark, d):
     env = {"s": L.Nominal("String"), "k": L.Refined(L.Nominal("String"), "literal")}
     call = lambda r, op, *a: ("call", r, op, *a)
@@ -61,7 +69,7 @@ def plan_literal_strings(spark, d):
     return _rows(spark, [(k, X.literal(n, env)) for k, n in nodes.items()])
 
 
-@query("plan_normalisation", _values({"union flat": "1 | 2 | Integer", "union bot": "1", "union none": "bot", "union top": "top", "intersection": "lowercase-string & non-empty-string", "intersection bot": "bot", "erased": "Integer", "erased untyped": "untyped", "tuple": "[1, String]", "open": "{ a: 1, ... }", "dynamic": "Dynamic[Integer]", "app": "App[json::value, String]"}))
+@case("plan_normalisation", _values({"union flat": "1 | 2 | Integer", "union bot": "1", "union none": "bot", "union top": "top", "intersection": "lowercase-string & non-empty-string", "intersection bot": "bot", "erased": "Integer", "erased untyped": "untyped", "tuple": "[1, String]", "open": "{ a: 1, ... }", "dynamic": "Dynamic[Integer]", "app": "App[json::value, String]"}))
 def plan_normalisation(spark, d):
     i, s = L.Nominal("Integer"), L.Nominal("String")
     return _rows(spark, [
@@ -71,14 +79,14 @@ def plan_normalisation(spark, d):
     ])
 
 
-@query("plan_type_functions", _values({"reduced": "Array[Integer]", "knot": "String", "unknown": "top"}))
+@case("plan_type_functions", _values({"reduced": "Array[Integer]", "knot": "String", "unknown": "top"}))
 def plan_type_functions(spark, d):
     i, s = L.Nominal("Integer"), L.Nominal("String")
     bodies = {"list": lambda x: L.Nominal("Array", (x,)), "loop": lambda x: L.App("loop", (x,), s), "twice": lambda x: L.App("list", (x,))}
     return _rows(spark, [("reduced", X.reduce_app(L.App("twice", (i,)), bodies)), ("knot", X.reduce_app(L.App("loop", (i,), s), bodies)), ("unknown", X.reduce_app(L.App("other", (i,)), bodies))])
 
 
-@query("plan_statements", _values({"case": "1 | 2 | 3", "case else": "int<21, 50>", "unless": "2", "op write": "6", "or write": "7", "and write": "nil", "rescue": "1 | 2", "ensured": "3", "loop": "1 | 2", "for": "10 | 20", "early exit": "int<1, 4>", "defined": "String | nil", "def": '"name"', "lambda": "Proc", "jump": "bot"}))
+@case("plan_statements", _values({"case": "1 | 2 | 3", "case else": "int<21, 50>", "unless": "2", "op write": "6", "or write": "7", "and write": "nil", "rescue": "1 | 2", "ensured": "3", "loop": "1 | 2", "for": "10 | 20", "early exit": "int<1, 4>", "defined": "String | nil", "def": '"name"', "lambda": "Proc", "jump": "bot"}))
 def plan_statements(spark, d):
     env = {"n": L.IntegerRange(1, 50)}
     run = lambda node, e=env: X.evaluate(node, e)
@@ -95,14 +103,14 @@ def plan_statements(spark, d):
     return _rows(spark, list(types.items()))
 
 
-@query("plan_closures", _values({"Array#each": "non_escaping", "Integer#times": "non_escaping", "Object#tap": "non_escaping", "Thread#new": "escaping", "Foo#bar": "unknown", "kept": "1", "dropped": "Integer"}))
+@case("plan_closures", _values({"Array#each": "non_escaping", "Integer#times": "non_escaping", "Object#tap": "non_escaping", "Thread#new": "escaping", "Foo#bar": "unknown", "kept": "1", "dropped": "Integer"}))
 def plan_closures(spark, d):
     env, declared = {"x": L.Constant(1)}, {"x": L.Nominal("Integer")}
     rows = [(f"{c}#{m}", X.escape(c, m)) for c, m in (("Array", "each"), ("Integer", "times"), ("Object", "tap"), ("Thread", "new"), ("Foo", "bar"))]
     return _rows(spark, [*rows, ("kept", X.after_block(env, declared, ("x",), "Array", "each")["x"]), ("dropped", X.after_block(env, declared, ("x",), "Thread", "new")["x"])])
 
 
-@query("plan_bound_methods", _values({"bound": "Method", "call": "7", "index": "7", "curry": "7", "unknown": "Dynamic[top]"}))
+@case("plan_bound_methods", _values({"bound": "Method", "call": "7", "index": "7", "curry": "7", "unknown": "Dynamic[top]"}))
 def plan_bound_methods(spark, d):
     call = lambda r, op, *a: ("call", r, op, *a)
     plus = call(lit(3), "method", lit("+"))
@@ -113,30 +121,8 @@ def plan_bound_methods(spark, d):
 _JSON = "Array[App[json::value, {0}]] | Float | Hash[{0}, App[json::value, {0}]] | Integer | String | false | nil | true"
 
 
-@query("plan_structured_text", _values({"json": _JSON.format("String"), "symbols": _JSON.format("Symbol"), "yaml": "Array[App[json::value, String]] | Date | Float | Hash[String, App[json::value, String]] | Integer | String | false | nil | true", "csv": "Array[Array[String | nil]]", "csv headers": "nothing", "yaml load": "nothing"}))
+@case("plan_structured_text", _values({"json": _JSON.format("String"), "symbols": _JSON.format("Symbol"), "yaml": "Array[App[json::value, String]] | Date | Float | Hash[String, App[json::value, String]] | Integer | String | false | nil | true", "csv": "Array[Array[String | nil]]", "csv headers": "nothing", "yaml load": "nothing"}))
 def plan_structured_text(spark, d):
     option = lambda k, v: L.Shape((L.Field(k, v),))
     types = {"json": X.structured("JSON", "parse"), "symbols": X.structured("JSON", "load_file", option("symbolize_names", L.Constant(True))), "yaml": X.structured("YAML", "safe_load", option("permitted_classes", L.Tuple((L.Singleton("Date"),)))), "csv": X.structured("CSV", "read"), "csv headers": X.structured("CSV", "parse", option("headers", L.Constant(True))), "yaml load": X.structured("YAML", "load")}
     return _rows(spark, [(k, "nothing" if t is None else t) for k, t in types.items()])
-
-
-@query("plugin_order", "SELECT * FROM (VALUES (0, 'schema'), (1, 'routes'), (2, 'models'), (3, 'views')) t(pos, name)")
-def plugin_order(spark, d):
-    order = G.topological(["views", "models", "schema", "routes"], {"views": ["models", "routes"], "models": ["schema"]})
-    return spark.createDataFrame(list(enumerate(order)), "pos int, name string")
-
-
-@query("plugin_registry", _values({"facts": "columns=3", "conflict": "ValueError", "return": "int<0, 5>", "contribution order": "b,a", "resolver": "true", "macro": "name,name="}))
-def plugin_registry(spark, d):
-    r = Registry()
-    r.add(Manifest("a", produces=("columns",)), prepare=lambda facts: facts.publish("a", "columns", 3), return_type=lambda call: L.IntegerRange(0, 5) if call == "age" else None)
-    r.add(Manifest("b", consumes=("missing",)), return_type=lambda call: None)
-    r.add_macro("attr", lambda name: [name, f"{name}="])
-    r.prepare()
-    try:
-        r.facts.publish("a", "columns", 4)
-        conflict = "none"
-    except ValueError as e:
-        conflict = type(e).__name__
-    r.facts.publish("a", "columns", 3)  # an equal value is no conflict
-    return _rows(spark, [("facts", f"columns={r.facts.read('a', 'columns')}"), ("conflict", conflict), ("return", r.return_type("age")), ("contribution order", ",".join(sorted((m.id for m in r.manifests), reverse=True))), ("resolver", r.return_type("other") is None), ("macro", ",".join(r.expand("attr", "name")))])

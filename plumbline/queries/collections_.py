@@ -222,13 +222,15 @@ def prj_required(spark, d):
     return j.na.drop(subset=["quality"])
 
 
-@query("prj_shape_policies", "SELECT * FROM (VALUES ('partial', '{ ?a: Integer, ?b: String }'), ('required', '{ a: Integer, b: String }'), ('readonly', '{ readonly a: Integer, readonly ?b: String }'), ('pick', '{ a: Integer }'), ('omit', '{ ?b: String }'), ('key_of', '\"a\" | \"b\"'), ('value_of', 'Integer | String')) AS t(op, shape)")
+@query("prj_shape_policies", "SELECT c_custkey, 'c_name' AS field, c_name AS was, c_name || '!' AS now FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR), NULL FROM customer WHERE c_custkey % 7 = 0 AND c_nationkey IS NOT NULL")
 def prj_shape_policies(spark, d):
-    from ..plans import lattice as L
+    """readonly_of: a later version of customers, in which two marked fields and one unmarked one have changed."""
+    from ..operators.records import overwritten, readonly
 
-    s = L.Shape((L.Field("a", L.Nominal("Integer")), L.Field("b", L.Nominal("String"), optional=True)))
-    rows = [("partial", L.partial(s)), ("required", L.required(s)), ("readonly", L.readonly(s)), ("pick", L.pick(s, ["a"])), ("omit", L.omit(s, ["a"])), ("key_of", L.key_of(s)), ("value_of", L.value_of(s))]
-    return spark.createDataFrame([(k, L.describe(v)) for k, v in rows], "op string, shape string")
+    df = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    later = df.withColumns({"c_name": F.when(k % 10 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")), "c_nationkey": F.when(k % 7 != 0, F.col("c_nationkey")), "c_acctbal": F.col("c_acctbal") + 1})
+    return overwritten(readonly(df, "c_custkey", "c_name", "c_nationkey", "nothing"), later, "c_custkey")
 
 
 @query("prj_destructure", "SELECT doc_id, w[1] AS a, CAST(greatest(len(w) - 2, 0) AS BIGINT) AS middle, CASE WHEN len(w) >= 2 THEN w[-1] END AS z, w[2] AS second FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")

@@ -11,6 +11,7 @@ from ..plans import acceptance as A
 from ..plans import catalogue as K
 from ..plans import lattice as L
 from ..registry import query, table
+from .calls import case
 
 _T = "(SELECT l_orderkey AS k, list_sort(list(CAST(l_quantity AS BIGINT))) AS q FROM lineitem GROUP BY 1)"
 
@@ -133,16 +134,21 @@ def str_unicode(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(U.unicode_normalize(F.col("text"), "NFC")).cast("long").alias("composed"))
 
 
-@query("str_successors", "SELECT * FROM (VALUES ('az', 'ba'), ('zz', 'aaa'), ('a9', 'b0'), ('Zz', 'AAa'), ('1.9', '2.0'), ('', ''), ('***', '**+'), ('9', '10'), ('a-9', 'a-10')) t(x, next)")
+@query("str_successors", "SELECT 'brand' AS kind, p_brand AS x, 'Brand#' || (CAST(substr(p_brand, 7) AS BIGINT) + 1) AS next FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT 'customer', c_name, 'Customer#' || lpad(CAST(CAST(substr(c_name, 10) AS BIGINT) + 1 AS VARCHAR), 9, '0') FROM customer UNION ALL SELECT 'amount', x, printf('%.1f', CAST(x AS DOUBLE) + 0.1) FROM (SELECT DISTINCT printf('%.1f', l_quantity) AS x FROM lineitem)")
 def str_successors(spark, d):
-    df = spark.createDataFrame([("az",), ("zz",), ("a9",), ("Zz",), ("1.9",), ("",), ("***",), ("9",), ("a-9",)], "x string")
-    return df.select("x", U.succ(F.col("x")).alias("next"))
+    """Carries run through digits, over a point too; letters to the left of a digit take none."""
+    brands = table(spark, d, "part").select(F.lit("brand").alias("kind"), F.col("p_brand").alias("x")).distinct()
+    names = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_name").alias("x"))
+    amounts = table(spark, d, "lineitem").select(F.lit("amount").alias("kind"), F.format_string("%.1f", F.col("l_quantity").cast("double")).alias("x")).distinct()
+    return brands.union(names).union(amounts).select("kind", "x", U.succ(F.col("x")).alias("next"))
 
 
-@query("path_algebra", "SELECT * FROM (VALUES ('/a/./b/../c', '/a/c', 'c'), ('/a//b', '/a/b', 'b'), ('/', '/', '..')) t(path, clean, relative)")
+@query("path_algebra", "SELECT page_id, '/' || l || '/./' || page_id || '/../x//y' AS path, '/' || l || '/x/y' AS clean, CASE l WHEN 'en' THEN 'x/y' ELSE '../' || l || '/x/y' END AS relative FROM (SELECT page_id, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS l FROM pages)")
 def path_algebra(spark, d):
-    df = spark.createDataFrame([("/a/./b/../c",), ("/a//b",), ("/",)], "path string")
-    return df.select("path", U.cleanpath(F.col("path")).alias("clean"), U.relative_path(U.cleanpath(F.col("path")), "/a").alias("relative"))
+    """Paths made of pages' addresses, cleaned, and from /en to them."""
+    lang, path = F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1), F.col("path")
+    df = table(spark, d, "pages").select("page_id", F.concat(F.lit("/"), lang, F.lit("/./"), F.col("page_id").cast("string"), F.lit("/../x//y")).alias("path"))
+    return df.select("page_id", "path", U.cleanpath(path).alias("clean"), U.relative_path(U.cleanpath(path), "/en").alias("relative"))
 
 
 @query("date_sequences", "SELECT o_orderkey, array_to_string(list_transform(range(0, 3), lambda i: strftime(CAST(o_orderdate AS DATE) + CAST(i AS INTEGER), '%m/%d')), '|') AS days, strftime(date_trunc('week', CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS monday, dayofweek(o_orderdate) IN (0, 6) AS weekend, (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap FROM orders")
@@ -153,15 +159,26 @@ def date_sequences(spark, d):
     return table(spark, d, "orders").select("o_orderkey", _text(days).alias("days"), F.date_format(F.date_sub(c, F.weekday(c)), "yyyy-MM-dd").alias("monday"), F.dayofweek(c).isin(1, 7).alias("weekend"), (((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)).alias("leap"))
 
 
-@query("catalogue_purity")
+_NAMES = ("upper", "rand", "now", "nothing_known", "sha2", "sort!")
+_CALLS = "(SELECT CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_NAMES)) + " END AS name, p_size FROM part)"
+
+
+def _calls(spark, d):
+    """A call for each part: one of six names."""
+    at = (F.pmod("p_partkey", F.lit(len(_NAMES))) + 1).cast("int")
+    return table(spark, d, "part").select(F.element_at(F.array(*map(F.lit, _NAMES)), at).alias("name"), "p_size")
+
+
+@query("catalogue_purity", f"SELECT name, CASE name WHEN 'upper' THEN 'leaf' WHEN 'sha2' THEN 'leaf' WHEN 'rand' THEN 'impure' WHEN 'now' THEN 'session' END AS purity, CAST(count(*) AS BIGINT) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM {_CALLS} GROUP BY 1")
 def catalogue_purity(spark, d):
-    return K.catalogue(spark)
+    """Calls by name with what the catalogue says of them; names that it lacks have no purity."""
+    used = _calls(spark, d).groupBy("name").agg(F.count("*").alias("n"), F.sum("p_size").alias("total"))
+    return used.join(K.catalogue(spark), "name", "left").select("name", "purity", "n", "total")
 
 
-@query("catalogue_permission", "SELECT * FROM (VALUES ('upper', true), ('rand', false), ('now', false), ('nothing_known', false), ('sha2', false), ('sort!', false)) t(name, foldable)")
+@query("catalogue_permission", f"SELECT name, name = 'upper' AS foldable, CAST(count(*) AS BIGINT) AS n FROM {_CALLS} GROUP BY 1")
 def catalogue_permission(spark, d):
-    calls = spark.createDataFrame([("upper",), ("rand",), ("now",), ("nothing_known",), ("sha2",), ("sort!",)], "name string")
-    return K.permitted(calls, spark, blocked=("sha2",))
+    return K.permitted(_calls(spark, d), spark, blocked=("sha2",)).groupBy("name", "foldable").agg(F.count("*").alias("n"))
 
 
 _I, _S = L.Nominal("Integer"), L.Nominal("String")
@@ -174,6 +191,6 @@ _PAIRS = {
 }
 
 
-@query("plan_acceptance", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[2]}')" for k, v in _PAIRS.items()) + ") t(subject, verdict)")
+@case("plan_acceptance", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[2]}')" for k, v in _PAIRS.items()) + ") t(subject, verdict)")
 def plan_acceptance(spark, d):
     return spark.createDataFrame([(k, A.accepts(a, b)) for k, (a, b, _) in _PAIRS.items()], "subject string, verdict string")

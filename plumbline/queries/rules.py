@@ -134,10 +134,13 @@ def qualified_names(spark, d):
     return _diagnostics(spark, d).where("rule is not null").select("rule", U.qualified(F.col("rule"), source).alias("name")).distinct()
 
 
-@query("rule_catalogue", "SELECT * FROM (VALUES ('call', 4), ('dump', 1), ('assert', 1), ('flow', 4), ('def', 3)) t(family, n)")
+@query("rule_catalogue", f"SELECT family, rules, CAST(count(d.rule) AS BIGINT) AS found FROM (VALUES ('call', 4), ('dump', 1), ('assert', 1), ('flow', 4), ('def', 3)) t(family, rules) LEFT JOIN ({_DIAGS}) d ON split_part(d.rule, '.', 1) = family GROUP BY 1, 2")
 def rule_catalogue(spark, d):
+    """Families of the catalogue, with the diagnostics found of each."""
     rows = spark.createDataFrame([(r,) for r in U.SEVERITIES], "rule string")
-    return rows.groupBy(U.family(F.col("rule")).alias("family")).agg(F.count("*").cast("int").alias("n"))
+    families = rows.groupBy(U.family(F.col("rule")).alias("family")).agg(F.count("*").cast("int").alias("rules"))
+    found = _diagnostics(spark, d).groupBy(U.family(F.col("rule")).alias("family")).agg(F.count("rule").alias("found"))
+    return families.join(found, "family", "left").select("family", "rules", F.coalesce("found", F.lit(0)).cast("long").alias("found"))
 
 
 @query("reporter_union", "SELECT 'coverage' AS source, lang AS subject, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'unresolved', event_type, CAST(count(*) AS BIGINT) FROM events GROUP BY 2 UNION ALL SELECT 'lossy', p_type, CAST(count(*) AS BIGINT) FROM part GROUP BY 2")
@@ -174,10 +177,23 @@ def contract_merge(spark, d):
     return K.merge(old, new, "member")
 
 
-@query("contract_render", "SELECT col, 'def ' || col || ': () -> ' || type AS line FROM (VALUES ('p_size', 'int<1, 50>'), ('p_name', 'String'), ('p_partkey', 'non-negative-int')) t(col, type)")
+_RANGES = "(SELECT 'int<' || min(p_partkey) || ', ' || max(p_partkey) || '>' AS k, 'int<' || min(p_size) || ', ' || max(p_size) || '>' AS s FROM part)"
+
+
+@query("contract_render", f"SELECT 'print' AS mode, 'p_partkey' AS member, 1 AS part, 'def p_partkey: () -> ' || k AS line FROM {_RANGES} UNION ALL SELECT 'print', 'p_size', 1, 'def p_size: () -> ' || s FROM {_RANGES} UNION ALL SELECT 'diff', 'p_partkey', 1, '+ def p_partkey: () -> ' || k FROM {_RANGES} UNION ALL SELECT 'diff', 'p_size', 0, '- def p_size: () -> untyped' UNION ALL SELECT 'diff', 'p_size', 1, '+ def p_size: () -> ' || s FROM {_RANGES} UNION ALL SELECT 'write', 'p_partkey', 1, 'def p_partkey: () -> ' || k FROM {_RANGES} UNION ALL SELECT 'write', 'p_size', 1, 'def p_size: () -> ' || s FROM {_RANGES} UNION ALL SELECT 'write', 'p_name', 1, 'def p_name: () -> Name'")
 def contract_render(spark, d):
-    rows = spark.createDataFrame([("p_size", "int<1, 50>"), ("p_name", "String"), ("p_partkey", "non-negative-int"), ("p_brand", "untyped")], "col string, type string")
-    return rows.where("type <> 'untyped'").select("col", F.concat(F.lit("def "), "col", F.lit(": () -> "), "type").alias("line"))
+    """What is observed in part, merged into a contract that has one untyped member and one that is narrower than its class."""
+    from ..operators.profile import profile
+
+    seen = profile(table(spark, d, "part"), "part").where(F.col("col").isin("p_partkey", "p_size", "p_name"))
+    domain = F.when(F.col("cls") == "Integer", F.format_string("int<%d, %d>", "lo", "hi")).otherwise(F.col("cls"))
+    seen = seen.select(F.col("col").alias("member"), domain.alias("type"), F.when(F.col("cls") == "Integer", "tighter_return").otherwise("new_method").alias("kind"))
+    old = spark.createDataFrame([("p_size", "untyped"), ("p_name", "Name")], "member string, type string")
+    out = None
+    for mode in ("print", "diff", "write"):
+        one = K.render(old, seen, "member", mode).select(F.lit(mode).alias("mode"), "member", "part", "line")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("signature_paths", "SELECT p_brand, 'sig/' || lower(replace(p_brand, '#', '/')) || '.sig' AS path FROM (SELECT DISTINCT p_brand FROM part)")
@@ -240,11 +256,19 @@ def plugin_isolation(spark, d):
     return U.isolated("bad pack", broken, table(spark, d, "region"))
 
 
-@query("rule_explain", "SELECT * FROM (VALUES ('flow.always-raises', 'error'), ('flow.unreachable-branch', 'warning'), ('flow.always-truthy-condition', 'warning'), ('flow.dead-assignment', 'warning')) t(rule, severity)")
+_ASKED = "SELECT CASE l_linenumber WHEN 1 THEN 'wrong-arity' WHEN 2 THEN 'flow' WHEN 3 THEN 'dump.type' WHEN 4 THEN 'no-such-rule' END AS name FROM lineitem"
+_KNOWN = "(VALUES ('wrong-arity', 'call.wrong-arity', 'call', 'error'), ('dump.type', 'dump.type', 'dump', 'info'), ('flow', 'flow.always-raises', 'flow', 'error'), ('flow', 'flow.unreachable-branch', 'flow', 'warning'), ('flow', 'flow.always-truthy-condition', 'flow', 'warning'), ('flow', 'flow.dead-assignment', 'flow', 'warning')) t(name, rule, family, severity)"
+
+
+@query("rule_explain", f"SELECT a.name, rule, family, severity, rule IS NOT NULL AS explained, n FROM (SELECT name, CAST(count(*) AS BIGINT) AS n FROM ({_ASKED}) GROUP BY 1) a LEFT JOIN {_KNOWN} ON t.name = a.name")
 def rule_explain(spark, d):
-    from ..api import explain
+    """Names that lines ask for: an older name, a family, a rule, one that isn't known, and none."""
+    from ..api import EXPLANATIONS
 
-    return spark.createDataFrame([(r, s) for r, s, _ in explain("flow")], "rule string, severity string")
+    n = F.col("l_linenumber")
+    name = F.when(n == 1, "wrong-arity").when(n == 2, "flow").when(n == 3, "dump.type").when(n == 4, "no-such-rule")
+    asked = table(spark, d, "lineitem").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+    return U.explained(asked, EXPLANATIONS).select("name", "rule", "family", "severity", F.col("text").isNotNull().alias("explained"), "n")
 
 
 @query("api_type_of", "SELECT 'Integer' AS cls, CAST(count(*) AS BIGINT) AS n, CAST(min(p_size * 2) AS BIGINT) AS lo, CAST(max(p_size * 2) AS BIGINT) AS hi FROM part")

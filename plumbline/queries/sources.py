@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.shared import shared_folder
@@ -36,31 +39,57 @@ def src_list_files(spark, d):
     return out.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), (F.col("length") > 0).alias("has_bytes"))
 
 
-@query("src_baseline", "SELECT * FROM (VALUES ('a.txt', 1, 'call.wrong-arity'), ('b.txt', 2, NULL)) t(path, line, rule)")
+@query("src_baseline", "SELECT 'customer.parquet' AS path, c_custkey AS line, CASE WHEN c_custkey % 3 <> 0 THEN 'negative-balance' END AS rule FROM customer WHERE c_acctbal < 0")
 def src_baseline(spark, d):
-    text = '{"diagnostics": [{"path": "a.txt", "line": 1, "rule": "call.wrong-arity"}, {"path": "b.txt", "line": 2}]}'
-    return spark.createDataFrame([(x["path"], x["line"], x.get("rule")) for x in S.load_baseline(text)], "path string, line int, rule string")
-
-
-@query("src_config_includes", "SELECT * FROM (VALUES ('rules.call', 'error'), ('rules.flow', 'off'), ('target', 'x')) t(key, value)")
+    """Diagnostics stored as JSON files of at most 100 customers each, every second one an object, and read again."""
+    at, k = shared_folder(spark, "baseline"), F.col("c_custkey")
+    item = F.struct(F.lit("customer.parquet").alias("path"), k.alias("line"), F.when(k % 3 != 0, "negative-balance").alias("rule"))
+    files = table(spark, d, "customer").where("c_acctbal < 0").groupBy(F.floor(k / 100).alias("file")).agg(F.collect_list(item).alias("all"))
+    payload = F.when(F.col("file") % 2 == 0, F.to_json("all")).otherwise(F.to_json(F.struct(F.col("all").alias("diagnostics"))))
+    files.select(payload.alias("value"), "file").write.partitionBy("file").text(at)
+    return S.read_baselines(spark, at).select("path", "line", "rule")
+
+
+@query("src_config_includes", """
+WITH c AS (SELECT 'customer/' || c_custkey AS name, c_acctbal < 0 AS off, n_nationkey AS n, n_name, r_regionkey AS r, length(c_mktsegment) AS seg, c_mktsegment AS s FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT name, 'target' AS key, n_name AS value, 'nation/' || n AS origin FROM c UNION ALL SELECT name, 'severity', 'error', 'segment/' || s FROM c
+UNION ALL SELECT name, 'limits', 'none', name FROM c WHERE off UNION ALL SELECT name, 'limits.rows', CAST(seg AS VARCHAR), 'segment/' || s FROM c WHERE NOT off
+UNION ALL SELECT name, 'limits.bytes', CAST(n AS VARCHAR), 'nation/' || n FROM c WHERE NOT off""")
 def src_config_includes(spark, d):
-    files = {"a/main": {"includes": ["../base"], "rules": {"flow": "off"}, "target": "x"}, "base": {"rules": {"call": "error", "flow": "warning"}}}
-    c = S.load_config("a/main", files.__getitem__)
-    rows = [(f"rules.{k}", v) for k, v in c["rules"].items()] + [("target", c["target"])]
-    return spark.createDataFrame(rows, "key string, value string")
-
-
-@query("src_read_policy", "SELECT * FROM (VALUES ('/data/x.csv', true), ('/data/../etc/passwd', false), ('https://a.example/x', true), ('http://a.example/x', false), ('https://b.example/', false)) t(target, allowed)")
+    """A configuration for each customer includes its nation's, which includes the region's, and then its segment's; some replace a mapping by a scalar."""
+    from ..operators.settings import effective
+
+    t = lambda name: table(spark, d, name)
+    named = lambda kind, c: F.concat(F.lit(kind + "/"), F.col(c).cast("string"))
+    one = lambda df, name, key, value: df.select(name.alias("name"), F.lit(key).alias("key"), value.cast("string").alias("value"))
+    region, nation, segment, customer = named("region", "r_regionkey"), named("nation", "n_nationkey"), named("segment", "c_mktsegment"), named("customer", "c_custkey")
+    segments = t("customer").select("c_mktsegment").distinct()
+    settings = [
+        one(t("region"), region, "target", F.col("r_name")), one(t("region"), region, "limits.rows", F.col("r_regionkey")), one(t("nation"), nation, "target", F.col("n_name")), one(t("nation"), nation, "limits.bytes", F.col("n_nationkey")),
+        one(segments, segment, "severity", F.lit("error")), one(segments, segment, "limits.rows", F.length("c_mktsegment")), one(t("customer").where("c_acctbal < 0"), customer, "limits", F.lit("none")),
+    ]
+    link = lambda df, name, base, at: df.select(name.alias("name"), base.alias("base"), F.lit(at).alias("position"))
+    includes = [link(t("nation"), nation, named("region", "n_regionkey"), 0), link(t("customer"), customer, named("nation", "c_nationkey"), 0), link(t("customer"), customer, segment, 1)]
+    return effective(reduce(DataFrame.unionByName, settings), reduce(DataFrame.unionByName, includes)).where(F.col("name").startswith("customer/"))
+
+
+@query("src_read_policy", r"SELECT page_id, regexp_matches(url, '^https://([^/:?#@]+\.)?example\.net([/?#]|$)') AS may_open, page_id % 4 IN (1, 2) AS may_read FROM pages")
 def src_read_policy(spark, d):
-    p = S.Policy(["/data"], ["a.example"])
-    asked = ["/data/x.csv", "/data/../etc/passwd", "https://a.example/x", "http://a.example/x", "https://b.example/"]
-    return spark.createDataFrame([(x, p.may_open(x) if "://" in x else p.may_read(x)) for x in asked], "target string, allowed boolean")
+    """Pages' addresses under allowed hosts, and paths that leave the allowed folder by .., or only begin like it."""
+    p, k = S.Policy(["/data"], ["example.net"]), F.col("page_id").cast("string")
+    n = F.col("page_id") % 4
+    path = F.when(n == 0, F.concat(F.lit("/data/pages/../../etc/"), k)).when(n == 1, F.concat(F.lit("/data/../data/pages/"), k)).when(n == 2, F.concat(F.lit("/data//./pages/"), k)).otherwise(F.concat(F.lit("/database/"), k))
+    return table(spark, d, "pages").select("page_id", p.opens(F.col("url"), subdomains=True).alias("may_open"), p.reads(path).alias("may_read"))
 
 
-@query("src_lockfile", "SELECT * FROM (VALUES ('json', '2.9.1'), ('rake', '13.0.6')) t(name, version)")
+@query("src_lockfile", "SELECT p_partkey, unnest([{'kind': 'specs', 'name': a, 'version': p_size || '.' || p_partkey}, {'kind': 'specs', 'name': b, 'version': p_size || '.0'}, {'kind': 'collection', 'name': b, 'version': p_size || '.1'}], recursive := true) FROM (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)")
 def src_lockfile(spark, d):
-    text = "GEM\n  specs:\n    json (2.9.1)\n      other (>= 1)\n    rake (13.0.6)\n"
-    return spark.createDataFrame(sorted(S.locked_versions(text).items()), "name string, version string")
+    """A lockfile of either form for each part: its name's two words with versions."""
+    a, b, size, key = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_size"), F.col("p_partkey")
+    specs = F.format_string("GEM\n  remote: https://x/\n  specs:\n    %s (%d.%d)\n      other (>= 1)\n    %s (%d.0)\n\nPLATFORMS\n  any\n", a, size, key, b, size)
+    collection = F.format_string("path: .collection\ngems:\n- name: %s\n  version: \"%d.1\"\n  source:\n    type: git\n", b, size)
+    df = table(spark, d, "part").select("p_partkey", F.inline(F.array(F.struct(F.lit("specs").alias("kind"), specs.alias("text")), F.struct(F.lit("collection").alias("kind"), collection.alias("text")))))
+    return df.select("p_partkey", "kind", F.inline(S.locked(F.col("text"))))
 
 
 @query("src_analyse_files")

@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 ALWAYS_EXCLUDED = ("**/.git/**", "**/node_modules/**", "**/vendor/bundle/**", "**/tmp/**")
 
 
+#: Host of an https address; one with a user or password has none, as what follows ``@`` is the host in truth.
+AUTHORITY = r"^https://([^/:?#@\\]+)(?::[0-9]*)?(?:[/?#]|$)"
+
+
+def resolved(path: Column) -> Column:
+    """An absolute path without empty, ``.`` and ``..`` parts; ``..`` at the root stays there."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    fold = F.aggregate(parts, none, lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(fold, "/"))
+
+
 def glob_pattern(glob: str) -> str:
     """A regular expression that holds for whole paths: ``**`` crosses folders, ``*`` and ``?`` don't, ``{a,b}`` is either."""
     out, i, depth = "", 0, 0
@@ -86,6 +99,20 @@ def load_baseline(payload: str) -> list[dict]:
     return data if isinstance(data, list) else list(data.get("diagnostics", []))
 
 
+def read_baselines(spark: SparkSession, path: str) -> DataFrame:
+    """file, path, line, rule of the diagnostics in JSON files, each an array or an object with "diagnostics".
+
+    A file that is no JSON is one row with its name as path and the rule "baseline.parse-error"; an object without diagnostics, an
+    empty file's array or an empty one give none. Files are read whole, one a row: a baseline is split into files by who writes it.
+    """
+    item = "array<struct<path:string,line:long,rule:string>>"
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    inner = F.when(F.ltrim("value").startswith("["), F.from_json("value", item)).otherwise(F.from_json("value", f"diagnostics {item}")["diagnostics"])
+    broken = F.try_parse_json(F.col("value")).isNull()
+    one = F.array(F.struct(F.col("file").alias("path"), F.lit(None).cast("long").alias("line"), F.lit("baseline.parse-error").alias("rule")))
+    return text.select("file", F.inline(F.when(broken, one).otherwise(F.coalesce(inner, F.array().cast(item)))))
+
+
 def deep_merge(base: dict, over: dict) -> dict:
     """Mappings are merged key by key, anything else is replaced."""
     out = dict(base)
@@ -126,15 +153,45 @@ class Policy:
         return bytes(files.select("content").first()["content"])
 
     def may_open(self, url: str) -> bool:
-        m = re.match(r"\Ahttps://([^/:?#]+)", url)
+        m = re.match(AUTHORITY, url)
         return bool(m) and m[1].lower() in self.hosts
 
+    def reads(self, path: Column) -> Column:
+        """may_read of a column of paths; no for nulls."""
+        at, out = resolved(path), F.lit(False)
+        for r in self.roots:
+            out = out | (at == r) | at.startswith(r.rstrip("/") + "/")
+        return F.coalesce(out, F.lit(False))
+
+    def opens(self, url: Column, subdomains: bool = False) -> Column:
+        """may_open of a column of addresses; no for nulls. subdomains: hosts below a host that is named are allowed too."""
+        host, out = F.lower(F.regexp_extract(url, AUTHORITY, 1)), F.lit(False)
+        for h in sorted(self.hosts):
+            out = out | (host == h)
+            if subdomains:
+                out = out | host.endswith("." + h)
+        return F.coalesce(out, F.lit(False))
+
 
 def locked_versions(lockfile: str) -> dict[str, str]:
     """Names and versions of a lockfile's ``specs`` sections: lines of four spaces, a name and a version in brackets."""
     return dict(re.findall(r"^ {4}([\w.-]+) \(([^)\s]+)\)$", lockfile, re.M))
 
 
+def locked(text: Column) -> Column:
+    """Array of name and version in a lockfile's text: entries of four spaces below ``specs:``, or a list of ``- name:`` and ``version:`` lines.
+
+    In order, repeats included; entries' own requirements (six spaces) are none. Empty for other text, null for null.
+    """
+    entry, item = r"(?m)^ {4}([\w.-]+) \(([^)\s]+)\)$", r"(?m)^\s*- name: (\S+)\n\s+version: \"?([^\"\s]+)\"?$"
+
+    def found(pattern: str) -> Column:
+        part = lambda x, n: F.regexp_extract(x, pattern, n)
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(part(x, 1).alias("name"), part(x, 2).alias("version")))
+
+    return F.concat(found(entry), found(item))
+
+
 def write_diagnostics(df: DataFrame, path: str, as_json: bool = True) -> None:
     """One row a line, as JSON or as ``path:line: severity: message``; written whole or not at all by Spark's committer."""
     if as_json:
