@@ -59,3 +59,38 @@ def render(existing: DataFrame, generated: DataFrame, key: str, mode: str = "pri
     else:
         lines = F.array(new)
     return rows.select(key, F.inline(F.filter(lines, lambda x: x.isNotNull())))
+
+
+#: Collections that are not narrowed to the shape of one of their values.
+COLLECTIONS = ("Array", "Hash", "Set", "Range", "Enumerable", "Enumerator", "Enumerator::Lazy")
+
+
+def classify_members(observed: DataFrame, declared: DataFrame, above: DataFrame, key: str) -> DataFrame:
+    """key, verdict of each observed member: "skipped.complex-shape", "skipped.untyped-return", "new-method", "tighter-return" or "equivalent".
+
+    observed: key, type, complex, computed (a constant that isn't written as one), a row for each member of the type; declared: key,
+    type, likewise; above: child, ancestor (graph.closure, each class itself too). Tighter is a type all of whose members lie below a
+    declared one and not the other way round, unless it takes away what the declaration leaves open: a member of a union, a
+    collection's other sizes, a constant's other values. Types above doesn't have are below themselves alone. Repeated rows count once.
+    A member with no type, or with "untyped" among its types, is untyped.
+    """
+    o = observed.groupBy(key).agg(
+        F.bool_or(F.coalesce("complex", F.lit(False))).alias("complex"), F.bool_or(F.coalesce("computed", F.lit(False))).alias("computed"),
+        F.bool_or(F.col("type").isNull() | (F.col("type") == "untyped")).alias("untyped"), F.bool_or(F.col("type").isin("Tuple", "Shape")).alias("shaped"), F.count_distinct("type").alias("n_seen"),
+    ).where(F.col(key).isNotNull())
+    seen = observed.select(key, F.col("type").alias("seen")).where("seen is not null").distinct()
+    said = declared.select(key, F.col("type").alias("said")).where("said is not null").distinct()
+    d = said.groupBy(key).agg(F.count("*").alias("n_said"), F.bool_or(F.col("said").isin(*COLLECTIONS)).alias("collection"))
+    pairs = seen.join(said, key)
+    up = above.select(F.col("child").alias("seen"), F.col("ancestor").alias("said")).distinct().withColumn("under", F.lit(True))
+    down = up.select(F.col("seen").alias("said"), F.col("said").alias("seen"), F.col("under").alias("over"))
+    same = F.col("seen") == F.col("said")
+    pairs = pairs.join(up, ["seen", "said"], "left").join(down, ["seen", "said"], "left").select(key, "seen", "said", F.coalesce("under", same).alias("under"), F.coalesce("over", same).alias("over"))
+    forward = pairs.where("under").groupBy(key).agg(F.count_distinct("seen").alias("n_under"))
+    backward = pairs.where("over").groupBy(key).agg(F.count_distinct("said").alias("n_over"))
+    rows = o.join(d, key, "left").join(forward, key, "left").join(backward, key, "left")
+    kept = F.coalesce("n_over", F.lit(0)) == F.col("n_said")
+    lost = ((F.col("n_said") > 1) & ~kept) | (F.col("collection") & F.coalesce("shaped", F.lit(False))) | F.col("computed")
+    tight = (F.coalesce("n_under", F.lit(0)) == F.col("n_seen")) & ~kept & ~lost
+    verdict = F.when(F.col("complex"), "skipped.complex-shape").when(F.col("untyped"), "skipped.untyped-return").when(F.col("n_said").isNull(), "new-method").when(tight, "tighter-return").otherwise("equivalent")
+    return rows.select(key, verdict.alias("verdict"))

@@ -175,3 +175,23 @@ def halves(d: Domain) -> list[Domain]:
 def text_facts(target: str, method: str, argument: str) -> list[tuple[str, str, str, str, str]]:
     """(bucket, target, predicate, payload, polarity) of start_with?, end_with? and include?."""
     return [("relational", target, method, argument, p) for p in ("positive", "negative")]
+
+
+def complement_of_difference(members: Column, base: str, removed: Column, above: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """What the falsey edge of "a base other than removed" leaves of a union: members of no kin to base, and removed once if one may be it.
+
+    members: array of cls, value (null: all of the class); removed: a value of base, as text. above: ancestors by class; classes of
+    which one lies above the other are kin. If nothing is left the union stays as it is; nulls among the members go.
+    """
+    kin = {base, *(above or {}).get(base, ()), *(k for k, v in (above or {}).items() if base in v)}
+    whole = F.lit(base)
+
+    def covers(x: Column) -> Column:
+        own = x["cls"].isin(sorted({base, *(above or {}).get(base, ())}))
+        return (own & x["value"].isNull()) | ((x["cls"] == whole) & (x["value"] == removed))
+
+    there = F.filter(members, lambda x: x.isNotNull() & x["cls"].isNotNull())
+    others = F.filter(there, lambda x: ~x["cls"].isin(sorted(kin)))
+    one = F.array(F.struct(whole.alias("cls"), removed.cast("string").alias("value")))
+    out = F.when(F.exists(there, lambda x: F.coalesce(covers(x), F.lit(False))), F.concat(others, one)).otherwise(others)
+    return F.when(F.size(out) == 0, members).otherwise(F.array_distinct(out))

@@ -1,7 +1,7 @@
 """Refinements: named predicates that narrow a base type, as Columns; their names' parser; resolvers.
 
 A refinement's payload is a name (``lowercase-string``), a name with bounds (``int<0, max>``) or with element types
-(``non-empty-array[positive-int]``), an element of a tuple (``Tuple[int<0, 9>, String][0]``), the sums of flags (``int_mask[1, 2, 4]``,
+(``non-empty-array[positive-int]``), an element of a tuple, array or hash (``Tuple[int<0, 9>, nil][0]``), their keys or values (``key_of[Hash[non-empty-string, nil]]``), the sums of flags (``int_mask[1, 2, 4]``,
 ``int_mask_of[1 | 2]``), or a union of payloads and literals (``positive-int | "none" | nil``).
 """
 
@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Predicate = Callable[[Column], Column]
@@ -90,6 +90,44 @@ def complement(name: str) -> Predicate:
 CAPTURES = {r"\d": "decimal-int-string", r"[0-9]": "decimal-int-string", r"[a-z]": "lowercase-string", r"[A-Z]": "uppercase-string", r"[0-7]": "octal-int-string", r"\h": "hex-int-string", r"[0-9a-f]": "hex-int-string", r"[[:digit:]]": "numeric-string"}
 
 
+#: What a method leaves of a string's refinement. Digits have no case; the texts of ``to_i`` have no sign.
+PROJECTIONS = {
+    ("lowercase-string", "downcase"): "lowercase-string", ("lowercase-string", "upcase"): "uppercase-string",
+    ("uppercase-string", "upcase"): "uppercase-string", ("uppercase-string", "downcase"): "lowercase-string",
+    ("numeric-string", "downcase"): "numeric-string", ("numeric-string", "upcase"): "numeric-string",
+    ("decimal-int-string", "downcase"): "decimal-int-string", ("decimal-int-string", "upcase"): "decimal-int-string",
+    ("octal-int-string", "downcase"): "octal-int-string", ("octal-int-string", "upcase"): "octal-int-string",
+    ("hex-int-string", "downcase"): "hex-int-string", ("hex-int-string", "upcase"): "hex-int-string",
+    ("decimal-int-string", "to_i"): "non-negative-int", ("decimal-int-string", "to_int"): "non-negative-int",
+    ("numeric-string", "to_i"): "non-negative-int", ("numeric-string", "to_int"): "non-negative-int",
+}
+
+
+def _leading_integer(c: Column) -> Column:
+    return F.coalesce(F.regexp_extract(c, r"\A([+-]?[0-9]+)", 1).try_cast("long"), F.lit(0).cast("long"))
+
+
+METHODS: dict[str, Predicate] = {"downcase": F.lower, "upcase": F.upper, "to_i": _leading_integer, "to_int": _leading_integer}
+
+
+def unprojected(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """column, refinement, method, result, n, broken: for every method that a column's refinement says something of, how many
+    values that satisfy the refinement have a result outside the projected one. columns: name to refinement; one aggregate for all.
+
+    Nulls and values outside their refinement count for nothing.
+    """
+    asked = [(c, r, m, out) for c, r in columns.items() for (of, m), out in PROJECTIONS.items() if of == r]
+    totals = []
+    for i, (c, r, m, out) in enumerate(asked):
+        v = F.col(f"`{c}`")
+        fits = F.coalesce(NAMES[r](v), F.lit(False))
+        totals += [F.count_if(fits).alias(f"n{i}"), F.count_if(fits & ~F.coalesce(NAMES[out](METHODS[m](v)), F.lit(False))).alias(f"b{i}")]
+    rows = [F.struct(*[F.lit(x).alias(k) for k, x in zip(("column", "refinement", "method", "result"), a)], F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("broken")) for i, a in enumerate(asked)]
+    if not rows:
+        raise ValueError("no method is known of these refinements")
+    return df.agg(*totals).select(F.inline(F.array(*rows)))
+
+
 def capture_refinement(body: str) -> str | None:
     """Refinement of a group's text from its pattern: one known class, repeated once at least."""
     m = re.fullmatch(r"(\\d|\\h|\[\[:digit:\]\]|\[[^\]]+\])(\+|\{(\d+)(?:,(\d*))?\})", body)
@@ -186,6 +224,10 @@ def _bound(node: Node) -> int | None:
     return None if node.name in ("min", "max") else node.args[0]
 
 
+#: Containers whose elements have one type, which is their last argument, and which argument that is.
+VALUES_AT = {"Array": 0, "non-empty-array": 0, "Hash": 1, "non-empty-hash": 1}
+
+
 def _built_in(node: Node) -> Predicate | None:
     if node.name == "union":
         parts = [_built_in(x) for x in node.args]
@@ -208,7 +250,18 @@ def _built_in(node: Node) -> Predicate | None:
     if node.name == "at":
         of, key = node.args
         place = key.args[0] if key.name == "literal" else None
+        if of.name in VALUES_AT and len(of.args) == VALUES_AT[of.name] + 1:
+            return None if of.name.endswith(("Array", "array")) and type(place) is not int else _built_in(of.args[-1])
         return _built_in(of.args[place]) if of.name == "Tuple" and type(place) is int and 0 <= place < len(of.args) else None
+    if node.name in ("key_of", "value_of") and len(node.args) == 1:
+        of = node.args[0]
+        if of.name == "Tuple" and of.args:
+            return interval(0, len(of.args) - 1) if node.name == "key_of" else _built_in(Node("union", of.args))
+        if of.name in VALUES_AT and len(of.args) == VALUES_AT[of.name] + 1:
+            if node.name == "value_of":
+                return _built_in(of.args[-1])
+            return _built_in(of.args[0]) if len(of.args) == 2 else interval(0, None)
+        return None
     if node.name in ("int_mask", "int_mask_of"):
         flags = node.args[0].args if len(node.args) == 1 and node.args[0].name == "union" else node.args
         if not flags or any(x.name != "literal" or type(x.args[0]) is not int or x.args[0] < 0 for x in flags):

@@ -107,3 +107,25 @@ def isolated(name: str, rule, df: DataFrame) -> DataFrame:
         return out.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else kept(out)
     except Exception as e:  # noqa: BLE001 - any failure of foreign code
         return df.sparkSession.createDataFrame([(name, "plugin-runtime-error", type(e).__name__)], "path string, rule string, message string")
+
+
+#: Questions that are asked in defence, so a constant answer is no finding.
+DEFENSIVE = ("nil", "empty", "zero", "any", "none", "all", "respond_to")
+
+
+def constant_conditions(df: DataFrame, conditions: list[tuple[str, str, Column, str]], profile: str = "balanced") -> DataFrame:
+    """rule, severity, message, polarity, n of the conditions that come out alike for all of df's rows, found by one aggregate.
+
+    conditions: name, question (what it asks: "compare", one of DEFENSIVE, or "literal"), column, place ("", "loop" or "block").
+    Conditions that are literals, asked in defence, or inside loops and blocks are not looked at. A null condition is falsey. Over
+    no rows nothing is constant.
+    """
+    asked = [(name, c) for name, question, c, place in conditions if question not in (*DEFENSIVE, "literal") and place not in ("loop", "block")]
+    severity = SEVERITIES["flow.always-truthy-condition"][PROFILES.index(profile)]
+    none = "array<struct<message:string,polarity:string>>"
+    hits = [F.count_if(F.coalesce(c, F.lit(False))).alias(f"t{i}") for i, (_, c) in enumerate(asked)]
+    totals = df.agg(F.count("*").alias("n"), *hits)
+    found = [F.when((F.col(f"t{i}") == F.col("n")) | (F.col(f"t{i}") == 0), F.struct(F.lit(name).alias("message"), F.when(F.col(f"t{i}") == 0, "falsey").otherwise("truthy").alias("polarity"))) for i, (name, _) in enumerate(asked)]
+    rows = F.filter(F.array(*found).cast(none), lambda x: x.isNotNull())
+    out = totals.where("n > 0").select("n", F.inline(rows))
+    return out.select(F.lit("flow.always-truthy-condition").alias("rule"), F.lit(severity).alias("severity"), "message", "polarity", "n").where(F.col("severity") != "off")

@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from .queries import checks, classes, collections_, extensions, folding, joins, library, narrowing, producers, profiles, rules, shapes, signatures, sources, streams  # noqa: E402, F401
+from .queries import checks, classes, collections_, decisions, extensions, folding, joins, library, narrowing, producers, profiles, rules, shapes, signatures, sources, streams  # noqa: E402, F401
