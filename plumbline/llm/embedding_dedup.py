@@ -121,12 +121,12 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _coded(seed: int):
-    """node, class, codes, factor, low, step, d of vectors (node, class, v)."""
+    """node, class, mark, codes, factor, low, step, d of vectors (node, class, mark, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            flat, at = _matrix(pa.chunked_array([batch.column(2)]))
+            flat, at = _matrix(pa.chunked_array([batch.column(3)]))
             size = np.diff(at)
             for d in np.unique(size).tolist():
                 rows = np.flatnonzero(size == d)
@@ -135,18 +135,30 @@ def _coded(seed: int):
                 c = Codes(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], turn, seed)
                 codes = pa.array([r.tobytes() for r in c.packed()], pa.binary())
                 floats = [pa.array(v.astype(np.float32)) for v in (c.factor, c.low, c.step)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), codes, *floats, pa.array([d] * len(rows), pa.int32())], names=["node", "class", "codes", "factor", "low", "step", "d"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(3)), codes, *floats, pa.array([d] * len(rows), pa.int32())], names=["node", "class", "mark", "codes", "factor", "low", "step", "d"])
 
     return run
 
 
-def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, eps: float = 6, tile: int = 16_384, seed: int = 11) -> DataFrame:
+def _groups(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The table with its groups of equal k and mark, their starts and ends; where several marks met under one k, sorted by both."""
+    k, mark = (t.column(c).to_numpy() for c in ("k", "mark"))
+    met = (k[1:] == k[:-1]) & (mark[1:] != mark[:-1])
+    if met.any():
+        order = np.lexsort((mark, k))
+        t, k, mark = t.take(pa.array(order)), k[order], mark[order]
+    new = (k[1:] != k[:-1]) | (mark[1:] != mark[:-1])
+    return t, *runs(np.concatenate([[0], np.cumsum(new)]))
+
+
+def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, eps: float = 6, tile: int = 16_384, seed: int = 11, hash_bits: int = 63) -> DataFrame:
     """One row per row of vectors: id_col, n_links (other rows linked directly), component_id, kept (it is the smallest id of its component).
 
     Links: equal labels, not null, and a cosine of at least threshold. Vectors that are null, zero, or hold null or non-finite
     components link with nothing, nor do vectors of different length. eps: standard errors in the confidence bound; a pair is
     missed only if both of its estimates err by more (odds under one in 10^10). Rows repeated count as other rows; rows with a null id are linked and
-    get the smallest other id of their component. Further columns are not read.
+    get the smallest other id of their component. Further columns are not read. Labels and pairs of tiles that share a hash (of
+    hash_bits) are told apart by a second one of 64 bits, so they are not compared with each other.
     """
     stash = Stash(vectors.sparkSession, "vectors")
     vec = F.col(vector_col).cast("array<double>")
@@ -155,12 +167,15 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     key = F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64("v", "label", F.lit(1)).alias("b"))
     rows = stash.put(rows.withColumn("key", F.when(fine, key)).withColumn("v", F.when(fine, F.col("v"))))
     one = rows.where("key is not null").groupBy("label", "v", "key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    one = stash.put(one.withColumns({"class": F.xxhash64("label", F.size("v")), "node": F.monotonically_increasing_id()}))  # numbers that stay, as they are stored
-    coded = stash.put(one.select("node", "class", "v").mapInArrow(_coded(seed), "node long, class long, codes binary, factor float, low float, step float, d int"))
+    cut = lambda h: h.bitwiseAND(F.lit((1 << hash_bits) - 1).cast("long"))
+    marks = {"class": cut(F.xxhash64("label", F.size("v"))), "mark": F.xxhash64(F.size("v"), "label", F.lit(5)), "node": F.monotonically_increasing_id()}
+    one = stash.put(one.withColumns(marks))  # numbers that stay, as they are stored
+    coded = stash.put(one.select("node", "class", "mark", "v").mapInArrow(_coded(seed), "node long, class long, mark long, codes binary, factor float, low float, step float, d int"))
     sizes = stash.put(one.groupBy("class").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
     dealt = coded.join(sizes, "class").withColumn("t", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select(F.xxhash64("class", F.least("t", "o"), F.greatest("t", "o")).alias("k"), (F.col("t") <= F.col("o")).alias("left"), (F.col("t") == F.col("o")).alias("same"), *coded.drop("class").columns)
+    pair = F.least("t", "o"), F.greatest("t", "o")
+    dealt = dealt.select(cut(F.xxhash64("class", *pair)).alias("k"), F.xxhash64("mark", *pair).alias("mark"), (F.col("t") <= F.col("o")).alias("left"), (F.col("t") == F.col("o")).alias("same"), *coded.drop("class", "mark").columns)
 
     def sides(left: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
         l, r = np.flatnonzero(left), np.flatnonzero(~left)
@@ -169,24 +184,26 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     def choose(t: pa.Table) -> pa.RecordBatch:
         """The vectors of each pair of tiles that have a candidate there."""
-        k, left, same, node, factor, low, step, d = (t.column(c).to_numpy() for c in ("k", "left", "same", "node", "factor", "low", "step", "d"))
+        t, starts, ends = _groups(t)
+        k, mark, left, same, node, factor, low, step, d = (t.column(c).to_numpy() for c in ("k", "mark", "left", "same", "node", "factor", "low", "step", "d"))
         codes, chosen = t.column("codes").combine_chunks(), np.zeros(len(k), bool)
-        for s, e in zip(*runs(k)):
-            if (d[s:e] != d[s]).any():
-                raise ValueError("two classes of vectors met under one hash; choose another seed")
+        for s, e in zip(starts, ends):
             packed = np.frombuffer(b"".join(codes.slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1)
             l, r, alone = sides(left[s:e], same[s:e])
+            if not len(l) or not len(r):
+                continue  # the other tile is empty
             a, b = candidates(*((packed[x], factor[s + x], low[s + x], step[s + x], int(d[s])) for x in (l, r)), threshold, eps, alone)
             chosen[s + l[a]] = True
             chosen[s + r[b]] = True
-        return pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (k, left, same, node)], names=["k", "left", "same", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (k, mark, left, same, node)], names=["k", "mark", "left", "same", "node"])
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         """Counts of links of the vectors in each pair of tiles, and forests of the links."""
-        k, left, same, node, n = (t.column(c).to_numpy() for c in ("k", "left", "same", "node", "n"))
+        t, starts, ends = _groups(t)
+        left, same, node, n = (t.column(c).to_numpy() for c in ("left", "same", "node", "n"))
         flat, at = _matrix(t.column("v"))
         found, count, forests = [], [], []
-        for s, e in zip(*runs(k)):
+        for s, e in zip(starts, ends):
             m = flat[at[s] : at[e]].reshape(e - s, -1)
             l, r, alone = sides(left[s:e], same[s:e])
             total = np.zeros(e - s, np.int64)
@@ -208,7 +225,7 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         zero = np.zeros(len(a), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((nodes, a), (np.zeros_like(nodes), b), (counts, zero), (np.zeros(len(nodes), bool), np.ones(len(a), bool)))], names=["a", "b", "n", "link"])
 
-    chosen = stash.put(by_key(dealt, choose, "k long, left boolean, same boolean, node long", least_rows=tile))
+    chosen = stash.put(by_key(dealt, choose, "k long, mark long, left boolean, same boolean, node long", least_rows=tile))
     fetched = chosen.join(one.select("node", "n", "v"), "node")
     made = stash.put(by_key(fetched, compare, "a long, b long, n long, link boolean", least_rows=tile // 4))
     parts = components(made.where("link").select("a", "b"), stash)

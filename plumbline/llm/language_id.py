@@ -210,12 +210,12 @@ def score_texts(texts: list[str | None], model: Model, trees: Trees) -> tuple[li
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (default: all but those named so) with lang_pred, score (0 to 1) and bits_per_byte of each row's whole text.
+    """The columns keep (default: all but those named so, in any case) with lang_pred, score (0 to 1) and bits_per_byte of each row's whole text.
 
     A null text, one without letters, and any text under a model that knows no language get "und", score 0. Equal
     code lengths go to the language first by code point. Repeated rows get equal results.
     """
-    keep = keep or [c for c in docs.columns if c not in ADDED]
+    keep = keep or [c for c in docs.columns if c.lower() not in ADDED]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])

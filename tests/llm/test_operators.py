@@ -384,8 +384,8 @@ def test_embeddings(spark):
     groups = component_of(range(len(rows)), [(a, b) for a, s in links.items() for b in s])
     wanted = Counter((rows[i][0], len(links[i]), min(rows[j][0] for j in groups[i]), rows[i][0] == min(rows[j][0] for j in groups[i])) for i in range(len(rows)))
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, node string, n int")
-    for tile in (8192, 5):
-        assert Counter(map(tuple, embedding_dedup.embedding_dedup(df, tile=tile).collect())) == wanted
+    for tile, bits in ((8192, 63), (5, 63), (5, 1)):  # one bit: labels, lengths and pairs of tiles meet under one hash
+        assert Counter(map(tuple, embedding_dedup.embedding_dedup(df, tile=tile, hash_bits=bits).collect())) == wanted
 
 
 @pytest.mark.parametrize("d", [16, 63, 64, 300])
@@ -463,3 +463,9 @@ def test_copies_of_a_text_are_drawn_one_by_one(spark):
     assert model.langs == ["de", "en"] and 3 * 50 < seen["de"] / 2 < 3 * 200  # two e in each of three parts of a drawn copy: about 100 copies
     assert all((c & 511 != ord("x") + 1).all() for c, _ in model.counts)
     assert {r.lang_pred for r in language_id.predict(df.where("lang = 'de'"), model).collect()} == {"de"}
+
+
+def test_language_columns_named_like_results(spark):
+    df = spark.createDataFrame([(1, "the word", "a", "b", "c"), (2, None, None, None, None)], "doc_id long, text string, Score string, Lang_Pred string, other string")
+    out = language_id.predict(df, language_id.fit(df.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))))
+    assert out.columns == ["doc_id", "text", "other", "lang_pred", "score", "bits_per_byte"] and [r.lang_pred for r in out.collect()] == ["und", "und"]
