@@ -88,6 +88,16 @@ def test_division(spark):
     assert division.divided(m.limit(0), g).count() == 0
 
 
+def test_division_counts_names_once_for_each_set_of_classes(spark):
+    m = spark.range(2000).select(F.col("id").alias("receiver"), F.explode(F.when(F.col("id") % 2 == 0, F.array(F.lit("A"), F.lit("B"), F.lit(None))).otherwise(F.array(F.lit("A"), F.lit(None)))).alias("cls"))
+    g = spark.createDataFrame([(c, n) for n in range(20) for c in ("A", "B")] + [("B", 20), (None, 0)], "cls string, name int")
+    receivers, found = division._divided(m, g)
+    assert receivers.count() == 2000 and found.count() == 21 + 20
+    assert division.divided(m, g).count() == 1000 * 21 + 1000 * 20
+    wrong = division.nil_receivers(m, g)
+    assert wrong.count() == wrong.distinct().count() == 2000 * 19 and wrong.where("name in (0, 20)").isEmpty()
+
+
 @pytest.mark.parametrize("n", [3, 4])
 def test_branches_meet_in_any_order(spark, n):
     branches = [[("local", "a", "1"), ("ivar", "@a", "1")], [("local", "a", "2"), ("local", "b", "1")], [("local", "a", "1"), ("ivar", "@b", "3"), ("ivar", "@a", "2")], []][:n]
