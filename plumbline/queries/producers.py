@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
 from pyspark.sql import functions as F
 
 from ..operators.shared import shared_folder
@@ -41,13 +39,7 @@ _READ = ("customer", "documents", "lineitem", "orders", "pages")
 @query("src_footers", " UNION ALL ".join(f"SELECT '{t}' AS name, CAST(count(*) AS BIGINT) AS line, 'rows' AS message FROM {t}" for t in _READ) + " UNION ALL SELECT 'absent', NULL, 'path.missing'")
 def src_footers(spark, d):
     """Rows that the footers of some tables' files promise, and a diagnostic for one that isn't there."""
-
-    def footer(path, content):
-        import pyarrow.parquet as pq
-
-        yield pq.ParquetFile(io.BytesIO(content)).metadata.num_rows, "rows"
-
-    found, errors = A.analyse(spark, [f"{d}/{t}.parquet" for t in (*_READ, "absent")], ".parquet", footer, most_bytes=1 << 30)
+    found, errors = A.footers(spark, [f"{d}/{t}.parquet" for t in (*_READ, "absent")])
     name = F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1).alias("name")
     rows = found.groupBy(name, "message").agg(F.sum("line").alias("line"))
     return rows.unionByName(errors.select(name, F.col("rule").alias("message"), F.lit(None).cast("long").alias("line")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import kept
@@ -60,3 +61,31 @@ def analyse(spark: SparkSession, paths: Sequence[str], suffix: str, run: Callabl
     out = kept(analyse_files(files.where(F.col("length") <= most_bytes), run))
     failed = out.where("line = 0 and message like 'internal-error: %'").select("path", F.lit("path.internal-error").alias("rule"), F.substring_index("message", ": ", -1).alias("message"))
     return out.where("not (line = 0 and message like 'internal-error: %')"), errors.unionByName(large).unionByName(failed)
+
+
+def _uri_as_path(uri: Column) -> Column:
+    """A file's ``_metadata.file_path`` as binary files name it: decoded, one slash where there is no authority."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^([^/:]+):///", "$1:/")
+
+
+def footers(spark: SparkSession, paths: Sequence[str], suffix: str = ".parquet", *, whole_bytes: int = 4 << 20, exclude: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(path, line, message) with the rows that each file's footer promises as line, and errors: those of expand() and files without a readable footer.
+
+    Files over whole_bytes are counted by Spark's reader, which reads no column and splits them; only smaller ones are read whole. A
+    larger file that promises no row counts as one without a footer, as it can't be told from it.
+    """
+    def rows(path, content):
+        import pyarrow.parquet as pq
+
+        yield pq.ParquetFile(io.BytesIO(content)).metadata.num_rows, "rows"
+
+    small, errors = analyse(spark, paths, suffix, rows, most_bytes=whole_bytes, exclude=exclude)
+    wrong = {r["path"] for r in expand(spark, paths, suffix)[1].collect()}
+    reader = spark.read.schema("__none string").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("ignoreCorruptFiles", "true")
+    each = [reader.parquet(p).groupBy(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n")) for p in dict.fromkeys(paths) if p not in wrong]
+    if not each:
+        return small, errors
+    found = reduce(DataFrame.union, each).where(F.col("size") > whole_bytes).groupBy(_uri_as_path(F.col("uri")).alias("path")).agg(F.max("n").alias("n"))
+    large = errors.where("rule = 'path.too-large'").select("path").join(found, "path", "left")
+    silent = large.where("n is null").select("path", F.lit("path.internal-error").alias("rule"), F.lit("no rows in a footer").alias("message"))
+    return small.unionByName(large.where("n is not null").select("path", F.col("n").alias("line"), F.lit("rows").alias("message"))), errors.where("rule <> 'path.too-large'").unionByName(silent)

@@ -1,7 +1,7 @@
 """Sources over tables that are folders of part files."""
 
 from plumbline.queries.sources import src_list_files
-from plumbline.sources import files
+from plumbline.sources import files, paths
 
 
 def test_a_folder_of_parts_is_one_table(spark, tmp_path):
@@ -13,3 +13,16 @@ def test_a_folder_of_parts_is_one_table(spark, tmp_path):
     for folder in (str(tmp_path), f"file://{tmp_path}/"):
         assert {tuple(r) for r in files.list_tables(spark, folder).collect()} == want
         assert {tuple(r) for r in src_list_files(spark, folder).collect()} == {("a.parquet", True), ("b.parquet", True), ("c d.parquet", True)}
+
+
+def test_footers_are_counted_without_reading_files_whole(spark, tmp_path):
+    spark.range(3000).repartition(1).write.parquet(f"{tmp_path}/t.parquet")
+    part = next((tmp_path / "t.parquet").glob("part-*.parquet")).rename(tmp_path / "t.parquet" / "a b+c%20é.parquet")
+    spark.range(0).write.parquet(f"{tmp_path}/empty.parquet")
+    for name in ("short.parquet", "long.parquet"):
+        (tmp_path / name).write_bytes(b"PAR1" + b"x" * (9 if name == "short.parquet" else 9000) + b"PAR1")
+    names = [f"{tmp_path}/{x}.parquet" for x in ("t", "empty", "short", "long", "none")] + [str(part)]
+    for most in (4000, 1 << 20):  # the file with rows has over 4,000 bytes, an empty one fewer
+        found, errors = paths.footers(spark, names, whole_bytes=most)
+        assert sorted((r.path.rsplit("/", 1)[-1] == part.name, r.line, r.message) for r in found.collect()) == [(False, 0, "rows"), (True, 3000, "rows")]
+        assert sorted((r.path.rsplit("/", 1)[-1], r.rule) for r in errors.collect()) == [("long.parquet", "path.internal-error"), ("none.parquet", "path.missing"), ("short.parquet", "path.internal-error")]
