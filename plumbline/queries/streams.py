@@ -88,7 +88,7 @@ def _played(spark, d):
 
 @query("stream_debounce", f"WITH {_PLAYED_SECONDS}, {_MARKS}, k AS (SELECT e.* FROM e LEFT JOIN w USING (a) WHERE w.w IS NULL OR e.ts > w.w), n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM k) SELECT user_id, event_id FROM n WHERE (after IS NULL OR date_diff('second', ts, after) >= 14400) AND ts + INTERVAL 4 HOUR <= (SELECT max(w) FROM w)")
 def stream_debounce(spark, d):
-    """Last events of bursts, by timers: those whose four hours the watermark has passed; late rows are dropped."""
+    """Last events of bursts, by session windows: those whose four hours the watermark has passed; late rows are dropped."""
     at = shared_folder(spark, "stream")
     rows, arrival = _played(spark, d)
 

@@ -1,7 +1,12 @@
-"""Sources over tables that are folders of part files."""
+"""Sources over tables that are folders of part files, and streams of them."""
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
 
 from plumbline.queries.sources import src_list_files
 from plumbline.sources import files, paths
+from plumbline.streaming import stateful
 
 
 def test_a_folder_of_parts_is_one_table(spark, tmp_path):
@@ -26,3 +31,24 @@ def test_footers_are_counted_without_reading_files_whole(spark, tmp_path):
         found, errors = paths.footers(spark, names, whole_bytes=most)
         assert sorted((r.path.rsplit("/", 1)[-1] == part.name, r.line, r.message) for r in found.collect()) == [(False, 0, "rows"), (True, 3000, "rows")]
         assert sorted((r.path.rsplit("/", 1)[-1], r.rule) for r in errors.collect()) == [("long.parquet", "path.internal-error"), ("none.parquet", "path.missing"), ("short.parquet", "path.internal-error")]
+
+
+def test_bursts_of_a_stream_need_no_python(spark, tmp_path):
+    second = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
+    rows = [(0, 1, 0, 1), (0, 1, 100, 2), (0, 1, 199, 3), (0, 1, 199, 4), (0, None, 0, 5), (0, 2, 150, 6), (0, 2, 150, 6), (0, 3, 1000, 7)]  # exactly the gap lies between 1 and 2
+    rows += [(1, 2, 240, 8), (1, 1, 900, 9), (1, 1, 951, 10), (1, 3, 1099, 11), (1, 3, 1200, 12), (1, 9, 3000, 13)]  # 8 and 9 are not after the watermark (900)
+    rows = [(a, k, second(s), t) for a, k, s, t in rows]
+    events = spark.createDataFrame(rows, "a int, key int, ts timestamp, tie long")
+    plans = []
+
+    def start(stream, n):
+        with stateful.state_store(spark):
+            q = stateful.append(stateful.debounced(stream, "key", "ts", "tie", gap_seconds=100, late="100 seconds"), str(tmp_path))
+            q.awaitTermination()
+            plans.append(q._jsq.explainInternal(False))
+            return q
+
+    stateful.replay(events, F.col("a"), 2, str(tmp_path), start)
+    out = spark.read.schema("key int, at long, tie long").parquet(f"{tmp_path}/out")
+    assert sorted((r.key or 0, r.tie) for r in out.collect()) == [(0, 5), (1, 1), (1, 4), (1, 10), (2, 6), (3, 11), (3, 12)]
+    assert all("Session" in p and "Python" not in p and "TransformWithState" not in p for p in plans)
