@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from plumbline.queries.sources import src_list_files
+from plumbline.queries.sources import src_baseline, src_list_files
 from plumbline.sources import files, paths
 from plumbline.streaming import stateful
 
@@ -52,3 +52,12 @@ def test_bursts_of_a_stream_need_no_python(spark, tmp_path):
     out = spark.read.schema("key int, at long, tie long").parquet(f"{tmp_path}/out")
     assert sorted((r.key or 0, r.tie) for r in out.collect()) == [(0, 5), (1, 1), (1, 4), (1, 10), (2, 6), (3, 11), (3, 12)]
     assert all("Session" in p and "Python" not in p and "TransformWithState" not in p for p in plans)
+
+
+def test_baselines_are_written_by_several_tasks_into_one_folder(spark, tmp_path, monkeypatch):
+    at = f"{tmp_path}/at"
+    monkeypatch.setattr("plumbline.queries.sources.shared_folder", lambda *_: at)
+    spark.range(3000).select(F.col("id").alias("c_custkey"), F.when(F.col("id") % 2 == 0, -1.0).otherwise(1.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    assert src_baseline(spark, str(tmp_path)).count() == 1500
+    names = [p.name for p in (tmp_path / "at").rglob("part-*")]
+    assert len(names) == 30 and all((tmp_path / "at" / n).is_file() for n in names) and len({n.split("-")[1] for n in names}) > 1
